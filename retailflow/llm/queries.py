@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, mixing, secret_scan, token_counts, token_store
+from . import dart_minhash, decontaminate, mixing, secret_scan, substring_dedup, token_counts, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +50,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op3_dart_minhash": op3_dart_minhash,
     "op6_secret_scan": op6_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
