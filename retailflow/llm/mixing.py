@@ -85,6 +85,26 @@ def copies(mixed: DataFrame) -> Column:
     return F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
 
 
+def repeat(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs with all columns, each as many times as the mix takes it whole."""
+    mixed = mix_sources(docs, text=text, source=source, doc_id=doc_id, **options)
+    n = written(mixed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_text_hash").alias("_h"), copies(mixed).alias("_copies")), "copies")
+    # of equal rows one gets the copies of all
+    many = n.groupBy("_d", "_s", "_h").count().where("count > 1").head(1)
+    same = lambda: docs[doc_id].eqNullSafe(F.col("_d")) & docs[source].eqNullSafe(F.col("_s")) & (F.xxhash64(docs[text]) == F.col("_h"))
+    if not many:
+        if n.where("_copies <> 1").count() <= BROADCAST_SOURCES * 20:  # a million ids
+            other = F.broadcast(n.where("_copies <> 1"))
+            out = docs.join(other, same(), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+        else:
+            out = docs.join(n, same())
+    else:
+        total = n.groupBy("_d", "_s", "_h").agg(F.sum("_copies").alias("_copies"))
+        out = docs.dropDuplicates([doc_id, source, text]).join(total, same())
+    out = out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*docs.columns)
+
+
 def oracle_sql(weights=WEIGHTS, share: float = SHARE, most: int = MOST_TIMES, seed: int = SEED) -> str:
     """The same in DuckDB's SQL, with one window a source in place of ranges."""
     return f"""

@@ -226,26 +226,32 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAIN_ROWS, do
     return Network.load(bytes(out.first()[0]))
 
 
-def score(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
+def score(
+    docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, out: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
     """The kept columns, score (of label 1, from 0 to 1) and predicted of every row.
 
-    The whole text is read, and nothing else of the row. Empty and null texts have the
-    score of a text of no bytes. Every row gives one row; other columns are left out.
+    A score depends on the whole text and nothing else of the row. Empty and null texts
+    have the score of a text of no bytes. Every row gives one row; other columns are left
+    out. Outputs can be named otherwise by `out`; a kept name that clashes raises ValueError.
     """
     import pyarrow as pa
 
+    if clash := set(out) & set(keep):
+        raise ValueError(f"kept columns clash with outputs: {sorted(clash)}")
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(net.dump())
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    name = text if text in keep else "_text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(name))
+    fields = [f for f in rows.schema.fields if f.name in keep]
 
     def run(batches):
         own = Network.load(shared.value)
         for batch in batches:
             if batch.num_rows:
-                s = np.concatenate([own.scores(p.data, p.at) for p in pieces(batch.column("_text"))])
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(s)], names=[*(f.name for f in fields), "score"])
+                s = np.concatenate([own.scores(p.data, p.at) for p in pieces(batch.column(name))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(s)], names=[*(f.name for f in fields), out[0]])
 
-    schema = rows.drop("_text").schema.add("score", "double")
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = rows.select(*keep).schema.add(out[0], "double")
+    return rows.mapInArrow(run, schema).withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))

@@ -66,7 +66,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op4_token_counts": op4_token_counts,
     "op1_quality_conv": op1_quality_conv,
     "op2_embedding_dedup": op2_embedding_dedup,
