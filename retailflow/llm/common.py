@@ -64,7 +64,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is no longer needed, wherever Spark's file systems have it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
     """df, semi- or anti-joined with a written table of ids.
 
     The ids are broadcast only if they are counted to be few; else both sides are shuffled.

@@ -13,8 +13,8 @@ manifest   a hash of the documents' roots for each range of documents, and of th
 Reading back checks every chunk against its digest and every root against the manifest.
 The ids' crc32 is combined from those of the chunks as read, so no payload moves again.
 
-The ids are made in two passes over the texts, one for recipes and one for chunks: a
-pass costs less than a table of all ids that both could read.
+While a store is written, a table of the encoded documents stands beside it: texts are
+encoded once, and no chunk's ids are shuffled to find out which chunks repeat.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, pieces, prepare, task_count
+from .common import by_ids, drop_folder, new_folder, pieces, prepare, task_count, written
 from .units import Units, id_cache
 
 #: A chunk ends where the rolling hash of its last WINDOW ids has no bit of CUT: 512 ids
@@ -80,55 +80,28 @@ def _encoded(batch, json_text: str, end_id: int):
         yield np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
-def _recipes_of(shared, end_id: int):
+def _documents_of(shared, end_id: int):
+    """One row a document: its ids' number, root, and all its chunks."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            n, digests, lengths, roots = [], [], [], []
+            row = 0
             for ids, ends in _encoded(batch, shared.value, end_id) if batch.num_rows else ():
-                at, begin, k = cut_points(ids, ends), 0, 0
-                for b, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
-                    own, sizes = [], []
-                    while k < len(at) and at[k] <= e:
-                        own.append(digest(ids[begin : at[k]]))
-                        sizes.append(int(at[k]) - begin)
-                        begin, k = int(at[k]), k + 1
-                    n.append(e - b)
-                    digests.append(own)
-                    lengths.append(sizes)
-                    roots.append(hashlib.blake2b(b"".join(own), digest_size=16).digest())
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(roots, pa.binary())],
-                    names=["doc_id", "n_tokens", "digests", "lengths", "root"],
-                )
-
-    return run
-
-
-def _chunks_of(shared, end_id: int):
-    import pyarrow as pa
-
-    def run(batches):
-        met: set[bytes] = set()
-        for batch in batches:
-            out: dict[bytes, tuple[int, int, bytes]] = {}
-            for ids, ends in _encoded(batch, shared.value, end_id) if batch.num_rows else ():
-                begin = 0
-                for e in cut_points(ids, ends).tolist():
-                    chunk = ids[begin:e]
-                    begin = e
-                    if (d := digest(chunk)) in met:
-                        continue
-                    if len(met) > 500_000:
-                        met.clear()
-                    met.add(d)
-                    width = 2 if int(chunk.max()) < 65536 else 4
-                    out[d] = (len(chunk), width, chunk.astype(f"<u{width}").tobytes())
-            if out:
-                n, width, payload = zip(*out.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(n, pa.int32()), pa.array(width, pa.int32()), pa.array(payload, pa.binary())], names=["digest", "n", "width", "payload"])
+                at = cut_points(ids, ends)
+                begin = np.append(0, at[:-1])
+                own = np.searchsorted(at, ends, "right")  # chunks up to each document's end
+                raw, small = ids.astype("<u4").tobytes(), ids.astype("<u2").tobytes()
+                wide = np.maximum.reduceat(ids, begin) > 0xFFFF
+                digests = [hashlib.blake2b(raw[4 * b : 4 * e], digest_size=16).digest() for b, e in zip(begin.tolist(), at.tolist(), strict=True)]
+                payload = [raw[4 * b : 4 * e] if w else small[2 * b : 2 * e] for b, e, w in zip(begin.tolist(), at.tolist(), wide.tolist(), strict=True)]
+                starts = np.append(0, own[:-1])
+                roots = [hashlib.blake2b(b"".join(digests[i:j]), digest_size=16).digest() for i, j in zip(starts.tolist(), own.tolist(), strict=True)]
+                offsets = pa.array(np.append(0, own), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(digests, pa.binary()), pa.array(at - begin, pa.int32()), pa.array(np.where(wide, 4, 2), pa.int32()), pa.array(payload, pa.binary()))]
+                n = pa.array(np.diff(np.append(0, ends)), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(ends)), n, *lists, pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "digests", "lengths", "widths", "payloads", "root"])
+                row += len(ends)
 
     return run
 
@@ -147,13 +120,24 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     n = task_count(spark)
 
-    recipe = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("root", T.BinaryType())])
-    made = rows.mapInArrow(_recipes_of(shared, end_id), recipe)
-    made.write.option("compression", "zstd").parquet(f"{folder}/unordered")
-    made = spark.read.schema(recipe).parquet(f"{folder}/unordered")
+    kinds = {"doc_id": T.LongType(), "n_tokens": T.LongType(), "digests": T.ArrayType(T.BinaryType()), "lengths": T.ArrayType(T.IntegerType()), "widths": T.ArrayType(T.IntegerType()), "payloads": T.ArrayType(T.BinaryType()), "root": T.BinaryType()}
+    schema = T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+    made = rows.mapInArrow(_documents_of(shared, end_id), schema).withColumn("row", F.monotonically_increasing_id())
+    made.write.option("compression", "zstd").parquet(f"{folder}/encoded")
+    made = spark.read.schema(schema.add("row", T.LongType())).parquet(f"{folder}/encoded")
+
+    # of equal chunks the first is stored; only the others are looked up
+    spots = made.select("row", F.posexplode("digests").alias("k", "digest"))
+    repeated = written(spots.groupBy("digest").agg(F.min(F.struct("row", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "repeated")
+    again = spots.join(repeated.hint("shuffle_merge"), "digest").where(F.struct("row", "k") != F.col("first")).select("row", "k")
+    chunks = made.select("row", F.posexplode(F.arrays_zip("digests", "lengths", "widths", "payloads")).alias("k", "c"))
+    chunks = by_ids(chunks, written(again, "again"), ["row", "k"], "left_anti")
+    chunks = chunks.select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), F.col("c.widths").alias("width"), F.col("c.payloads").alias("payload"))
+    chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     # ranges of documents, then sums over the ranges, then sums within each
-    ranged = made.repartitionByRange(n, F.asc_nulls_first("doc_id")).withColumn("range", F.spark_partition_id())
+    ranged = made.select("doc_id", "n_tokens", "digests", "lengths", "root")
+    ranged = ranged.repartitionByRange(n, F.asc_nulls_first("doc_id")).withColumn("range", F.spark_partition_id())
     ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
     ranged = spark.read.parquet(f"{folder}/ranged")
     sums = ranged.groupBy("range").agg(F.sum("n_tokens").alias("own"))
@@ -165,11 +149,10 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     placed = placed.repartitionByRange(n, "range").sortWithinPartitions("range", "place")
     placed.write.option("compression", "zstd").parquet(f"{folder}/recipes")
 
-    chunk = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("payload", T.BinaryType())])
-    rows.select("_text").mapInArrow(_chunks_of(shared, end_id), chunk).dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{folder}/chunks")
-
     roots = _range_roots(spark.read.parquet(f"{folder}/recipes"))
     roots.coalesce(1).write.parquet(f"{folder}/manifest")  # a row for each of n ranges
+    for part in ("encoded", "ranged"):
+        drop_folder(spark, f"{folder}/{part}")
     return folder
 
 

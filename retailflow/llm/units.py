@@ -16,8 +16,18 @@ from .common import _BYTE, _IS_SPACE, _power, mix
 _UNSURE = _IS_SPACE.copy()
 _UNSURE[[0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
-#: Units that a worker remembers at most (about 100 bytes each); then it starts afresh.
-CACHE_UNITS = 400_000
+#: ASCII punctuation that ends a run of letters, but for "|", which special tokens hold.
+_POINT = np.zeros(256, bool)
+_POINT[[c for c in range(33, 127) if not chr(c).isalnum() and c != 0x7C]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(65, 123) if chr(c).isalpha()]] = True
+#: Second bytes of Latin letters whose first byte is C3: all but those of two signs.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+#: Units that a worker remembers at most (about 150 bytes each); then those met but once go.
+CACHE_UNITS = 600_000
 
 _tokenizers: dict[str, object] = {}
 
@@ -37,16 +47,43 @@ def tokenizer(json_text: str):
 
 
 def encode_units(json_text: str, units: list[str]) -> list[list[int]]:
+    """The ids of each unit by itself."""
     _, t = tokenizer(json_text)
     return [e.ids for e in t.encode_batch_fast(units, add_special_tokens=False)]
 
 
+def encode_lines(json_text: str, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the units, and their number for each, from one text with a unit a line.
+
+    A line feed between units is an id of its own there, which is much faster than a call
+    a unit; units that hold line feeds themselves, or end in white space, go by themselves.
+    """
+    _, t = tokenizer(json_text)
+    feed = t.encode("\n", add_special_tokens=False).ids
+    plain = np.fromiter((not ("\n" in u or u[-1:].isspace()) for u in units), bool, len(units))
+    together = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+    ids = np.asarray(t.encode_batch_fast(["\n".join(together)], add_special_tokens=False)[0].ids, np.uint32)
+    ends = np.append(np.flatnonzero(ids == feed[0]), len(ids))
+    if len(feed) != 1 or len(ends) != len(together):
+        plain[:], ids, ends = False, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    lengths = np.zeros(len(units), np.int64)
+    lengths[plain] = np.diff(np.append(-1, ends)) - 1 if plain.any() else 0
+    rest = encode_units(json_text, [u for u, p in zip(units, plain.tolist(), strict=True) if not p])
+    lengths[~plain] = [len(x) for x in rest]
+    out = np.zeros(int(lengths.sum()), np.uint32)
+    own = np.repeat(plain, lengths)
+    out[own] = np.delete(ids, ends[:-1]) if plain.any() else ids
+    out[~own] = [i for x in rest for i in x]
+    return out, lengths
+
+
 class Units:
     """Units of some texts: begin and end in data, hash h, and the number in each text.
 
-    Every unit begins at a text's start or at a white-space byte with something else
-    behind it. Byte-level tokenizers that split off white space before their merges
-    always have a boundary there, so the ids of a text are those of its units in order.
+    Every unit begins at a text's start, at a white-space byte with something else behind
+    it, or where punctuation follows a letter. Byte-level tokenizers that split texts into
+    words, punctuation and white space before their merges always have a boundary there,
+    so the ids of a text are those of its units in order.
     """
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
@@ -55,6 +92,9 @@ class Units:
         starts = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
             starts[: len(data) - 1] = _IS_SPACE[data[:-1]] & ~_UNSURE[data[1:]]
+            letter = _LETTER[data[:-1]]
+            letter[1:] |= _LATIN[data[1:-1]] & (data[:-2] == 0xC3)
+            starts[1 : len(data)] |= letter & _POINT[data[1:]]
         starts[at] = True
         starts[len(data)] = False
         self.begin = np.flatnonzero(starts)
@@ -78,40 +118,59 @@ class IdCache:
 
     def reset(self) -> None:
         self.place: dict[int, int] = {}
-        self.first = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int32)
+        self.met = np.zeros(1 << 16, np.int32)
+        self.pool, self.used = np.zeros(1 << 18, np.uint16), 0
+
+    def _shrink(self) -> None:
+        """Keep the units that were met in more than one piece, if these are few enough."""
+        n = len(self.place)
+        keep = self.met[:n] > 1
+        if keep.sum() > CACHE_UNITS // 2:
+            self.reset()
+            return
+        keys = np.fromiter(self.place.keys(), np.uint64, n)[keep].tolist()
+        length = self.length[:n][keep].astype(np.int64)
+        ends = np.cumsum(length)
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[:n][keep] - (ends - length), length)
+        pool = self.pool[where]
+        self.reset()
+        self._add(keys, pool, length)
+
+    def _add(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.place)
+        while n + len(keys) > len(self.first):
+            self.first, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.met))
+        if len(ids) and int(ids.max()) > np.iinfo(self.pool.dtype).max:
+            self.pool = self.pool.astype(np.uint32)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.length[n : n + len(keys)] = lengths
+        self.first[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.met[n : n + len(keys)] = 0
+        self.used += len(ids)
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def ids_of(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and their number for each unit."""
         distinct, example, inverse = np.unique(units.h, return_index=True, return_inverse=True)
         if len(self.place) + len(distinct) > CACHE_UNITS:
-            self.reset()
-        place = self.place
+            self._shrink()
         keys = distinct.tolist()
-        got = [place.get(k, -1) for k in keys]
-        missing = [i for i, x in enumerate(got) if x < 0]
-        if missing:
-            made = encode_units(self.json_text, [units.text(example[i]) for i in missing])
-            n = len(place)
-            while n + len(missing) > len(self.first):
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            flat = np.fromiter((x for ids in made for x in ids), np.uint32)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            lengths = np.fromiter(map(len, made), np.int32, len(made))
-            self.length[n : n + len(made)] = lengths
-            self.first[n : n + len(made)] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(flat)
-            for k, i in enumerate(missing):
-                place[keys[i]] = got[i] = n + k
-        slot = np.asarray(got, np.int64)[inverse]
+        got = np.fromiter((self.place.get(k, -1) for k in keys), np.int64, len(keys))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            got[missing] = np.arange(len(self.place), len(self.place) + len(missing))
+            ids, lengths = encode_lines(self.json_text, [units.text(i) for i in example[missing].tolist()])
+            self._add([keys[i] for i in missing.tolist()], ids, lengths)
+        self.met[got] += 1
+        slot = got[inverse]
         length = self.length[slot].astype(np.int64)
         ends = np.cumsum(length)
         where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[slot] - (ends - length), length)
-        return self.pool[where], length
+        return self.pool[where].astype(np.uint32), length
 
 
 _caches: dict[str, IdCache] = {}
