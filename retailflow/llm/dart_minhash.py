@@ -8,9 +8,10 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Bands of coordinates propose pairs, the texts confirm them, and connected components of
 confirmed links are the groups. Documents of equal words are one node from the start. In
-each band's bucket all members are compared with the least; where that leaves a bucket in
-several components, the pairs across them are compared too, so that no proposed link is
-lost though no group is ever expanded into its pairs.
+each band's bucket all members are compared with one of them, picked by a hash; where that
+leaves a bucket in several components, the pairs across them are compared too: in blocks
+where the bucket is large. So no proposed link is lost, though no group is ever expanded
+into its pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ SHINGLE, LEAST = 5, 0.8
 #: At a similarity of 0.8 a pair shares none of 24 bands of 5 once in 14,000 times.
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
+#: Orders by which buckets pick the member that the others are compared with first.
+LEADS = 8
+#: Members of a bucket whose pairs are compared one by one; larger ones go in blocks of BLOCK.
+FEW, BLOCK = 12, 100
 
 
 def shingles(piece: Piece, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +194,65 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return written(both.select("a", "b", "_ta", "_tb").mapInArrow(_compare(least), "a long, b long, similarity double"), "links")
 
 
+def _block_links(least: float):
+    """Links of a group of at most two blocks of documents; of all that it has, those that
+    unite components not united yet."""
+    import pandas as pd
+    import pyarrow as pa
+
+    def run(key, rows):
+        rows = rows.reset_index(drop=True)
+        region, doc = [], []
+        for piece in pieces(pa.array(rows["_text"], pa.string())):
+            h, d = regions(*shingles(piece))
+            region.append(h)
+            doc.append(d + piece.first)
+        region, doc = np.concatenate(region), np.concatenate(doc)
+        size = np.bincount(doc, minlength=len(rows)).astype(np.float64)
+        _, at, n = np.unique(region, return_inverse=True, return_counts=True)
+        both = n[at] > 1
+        number = np.cumsum(n > 1) - 1
+        at, doc = number[at[both]], doc[both]
+        order = np.argsort(at, kind="stable")
+        at, doc = at[order], doc[order]
+        common = np.zeros((len(rows), len(rows)))
+        for i in range(0, int(at[-1]) + 1 if len(at) else 0, 8192):
+            x, y = np.searchsorted(at, [i, i + 8192])
+            held = np.zeros((len(rows), 8192), np.float32)
+            held[doc[x:y], at[x:y] - i] = 1
+            common += held @ held.T
+        near = common >= least * (size[:, None] + size[None, :] - common)
+        comp = rows["component"].to_numpy()
+        a, b = np.nonzero(np.triu(near & (comp[:, None] != comp[None, :]), 1))
+        root: dict = {}
+
+        def top(u):
+            while root.get(u, u) != u:
+                u = root[u]
+            return u
+
+        node, out = rows["node"].to_numpy(), []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            r, s = top(comp[i]), top(comp[j])
+            if r != s:
+                root[s] = r
+                out.append((node[i], node[j], common[i, j] / (size[i] + size[j] - common[i, j])))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return run
+
+
+def _confirmed_in_blocks(docs: DataFrame, open_: DataFrame, least: float) -> DataFrame:
+    """Links between the components of large buckets, (key, node, n, component): all pairs
+    of a bucket are compared, in blocks, and none is emitted that isn't needed."""
+    held = written(by_ids(docs.where(F.col("_text").isNotNull()), written(open_.select(F.col("node").alias("doc_id")).distinct(), "ids"), "doc_id"), "held")
+    dealt = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    dealt = dealt.join(held.select(F.col("doc_id").alias("node"), "_text").hint("shuffle_merge"), "node")
+    return written(dealt.groupBy("key", "bi", "bj").applyInPandas(_block_links(least), "a long, b long, similarity double"), "links")
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, component_id and kept of every row.
 
@@ -204,23 +268,27 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id
     sketch = written(docs.mapInArrow(_sketch, "doc_id long, h1 long, h2 long, bands array<long>"), "sketches")
     named = sketch.where("doc_id IS NOT NULL AND h1 IS NOT NULL")
     classes = written(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    lead = written(keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "lead")
-    members = written(keys.join(lead.hint("shuffle_merge"), "key").select("key", "node", "lead"), "members")
-    tried = written(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "tried")
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    order = F.struct(F.xxhash64("node", F.col("band") % LEADS).alias("o"), F.col("node").alias("node"))
+    lead = keys.groupBy("key").agg(F.min(order)["node"].alias("lead"), F.count("*").alias("n")).where("n > 1")
+    members = written(keys.join(written(lead, "lead").hint("shuffle_merge"), "key").select("key", "node", "lead", "n"), "members")
+    tried = written(members.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct(), "tried")
     links = _confirmed(docs, tried, least)
     found = written(connected_components(links, "a", "b"), "components")
     placed = members.join(found.withColumnRenamed("node", "_n").hint("shuffle_merge"), F.col("node") == F.col("_n"), "left")
-    placed = placed.select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = placed.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = written(placed.join(written(split, "split").hint("shuffle_merge"), "key"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"))
-    across = open_.join(other.hint("shuffle_merge"), "key").where("component < _cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    across = written(across.join(tried, ["a", "b"], "left_anti"), "across")
-    if across.head(1):
-        more = _confirmed(docs, across, least)
-        if more.head(1):
-            found = written(connected_components(links.unionByName(more), "a", "b"), "components")
+    small = open_.where(F.col("n") <= FEW)
+    other = small.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"))
+    across = small.join(other.hint("shuffle_merge"), "key").where("component < _cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    across = written(across.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"), "across")
+    more = _confirmed(docs, across, least) if across.head(1) else links.limit(0)
+    large = open_.where(F.col("n") > FEW)
+    if large.head(1):
+        more = more.unionByName(_confirmed_in_blocks(docs, large, least))
+    if more.head(1):
+        found = written(connected_components(links.unionByName(more), "a", "b"), "components")
     classes = classes.join(found.withColumnRenamed("node", "_n").hint("shuffle_merge"), F.col("node") == F.col("_n"), "left")
     classes = written(classes.select("h1", "h2", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id")), "placed")
     out = named.select("doc_id", "h1", "h2").join(classes.hint("shuffle_merge"), ["h1", "h2"]).select("doc_id", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
