@@ -14,14 +14,12 @@ A window is 20 consecutive words of one document. The work is done in three step
    documents stream through; where a phrase is found, the words around are compared, and
    every run of 20 or more equal words that starts later than the passage is removed.
 
-All decisions are by the documents as given. Words are compared by themselves in step 3;
-64-bit hashes only tell which windows to look at.
+All decisions are by the documents as given. Windows are told apart by 64-bit hashes in the
+steps before, and by each of their words in step 3, where words are 64-bit hashes too.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +28,14 @@ from .common import Piece, argmin_windows, by_ids, pieces, prepare, written
 
 WINDOW, PHRASE = 20, 8
 STEP = WINDOW - PHRASE + 1
+#: Words beside a phrase that a window which holds it can reach.
+REACH = WINDOW - PHRASE
 #: Words of a shard's documents, on average.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 900_000
+#: Words to a letter, when words are written as two letters each.
+LETTERS = 512
+#: Places of found phrases that are compared at once.
+HITS = 100_000
 _SALT, _NO_ID, _PLACE = 0x7E57, -(1 << 34), 1 << 28
 
 
@@ -119,61 +123,111 @@ def _passages(batches):
             )
 
 
-def compile_phrases(passages: list[np.ndarray]):
-    """An automaton over word numbers that finds a phrase at every 13th place of each passage."""
+def letters(ids: np.ndarray) -> str:
+    """Word numbers as two letters each, of different halves of an alphabet. The automaton
+    searches a node's children one by one: so no node has more than a few hundred."""
+    out = np.empty((len(ids), 2), "<u4")
+    out[:, 0], out[:, 1] = ids // LETTERS + LETTERS, ids % LETTERS
+    out[out >= 0xD800] += 0x800  # past the surrogates
+    return out.tobytes().decode("utf-32-le")
+
+
+def compile_phrases(flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
+    """An automaton over word numbers that finds a phrase at every 13th place of the passages,
+    which stand in flat; and for each phrase's number its places: (first, count, place, passage)."""
     import ahocorasick
 
-    found: dict[tuple, list] = {}
-    for i, ids in enumerate(passages):
-        for k in range(0, len(ids) - PHRASE + 1, STEP):
-            found.setdefault(tuple(ids[k : k + PHRASE].tolist()), []).append((i, k))
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase, places in found.items():
-        machine.add_word(phrase, places)
+    number = np.maximum(0, (length - PHRASE) // STEP + 1)
+    passage = np.repeat(np.arange(len(begin)), number)
+    k = np.arange(len(passage)) - np.repeat(np.cumsum(number) - number, number)
+    place = begin[passage] + k * STEP
+    machine, found, size = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, 2 * PHRASE
+    every = letters(flat[place[:, None] + np.arange(PHRASE)].ravel())
+    which = np.fromiter((found.setdefault(every[i : i + size], len(found)) for i in range(0, len(every), size)), np.int64, len(place))
+    for phrase, i in found.items():
+        machine.add_word(phrase, i)
     machine.make_automaton()
-    return machine
-
-
-def removed_words(ids: np.ndarray, own: tuple, machine, passages: list[np.ndarray], places: list[tuple]) -> np.ndarray:
-    """Whether each word of a document goes. own is its key; places are the passages'
-    documents and first words."""
-    gone, met = np.zeros(len(ids) + 1, np.int64), set()
-    for end, hits in machine.iter(tuple(ids.tolist())):
-        for i, k in hits:
-            shift = end - PHRASE + 1 - k
-            if (i, shift) in met:
-                continue
-            met.add((i, shift))
-            *home, place = places[i]
-            if tuple(home) == own and shift <= place:
-                continue  # the passage itself, or what comes before it
-            p = passages[i]
-            a, b = max(0, shift), min(len(ids), shift + len(p))
-            same = ids[a:b] == p[a - shift : b - shift]
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-            for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if y - x >= WINDOW:
-                    gone[a + x] += 1
-                    gone[a + y] -= 1
-    return np.cumsum(gone[:-1]) > 0
+    order = np.argsort(which, kind="stable")
+    count = np.bincount(which, minlength=len(found))
+    return machine, np.cumsum(count) - count, count, place[order], passage[order]
+
+
+def _agree(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
+    """How many words of x from i on equal those of y from j on, REACH at most."""
+    n, on = np.zeros(len(i), np.int64), np.arange(len(i))
+    for k in range(REACH):
+        on = on[x[i[on] + k * step] == y[j[on] + k * step]]
+        if not len(on):
+            break
+        n[on] += 1
+    return n
+
+
+def removed_words(docs: list[np.ndarray], passages: list[np.ndarray], home: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Whether each word of each document goes. Words are numbers; home is each passage's
+    document, counted in docs (-1: none of them), and place its first word there.
+
+    A window has a compiled phrase, so the words that go are those of windows around the
+    phrases found, at most REACH words to either side of one.
+    """
+    pad = np.zeros(REACH, np.int64)
+    gone = [np.zeros(len(d), bool) for d in docs]
+    if not passages:
+        return gone
+    flat = np.concatenate([pad, *(x for p in passages for x in (p, pad))])
+    length = np.array([len(p) for p in passages])
+    begin = REACH + np.cumsum(length + REACH) - length - REACH
+    machine, first, count, at, passage = compile_phrases(flat, begin, length)
+    for d, ids in enumerate(docs):
+        if len(ids) < WINDOW:
+            continue
+        found = np.array(list(machine.iter(letters(ids))), np.int64).reshape(-1, 2)
+        found[:, 0] //= 2
+        own, edge = np.concatenate([pad - 1, ids, pad - 1]), np.zeros(len(ids) + 1, np.int64)
+        hits = np.cumsum(count[found[:, 1]])
+        cuts = np.append(0, np.searchsorted(hits, np.arange(HITS, (hits[-1] if len(hits) else 0) + HITS, HITS), "right"))
+        cuts[-1] = len(found)
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            n = count[found[i:j, 1]]
+            k = np.arange(n.sum()) + np.repeat(first[found[i:j, 1]] - (np.cumsum(n) - n), n)
+            x, y, p = np.repeat(found[i:j, 0] - PHRASE + 1, n), at[k], passage[k]
+            # not the passage itself
+            new = (home[p] != d) | (x - (y - begin[p]) > place[p])
+            x, y = x[new], y[new]
+            left = _agree(own, x + REACH - 1, flat, y - 1, -1)
+            right = _agree(own, x + REACH + PHRASE, flat, y + PHRASE, 1)
+            go = left + PHRASE + right >= WINDOW
+            edge += np.bincount((x - left)[go], minlength=len(edge)) - np.bincount((x + PHRASE + right)[go], minlength=len(edge))
+        gone[d] = np.cumsum(edge[:-1]) > 0
+    return gone
+
+
+def _numbers(*columns) -> list[list[np.ndarray]]:
+    """The words of the texts of some Arrow columns as numbers from 1, equal where hashes are."""
+    h, sizes = [], []
+    for column in columns:
+        own = list(pieces(column))
+        h += [p.h for p in own]
+        sizes.append(np.concatenate([p.counts for p in own]) if own else np.zeros(0, np.int64))
+    _, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_inverse=True)
+    parts = np.split(number + 1, np.cumsum(np.concatenate(sizes))[:-1]) if sum(map(len, sizes)) else []
+    return [parts[: len(sizes[0])], parts[len(sizes[0]) :]]
 
 
 def _shard(docs, passages):
     import pandas as pd
+    import pyarrow as pa
 
-    number: dict[bytes, int] = {}
-    lists = [np.fromiter((number.setdefault(w, len(number) + 1) for w in bytes(x).split(b" ")), np.int64) for x in passages["words"]]
-    places = list(zip(passages["pdoc"].tolist(), passages["pth"].tolist(), passages["place"].tolist(), strict=True))
-    machine = compile_phrases(lists) if lists else None
+    words, known = _numbers(pa.array(docs["_text"], pa.string()), pa.array(passages["words"], pa.binary()))
+    keys = {k: i for i, k in enumerate(zip(docs["doc"].tolist(), docs["th"].tolist(), strict=True))}
+    home = np.array([keys.get(k, -1) for k in zip(passages["pdoc"].tolist(), passages["pth"].tolist(), strict=True)], np.int64)
     out = []
-    for doc, th, text in zip(docs["doc"].tolist(), docs["th"].tolist(), docs["_text"], strict=True):
-        words = (text or "").encode().split()
-        gone = np.zeros(len(words), bool)
-        if machine is not None and len(words) >= WINDOW:
-            ids = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
-            gone = removed_words(ids, (doc, th), machine, lists, places)
-        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-        out.append((doc, th, len(words), int(gone.sum()), b" ".join(kept).decode()))
+    for doc, th, text, gone in zip(docs["doc"].tolist(), docs["th"].tolist(), docs["_text"], removed_words(words, known, home, passages["place"].to_numpy()), strict=True):
+        kept = (text or "").encode().split()
+        lost = int(gone.sum())
+        if lost:
+            kept = [w for w, g in zip(kept, gone.tolist(), strict=True) if not g]
+        out.append((doc, th, len(gone), lost, b" ".join(kept).decode()))
     return pd.DataFrame(out, columns=["doc", "th", "n_words", "n_removed", "kept"])
 
 
