@@ -29,7 +29,7 @@ COORDINATES = BANDS * ROWS
 #: Orders by which buckets pick the member that the others are compared with first.
 LEADS = 8
 #: Members of a bucket whose pairs are compared one by one; larger ones go in blocks of BLOCK.
-FEW, BLOCK = 12, 100
+FEW, BLOCK = 12, 256
 
 
 def shingles(piece: Piece, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -244,10 +244,20 @@ def _block_links(least: float):
 
 def _confirmed_in_blocks(docs: DataFrame, open_: DataFrame, least: float) -> DataFrame:
     """Links between the components of large buckets, (key, node, n, component): all pairs
-    of a bucket are compared, in blocks, and none is emitted that isn't needed."""
+    across components are compared, in blocks, and none is emitted that isn't needed.
+
+    Members of a bucket's largest component are one already, so their blocks only meet
+    those of the others.
+    """
     held = written(by_ids(docs.where(F.col("_text").isNotNull()), written(open_.select(F.col("node").alias("doc_id")).distinct(), "ids"), "doc_id"), "held")
-    dealt = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sizes = open_.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = written(sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m")).select("key", F.col("m.c").alias("mains"), F.col("m.component").alias("main")), "main")
+    dealt = open_.join(main.hint("shuffle_merge"), "key")
+    dealt = dealt.withColumn("rests", F.ceil((F.col("n") - F.col("mains")) / BLOCK).cast("int")).withColumn("mains", F.ceil(F.col("mains") / BLOCK).cast("int"))
+    here = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("component") == F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    own = F.when(F.col("component") == F.col("main"), F.col("rests") + here).otherwise(here)
+    last = F.when(F.col("component") == F.col("main"), F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    dealt = dealt.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     dealt = dealt.select("key", "node", "component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     dealt = dealt.join(held.select(F.col("doc_id").alias("node"), "_text").hint("shuffle_merge"), "node")
     return written(dealt.groupBy("key", "bi", "bj").applyInPandas(_block_links(least), "a long, b long, similarity double"), "links")
