@@ -21,7 +21,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 #: Text is worked on in pieces of about so many bytes, which bounds a worker's memory.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _local: dict[str, str] = {}
 

@@ -76,7 +76,7 @@ def signatures(region: np.ndarray, doc: np.ndarray, n: int, coordinates: int = C
         active = np.flatnonzero(full[doc] & (done < until[doc]))
         width = 2
         while len(active):
-            width = min(64, max(1, 1_000_000 // len(active)), width)
+            width = min(64, max(1, 300_000 // len(active)), width)
             k = thrown[active][:, None] + np.arange(1, width + 1)
             dart = mix(region[active][:, None] + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0x1234)
             wait = -np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)

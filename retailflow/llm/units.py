@@ -27,7 +27,7 @@ _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
 
 #: Units that a worker remembers at most (about 150 bytes each); then those met but once go.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 300_000
 
 _tokenizers: dict[str, object] = {}
 
