@@ -1,40 +1,127 @@
-"""Operator 2: near-duplicate vectors by sorted projection passes.
+"""Operator 2: near-duplicate vectors by passes of random splits, until a measured recall is met.
 
-Each pass hashes every vector to the signs of random projections, concatenated, and orders
-all vectors by that string of bits. Close vectors share long beginnings, so they stand near
-each other; every vector is compared with the next WINDOW in the order, and pairs whose
-cosine is high enough are links. The passes' links are united to components.
+Each pass parts all vectors in halves, again and again, at the median of a projection on a
+random direction, until a part holds at most `leaf`; all pairs of a part are compared, and
+those whose cosine is high enough are links. A split is at its own members' median, so a
+dense cone is parted as evenly as the rest. The first splits have their medians from a
+sample, so that a part fits a task; the task makes the others from the part itself.
 
-The window bounds what a pass sees of a dense group, but a few of its links are enough to
-unite it. Within each component all pairs are then compared, block by block: so a vector's
-number of links is exact however large the group is, and none is emitted as a pair.
+Rows decide the first number of passes. Then the links' components are checked: for a sample
+of vectors, drawn evenly and from the most crowded places, every link is found by comparing
+with all vectors. While less than `recall` of a query's links are within its component on
+average, a round with twice the passes and larger parts follows. Up to `leaf` vectors all
+pairs are compared from the start.
+
+Within each component all pairs are then compared, block by block: so a vector's number of
+links is exact within it however large the group is, and none is emitted as a pair.
 Equal vectors are one class from the start, with their number.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, prepare, task_count, written
+from .common import connected_components, prepare, written
+
+log = logging.getLogger(__name__)
 
 LEAST = 0.9
-#: Passes, bits of a pass's order, and vectors that each is compared with on either side.
-PASSES, BITS, WINDOW = 24, 48, 40
+#: Vectors of a part whose pairs are all compared (in the first round and at most), and of a task's part.
+LEAF, MOST_LEAF, CELL = 2048, 16384, 8192
+#: Share of links that a first round may miss if vectors are spread evenly, and the share to be found as measured.
+MISS, RECALL = 1e-3, 0.99
+#: Vectors that the driver holds to place the first splits, and those of them that recall is
+#: measured with: so many drawn evenly, and so many of the most crowded.
+SAMPLE, EVEN, CROWDED = (4096, 65536), 1024, 512
 SEED = 5
 #: Vectors of a block when a component's pairs are compared.
 BLOCK = 128
+#: Beyond what single precision leaves open.
+SLACK = 1e-5
+
+
+def first_passes(rows: int, leaf: int, least: float) -> int:
+    """Passes after which a pair at `least` has met but for a chance of MISS, if splits are those of evenly spread vectors."""
+    if rows <= leaf:
+        return 1
+    met = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** math.log2(rows / leaf)
+    return max(2, math.ceil(math.log(MISS) / math.log1p(-met))) if met < 1 else 2
+
+
+def plant(x: np.ndarray, passes: int, levels: int, seed) -> tuple[np.ndarray, np.ndarray]:
+    """Directions (passes x levels x dims) and each node's median by the sample x (passes x nodes)."""
+    directions = np.random.default_rng(seed).normal(size=(passes, levels, x.shape[1]))
+    cuts = np.zeros((passes, (1 << levels) - 1))
+    for p in range(passes):
+        node = np.zeros(len(x), np.int64)
+        for level in range(levels):
+            at = x @ directions[p, level]
+            order = np.lexsort((at, node))
+            edge = np.searchsorted(node[order], np.arange((1 << level) + 1))
+            n, first = np.diff(edge), (1 << level) - 1
+            some = np.flatnonzero(n)
+            cuts[p, first + some] = (at[order[edge[some] + (n[some] - 1) // 2]] + at[order[edge[some] + n[some] // 2]]) / 2
+            node = 2 * node + (at > cuts[p, first + node])
+    return directions, cuts
+
 
+def cells(x: np.ndarray, directions: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """n x passes: the cell of each vector in each pass."""
+    out = np.zeros((len(x), len(directions)), np.int64)
+    for p in range(len(directions)):
+        for level in range(directions.shape[1]):
+            out[:, p] = 2 * out[:, p] + (x @ directions[p, level] > cuts[p, (1 << level) - 1 + out[:, p]])
+    return out
 
-def planes(passes: int, bits: int, dims: int, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng([seed, dims]).normal(size=(passes * bits, dims))
 
+def parts(x: np.ndarray, leaf: int, seed):
+    """Places of x in parts of `leaf` at most, halved at the median of random projections."""
+    g, open_ = np.random.default_rng(seed), [np.arange(len(x))]
+    while open_:
+        at = open_.pop()
+        if len(at) <= leaf:
+            yield at
+            continue
+        order = np.argpartition(x[at] @ g.normal(size=x.shape[1]).astype(x.dtype), len(at) // 2)
+        open_ += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
 
-def codes(x: np.ndarray, passes: int = PASSES, bits: int = BITS) -> np.ndarray:
-    """n x passes numbers whose order is that of the concatenated signs."""
-    signs = (x @ planes(passes, bits, x.shape[1]).T > 0).reshape(len(x), passes, bits)
-    return signs @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
+
+def forest(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among unit vectors in double precision."""
+    short, label = x.astype(np.float32), np.arange(len(x))
+    a, b, tile = [], [], max(64, min(512, (1 << 20) // max(1, len(x))))
+    for i in range(0, len(x), tile):
+        s = short[i : i + tile] @ short[i:].T
+        r, c = np.nonzero(s >= least - SLACK)
+        r, c = r[c > r], c[c > r]
+        close = np.flatnonzero(s[r, c] < least + SLACK)
+        for k in range(0, len(close), 1 << 16):
+            some = close[k : k + (1 << 16)]
+            r[some] = np.where(np.einsum("ij,ij->i", x[r[some] + i], x[c[some] + i]) >= least, r[some], c[some])
+        r, c = r + i, c + i
+        while True:
+            u, v = label[r], label[c]
+            open_ = u != v
+            if not open_.any():
+                break
+            r, c, u, v = r[open_], c[open_], u[open_], v[open_]
+            low, high = np.minimum(u, v), np.maximum(u, v)
+            pick = np.full(len(x), -1)
+            pick[high] = np.arange(len(high))
+            joined = np.flatnonzero(pick >= 0)
+            a.append(r[pick[joined]])
+            b.append(c[pick[joined]])
+            parent = np.arange(len(x))
+            parent[joined] = low[pick[joined]]
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent[label]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _matrix(column) -> np.ndarray:
@@ -44,64 +131,136 @@ def _matrix(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _coded(passes: int, bits: int):
+def _each_dims(batches, size: int = 2000):
+    """Slices of batches of vectors of one number of dimensions: (rows, dims, matrix)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, size):
+            part = batch.slice(i, size)
+            dims = np.diff(part.column("vector").offsets.to_numpy())
+            for d in np.unique(dims):
+                some = part.filter(pa.array(dims == d))
+                yield some, int(d), _matrix(some.column("vector"))
+
+
+def _celled(shared, passes: int):
+    """Cells of each vector; those of a number of dimensions without splits have one cell."""
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                dims = np.diff(part.column("vector").offsets.to_numpy())
-                for d in np.unique(dims):
-                    some = part.filter(pa.array(dims == d))
-                    c = codes(_matrix(some.column("vector")), passes, bits)
-                    offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * passes)
-                    yield pa.RecordBatch.from_arrays([some.column("node"), some.column("vector"), pa.ListArray.from_arrays(offsets, pa.array(c.ravel()))], names=["node", "vector", "codes"])
+        for some, d, x in _each_dims(batches):
+            c = cells(x, *shared.value[d]) if d in shared.value else np.zeros((len(x), passes), np.int64)
+            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * passes)
+            yield pa.RecordBatch.from_arrays([some.column("node"), some.column("vector"), pa.array(np.full(len(x), d, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(c.ravel()))], names=["node", "vector", "dims", "cells"])
 
     return run
 
 
-def _window_links(least: float, window: int):
-    """Rows come in order; those of one pass and one number of dimensions are compared with
-    the `window` before them. Emits a spanning forest of each stretch's links."""
+def _cell_links(least: float, leaf: int, round_: int):
+    import pyarrow as pa
+
+    def run(key, rows):
+        x, n = _matrix(rows.column("vector").combine_chunks()), rows.column("node").to_numpy()
+        a, b = [n[:0]], [n[:0]]
+        for at in parts(x.astype(np.float32), leaf, [SEED, round_, *(k.as_py() for k in key)]):
+            u, v = forest(x[at], least)
+            a.append(n[at[u]])
+            b.append(n[at[v]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _met(shared, least: float):
+    """For each query its links to the vectors seen here, and those within its component."""
     import pyarrow as pa
 
     def run(batches):
-        last_key, last_x, last_n = None, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(batch.column("dims").to_pylist(), batch.column("pass").to_pylist(), strict=True))
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            a, b = [], []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                for k in range(i, j, 4096):
-                    part = batch.slice(k, min(4096, j - k))
-                    x, n = _matrix(part.column("vector")), part.column("node").to_numpy()
-                    if last_key == keys[i]:
-                        x, n = np.concatenate([last_x, x]), np.concatenate([last_n, n])
-                    root = np.arange(len(x))
-
-                    def top(u):
-                        while root[u] != u:
-                            root[u] = root[root[u]]
-                            u = root[u]
-                        return u
-
-                    for step in range(1, min(window, len(x) - 1) + 1):
-                        hit = np.flatnonzero(np.einsum("ij,ij->i", x[step:], x[:-step]) >= least)
-                        for u in hit.tolist():
-                            r, s = top(u), top(u + step)
-                            if r != s:
-                                root[s] = r
-                                a.append(n[u])
-                                b.append(n[u + step])
-                    last_key, last_x, last_n = keys[i], x[-window:], n[-window:]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        queries = shared.value
+        links, met = {d: np.zeros(len(q[0]), np.int64) for d, q in queries.items()}, {d: np.zeros(len(q[0]), np.int64) for d, q in queries.items()}
+        for some, d, x in _each_dims(batches):
+            if d in queries:
+                nodes, components, y = queries[d]
+                near = (x @ y.T >= least) & (some.column("node").to_numpy()[:, None] != nodes)
+                links[d] += near.sum(0)
+                met[d] += (near & (some.column("component").to_numpy()[:, None] == components)).sum(0)
+        for d, q in queries.items():
+            yield pa.RecordBatch.from_arrays([pa.array(q[0]), pa.array(links[d]), pa.array(met[d])], names=["node", "links", "met"])
 
     return run
 
 
+def _crowded(x: np.ndarray) -> np.ndarray:
+    """Places of the vectors of a sample, those with most others at a cosine of 0.7 first."""
+    short = x.astype(np.float32)
+    others = np.concatenate([(short[i : i + 512] @ short.T >= 0.7).sum(1) for i in range(0, len(x), 512)])
+    return np.argsort(-others, kind="stable")
+
+
+def measured(labelled: DataFrame, sample: dict, least: float) -> list[tuple[str, int, int, float]]:
+    """(kind, queries with links, their links, mean share of them within the query's component).
+
+    labelled has node, vector and component; sample is {dims: (nodes, unit vectors)}, of
+    which EVEN vectors are queries as they come and CROWDED are those with most others near.
+    """
+    spark = labelled.sparkSession
+    kinds, chosen = {}, {}
+    for d, (nodes, x) in sample.items():
+        even, crowded = np.arange(min(EVEN, len(x))), _crowded(x[: SAMPLE[0]])[:CROWDED]
+        for kind, at in (("even", even), ("crowded", crowded)):
+            kinds.setdefault(kind, set()).update(nodes[at].tolist())
+        both = np.union1d(even, crowded)
+        chosen[d] = (nodes[both], x[both])
+    ids = spark.createDataFrame([(n,) for nodes, _ in chosen.values() for n in nodes.tolist()], "node long")
+    component = {r.node: r.component for r in labelled.select("node", "component").join(F.broadcast(ids), "node").collect()}
+    shared = spark.sparkContext.broadcast({d: (nodes, np.array([component[n] for n in nodes.tolist()]), x) for d, (nodes, x) in chosen.items()})
+    rows = labelled.select("node", "vector", "component").mapInArrow(_met(shared, least), "node long, links long, met long")
+    got = {r.node: r for r in rows.groupBy("node").agg(F.sum("links").alias("links"), F.sum("met").alias("met")).where("links > 0").collect()}
+    out = []
+    for kind, nodes in kinds.items():
+        some = [got[n] for n in sorted(nodes) if n in got]
+        out.append((kind, len(some), sum(r.links for r in some), float(np.mean([r.met / r.links for r in some])) if some else 1.0))
+    return out
+
+
+def united(classes: DataFrame, least: float = LEAST, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
+    """node, copies, least_id, vector, dims, component and linked of every class (node, vector, copies, least_id)."""
+    spark = classes.sparkSession
+    rows = {r.dims: r["count"] for r in classes.groupBy(F.size("vector").alias("dims")).count().collect()}
+    most = max(rows.values(), default=0)
+    size = min(SAMPLE[1], max(SAMPLE[0], 16 * most // CELL))
+    drawn = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, size / max(1, sum(rows.values()))) * (1 << 30))
+    sample: dict = {}
+    if most > leaf:
+        for r in classes.where(drawn).select("node", "vector").collect():
+            sample.setdefault(len(r.vector), []).append((r.node, r.vector))
+    for d, some in sample.items():
+        x = np.array([v for _, v in some])
+        sample[d] = (np.array([n for n, _ in some]), x / np.sqrt((x * x).sum(1))[:, None])
+    passes, links, round_ = first_passes(most, leaf, least), None, 0
+    while True:
+        splits = {}
+        for d, (_, x) in sample.items():
+            levels = math.ceil(math.log2(max(1.0, rows[d] / max(CELL, leaf))))
+            levels = min(levels, max(0, int(math.log2(len(x) / 4)))) if len(x) >= 4 else 0
+            splits[d] = plant(x, passes, levels, [SEED, round_, d])
+        celled = classes.select("node", "vector").mapInArrow(_celled(spark.sparkContext.broadcast(splits), passes), "node long, vector array<double>, dims int, cells array<long>")
+        each = celled.select("dims", F.posexplode("cells").alias("pass", "cell"), "node", "vector")
+        more = written(each.groupBy("dims", "pass", "cell").applyInArrow(_cell_links(least, leaf, round_), "a long, b long"), "links")
+        links = more if links is None else links.unionByName(more)
+        found = written(connected_components(links, "a", "b"), "components")
+        labelled = classes.join(found.hint("shuffle_merge"), "node", "left").select("node", "copies", "least_id", "vector", F.size("vector").alias("dims"), F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
+        labelled = written(labelled, "labelled")
+        if most <= leaf:
+            return labelled
+        shares = measured(labelled, sample, least)
+        log.info("%d vectors, round %d: %d passes, parts of %d: %s", sum(rows.values()), round_ + 1, passes, leaf, ", ".join(f"{kind}: {share:.4f} of the {n} links of {q} queries" for kind, q, n, share in shares))
+        if all(share >= recall for *_, share in shares):
+            return labelled
+        passes, leaf, round_ = 2 * passes, max(leaf, min(2 * leaf, MOST_LEAF)), round_ + 1
+
+
 def _block_counts(least: float):
     import pandas as pd
 
@@ -120,12 +279,12 @@ def _block_counts(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, leaf: int = LEAF, recall: float = RECALL, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     n_links counts the other vectors at a cosine of at least `least`, component_id is the
-    least id that links reach, kept whether it is the row's own. Vectors that are null, empty
-    or zero, or hold a null or a number that isn't finite, link with nothing; so do rows
+    least id that links reach, kept whether it is the row's own; both by the links that
+    rounds of passes find until `recall` is measured. Vectors that are null, empty or zero, or hold a null or a number that isn't finite, link with nothing; so do rows
     without an id, and vectors of different lengths with each other. Rows that share an id
     are vectors of their own, which count each other if close. An empty table gives none.
     """
@@ -140,15 +299,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, passes: int = PASSES,
     marked = written(marked.withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda v: v / most + F.lit(0.0)))), "vectors")
     classes = marked.where("sound").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    coded = written(classes.select("node", "vector").mapInArrow(_coded(passes, bits), "node long, vector array<double>, codes array<long>"), "coded")
-    each = coded.select("node", "vector", F.size("vector").alias("dims"), F.posexplode("codes").alias("pass", "code"))
-    n = max(task_count(spark), 1)
-    ordered = each.repartitionByRange(n, "dims", "pass", "code", "node").sortWithinPartitions("dims", "pass", "code", "node")
-    links = ordered.select("dims", "pass", "node", "vector").mapInArrow(_window_links(least, window), "a long, b long")
-    found = written(connected_components(links, "a", "b"), "components")
-
-    inside = classes.join(found.hint("shuffle_merge"), "node")
-    inside = written(inside.select("node", "copies", "vector", "component", F.size("vector").alias("dims")), "inside")
+    labelled = united(classes, least, leaf, recall)
+
+    inside = labelled.where("linked").select("node", "copies", "vector", "component", "dims")
     # blocks: members in no order, as many blocks as the component's size asks for
     size = written(inside.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     inside = inside.join(size.hint("shuffle_merge"), "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
@@ -156,10 +309,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, passes: int = PASSES,
     dealt = inside.select("component", "dims", "node", "copies", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "copies", "vector", (F.col("own") > F.col("other")).cast("int").alias("side"))
     counted = dealt.groupBy("component", "bi", "bj").applyInPandas(_block_counts(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    ids = classes.join(found.hint("shuffle_merge"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    found = written(found.join(written(ids, "ids").hint("shuffle_merge"), "component").select("node", "component_id"), "named")
-    facts = classes.join(counted.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").join(found.withColumnRenamed("node", "_f"), F.col("node") == F.col("_f"), "left")
-    facts = written(facts.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "facts")
+    ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    facts = labelled.join(written(ids, "ids").hint("shuffle_merge"), "component").join(counted.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    facts = written(facts.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "facts")
     out = marked.where("sound").join(facts.hint("shuffle_merge"), "vector").select("vec_id", "n_links", "component_id")
     alone = marked.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -86,6 +86,43 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_dense_cone(spark):
+    """Thousands of vectors at a mutual cosine of 0.8, some of which have a twin at 0.91."""
+    rng = np.random.default_rng(7)
+    n, twins, dims = 6000, 200, 64
+    centre = np.eye(dims)[0]
+
+    def across(like=None, cosine=0.0):  # a direction across the centre's, at a cosine to another one
+        r = rng.normal(size=dims)
+        r[0] = 0
+        if like is not None:
+            r -= (r @ like) * like
+        r /= np.linalg.norm(r)
+        return r if like is None else cosine * like + np.sqrt(1 - cosine**2) * r
+
+    sides = [across() for _ in range(n)]
+    sides += [across(sides[i], 0.55) for i in range(twins)]
+    x = np.sqrt(0.8) * centre + np.sqrt(0.2) * np.array(sides)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    a, b = np.nonzero(near)
+    assert all(near[i, n + i] for i in range(twins))
+    found = [got[i].component_id == got[j].component_id for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert np.mean(found) >= 0.98
+    assert np.mean([got[i].n_links == k for i, k in enumerate(near.sum(1).tolist())]) >= 0.98
+
+
+def test_forest_of_links():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(900, 8)), np.ones((700, 8)) + 0.05 * rng.normal(size=(700, 8))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    a, b = embedding_dedup.forest(x, 0.9)
+    assert near[a, b].all() and component_labels(len(x), zip(a.tolist(), b.tolist(), strict=True)) == component_labels(len(x), zip(*(k.tolist() for k in np.nonzero(np.triu(near, 1))), strict=True))
+    assert len(a) == len(x) - len(set(component_labels(len(x), zip(a.tolist(), b.tolist(), strict=True))))
+
+
 def weighted_jaccard(a, b):
     from collections import Counter
 
