@@ -16,7 +16,7 @@ from retailflow.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-CFG = I.Config(epochs=8, dims=16)
+CFG = I.Config()
 
 
 def add(name: str, run, sql: str | None = None) -> None:

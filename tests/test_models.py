@@ -133,3 +133,9 @@ def test_kpi_edges(spark):
     assert K.sparsity(df.limit(0)).first()[0] is None
     top = K.top_items(df).collect()
     assert [(r.item_code, r.site_name, r.qty) for r in top] == [("i", "name not found (i)", 5), ("j", "J", 3)]
+
+
+def test_queries_use_the_operators_own_model():
+    from retailflow.plans import catalog
+
+    assert catalog.CFG == I.Config() and (catalog.CFG.dims, catalog.CFG.epochs) == (64, 20)
