@@ -1,8 +1,8 @@
 """Recommenders: a closed-form item model, a pairwise factor model, and scoring.
 
 Everything relational runs on DataFrames. The matrix inverse runs in one Python worker
-behind a limit on the number of items; so does the factor model's gradient loop, behind a
-limit on the number of pairs. For more than that there is alternating least squares.
+behind a limit on the number of items; so does the factor model's gradient loop up to a
+number of pairs. For more than that its steps are joins, with larger batches.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from retailflow.operators import interactions as I
 from retailflow.operators import relational as R
 from retailflow.session import ship_package
 
-#: Pairs that the gradient loop takes at most (24 bytes each in its one task).
-BPR_PAIRS = 20_000_000
+#: Pairs that the gradient loop takes at most (24 bytes each in its one task); for more, the
+#: steps of an epoch are joins, so many at most.
+BPR_PAIRS, BPR_STEPS = 20_000_000, 16
 
 
 class TooLarge(ValueError):
@@ -178,11 +179,10 @@ def _bpr(cfg: I.Config, users: int, items: int):
 def bpr(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config()) -> DataFrame:
     """(side, idx, factors) for users and items, which are (user, idx) and (item, idx).
 
-    The gradient loop is sequential and runs in one task, behind a limit on the pairs.
+    Up to BPR_PAIRS pairs the gradient loop runs in one task, beyond that as joins.
     """
-    n = train.count()
-    if n > BPR_PAIRS:
-        raise TooLarge(f"{n} pairs; the gradient loop takes {BPR_PAIRS} at most: use als()")
+    if train.count() > BPR_PAIRS:
+        return bpr_joined(train, holdout, users, items, cfg)
     ship_package(train.sparkSession)
     u, i = users.select("user", F.col("idx").alias("u")), items.select("item", F.col("idx").alias("i"))
     pairs = train.select("user", "item", "w", F.lit(0).alias("held")).unionByName(holdout.select("user", "item", F.lit(1.0).alias("w"), F.lit(1).alias("held")))
@@ -190,6 +190,120 @@ def bpr(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame
     return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_bpr(cfg, users.count(), items.count()), "side string, idx int, factors array<float>")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, in the checkpoint folder if there is one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+def _rows(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(x: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))
+
+
+def _drawn_factors(cfg: I.Config):
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            side, idx = batch.column("side").to_pylist(), batch.column("idx").to_pylist()
+            if not idx:
+                continue
+            f = np.stack([np.random.default_rng([cfg.seed, s == "item", k]).normal(0, 0.1, cfg.dims) for s, k in zip(side, idx, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("side"), batch.column("idx"), _lists(f), _lists(0 * f), _lists(0 * f)], names=["side", "idx", "factors", "m", "q"])
+
+    return run
+
+
+def _gradients(cfg: I.Config, size: int):
+    """Gradients of triples (u, p, n, x, y, z), summed for each factor of a batch of rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, z = (_rows(batch.column(c)) for c in "xyz")
+            s = (-1 / (1 + np.exp(((y - z) * x).sum(1))) / size)[:, None]
+            r = 2 * cfg.penalty / size
+            users, a = np.unique(batch.column("u").to_numpy(), return_inverse=True)
+            items, b = np.unique(np.concatenate([batch.column("p").to_numpy(), batch.column("n").to_numpy()]), return_inverse=True)
+            gu, gv = np.zeros((len(users), x.shape[1])), np.zeros((len(items), x.shape[1]))
+            np.add.at(gu, a, s * (y - z) + r * x)
+            np.add.at(gv, b, np.concatenate([s * x + r * y, -s * x + r * z]))
+            yield pa.RecordBatch.from_arrays([pa.array(["user"] * len(users) + ["item"] * len(items)), pa.array(np.concatenate([users, items])), _lists(np.concatenate([gu, gv]))], names=["side", "idx", "g"])
+
+    return run
+
+
+def _adam(cfg: I.Config, step: int):
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            f, m, q, g = (_rows(batch.column(c)) for c in ("factors", "m", "q", "g"))
+            g = g + cfg.decay * f
+            m, q = m + 0.1 * (g - m), q + 0.001 * (g * g - q)
+            f = f - cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
+            yield pa.RecordBatch.from_arrays([batch.column("side"), batch.column("idx"), _lists(f), _lists(m), _lists(q)], names=["side", "idx", "factors", "m", "q"])
+
+    return run
+
+
+def bpr_joined(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config()) -> DataFrame:
+    """bpr() with every step as joins of pairs and factors, gradients summed by key.
+
+    The loss, the optimizer, the epochs, the draws by weight without replacement, up to 25
+    draws of a negative and the choice of the best epoch are those of train_factors().
+    Batches are larger where an epoch would have more than BPR_STEPS of them, and their
+    sizes vary about the batch as rows are drawn on their own.
+    """
+    ship_package(train.sparkSession)
+    schema = "side string, idx int, factors array<float>, m array<float>, q array<float>"
+    pairs = train.join(users.select("user", F.col("idx").alias("u")), "user").join(items.select("item", F.col("idx").alias("p")), "item")
+    pairs = _kept(pairs.select("u", "p", F.col("w").cast("double").alias("w")))
+    n, n_items = pairs.count(), items.count()
+    steps = max(1, min(BPR_STEPS, -(-n // cfg.batch)))
+    size = max(1, min(n, max(cfg.batch, -(-n // steps))))
+
+    def draw(*salt):
+        return F.xxhash64("u", "p", *[F.lit(x) for x in (cfg.seed, *salt)])
+
+    def key(step):  # a lower key is drawn first, by weight
+        return -F.log((F.pmod(draw(step, -1), F.lit(1 << 40)) + 0.5) / float(1 << 40)) / F.col("w")
+
+    most = pairs.select(F.percentile_approx(key(0), size / n, 100_000)).first()[0] if size < n else None
+    state = users.select(F.lit("user").alias("side"), "idx").unionByName(items.select(F.lit("item").alias("side"), "idx"))
+    state = _kept(state.mapInArrow(_drawn_factors(cfg), schema))
+    best, step = None, 0
+    for _ in range(cfg.epochs):
+        for _ in range(steps):
+            step += 1
+            some = pairs if most is None else pairs.where(key(step) <= most)
+            tries = some.select("u", "p", F.posexplode(F.array(*[F.pmod(draw(step, k), F.lit(n_items)).cast("int") for k in range(26)])).alias("k", "n"))
+            free = tries.join(pairs.select("u", F.col("p").alias("n")), ["u", "n"], "left_anti").groupBy("u", "p").agg(F.min_by("n", "k").alias("n"))
+            last = F.pmod(draw(step, 25), F.lit(n_items)).cast("int")
+            triples = some.join(free, ["u", "p"], "left").select("u", "p", F.coalesce("n", last).alias("n"))
+            f = {c: state.where(F.col("side") == side).select(F.col("idx").alias(c), F.col("factors").alias(v)) for c, v, side in (("u", "x", "user"), ("p", "y", "item"), ("n", "z", "item"))}
+            triples = triples.join(f["u"], "u").join(f["p"], "p").join(f["n"], "n")
+            parts = triples.mapInArrow(_gradients(cfg, size), "side string, idx int, g array<float>")
+            sums = parts.groupBy("side", "idx").agg(*[F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(cfg.dims)])
+            sums = sums.select("side", "idx", F.array(*[F.col(f"g{k}").cast("float") for k in range(cfg.dims)]).alias("g"))
+            moved = state.join(sums, ["side", "idx"], "left").withColumn("g", F.coalesce("g", F.array_repeat(F.lit(0.0).cast("float"), cfg.dims)))
+            state = _kept(moved.mapInArrow(_adam(cfg, step), schema))
+        factors = state.select("side", "idx", "factors")
+        recall = I.metrics(factor_top(factors, train, users, items, cfg.top_k), holdout, cfg.top_k).first().recall
+        if best is None or recall > best[0]:
+            best = (recall, factors)
+    return best[1] if best else state.select("side", "idx", "factors")
+
+
 def als(train: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config()) -> DataFrame:
     """Factors by implicit alternating least squares: another loss, but no limit in size."""
     from pyspark.ml.recommendation import ALS

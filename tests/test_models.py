@@ -109,6 +109,19 @@ def test_factor_top_and_artifacts(spark, pairs, tmp_path):
     assert back == cfg and frames["users"].count() == users.count()
 
 
+def test_factor_model_beyond_one_task(spark, pairs, monkeypatch):
+    """More pairs than one task takes are trained by joins, and learn the two groups."""
+    monkeypatch.setattr(M, "BPR_PAIRS", 10)
+    users, items = I.ids(pairs, "user").cache(), I.ids(pairs, "item").cache()
+    held = pairs.limit(0).select("user", "item")
+    cfg = I.Config(dims=4, epochs=2, batch=60, rate=0.3)
+    f = {(r.side, r.idx): r.factors for r in M.bpr(pairs, held, users, items, cfg).collect()}
+    assert len(f) == users.count() + items.count()
+    s = np.array([f["user", u] for u in range(40)]) @ np.array([f["item", i] for i in range(8)]).T
+    own = (np.arange(40)[:, None] % 2) == (np.arange(8)[None, :] // 4)
+    assert s[own].mean() > s[~own].mean() + 0.1
+
+
 def test_samples(spark, pairs):
     assert I.weighted_sample(pairs, 10**6).count() == pairs.count()
     assert I.weighted_sample(pairs, 10).count() == 10
