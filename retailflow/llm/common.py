@@ -1,21 +1,15 @@
-"""What the corpus operators share: tables in the shared folder, size-checked
-broadcasts, vectorised word hashes and connected components."""
+"""What the corpus operators share: size-checked broadcasts, pieces of text, vectorised word
+hashes and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow.session import ship_package
+from retailflow.storage import drop_folder, drop_written, new_folder, small, written, written_so_far  # noqa: F401
 
-#: Largest number of ids that may be broadcast (8 bytes each, so 32 MB at most before hashing).
-BROADCAST_IDS = 1_000_000
 #: ASCII white space: the word separators of every operator here.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -23,59 +17,21 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 #: Text is worked on in pieces of about so many bytes, which bounds a worker's memory.
 PIECE_BYTES = 1 << 18
 
-_local: dict[str, str] = {}
-
 
 def prepare(spark: SparkSession) -> None:
     """What every operator with Python workers needs first."""
     ship_package(spark)
 
 
-# ---------------------------------------------------------------- shared tables
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share.
-
-    Read from spark.checkpoint.dir. Where it is unset, a temporary folder serves,
-    but in local mode only: on a cluster that would be another disk for each machine.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="retailflow-shared-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return "file://" + _local[app]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder; the lineage ends there."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+# ---------------------------------------------------------------- joins and words
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a folder that is no longer needed, wherever Spark's file systems have it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """df, semi- or anti-joined with a written table of ids.
 
-    The ids are broadcast only if they are counted to be few; else both sides are shuffled.
+    The ids are broadcast only if they are measured to be small; else both sides are shuffled.
     """
-    if ids.count() <= most:
+    if small(ids):
         return df.join(F.broadcast(ids), key, how)
     return df.hint("shuffle_merge").join(ids, key, how)
 
@@ -84,6 +40,11 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once, whatever lambdas in `use` refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), lambda w: w != "")
@@ -101,14 +62,17 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^0..P^(n-1) and the same of P's inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + (1 << 18))
-        for k, base in enumerate((_P, _PI)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    """P^0..P^(n-1) and the same of P's inverse, modulo 2^64; kept for pieces of usual size."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    usual, made = PIECE_BYTES + (1 << 16), []
+    for base in (_P, _PI):
+        steps = np.full(max(n, usual), base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= usual:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -157,8 +121,8 @@ class Piece:
         return mix((total[whole + size] - total[whole]) * inverse[whole], salt), whole
 
 
-def pieces(texts) -> "list[Piece]":
-    """Arrow strings (nulls as empty) in pieces of bounded size; one text is never cut."""
+def text_buffers(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of Arrow strings (nulls as empty) and where each begins and the last ends."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -166,16 +130,45 @@ def pieces(texts) -> "list[Piece]":
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
-        return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, "right")) - 1)
-        yield Piece(data, offsets[i : j + 1], i)
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+
+
+def raw_pieces(texts, cut=None, size: int | None = None):
+    """(data, offsets, first): Arrow strings (nulls as empty) in pieces of about `size` bytes,
+    first being the number of a piece's first text.
+
+    cut(data) gives the places of data at which a text may be cut in two. With it, a text
+    that is longer goes in several pieces of its own, each with the same `first`; without it
+    no text is cut.
+    """
+    size = size or PIECE_BYTES
+    data, offsets = text_buffers(texts)
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        if cut is None or offsets[j] - offsets[i] <= size:
+            yield data, offsets[i : j + 1], i
+        else:
+            at, end = int(offsets[i]), int(offsets[j])
+            while at < end:
+                to, width = end, size
+                while at + width < end:  # a stretch without such a place is taken whole
+                    if len(places := cut(data[at : at + width])):
+                        to = at + int(places[-1])
+                        break
+                    width *= 2
+                yield data, np.array([at, to], np.int64), i
+                at = to
         i = j
 
 
+def pieces(texts, cut=None, size: int | None = None):
+    """The same with the words of each piece."""
+    for data, offsets, first in raw_pieces(texts, cut, size):
+        yield Piece(data, offsets, first)
+
+
 def argmin_windows(h: np.ndarray, size: int) -> np.ndarray:
     """For each i the leftmost place of the least of h[i : i + size]."""
     n = len(h) - size + 1
@@ -201,7 +194,9 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 40
     list, so a star of any size is split by the skew join. Edges with a null end are dropped.
     """
 
+    spark = edges.sparkSession
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    since = written_so_far(spark)
     e = written(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
@@ -210,9 +205,10 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 40
         large = both.join(least.hint("shuffle_merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "large")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least.hint("shuffle_merge"), "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct(), "edges")
+        small_ = large.join(least.hint("shuffle_merge"), "u")
+        small_ = small_.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e = written(small_.where("u <> v").distinct(), "edges")
+        drop_written(spark, since, written_so_far(spark) - 1)  # what the round has read is done with
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

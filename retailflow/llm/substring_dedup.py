@@ -4,17 +4,20 @@ A window is 20 consecutive words of one document. The work is done in three step
 
 1. Every window picks the least hash among its phrases of 8 words. Equal windows pick the
    same phrase, so only documents that hold a picked phrase which is picked elsewhere too
-   can hold a recurring window. The others are done.
+   can hold a recurring window. The others are done: a filter that loses nothing, so that
+   all documents need not stream past all automata.
 2. Windows of those documents are counted by hash, with their earliest start. Recurring
    windows that begin at consecutive words of one document make a passage, confirmed
-   with its words and its place.
-3. The documents are dealt into shards of bounded size, and each passage goes to the shards
-   that hold one of its phrases. A shard compiles an Aho-Corasick automaton of its
-   passages' phrases, every 13th place a pattern, so that each window holds one. Its
-   documents stream through; where a phrase is found, the words around are compared, and
-   every run of 20 or more equal words that starts later than the passage is removed.
-
-All decisions are by the documents as given. Windows are told apart by 64-bit hashes in the
+   with its words and its place, in pieces of bounded length: each window is in one piece.
+3. The documents are dealt into shards, and each piece goes to the shards that hold one of
+   its phrases. Pieces of a shard are dealt into parts of bounded size; a part compiles an
+   Aho-Corasick automaton of its pieces' phrases, every 13th place a pattern, so that each
+   window holds one. The shard's documents stream past each of its parts' automata; where a
+   phrase is found, the words around are compared, and every run of 20 or more equal words
+   that starts later than the passage is removed. A document's runs are united at the end.
+
+A task holds one automaton and one batch of documents, whatever a shard's size. All
+decisions are by the documents as given. Windows are told apart by 64-bit hashes in the
 steps before, and by each of their words in step 3, where words are 64-bit hashes too.
 """
 
@@ -30,8 +33,10 @@ WINDOW, PHRASE = 20, 8
 STEP = WINDOW - PHRASE + 1
 #: Words beside a phrase that a window which holds it can reach.
 REACH = WINDOW - PHRASE
-#: Words of a shard's documents, on average.
-SHARD_WORDS = 900_000
+#: Words of a shard's documents on average, and of the pieces in one part of a shard's.
+SHARD_WORDS, PART_WORDS = 2_000_000, 1_000_000
+#: Windows of a piece of a passage at most.
+PIECE_WINDOWS = 256
 #: Words to a letter, when words are written as two letters each.
 LETTERS = 512
 #: Places of found phrases that are compared at once.
@@ -95,32 +100,37 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), batch.column("doc").take(rows), batch.column("th").take(rows), pa.array(place.astype(np.int32))], names=["window", "doc", "th", "place"])
 
 
-def _passages(batches):
+def _passages(windows: int):
+    """Pieces of the passages that begin at `starts`, with their phrases."""
     import pyarrow as pa
 
-    for batch in batches:
-        doc, th, place, words, phrases = [], [], [], [], []
-        starts = batch.column("starts").to_pylist()
-        docs, ths = batch.column("doc").to_pylist(), batch.column("th").to_pylist()
-        for piece in pieces(batch.column("_text")):
-            hashes, begin, pick = _picked(piece)
-            for d in range(piece.n):
-                first = int(piece.first_word[d])
-                row = piece.first + d
-                p = np.unique(np.asarray(starts[row], np.int64))
-                cuts = np.flatnonzero(np.diff(p) > 1)
-                for a, b in zip(p[np.append(0, cuts + 1)].tolist(), p[np.append(cuts, len(p) - 1)].tolist(), strict=True):
-                    i = np.searchsorted(begin, first + a)
-                    raw = piece.data[piece.begin[first + a] : piece.end[first + b + WINDOW - 1]].tobytes()
-                    doc.append(docs[row])
-                    th.append(ths[row])
-                    place.append(a)
-                    words.append(b" ".join(raw.split()))
-                    phrases.append(np.unique(hashes[pick[i : i + b - a + 1]]).astype(np.int64))
-        if doc:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(place, pa.int32()), pa.array(words, pa.binary()), pa.array(phrases, pa.list_(pa.int64()))], names=["doc", "th", "place", "words", "phrases"]
-            )
+    def run(batches):
+        for batch in batches:
+            doc, th, place, words, n, phrases = [], [], [], [], [], []
+            starts, docs, ths = (batch.column(c).to_pylist() for c in ("starts", "doc", "th"))
+            for piece in pieces(batch.column("_text")):
+                hashes, begin, pick = _picked(piece)
+                for d in range(piece.n):
+                    first, row = int(piece.first_word[d]), piece.first + d
+                    p = np.unique(np.asarray(starts[row], np.int64))
+                    # a piece ends where windows aren't consecutive, or are too many
+                    run_start = np.flatnonzero(np.append(True, np.diff(p) > 1))
+                    k = np.arange(len(p)) - run_start[np.searchsorted(run_start, np.arange(len(p)), "right") - 1]
+                    edges = np.append(np.flatnonzero(k % windows == 0), len(p))
+                    for x, y in zip(p[edges[:-1]].tolist(), p[edges[1:] - 1].tolist(), strict=True):
+                        i = np.searchsorted(begin, first + x)
+                        raw = piece.data[piece.begin[first + x] : piece.end[first + y + WINDOW - 1]].tobytes()
+                        doc.append(docs[row])
+                        th.append(ths[row])
+                        place.append(x)
+                        words.append(b" ".join(raw.split()))
+                        n.append(y - x + WINDOW)
+                        phrases.append(np.unique(hashes[pick[i : i + y - x + 1]]).astype(np.int64))
+            if doc:
+                kinds = {"doc": pa.int64(), "th": pa.int64(), "place": pa.int32(), "words": pa.binary(), "n": pa.int32(), "phrases": pa.list_(pa.int64())}
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, th, place, words, n, phrases), kinds.values(), strict=True)], names=list(kinds))
+
+    return run
 
 
 def letters(ids: np.ndarray) -> str:
@@ -163,86 +173,129 @@ def _agree(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, step: int
     return n
 
 
-def removed_words(docs: list[np.ndarray], passages: list[np.ndarray], home: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Whether each word of each document goes. Words are numbers; home is each passage's
-    document, counted in docs (-1: none of them), and place its first word there.
-
-    A window has a compiled phrase, so the words that go are those of windows around the
-    phrases found, at most REACH words to either side of one.
-    """
-    pad = np.zeros(REACH, np.int64)
-    gone = [np.zeros(len(d), bool) for d in docs]
-    if not passages:
-        return gone
-    flat = np.concatenate([pad, *(x for p in passages for x in (p, pad))])
-    length = np.array([len(p) for p in passages])
-    begin = REACH + np.cumsum(length + REACH) - length - REACH
-    machine, first, count, at, passage = compile_phrases(flat, begin, length)
-    for d, ids in enumerate(docs):
-        if len(ids) < WINDOW:
-            continue
-        found = np.array(list(machine.iter(letters(ids))), np.int64).reshape(-1, 2)
+class Automaton:
+    """Some pieces of passages, ready to be found: their words as numbers from 1, and the
+    compiled phrases. doc, th and place say where each piece was first."""
+
+    def __init__(self, words, doc: np.ndarray, th: np.ndarray, place: np.ndarray):
+        own = list(pieces(words))
+        self.known, numbers = np.unique(np.concatenate([p.h for p in own]), return_inverse=True)
+        length = np.concatenate([p.counts for p in own])
+        self.begin = REACH + np.cumsum(length + REACH) - length - REACH
+        self.flat = np.zeros(int(self.begin[-1] + length[-1]) + REACH, np.int64)
+        self.flat[np.arange(len(numbers)) + np.repeat(self.begin - (np.cumsum(length) - length), length)] = numbers + 1
+        self.doc, self.th, self.place = doc, th, place
+        self.machine, self.first, self.count, self.at, self.passage = compile_phrases(self.flat, self.begin, length)
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of words by hash, 0 for those that no piece has."""
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, at + 1, 0)
+
+    def gone(self, piece: Piece, doc: np.ndarray, th: np.ndarray) -> np.ndarray:
+        """Whether each word of a piece of text goes; doc and th name its documents.
+
+        A window has a compiled phrase, so these are the windows around the phrases found,
+        at most REACH words to either side of one. Documents stand apart by REACH places.
+        """
+        ids = self.numbers(piece.h)
+        at = np.arange(len(ids)) + REACH * (piece.doc + 1)
+        spaced = np.zeros(len(ids) + REACH * (piece.n + 1), np.int64)
+        spaced[at] = ids
+        own, edge = np.where(spaced > 0, spaced, -1), np.zeros(len(spaced) + 1, np.int64)
+        home = np.zeros(len(spaced), np.int64)
+        home[at] = piece.doc
+        first = piece.first_word[:-1] + REACH * (np.arange(piece.n) + 1)
+        found = np.array(list(self.machine.iter(letters(spaced))), np.int64).reshape(-1, 2)
         found[:, 0] //= 2
-        own, edge = np.concatenate([pad - 1, ids, pad - 1]), np.zeros(len(ids) + 1, np.int64)
-        hits = np.cumsum(count[found[:, 1]])
+        hits = np.cumsum(self.count[found[:, 1]])
         cuts = np.append(0, np.searchsorted(hits, np.arange(HITS, (hits[-1] if len(hits) else 0) + HITS, HITS), "right"))
         cuts[-1] = len(found)
         for i, j in zip(cuts, cuts[1:], strict=False):
-            n = count[found[i:j, 1]]
-            k = np.arange(n.sum()) + np.repeat(first[found[i:j, 1]] - (np.cumsum(n) - n), n)
-            x, y, p = np.repeat(found[i:j, 0] - PHRASE + 1, n), at[k], passage[k]
+            n = self.count[found[i:j, 1]]
+            k = np.arange(n.sum()) + np.repeat(self.first[found[i:j, 1]] - (np.cumsum(n) - n), n)
+            x, y, p = np.repeat(found[i:j, 0] - PHRASE + 1, n), self.at[k], self.passage[k]
+            d = home[x]
             # not the passage itself
-            new = (home[p] != d) | (x - (y - begin[p]) > place[p])
+            new = (self.doc[p] != doc[d]) | (self.th[p] != th[d]) | (x - first[d] - (y - self.begin[p]) != self.place[p])
             x, y = x[new], y[new]
-            left = _agree(own, x + REACH - 1, flat, y - 1, -1)
-            right = _agree(own, x + REACH + PHRASE, flat, y + PHRASE, 1)
+            left = _agree(own, x - 1, self.flat, y - 1, -1)
+            right = _agree(own, x + PHRASE, self.flat, y + PHRASE, 1)
             go = left + PHRASE + right >= WINDOW
             edge += np.bincount((x - left)[go], minlength=len(edge)) - np.bincount((x + PHRASE + right)[go], minlength=len(edge))
-        gone[d] = np.cumsum(edge[:-1]) > 0
-    return gone
-
+        return (np.cumsum(edge[:-1]) > 0)[at]
 
-def _numbers(*columns) -> list[list[np.ndarray]]:
-    """The words of the texts of some Arrow columns as numbers from 1, equal where hashes are."""
-    h, sizes = [], []
-    for column in columns:
-        own = list(pieces(column))
-        h += [p.h for p in own]
-        sizes.append(np.concatenate([p.counts for p in own]) if own else np.zeros(0, np.int64))
-    _, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_inverse=True)
-    parts = np.split(number + 1, np.cumsum(np.concatenate(sizes))[:-1]) if sum(map(len, sizes)) else []
-    return [parts[: len(sizes[0])], parts[len(sizes[0]) :]]
 
-
-def _shard(docs, passages):
-    import pandas as pd
+def _runs(gone: np.ndarray, piece: Piece):
+    """(texts, list array): begins and ends, one after the other, of each text's runs of words
+    that go, for the texts that have any."""
     import pyarrow as pa
 
-    words, known = _numbers(pa.array(docs["_text"], pa.string()), pa.array(passages["words"], pa.binary()))
-    keys = {k: i for i, k in enumerate(zip(docs["doc"].tolist(), docs["th"].tolist(), strict=True))}
-    home = np.array([keys.get(k, -1) for k in zip(passages["pdoc"].tolist(), passages["pth"].tolist(), strict=True)], np.int64)
-    out = []
-    for doc, th, text, gone in zip(docs["doc"].tolist(), docs["th"].tolist(), docs["_text"], removed_words(words, known, home, passages["place"].to_numpy()), strict=True):
-        kept = (text or "").encode().split()
-        lost = int(gone.sum())
-        if lost:
-            kept = [w for w, g in zip(kept, gone.tolist(), strict=True) if not g]
-        out.append((doc, th, len(gone), lost, b" ".join(kept).decode()))
-    return pd.DataFrame(out, columns=["doc", "th", "n_words", "n_removed", "kept"])
+    first = np.zeros(len(gone) + 1, bool)
+    first[piece.first_word] = True
+    begin = np.flatnonzero(gone & np.append(True, ~gone[:-1] | first[1:-1]))
+    end = np.flatnonzero(gone & np.append(~gone[1:] | first[1:-1], True)) + 1
+    text, number = np.unique(piece.doc[begin], return_counts=True)
+    both = np.stack([begin, end], 1) - np.repeat(piece.first_word[text], number)[:, None]
+    return text, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(2 * number)).astype(np.int32)), pa.array(both.ravel().astype(np.int32)))
 
 
-def _untouched(batches):
+def _streamed(batches):
+    """Rows ordered by shard and part, in each the pieces (kind 0) before the documents: for
+    each document that has any the runs of words that go."""
     import pyarrow as pa
 
+    key, waiting, machine = None, [], None
     for batch in batches:
-        if batch.num_rows:
-            words = [(x or "").encode().split() for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("th"), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], names=["doc", "th", "n_words", "n_removed", "kept"]
-            )
-
+        if not batch.num_rows:
+            continue
+        what = np.stack([batch.column(c).to_numpy() for c in ("shard", "part", "kind")], 1)
+        edges = np.append(np.flatnonzero(np.append(True, (what[1:] != what[:-1]).any(1))), len(what))
+        for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            if (now := tuple(what[i, :2].tolist())) != key:
+                key, waiting, machine = now, [], None
+            rows = batch.slice(i, j - i)
+            if what[i, 2] == 0:
+                waiting.append(pa.RecordBatch.from_arrays([pa.concat_arrays([rows.column(c)]) for c in ("words", "doc", "th", "place")], names=["words", "doc", "th", "place"]))
+                continue
+            if machine is None:
+                if not waiting:
+                    continue
+                all_ = pa.Table.from_batches(waiting)
+                machine, waiting = Automaton(all_["words"], *(all_[c].to_numpy() for c in ("doc", "th", "place"))), []
+            for piece in pieces(rows.column("words")):
+                own = slice(piece.first, piece.first + piece.n)
+                doc, th = (rows.column(c).to_numpy()[own] for c in ("doc", "th"))
+                gone = machine.gone(piece, doc, th)
+                if gone.any():
+                    text, runs = _runs(gone, piece)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[text]), pa.array(th[text]), runs], names=["doc", "th", "runs"])
+
+
+def _left(batches):
+    """What stays of each text less its runs, which may overlap."""
+    import pyarrow as pa
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            size, lost, kept = [], [], []
+            for text, runs in zip(part.column("_text").to_pylist(), part.column("runs").to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                size.append(len(words))
+                if runs:
+                    r, edge = np.asarray(runs, np.int64).reshape(-1, 2), np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, r[:, 0], 1)
+                    np.add.at(edge, r[:, 1], -1)
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+                lost.append(size[-1] - len(words))
+                kept.append(b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
+
+
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS, part_words: int = PART_WORDS, piece_windows: int = PIECE_WINDOWS
+) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay joined by one space.
 
     Words are runs of anything but ASCII white space. Earlier means a smaller id, or an
@@ -273,20 +326,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     else:
         first = windows.groupBy("window").agg(F.min(F.struct("doc", "th", "place")).alias("o"), F.count("*").alias("n")).where("n > 1").select("o.*")
     starts = first.groupBy("doc", "th").agg(F.collect_list("place").alias("starts"))
-    passages = held.join(starts, ["doc", "th"]).mapInArrow(_passages, "doc long, th long, place int, words binary, phrases array<long>")
-    passages = written(passages.withColumn("passage", F.monotonically_increasing_id()), "passages")
+    passages = held.join(starts.hint("shuffle_merge"), ["doc", "th"]).mapInArrow(_passages(piece_windows), "doc long, th long, place int, words binary, n int, phrases array<long>")
+    passages = written(passages.withColumn("piece", F.monotonically_increasing_id()), "passages")
 
-    n_words = held.agg(F.sum(F.length("_text"))).first()[0] or 0
-    shards = max(1, round(n_words / 6 / shard_words))
+    size = held.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    shards = max(1, round(size / 6 / shard_words))
     shard = F.pmod(F.xxhash64("doc", "th"), F.lit(shards)).cast("int")
-    route = spots.select("phrase", shard.alias("shard")).distinct()
-    route = written(route, "route").join(passages.select("passage", F.explode("phrases").alias("phrase")).hint("shuffle_merge"), "phrase").select("shard", "passage").distinct()
-    dealt = written(route, "dealt").join(passages.select("passage", F.col("doc").alias("pdoc"), F.col("th").alias("pth"), "place", "words").hint("shuffle_merge"), "passage")
-    done = held.withColumn("shard", shard).groupBy("shard").cogroup(dealt.select("shard", "pdoc", "pth", "place", "words").groupBy("shard"))
-    schema = "doc long, th long, n_words long, n_removed long, kept string"
-    done = done.applyInPandas(_shard, schema)
-    if not plain:  # a result for each row again
-        again = by_ids(rows, some, "doc").select(F.col("doc").alias("_d"), F.col("th").alias("_h"))
-        done = again.join(done, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_h"))).drop("_d", "_h")
-    rest = by_ids(rows, some, "doc", "left_anti").mapInArrow(_untouched, schema)
-    return done.unionByName(rest).select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
+    route = written(spots.select("phrase", shard.alias("shard")).distinct(), "route")
+    dealt = route.join(passages.select("piece", "n", F.explode("phrases").alias("phrase")).hint("shuffle_merge"), "phrase").select("shard", "piece", "n").distinct()
+    dealt = written(dealt, "dealt")
+    # a row for each shard: Spark broadcasts it if it is small as written
+    parts = written(dealt.groupBy("shard").agg(F.ceil(F.sum("n") / part_words).cast("int").alias("parts")), "parts")
+    some_pieces = dealt.join(parts, "shard").select("shard", F.pmod(F.xxhash64("piece"), F.col("parts")).cast("int").alias("part"), "piece")
+    some_pieces = some_pieces.join(passages.select("piece", "doc", "th", "place", "words").hint("shuffle_merge"), "piece").select("shard", "part", F.lit(0).alias("kind"), "doc", "th", "place", "words")
+    streams = held.withColumn("shard", shard).join(parts, "shard")
+    streams = streams.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "doc", "th", F.lit(0).alias("place"), F.col("_text").cast("binary").alias("words"))
+    ordered = some_pieces.unionByName(streams).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    runs = ordered.mapInArrow(_streamed, "doc long, th long, runs array<int>").groupBy("doc", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    done = (held if plain else by_ids(rows, some, "doc")).join(written(runs, "runs").hint("shuffle_merge"), ["doc", "th"], "left").select("doc", "_text", "runs")
+    rest = by_ids(rows, some, "doc", "left_anti").select("doc", "_text", F.array().cast("array<int>").alias("runs"))
+    done = done.unionByName(rest).mapInArrow(_left, "doc long, n_words long, n_removed long, kept string")
+    return done.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
