@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.report:
         print(reports.as_text(reports.report(spark, a.tables, a.report, a.selection)))
     if a.train:
-        T.train(spark, a.tables, a.artifacts, Config(top_k=a.k))
+        T.train(spark, a.tables, a.artifacts, Config(top_k=a.k)).show(100, truncate=False)
     if a.recommend:
         rows = T.recommend(spark, a.tables, a.artifacts, a.recommend, a.k, a.model).collect()
         print("\n".join(f"{r.rank}. {r.site_name} ({r.item}) {r.score:.4f}" for r in rows) or "no history for this customer")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailflow.functions import clean as C
@@ -35,16 +35,17 @@ def events(orders: DataFrame, favorites: DataFrame, views: DataFrame, cfg: Confi
 
     Purchases weigh by quantity from 1 to 10; views of categories aren't interactions; rows
     without user or item are left out; an undated row is of 1970. src and pos order events
-    of the same time: orders before favourites before views, then as in the table.
+    of the same time: orders before favourites before views, then by the tables' own pos
+    where all have it, else as Spark reads them.
     """
     parts = [
         (orders, F.lit(cfg.purchase) * C.clipped_quantity("qty"), 0),
         (favorites, F.lit(cfg.favorite), 1),
         (views.where(F.col("item_type") == C.IS_ITEM), F.lit(cfg.view), 2),
     ]
-    out = None
+    out, placed = None, all("pos" in df.columns for df, _, _ in parts)
     for df, w, src in parts:
-        pos = F.col("pos") if "pos" in df.columns else F.monotonically_increasing_id()
+        pos = F.col("pos") if placed else F.monotonically_increasing_id()
         one = df.select(F.col("customer_id").alias("user"), F.col("item_code").alias("item"), C.timestamp_or_epoch("event_date").alias("ts"), F.coalesce(w, F.lit(1.0)).alias("w"), F.lit(src).alias("src"), pos.alias("pos"))
         out = one if out is None else out.unionByName(one)
     return out.dropna(how="any", subset=["user", "item"])
@@ -90,10 +91,19 @@ def profile(events: DataFrame, user) -> DataFrame:
     return events.where(F.col("user") == F.lit(user)).groupBy("item").agg(F.sum("w").alias("w"))
 
 
-def gram(train: DataFrame) -> DataFrame:
-    """(i, j, g): item co-occurrence, the weights' products summed over users."""
-    right = train.select("user", F.col("item").alias("j"), F.col("w").alias("_v"))
-    return train.join(right, "user").groupBy(F.col("item").alias("i"), "j").agg(F.sum(F.col("w") * F.col("_v")).alias("g"))
+def gram(train: DataFrame, heavy: int = 1000) -> DataFrame:
+    """(i, j, g): item co-occurrence, the weights' products summed over users.
+
+    A user's items are dealt into parts of about `heavy`, and each part meets all of the
+    user's items in a key of its own; so a user of very many items is work for many tasks.
+    """
+    parts = train.groupBy("user").agg(F.ceil(F.count("*") / heavy).cast("int").alias("_parts"))
+    dealt = train.join(parts, "user")
+    left = dealt.select("user", F.pmod(F.xxhash64("item"), F.col("_parts")).cast("int").alias("_part"), F.col("item").alias("i"), "w")
+    right = dealt.select("user", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("item").alias("j"), F.col("w").alias("_v"))
+    # else the join's partitioning by user would serve, and put all parts of one in one task
+    left, right = (df.repartition("user", "_part") for df in (left, right))
+    return left.join(right, ["user", "_part"]).groupBy("i", "j").agg(F.sum(F.col("w") * F.col("_v")).alias("g"))
 
 
 def metrics(ranked: DataFrame, holdout: DataFrame, k: int = 20) -> DataFrame:
@@ -105,15 +115,36 @@ def metrics(ranked: DataFrame, holdout: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
+def draw(seed: int, *salt) -> Column:
+    """A number from 0 below 2^32 for each (user, item), the same however rows are dealt."""
+    text = F.concat_ws(":", F.col("user").cast("string"), F.col("item").cast("string"), F.lit(str(seed)), *[x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in salt])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def weighted_sample(train: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, drawn by weight; all if there are no more than n."""
-    key = F.log(F.rand(seed)) / F.col("w")
-    return train.withColumn("_key", key).orderBy(F.desc("_key")).limit(n).drop("_key")
+    key = F.log((draw(seed) + 0.5) / float(1 << 32)) / F.col("w")
+    return train.withColumn("_key", key).orderBy(F.desc("_key"), "user", "item").limit(n).drop("_key")
+
 
+def uniform_negatives(train: DataFrame, items: DataFrame, each: int = 1, seed: int = 42, rounds: int = 25) -> DataFrame:
+    """For every positive pair `each` random items that the user hasn't, drawn anew up to
+    `rounds` times where a draw hits a positive. items is (item, idx), numbered from 0.
 
-def uniform_negatives(train: DataFrame, items: DataFrame, each: int = 1, seed: int = 42) -> DataFrame:
-    """For every positive pair some random items that the user hasn't; those that hit a
-    positive are left out. items is (item, idx), numbered from 0."""
+    A few draws serve nearly all pairs; only those that they fail get the others.
+    """
     n = items.count()
-    drawn = train.select("user", F.explode(F.array(*[F.floor(F.rand(seed + k) * n).cast("int") for k in range(each)])).alias("idx"))
-    return drawn.join(items, "idx").select("user", "item").join(train, ["user", "item"], "left_anti")
+    slots = train.select("user", "item", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("slot"))
+    named, taken = items.select("idx", F.col("item").alias("_other")), train.select("user", F.col("item").alias("_other"))
+    few = min(3, rounds)
+
+    def free(some: DataFrame, first: int, last: int) -> DataFrame:
+        tries = some.select("user", "item", "slot", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("k"))
+        tries = tries.withColumn("idx", (draw(seed, F.col("slot"), F.col("k")) % n).cast("int")).join(named, "idx")
+        tries = tries.join(taken, ["user", "_other"], "left_anti")
+        return tries.groupBy("user", "item", "slot").agg(F.min_by("_other", "k").alias("_other"))
+
+    found = free(slots, 1, few)
+    if few < rounds:
+        found = found.unionByName(free(slots.join(found, ["user", "item", "slot"], "left_anti"), few + 1, rounds))
+    return found.select("user", F.col("_other").alias("item"))

@@ -1,8 +1,8 @@
 """Recommenders: a closed-form item model, a pairwise factor model, and scoring.
 
-Everything relational runs on DataFrames. The matrix inverse runs in one Python worker
-behind a limit on the number of items; so does the factor model's gradient loop up to a
-number of pairs. For more than that its steps are joins, with larger batches.
+Everything runs on DataFrames in blocks of bounded size: the item matrix is inverted block by
+block, factors are trained by blocks of users, and users are scored in blocks against blocks
+of items, of which only the best leave a task.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from retailflow.operators import interactions as I
 from retailflow.operators import relational as R
 from retailflow.session import ship_package
+from retailflow.storage import drop_folder, new_folder, written
 
-#: Pairs that the gradient loop takes at most (24 bytes each in its one task); for more, the
-#: steps of an epoch are joins, so many at most.
-BPR_PAIRS, BPR_STEPS = 20_000_000, 16
+#: Rows and columns of a block of the item matrix, users and items of a block to be scored.
+BLOCK, USER_BLOCK, ITEM_BLOCK = 512, 512, 512
+#: Pairs of a block of users on average when factors are trained, and items whose factors are
+#: broadcast at most (768 bytes each with 64 dimensions); for more, the steps of an epoch are
+#: joins, so many at most.
+BLOCK_PAIRS, BPR_ITEMS, BPR_STEPS = 200_000, 50_000, 16
 
 
 class TooLarge(ValueError):
@@ -29,50 +33,124 @@ class TooLarge(ValueError):
 # ---------------------------------------------------------------- closed-form item model
 
 
-def invert(g: np.ndarray, l2: float) -> np.ndarray:
-    """B = -P / diag(P) by columns with P = (G + l2 I)^-1, and a zero diagonal."""
-    p = np.linalg.inv(g.astype(np.float64) + l2 * np.eye(len(g)))
-    b = -p / np.diag(p)[None, :]
-    np.fill_diagonal(b, 0.0)
-    return b.astype(np.float32)
+def _matrix(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(size, size)
 
 
-def _solve(l2: float):
+def _block_table(key, m: np.ndarray):
+    import pyarrow as pa
+
+    return pa.table({"bi": pa.array([key[0].as_py()], pa.int32()), "bj": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())})
+
+
+def _filled(n: int, size: int, l2: float):
+    """A dense block of G + l2 I; beyond n rows the identity, so that it can be inverted."""
+
+    def run(key, rows):
+        m = np.zeros((size, size))
+        known = rows.filter(rows["g"].is_valid())
+        m[known["i"].to_numpy() % size, known["j"].to_numpy() % size] = known["g"].to_numpy()
+        if key[0] == key[1]:
+            at = np.arange(size)
+            m[at, at] += np.where(key[0].as_py() * size + at < n, l2, 1.0)
+        return _block_table(key, m)
+
+    return run
+
+
+def _pivot_row(k: int, size: int):
+    """The pivot's inverse times a block of its row, or the inverse itself in its own place."""
+
+    def run(key, rows):
+        cells = dict(zip(rows["role"].to_pylist(), rows["cells"].to_pylist(), strict=True))
+        p = np.linalg.inv(_matrix(cells["p"], size))
+        return _block_table(key, p if key[1].as_py() == k else p @ _matrix(cells["a"], size))
+
+    return run
+
+
+def _swept(k: int, size: int):
+    def run(key, rows):
+        cells = {r: _matrix(c, size) for r, c in zip(rows["role"].to_pylist(), rows["cells"].to_pylist(), strict=True)}
+        i, j = key[0].as_py(), key[1].as_py()
+        if i == k:
+            return _block_table(key, cells["r"])
+        product = cells["c"] @ cells["r"]
+        return _block_table(key, -product if j == k else cells["a"] - product)
+
+    return run
+
+
+def inverted(blocks: DataFrame, count: int, size: int) -> DataFrame:
+    """The inverse of a symmetric positive matrix in count x count blocks (bi, bj, cells), by
+    block elimination: a step for each diagonal block, which updates all blocks in tasks of
+    their own, with the pivot's row and column beside them."""
+    schema, every = "bi int, bj int, cells binary", F.sequence(F.lit(0), F.lit(count - 1))
+    spark = blocks.sparkSession
+    for k in range(count):
+        role = lambda df, r: df.select("bi", "bj", F.lit(r).alias("role"), "cells")
+        own, column = blocks.where(F.col("bi") == k), blocks.where(F.col("bj") == k)
+        pivot = own.where(F.col("bj") == k).select("bi", F.explode(every).alias("bj"), "cells")
+        row = role(own, "a").unionByName(role(pivot, "p")).groupBy("bi", "bj").applyInArrow(_pivot_row(k, size), schema)
+        row = written(row, "pivot-row")
+        spread = role(blocks, "a").unionByName(role(row.select(F.explode(every).alias("bi"), "bj", "cells"), "r"))
+        spread = spread.unionByName(role(column.select("bi", F.explode(every).alias("bj"), "cells"), "c"))
+        path = new_folder(spark, "inverse")
+        spread.groupBy("bi", "bj").applyInArrow(_swept(k, size), schema).write.parquet(path)
+        for done in {f.rsplit("/", 1)[0] for f in (*row.inputFiles(), *(blocks.inputFiles() if k else ()))}:
+            drop_folder(spark, done)
+        blocks = spark.read.schema(schema).parquet(path)
+    return blocks
+
+
+def _diagonals(size: int):
     import pyarrow as pa
 
     def run(batches):
-        i, j, g = [], [], []
         for batch in batches:
-            i.append(batch.column("i").to_numpy())
-            j.append(batch.column("j").to_numpy())
-            g.append(batch.column("g").to_numpy())
-        if not i or not sum(map(len, i)):
-            return
-        i, j, g = np.concatenate(i), np.concatenate(j), np.concatenate(g)
-        n = int(max(i.max(), j.max())) + 1
-        dense = np.zeros((n, n))
-        dense[i, j] = g
-        b = invert(dense, l2)
-        for r in range(0, n, 256):
-            block = b[r : r + 256]
-            y, x = np.nonzero(block)
-            yield pa.RecordBatch.from_arrays([pa.array((y + r).astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(block[y, x])], names=["i", "j", "b"])
+            cells = batch.column("cells").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("bj"), pa.array([np.diag(_matrix(c, size)).tolist() for c in cells], pa.list_(pa.float64()))], names=["bj", "diagonal"])
+
+    return run
+
+
+def _triples(size: int, n: int):
+    """-P / diag(P) by columns, without the diagonal, as rows."""
+    import pyarrow as pa
+
+    def run(key, rows):
+        i0, j0 = key[0].as_py() * size, key[1].as_py() * size
+        b = -_matrix(rows["cells"][0].as_py(), size) / np.asarray(rows["diagonal"][0].as_py())[None, :]
+        if i0 == j0:
+            np.fill_diagonal(b, 0.0)
+        b = b[: max(0, n - i0), : max(0, n - j0)].astype(np.float32)
+        y, x = np.nonzero(b)
+        return pa.table({"i": pa.array((y + i0).astype(np.int32)), "j": pa.array((x + j0).astype(np.int32)), "b": pa.array(b[y, x])})
 
     return run
 
 
-def ease(train: DataFrame, items: DataFrame, cfg: I.Config = I.Config()) -> DataFrame:
+def ease(train: DataFrame, items: DataFrame, cfg: I.Config = I.Config(), size: int = BLOCK) -> DataFrame:
     """(item, other, b): what having `item` says for `other`. items is (item, idx).
 
-    Raises TooLarge beyond cfg.ease_items items: the inverse is dense.
+    B = -P / diag(P) by columns with P = (G + l2 I)^-1, and a zero diagonal. Raises TooLarge
+    beyond cfg.ease_items items, the model's own limit.
     """
     n = items.count()
     if n > cfg.ease_items:
         raise TooLarge(f"{n} items; the closed-form model takes {cfg.ease_items} at most")
-    ship_package(train.sparkSession)
-    numbered = train.join(F.broadcast(items), "item").select("user", F.col("idx").alias("item"), "w")
-    g = I.gram(numbered).select("i", "j", F.col("g").cast("double").alias("g"))
-    b = g.coalesce(1).mapInArrow(_solve(cfg.ease_l2), "i int, j int, b float")
+    spark = train.sparkSession
+    ship_package(spark)
+    few = F.broadcast(items)  # cfg.ease_items rows at most
+    g = I.gram(train.join(few, "item").select("user", F.col("idx").alias("item"), "w"))
+    count = max(1, -(-n // size))
+    cells = g.select(F.floor(F.col("i") / size).cast("int").alias("bi"), F.floor(F.col("j") / size).cast("int").alias("bj"), "i", "j", F.col("g").cast("double").alias("g"))
+    grid = spark.range(count * count).select(F.floor(F.col("id") / count).cast("int").alias("bi"), (F.col("id") % count).cast("int").alias("bj"))
+    cells = cells.unionByName(grid, allowMissingColumns=True)
+    blocks = written(cells.groupBy("bi", "bj").applyInArrow(_filled(n, size, cfg.ease_l2), "bi int, bj int, cells binary"), "gram")
+    p = inverted(blocks, count, size)
+    diagonals = p.where("bi = bj").select("bj", "cells").mapInArrow(_diagonals(size), "bj int, diagonal array<double>")
+    b = p.join(diagonals, "bj").groupBy("bi", "bj").applyInArrow(_triples(size, n), "i int, j int, b float")
     left, right = items.select("item", F.col("idx").alias("i")), items.select(F.col("item").alias("other"), F.col("idx").alias("j"))
     return b.join(F.broadcast(left), "i").join(F.broadcast(right), "j").select("item", "other", "b")
 
@@ -83,116 +161,225 @@ def ease_scores(train: DataFrame, b: DataFrame) -> DataFrame:
     return scored.join(train.select("user", "item"), ["user", "item"], "left_anti")
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest finite scores of each row, of equal ones the first."""
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    row = np.repeat(np.arange(len(scores)), order.shape[1])
+    good = np.isfinite(scores[row, order.ravel()])
+    return row[good], order.ravel()[good]
+
+
+def _linear_top(k: int):
+    """A block of users' items (side 0: user, item, v) against a block of columns (side 1:
+    item, other, v): the k best others of each user that the user hasn't."""
+    import pyarrow as pa
+
+    def run(key, rows):
+        side = rows["side"].to_numpy()
+        mine, cells = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+        users, u = np.unique(mine["user"].to_numpy(), return_inverse=True)
+        others, o = np.unique(cells["other"].to_numpy(), return_inverse=True)
+        n, have = len(cells), np.concatenate([cells["item"].to_numpy(), mine["item"].to_numpy()])
+        names, at = np.unique(have, return_inverse=True)
+        x, m = np.zeros((len(users), len(names))), np.zeros((len(names), len(others)))
+        x[u, at[n:]], m[at[:n], o] = mine["v"].to_numpy(), cells["v"].to_numpy()
+        has = np.zeros(x.shape, bool)
+        has[u, at[n:]] = True
+        scores = np.where(has.astype(np.float32) @ (m != 0).astype(np.float32) > 0, x @ m, -np.inf)
+        both, a, c = np.intersect1d(names, others, return_indices=True)
+        if len(both):
+            scores[:, c] = np.where(has[:, a], -np.inf, scores[:, c])
+        row, col = _best(scores, k)
+        return pa.table({"user": pa.array(users[row], rows.schema.field("user").type), "item": pa.array(others[col], rows.schema.field("other").type), "score": pa.array(scores[row, col])})
+
+    return run
+
+
+def ease_top(train: DataFrame, b: DataFrame, k: int = 20, users: int = USER_BLOCK, items: int = ITEM_BLOCK) -> DataFrame:
+    """(user, item, score, rank): the k best of ease_scores() for each user, ties by item.
+
+    Users and columns are scored block against block, and only k scores of each user leave
+    a block; so no user's scores for all items are ever shuffled.
+    """
+    ship_package(train.sparkSession)
+    n_users, n_items = (max(1, -(-df.select(c).distinct().count() // size)) for df, c, size in ((train, "user", users), (b, "other", items)))
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = {f.name: f.dataType for f in [*train.schema, *b.schema]}
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    mine = train.select(block("user", n_users).alias("ub"), parts(n_items).alias("ib"), F.lit(0).alias("side"), "user", "item", F.lit(None).cast(kinds["other"]).alias("other"), F.col("w").cast("double").alias("v"))
+    cells = b.select(parts(n_users).alias("ub"), block("other", n_items).alias("ib"), F.lit(1).alias("side"), F.lit(None).cast(kinds["user"]).alias("user"), "item", "other", F.col("b").cast("double").alias("v"))
+    kind = lambda c: kinds[c].simpleString()
+    best = mine.unionByName(cells).groupBy("ub", "ib").applyInArrow(_linear_top(k), f"user {kind('user')}, item {kind('item')}, score double")
+    return top_unseen(best, k)
+
+
 def top_unseen(scores: DataFrame, k: int = 20) -> DataFrame:
     return R.top_per(scores, "user", "score", "item", k)
 
 
 def ease_evaluate(train: DataFrame, holdout: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
     """recall and ndcg; held-out items that the user has in train as well count as misses."""
-    return I.metrics(top_unseen(ease_scores(train, b), k), holdout, k)
+    return I.metrics(ease_top(train, b, k), holdout, k)
 
 
 # ---------------------------------------------------------------- pairwise factor model
 
 
-def train_factors(user: np.ndarray, item: np.ndarray, weight: np.ndarray, users: int, items: int, cfg: I.Config, check=None) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Factors by Adam on -log sigmoid(s+ - s-) with an L2 penalty; and each epoch's loss.
+def _epoch(u: np.ndarray, v: np.ndarray, state: list, user: np.ndarray, item: np.ndarray, share: np.ndarray, seen: np.ndarray, cfg: I.Config, g, step: int) -> tuple[float, int, np.ndarray]:
+    """One epoch of Adam on -log sigmoid(s+ - s-) with an L2 penalty, in place: its mean loss,
+    the steps so far, and how often each item was drawn.
 
     Batches are drawn by weight without replacement; negatives evenly, anew for up to 25
-    rounds where they hit a positive. check(U, V), if given, scores each epoch, and the
-    factors of the best one are returned.
+    rounds where they hit a positive.
     """
-    g = np.random.default_rng(cfg.seed)
-    u, v = g.normal(0, 0.1, (users, cfg.dims)).astype(np.float32), g.normal(0, 0.1, (items, cfg.dims)).astype(np.float32)
-    seen = np.unique(user.astype(np.int64) * items + item)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (u, v)]
-    share = weight / weight.sum()
-    losses, best, step = [], None, 0
-    for _ in range(cfg.epochs):
-        total, rounds = 0.0, -(-len(user) // cfg.batch)
-        for _ in range(rounds):
-            if len(user) <= cfg.batch:
-                pick = np.arange(len(user))
-            else:
-                pick = g.choice(len(user), cfg.batch, replace=False, p=share)
-            a, p = user[pick], item[pick]
-            n = g.integers(0, items, len(pick))
-            for _ in range(25):
-                key = a.astype(np.int64) * items + n
-                at = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
-                bad = seen[at] == key
-                if not bad.any():
-                    break
-                n[bad] = g.integers(0, items, int(bad.sum()))
-            x, y, z = u[a], v[p], v[n]
-            d = ((y - z) * x).sum(1)
-            total += float(np.logaddexp(0, -d).mean() + cfg.penalty * ((x * x).sum(1) + (y * y).sum(1) + (z * z).sum(1)).mean())
-            s = (-1 / (1 + np.exp(d)) / len(pick))[:, None]
-            r = 2 * cfg.penalty / len(pick)
-            gu, gv = cfg.decay * u, cfg.decay * v
-            np.add.at(gu, a, s * (y - z) + r * x)
-            np.add.at(gv, p, s * x + r * y)
-            np.add.at(gv, n, -s * x + r * z)
-            step += 1
-            for w, grad, (m, q) in ((u, gu, state[0]), (v, gv, state[1])):
-                m += 0.1 * (grad - m)
-                q += 0.001 * (grad * grad - q)
-                w -= (cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        losses.append(total / rounds)
-        if check is not None:
-            score = check(u, v)
-            if best is None or score > best[0]:
-                best = (score, u.copy(), v.copy())
-    return (best[1], best[2], losses) if best else (u, v, losses)
-
-
-def _recall(users: np.ndarray, target: np.ndarray, seen: list[np.ndarray], k: int, chunk: int = 512):
-    def check(u, v):
-        hits = 0
-        for i in range(0, len(users), chunk):
-            scores = u[users[i : i + chunk]] @ v.T
-            for row in range(len(scores)):
-                scores[row, seen[i + row]] = -1e9
-            own = scores[np.arange(len(scores)), target[i : i + chunk]]
-            hits += int(((scores > own[:, None]).sum(1) < k)[own > -1e8].sum())
-        return hits / max(1, len(users))
-
-    return check
-
-
-def _bpr(cfg: I.Config, users: int, items: int):
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        train, held = rows[rows["held"] == 0].sort_values(["u", "i"]), rows[rows["held"] == 1].sort_values(["u", "i"])
-        a, b, w = train["u"].to_numpy(), train["i"].to_numpy(), train["w"].to_numpy()
-        begin = np.searchsorted(a, np.arange(users + 1))
-        hu = held["u"].to_numpy()
-        seen = [b[begin[x] : begin[x + 1]] for x in hu]
-        check = _recall(hu, held["i"].to_numpy(), seen, cfg.top_k) if len(hu) else None
-        u, v, _ = train_factors(a, b, w, users, items, cfg, check)
-        return pd.DataFrame({"side": ["user"] * users + ["item"] * items, "idx": [*range(users), *range(items)], "factors": [*u, *v]})
+    total, rounds, drawn = 0.0, -(-len(user) // cfg.batch), np.zeros(len(v))
+    for _ in range(rounds):
+        pick = np.arange(len(user)) if len(user) <= cfg.batch else g.choice(len(user), cfg.batch, replace=False, p=share)
+        a, p = user[pick], item[pick]
+        n = g.integers(0, len(v), len(pick))
+        for _ in range(25):
+            key = a.astype(np.int64) * len(v) + n
+            at = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
+            bad = seen[at] == key
+            if not bad.any():
+                break
+            n[bad] = g.integers(0, len(v), int(bad.sum()))
+        x, y, z = u[a], v[p], v[n]
+        d = ((y - z) * x).sum(1)
+        total += float(np.logaddexp(0, -d).mean() + cfg.penalty * ((x * x).sum(1) + (y * y).sum(1) + (z * z).sum(1)).mean())
+        s = (-1 / (1 + np.exp(d)) / len(pick))[:, None]
+        r = 2 * cfg.penalty / len(pick)
+        gu, gv = cfg.decay * u, cfg.decay * v
+        np.add.at(gu, a, s * (y - z) + r * x)
+        np.add.at(gv, p, s * x + r * y)
+        np.add.at(gv, n, -s * x + r * z)
+        drawn += np.bincount(p, minlength=len(v)) + np.bincount(n, minlength=len(v))
+        step += 1
+        for w, grad, (m, q) in ((u, gu, state[0]), (v, gv, state[1])):
+            m += 0.1 * (grad - m)
+            q += 0.001 * (grad * grad - q)
+            w -= (cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return total / max(1, rounds), step, drawn
+
+
+def _ranks(u: np.ndarray, v: np.ndarray, users: np.ndarray, target: np.ndarray, seen: list[np.ndarray], chunk: int = 512) -> np.ndarray:
+    """The place of each held-out target among the items that its user hasn't; a target that
+    the user has is last."""
+    out = np.zeros(len(users), np.int64)
+    for i in range(0, len(users), chunk):
+        scores = u[users[i : i + chunk]] @ v.T
+        for row in range(len(scores)):
+            scores[row, seen[i + row]] = -1e9
+        own = scores[np.arange(len(scores)), target[i : i + chunk]]
+        out[i : i + chunk] = np.where(own > -1e8, (scores > own[:, None]).sum(1), len(v))
+    return out
+
+
+def _user_block(shared, cfg: I.Config, epoch: int, last: bool):
+    """One block of users: what the factors so far find of its held-out items, then (but for
+    the last call) an epoch over its pairs, from the items' factors as broadcast."""
+    import pyarrow as pa
+
+    def run(key, pairs, users):
+        v, m, q, step = (x.copy() if isinstance(x, np.ndarray) else x for x in shared.value)
+        dims, block = v.shape[1], key[0].as_py()
+        ids = users["u"].to_numpy()
+        rows = np.asarray(users["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(ids), 3 * dims)
+        order = np.argsort(ids)
+        ids, rows = ids[order], rows[order]
+        u, state = rows[:, :dims].copy(), [(rows[:, dims : 2 * dims].copy(), rows[:, 2 * dims :].copy()), (m, q)]
+        at, item, held = np.searchsorted(ids, pairs["u"].to_numpy()), pairs["i"].to_numpy(), pairs["held"].to_numpy() == 1
+        order = np.lexsort((item, at, held))
+        at, item, weight, held = at[order], item[order], pairs["w"].to_numpy()[order], held[order]
+        a, p, w, ha, hi = at[~held], item[~held], weight[~held], at[held], item[held]
+        begin = np.searchsorted(a, np.arange(len(ids) + 1))
+        rank = _ranks(u, v, ha, hi, [p[begin[x] : begin[x + 1]] for x in ha]) if epoch else np.zeros(0, np.int64)
+        hit = rank[rank < cfg.top_k]
+        out = [("eval", 0, float(len(rank)), [float(len(hit)), float((1 / np.log2(hit + 2.0)).sum())])]
+        if not last and len(a):
+            seen = np.unique(a.astype(np.int64) * len(v) + p)
+            loss, step, drawn = _epoch(u, v, state, a, p, w / w.sum(), seen, cfg, np.random.default_rng([cfg.seed, epoch, block]), step)
+            out.append(("loss", step, float(len(a)), [loss]))
+            some = np.flatnonzero(drawn)
+            out += [("item", int(i), float(drawn[i]), np.concatenate([v[i], m[i], q[i]])) for i in some]
+        if not last:
+            out += [("user", int(i), 1.0, x) for i, x in zip(ids, np.concatenate([u, *state[0]], 1), strict=True)]
+        kinds = {"block": pa.int32(), "side": pa.string(), "idx": pa.int32(), "n": pa.float64(), "vec": pa.list_(pa.float32())}
+        return pa.table([pa.array([block] * len(out), pa.int32()), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), list(kinds.values())[1:], strict=True))], names=list(kinds))
 
     return run
 
 
-def bpr(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config()) -> DataFrame:
-    """(side, idx, factors) for users and items, which are (user, idx) and (item, idx).
+def _weighted_means(key, rows):
+    """Means of the vectors of each item, weighted by how often blocks drew it."""
+    import pyarrow as pa
+
+    idx, at = np.unique(rows["idx"].to_numpy(), return_inverse=True)
+    n = rows["n"].to_numpy()
+    x = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+    total = np.zeros((len(idx), x.shape[1]))
+    np.add.at(total, at, x * n[:, None])
+    return pa.table({"idx": pa.array(idx.astype(np.int32)), "vec": _lists(total / np.bincount(at, n)[:, None])})
+
+
+def bpr(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config(), block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """(side, idx, factors) for users and items, which are (user, idx) and (item, idx)."""
+    return bpr_trained(train, holdout, users, items, cfg, block_pairs)[0]
 
-    Up to BPR_PAIRS pairs the gradient loop runs in one task, beyond that as joins.
+
+def bpr_trained(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config(), block_pairs: int = BLOCK_PAIRS) -> tuple[DataFrame, list[tuple]]:
+    """The factors of the epoch of the best recall (of the last without held-out pairs), and
+    (epoch, loss, recall, ndcg) of each epoch.
+
+    Users are dealt into blocks. In an epoch every block trains its own users with a copy of
+    the items' factors; then the copies' means, weighted by draws, are the next epoch's. One
+    block is the plain sequential loop. A user's pairs are distinct items, so a block is
+    bounded. Beyond BPR_ITEMS items see bpr_joined().
     """
-    if train.count() > BPR_PAIRS:
-        return bpr_joined(train, holdout, users, items, cfg)
-    ship_package(train.sparkSession)
+    spark = train.sparkSession
+    n_items, n = items.count(), train.count()
+    if n_items > BPR_ITEMS:
+        return bpr_joined(train, holdout, users, items, cfg), []
+    ship_package(spark)
     u, i = users.select("user", F.col("idx").alias("u")), items.select("item", F.col("idx").alias("i"))
+    block = F.pmod(F.xxhash64("u"), F.lit(max(1, -(-n // block_pairs)))).cast("int").alias("block")
     pairs = train.select("user", "item", "w", F.lit(0).alias("held")).unionByName(holdout.select("user", "item", F.lit(1.0).alias("w"), F.lit(1).alias("held")))
-    pairs = pairs.join(u, "user").join(i, "item").select("u", "i", F.col("w").cast("double").alias("w"), "held")
-    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_bpr(cfg, users.count(), items.count()), "side string, idx int, factors array<float>")
-
+    pairs = written(pairs.join(u, "user").join(F.broadcast(i), "item").select(block, "u", "i", F.col("w").cast("double").alias("w"), "held"), "pairs")
+    drawn = users.select(F.lit("user").alias("side"), "idx").mapInArrow(_drawn_factors(cfg), "side string, idx int, factors array<float>, m array<float>, q array<float>")
+    state = written(drawn.select(F.col("idx").alias("u"), F.concat("factors", "m", "q").alias("vec")).select(block, "u", "vec"), "users")
+    g = np.random.default_rng([cfg.seed, 1])
+    v = g.normal(0, 0.1, (n_items, cfg.dims)).astype(np.float32)
+    m, q, step, best, history = np.zeros_like(v), np.zeros_like(v), 0, None, []
+    schema = "block int, side string, idx int, n double, vec array<float>"
+    shards = max(1, n_items // 512)
+    for epoch in range(cfg.epochs + 1):
+        shared = spark.sparkContext.broadcast((v, m, q, step))
+        out = pairs.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_user_block(shared, cfg, epoch, epoch == cfg.epochs), schema)
+        out = written(out, "epoch")
+        found = out.where("side = 'eval'").agg(F.sum("n").alias("n"), F.sum(F.col("vec")[0]).alias("hits"), F.sum(F.col("vec")[1]).alias("gain")).first()
+        if epoch:
+            recall, ndcg = ((found.hits or 0) / found.n, (found.gain or 0) / found.n) if found.n else (0.0, 0.0)
+            history[-1] = (*history[-1], recall, ndcg)
+            if best is None or recall > best[0] or not found.n:
+                best = (recall, state, v)
+        if epoch == cfg.epochs:
+            break
+        lost = out.where("side = 'loss'").agg((F.sum(F.col("n") * F.col("vec")[0]) / F.sum("n")).alias("loss"), F.max("idx").alias("step")).first()
+        history.append((epoch + 1, float(lost.loss or 0.0)))
+        step = int(lost.step or step)
+        means = out.where("side = 'item'").groupBy(F.pmod("idx", F.lit(shards)).alias("s")).applyInArrow(_weighted_means, "idx int, vec array<float>")
+        got = means.toArrow()  # a row for each item that was drawn, BPR_ITEMS at most
+        v, m, q = v.copy(), m.copy(), q.copy()
+        if got.num_rows:
+            at, x = got["idx"].to_numpy(), got["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, 3, cfg.dims)
+            v[at], m[at], q[at] = x[:, 0], x[:, 1], x[:, 2]
+        state = out.where("side = 'user'").select("block", F.col("idx").alias("u"), "vec")
+        shared.unpersist()
+    _, state, v = best or (0.0, state, v)
+    import pyarrow as pa
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, in the checkpoint folder if there is one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+    of_items = spark.createDataFrame(pa.table({"side": pa.array(["item"] * n_items), "idx": pa.array(np.arange(n_items, dtype=np.int32)), "factors": _lists(v)}))
+    return state.select(F.lit("user").alias("side"), F.col("u").alias("idx"), F.slice("vec", 1, cfg.dims).alias("factors")).unionByName(of_items), history
 
 
 def _rows(column) -> np.ndarray:
@@ -260,14 +447,14 @@ def bpr_joined(train: DataFrame, holdout: DataFrame, users: DataFrame, items: Da
     """bpr() with every step as joins of pairs and factors, gradients summed by key.
 
     The loss, the optimizer, the epochs, the draws by weight without replacement, up to 25
-    draws of a negative and the choice of the best epoch are those of train_factors().
+    draws of a negative and the choice of the best epoch are those of bpr_trained().
     Batches are larger where an epoch would have more than BPR_STEPS of them, and their
     sizes vary about the batch as rows are drawn on their own.
     """
     ship_package(train.sparkSession)
     schema = "side string, idx int, factors array<float>, m array<float>, q array<float>"
     pairs = train.join(users.select("user", F.col("idx").alias("u")), "user").join(items.select("item", F.col("idx").alias("p")), "item")
-    pairs = _kept(pairs.select("u", "p", F.col("w").cast("double").alias("w")))
+    pairs = written(pairs.select("u", "p", F.col("w").cast("double").alias("w")), "pairs")
     n, n_items = pairs.count(), items.count()
     steps = max(1, min(BPR_STEPS, -(-n // cfg.batch)))
     size = max(1, min(n, max(cfg.batch, -(-n // steps))))
@@ -280,7 +467,7 @@ def bpr_joined(train: DataFrame, holdout: DataFrame, users: DataFrame, items: Da
 
     most = pairs.select(F.percentile_approx(key(0), size / n, 100_000)).first()[0] if size < n else None
     state = users.select(F.lit("user").alias("side"), "idx").unionByName(items.select(F.lit("item").alias("side"), "idx"))
-    state = _kept(state.mapInArrow(_drawn_factors(cfg), schema))
+    state = written(state.mapInArrow(_drawn_factors(cfg), schema), "state")
     best, step = None, 0
     for _ in range(cfg.epochs):
         for _ in range(steps):
@@ -296,7 +483,7 @@ def bpr_joined(train: DataFrame, holdout: DataFrame, users: DataFrame, items: Da
             sums = parts.groupBy("side", "idx").agg(*[F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(cfg.dims)])
             sums = sums.select("side", "idx", F.array(*[F.col(f"g{k}").cast("float") for k in range(cfg.dims)]).alias("g"))
             moved = state.join(sums, ["side", "idx"], "left").withColumn("g", F.coalesce("g", F.array_repeat(F.lit(0.0).cast("float"), cfg.dims)))
-            state = _kept(moved.mapInArrow(_adam(cfg, step), schema))
+            state = written(moved.mapInArrow(_adam(cfg, step), schema), "state")
         factors = state.select("side", "idx", "factors")
         recall = I.metrics(factor_top(factors, train, users, items, cfg.top_k), holdout, cfg.top_k).first().recall
         if best is None or recall > best[0]:
@@ -314,41 +501,49 @@ def als(train: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.
     return side(model.userFactors, "user").unionByName(side(model.itemFactors, "item"))
 
 
-def factor_top(factors: DataFrame, train: DataFrame, users: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
-    """(user, item, score, rank) of the k best unseen items, in blocks: each task holds the
-    items' factors, which are broadcast only up to the item model's limit, and ranks its users'."""
-    import pandas as pd
+def _factor_block_top(k: int):
+    """A block of users' factors (side 0, with the items of the block that each has) against
+    a block of items' (side 1): the k best items of each user that the user hasn't."""
+    import pyarrow as pa
+
+    def run(key, rows):
+        side = rows["side"].to_numpy()
+        mine, items = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+        if not len(mine) or not len(items):
+            return pa.table({"u": pa.array([], pa.int32()), "i": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
+        items = items.sort_by("idx")
+        x, y = (_rows(t["factors"].combine_chunks()).astype(np.float32) for t in (mine, items))
+        scores, at = (x @ y.T).astype(np.float64), items["idx"].to_numpy()
+        for r, seen in enumerate(mine["seen"].to_pylist()):
+            if seen:
+                scores[r, np.searchsorted(at, seen)] = -np.inf
+        row, col = _best(scores, k)
+        return pa.table({"u": pa.array(mine["idx"].to_numpy()[row]), "i": pa.array(at[col]), "score": pa.array(scores[row, col])})
+
+    return run
+
+
+def factor_top(factors: DataFrame, train: DataFrame, users: DataFrame, items: DataFrame, k: int = 20, user_block: int = USER_BLOCK, item_block: int = 8 * ITEM_BLOCK) -> DataFrame:
+    """(user, item, score, rank) of the k best unseen items of each user, ties by the item's idx.
 
+    Users and items are scored block against block, and only k scores of each user leave a
+    block. Blocks are of consecutive idx.
+    """
     spark = factors.sparkSession
     ship_package(spark)
-    rows = factors.where("side = 'item'").join(items, "idx").select("item", "idx", "factors")
-    n = items.count()
-    if n > 1_000_000:
-        raise TooLarge(f"{n} items; factors of a million items are broadcast at most")
-    local = rows.orderBy("idx").toPandas()
-    names, matrix = local["item"].to_numpy(), np.stack(local["factors"].to_numpy()) if len(local) else np.zeros((0, 1))
-    place = {x: i for i, x in enumerate(names)}
-    shared = spark.sparkContext.broadcast((names, matrix.astype(np.float32), place))
-    seen = train.groupBy("user").agg(F.collect_set("item").alias("seen"))
-    own = factors.where("side = 'user'").join(users, "idx").select("user", "factors").join(seen, "user", "left")
-    kind = {f.name: f.dataType.simpleString() for f in [*users.schema, *items.schema]}
-
-    def run(batches):
-        names, matrix, place = shared.value
-        for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                part = pdf.iloc[i : i + 512]
-                scores = np.stack(part["factors"].to_numpy()).astype(np.float32) @ matrix.T
-                out = []
-                for r, (user, mine) in enumerate(zip(part["user"], part["seen"], strict=True)):
-                    s = scores[r].copy()
-                    gone = [place[x] for x in (mine if mine is not None else []) if x in place]
-                    s[gone] = -np.inf
-                    order = np.lexsort((np.arange(len(s)), -s))[: min(k, len(s) - len(gone))]
-                    out.append(pd.DataFrame({"user": user, "item": names[order], "score": s[order].astype(float), "rank": np.arange(1, len(order) + 1)}))
-                yield pd.concat(out)
-
-    return own.mapInPandas(run, f"user {kind['user']}, item {kind['item']}, score double, rank int")
+    block = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    n_users, n_items = (df.agg(F.max("idx")).first()[0] or 0 for df in (users, items))
+    parts = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(n // size)))
+    i = items.select("item", F.col("idx").alias("i"))
+    of = users.select("user", F.col("idx").alias("u"))
+    seen = train.select("user", "item").join(of, "user").join(i, "item").groupBy("u", block("i", item_block).alias("ib")).agg(F.collect_set("i").alias("seen"))
+    mine = factors.where("side = 'user'").join(users.select("idx"), "idx", "left_semi").select(block("idx", user_block).alias("ub"), parts(n_items, item_block).alias("ib"), "idx", "factors")
+    mine = mine.join(seen, (F.col("idx") == F.col("u")) & (mine["ib"] == seen["ib"]), "left").select("ub", mine["ib"], F.lit(0).alias("side"), "idx", "factors", "seen")
+    theirs = factors.where("side = 'item'").join(items.select("idx"), "idx", "left_semi")
+    theirs = theirs.select(parts(n_users, user_block).alias("ub"), block("idx", item_block).alias("ib"), F.lit(1).alias("side"), "idx", "factors", F.lit(None).cast("array<int>").alias("seen"))
+    best = mine.unionByName(theirs).groupBy("ub", "ib").applyInArrow(_factor_block_top(k), "u int, i int, score double")
+    top = R.top_per(best, "u", "score", "i", k)
+    return top.join(of, "u").join(i, "i").select("user", "item", "score", "rank")
 
 
 # ---------------------------------------------------------------- recommendation and artifacts

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from retailflow.operators import interactions as I
 from retailflow.operators import recommend as M
 from retailflow.sources import tables
+from retailflow.storage import written
 
 log = logging.getLogger(__name__)
 
@@ -20,19 +21,34 @@ def load_events(spark: SparkSession, folder: str, cfg: I.Config) -> DataFrame:
     return I.events(frames["orders"], frames["favorites"], frames["views"], cfg)
 
 
-def train(spark: SparkSession, folder: str, artifacts: str, cfg: I.Config = I.Config()) -> None:
-    """Train both models and save them; beyond its limit the item model is left out."""
+METRICS = "model string, epoch int, loss double, recall double, ndcg double"
+
+
+def train(spark: SparkSession, folder: str, artifacts: str, cfg: I.Config = I.Config()) -> DataFrame:
+    """Train both models and save them; beyond its limit the item model is left out.
+
+    Returns the metrics, which are saved too: a row for each epoch of the factor model, and
+    one of the item model, over held-out items at cfg.top_k.
+    """
     events = load_events(spark, folder, cfg).cache()
     try:
         users, items = I.ids(events, "user").cache(), I.ids(events, "item").cache()
         log.info("%d users, %d items, %d events", users.count(), items.count(), events.count())
-        learn, held = I.split(events, cfg.min_events)
-        frames = {"users": users, "items": items, "train": learn, "factors": M.bpr(learn, held, users, items, cfg)}
+        learn, held = (written(df, name) for df, name in zip(I.split(events, cfg.min_events), ("learn", "held"), strict=True))
+        factors, history = M.bpr_trained(learn, held, users, items, cfg)
+        frames = {"users": users, "items": items, "train": learn, "factors": factors}
+        rows = [("bprmf", epoch, loss, recall, ndcg) for epoch, loss, recall, ndcg in history]
         try:
-            frames["ease"] = M.ease(learn, items, cfg)
+            b = frames["ease"] = written(M.ease(learn, items, cfg), "ease")
+            found = M.ease_evaluate(learn, held, b, cfg.top_k).first()
+            rows.append(("ease", None, None, found.recall, found.ndcg))
         except M.TooLarge as e:
             log.warning("%s", e)
+        for row in rows:
+            log.info("%s, epoch %s: loss %s, recall %s, ndcg %s", *row)
+        frames["metrics"] = spark.createDataFrame(rows, METRICS)
         M.save(artifacts, cfg, **frames)
+        return frames["metrics"]
     finally:
         events.unpersist()
 

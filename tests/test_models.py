@@ -83,17 +83,60 @@ def test_recommendations_exclude_seen(spark, pairs):
     assert all(r.site_name == ("zero" if r.item == 0 else "") for r in rows)
 
 
-def test_factor_model_learns_clusters():
-    g = np.random.default_rng(3)
-    user = np.repeat(np.arange(60), 6)
-    item = (user % 2) * 10 + g.integers(0, 10, len(user))
-    cfg = I.Config(dims=8, epochs=25, batch=64, rate=0.02)
-    u, v, losses = M.train_factors(user, item, np.ones(len(user)), 60, 20, cfg)
-    assert losses[-1] < 0.6 * losses[0]
-    s = u @ v.T
-    assert s[0, :10].mean() > s[0, 10:].mean() and s[1, 10:].mean() > s[1, :10].mean()
-    again = M.train_factors(user, item, np.ones(len(user)), 60, 20, cfg)
-    assert np.array_equal(u, again[0])
+@pytest.mark.parametrize("size", [3, 8])
+def test_inverse_in_blocks(spark, size):
+    """Any number of blocks gives the dense inverse's model."""
+    g = np.random.default_rng(5)
+    x = g.integers(0, 3, (30, 11)).astype(float)
+    train = spark.createDataFrame([(u, i, float(x[u, i])) for u in range(30) for i in range(11) if x[u, i]], "user int, item int, w double")
+    b = M.ease(train, I.ids(train, "item"), I.Config(ease_l2=3.0), size)
+    p = np.linalg.inv(x.T @ x + 3.0 * np.eye(11))
+    want = -p / np.diag(p)[None, :]
+    np.fill_diagonal(want, 0)
+    got = np.zeros((11, 11))
+    for r in b.collect():
+        got[r.item, r.other] = r.b
+    assert np.abs(got - want).max() < 1e-5
+
+
+def test_scoring_in_blocks(spark, pairs):
+    """Blocks of any size rank as the join of all pairs does."""
+    b = M.ease(pairs, I.ids(pairs, "item"), I.Config(ease_l2=5.0))
+    exact = pairs.withColumn("w", pairs["w"] * 8), b.selectExpr("item", "other", "round(b * 64) AS b")
+    want = {(r.user, r.item, r.score, r.rank) for r in M.top_unseen(M.ease_scores(*exact), 3).collect()}
+    for users, items in ((512, 512), (7, 3)):
+        assert {tuple(r) for r in M.ease_top(*exact, 3, users, items).select("user", "item", "score", "rank").collect()} == want
+
+
+def test_gram_of_heavy_users(spark, pairs):
+    want = {(r.i, r.j): r.g for r in I.gram(pairs).collect()}
+    assert {(r.i, r.j): r.g for r in I.gram(pairs, heavy=2).collect()} == want
+    rows = pairs.collect()
+    by_force = {}
+    for a in rows:
+        for c in rows:
+            if a.user == c.user:
+                by_force[a.item, c.item] = by_force.get((a.item, c.item), 0.0) + a.w * c.w
+    assert want == by_force
+
+
+@pytest.mark.parametrize("block_pairs", [10**6, 30])
+def test_factor_model_learns_clusters(spark, pairs, block_pairs):
+    """One block or several learn the two groups; each epoch is measured and the best returned."""
+    users, items = I.ids(pairs, "user").cache(), I.ids(pairs, "item").cache()
+    held = spark.createDataFrame([(u, 4 * (u % 2) + k) for u in range(40) for k in range(4)], "user int, item int").join(pairs, ["user", "item"], "left_anti").dropDuplicates(["user"])
+    cfg = I.Config(dims=4, epochs=4, batch=16, rate=0.2, top_k=2)
+    factors, history = M.bpr_trained(pairs, held, users, items, cfg, block_pairs)
+    assert [h[0] for h in history] == [1, 2, 3, 4] and history[-1][1] < history[0][1]
+    f = {(r.side, r.idx): r.factors for r in factors.collect()}
+    assert len(f) == users.count() + items.count()
+    s = np.array([f["user", u] for u in range(40)]) @ np.array([f["item", i] for i in range(8)]).T
+    own = (np.arange(40)[:, None] % 2) == (np.arange(8)[None, :] // 4)
+    assert s[own].mean() > s[~own].mean()
+    found = I.metrics(M.factor_top(factors, pairs, users, items, 2), held, 2).first()
+    assert math.isclose(found.recall, max(h[2] for h in history), abs_tol=1e-6)
+    again = M.bpr_trained(pairs, held, users, items, cfg, block_pairs)[1]
+    assert np.allclose(again, history)
 
 
 def test_factor_top_and_artifacts(spark, pairs, tmp_path):
@@ -109,9 +152,9 @@ def test_factor_top_and_artifacts(spark, pairs, tmp_path):
     assert back == cfg and frames["users"].count() == users.count()
 
 
-def test_factor_model_beyond_one_task(spark, pairs, monkeypatch):
-    """More pairs than one task takes are trained by joins, and learn the two groups."""
-    monkeypatch.setattr(M, "BPR_PAIRS", 10)
+def test_factor_model_beyond_broadcast_items(spark, pairs, monkeypatch):
+    """More items than are broadcast are trained by joins, and learn the two groups."""
+    monkeypatch.setattr(M, "BPR_ITEMS", 3)
     users, items = I.ids(pairs, "user").cache(), I.ids(pairs, "item").cache()
     held = pairs.limit(0).select("user", "item")
     cfg = I.Config(dims=4, epochs=2, batch=60, rate=0.3)
@@ -125,8 +168,23 @@ def test_factor_model_beyond_one_task(spark, pairs, monkeypatch):
 def test_samples(spark, pairs):
     assert I.weighted_sample(pairs, 10**6).count() == pairs.count()
     assert I.weighted_sample(pairs, 10).count() == 10
-    neg = I.uniform_negatives(pairs, I.ids(pairs, "item"))
+    neg = I.uniform_negatives(pairs, I.ids(pairs, "item"), 2)
     assert neg.join(pairs, ["user", "item"], "left_semi").count() == 0
+    assert neg.count() == 2 * pairs.count()  # none is lost to a collision
+    again = I.uniform_negatives(pairs.repartition(5), I.ids(pairs, "item"), 2)
+    assert sorted(map(tuple, neg.collect())) == sorted(map(tuple, again.collect()))
+    some = {tuple(r) for r in I.weighted_sample(pairs, 10).collect()}
+    assert some == {tuple(r) for r in I.weighted_sample(pairs.repartition(3), 10).collect()}
+
+
+def test_blocks_of_factors(spark, pairs):
+    """Small blocks rank as one large block does."""
+    users, items = I.ids(pairs, "user"), I.ids(pairs, "item")
+    g = np.random.default_rng(2)
+    rows = [("user", u, g.normal(size=3).tolist()) for u in range(40)] + [("item", i, g.normal(size=3).tolist()) for i in range(8)]
+    f = spark.createDataFrame(rows, "side string, idx int, factors array<float>")
+    one, many = (sorted(map(tuple, M.factor_top(f, pairs, users, items, 4, *size).select("user", "item", "rank").collect())) for size in ((512, 4096), (7, 3)))
+    assert one == many
 
 
 def test_kpi_edges(spark):
@@ -144,6 +202,8 @@ def test_kpi_edges(spark):
     r = K.top_month(df, F.sum("qty")).first()
     assert (r.year, r.month, r.v) == (2024, 1, 3)
     assert K.sparsity(df.limit(0)).first()[0] is None
+    named = spark.createDataFrame([("k", 1, "Zeta", 1), ("k", 1, "Alpha", 2)], "item_code string, qty long, site_name string, pos long")
+    assert K.top_items(named).first().site_name == "Zeta"  # the first in the table, not of the alphabet
     top = K.top_items(df).collect()
     assert [(r.item_code, r.site_name, r.qty) for r in top] == [("i", "name not found (i)", 5), ("j", "J", 3)]
 
@@ -152,3 +212,30 @@ def test_queries_use_the_operators_own_model():
     from retailflow.plans import catalog
 
     assert catalog.CFG == I.Config() and (catalog.CFG.dims, catalog.CFG.epochs) == (64, 20)
+
+
+def test_training_driver_and_command_line(spark, tmp_path, monkeypatch, capsys):
+    from retailflow import cli
+    from retailflow.operators import train as T
+
+    folder, artifacts = str(tmp_path / "tables"), str(tmp_path / "models")
+    day = dt.date(2024, 1, 1)
+    g = np.random.default_rng(6)
+    rows = [(f"u{u}", f"i{i + 5 * (u % 2)}", day + dt.timedelta(days=int(k)), "2") for u in range(20) for k, i in enumerate(g.permutation(5)[:4])]
+    orders = spark.createDataFrame(rows, "customer_id string, item_code string, event_date date, qty string")
+    orders.write.parquet(f"{folder}/orders")
+    orders.limit(0).select("customer_id", "item_code", "event_date").write.parquet(f"{folder}/favorites")
+    orders.limit(0).selectExpr("customer_id", "item_code", "event_date", "'' AS item_type").write.parquet(f"{folder}/views")
+    spark.createDataFrame([("i0", "zero")], "item_code string, site_name string").write.parquet(f"{folder}/items")
+    cfg = I.Config(dims=4, epochs=2, top_k=3, ease_l2=1.0)
+    found = T.train(spark, folder, artifacts, cfg).collect()
+    assert [(r.model, r.epoch) for r in found] == [("bprmf", 1), ("bprmf", 2), ("ease", None)] and found[2].recall > 0.5
+    assert spark.read.parquet(f"{artifacts}/metrics").count() == 3
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    for model in ("ease", "bprmf"):
+        best = T.recommend(spark, folder, artifacts, "u0", 3, model).collect()
+        assert [r.rank for r in best] == list(range(1, len(best) + 1)) and best
+        assert cli.main(["--tables", folder, "--artifacts", artifacts, "--recommend", "u0", "--k", "3", "--model", model]) == 0
+    assert "1. " in capsys.readouterr().out
+    assert cli.main(["--tables", folder, "--artifacts", artifacts, "--recommend", "nobody", "--status"]) == 0
+    assert "no history" in capsys.readouterr().out
