@@ -87,9 +87,10 @@ def finance_text(df: DataFrame) -> DataFrame:
 
 
 def top_items(df: DataFrame, n: int = 5) -> DataFrame:
-    """Items of the largest quantity with the first name that their code has."""
+    """Items of the largest quantity with the first name that their code has: by pos where
+    the table has it, else the least of its names."""
     best = R.top(df, ["item_code"], F.sum("qty").cast("long"), n, "qty")
-    names = R.first_by(df.join(F.broadcast(best.select("item_code")), "item_code", "left_semi"), "item_code", "site_name", "site_name")
+    names = R.first_by(df.join(F.broadcast(best.select("item_code")), "item_code", "left_semi"), "item_code", "site_name", "pos" if "pos" in df.columns else "site_name")
     found = best.join(names, "item_code", "left")
     return found.select("item_code", F.coalesce("site_name", F.concat(F.lit("name not found ("), F.col("item_code").cast("string"), F.lit(")"))).alias("site_name"), "qty").orderBy(F.desc("qty"), "item_code")
 

@@ -10,9 +10,10 @@ from retailflow.operators import interactions as I
 from retailflow.operators import kpi as K
 from retailflow.operators import recommend as M
 from retailflow.operators import relational as R
-from retailflow.plans import reports
+from retailflow.plans import ingest, reports
 from retailflow.plans import testbed as B
-from retailflow.sources import tables
+from retailflow.sources import schema, tables
+from retailflow.storage import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +70,55 @@ over("orders", "customer_lookup", lambda d: d.where(F.col("customer_id") == 7).s
 over("orders", "first_names", lambda d: R.first_by(d, "item_code", "site_name", "order_id"), "SELECT item_code, min(site_name) AS site_name FROM {t} WHERE site_name IS NOT NULL GROUP BY 1", False)
 over("orders", "sorted_by_date", lambda d: R.sorted_by_date(d.groupBy("event_date").agg(QTY().alias("qty"))), "SELECT event_date, CAST(sum(qty) AS BIGINT) AS qty FROM {t} GROUP BY 1 ORDER BY 1 NULLS LAST", False)
 
+# ---------------------------------------------------------------- pipelines from raw exports
+
+
+def _etl(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A processed table by the pipelines, from raw cells over the driver's tables."""
+    raw = B.raw(spark, sf_dir, kind)
+    if kind in ("items", "categories"):
+        return getattr(ingest, kind)(raw)
+    needs = ["items", "categories"] if kind == "views" else ["items"]
+    return getattr(ingest, kind)(raw, *[_etl(spark, sf_dir, n) for n in needs])
+
+
+for kind in schema.COLUMNS:
+    QUERIES[f"etl_{kind}"] = lambda s, d, k=kind: _etl(s, d, k)
+    ORACLES[f"etl_{kind}"] = B.etl_sql(kind)
+    if kind not in ("items", "categories"):
+        QUERIES[f"etl_{kind}_selection"] = lambda s, d, k=kind: R.selection(_etl(s, d, k))
+        ORACLES[f"etl_{kind}_selection"] = B.etl_sql(kind, True)
+
+
+def _loaded(spark: SparkSession, sf_dir: str, kind: str, selection: bool | None, modes: tuple[str, ...] = ("replace",)) -> DataFrame:
+    """A table that was loaded from export files of the raw cells, as the command line does."""
+    folder = new_folder(spark, "tables")
+    for name in dict.fromkeys(("items", "categories", kind)):
+        sep, names = schema.RAW[name]
+        raw, path = B.raw(spark, sf_dir, name), new_folder(spark, "export")
+        raw.select(*[F.col(v).alias(k) for k, v in names.items()]).write.options(sep=sep, header=True, quote='"', escape='"', emptyValue="").csv(path)
+        for mode in modes if name == kind else ("replace",):
+            ingest.load(spark, path, name, folder, mode)
+    return tables.read_table(spark, folder, kind, selection).select(*schema.COLUMNS[kind])
+
+
+def _written_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "csv")
+    tables.write_csv(_etl(spark, sf_dir, "categories"), path)
+    return tables.read_processed(spark, path)
+
+
+QUERIES["loaded_orders"] = lambda s, d: _loaded(s, d, "orders", False)
+ORACLES["loaded_orders"] = B.etl_sql("orders")
+QUERIES["loaded_favorites_selection"] = lambda s, d: _loaded(s, d, "favorites", None)
+ORACLES["loaded_favorites_selection"] = B.etl_sql("favorites", True)
+QUERIES["loaded_views_twice"] = lambda s, d: _loaded(s, d, "views", False, ("replace", "append")).groupBy("item_type").agg(N().alias("n"))
+ORACLES["loaded_views_twice"] = f"SELECT item_type, 2 * count(*) AS n FROM ({B.etl_sql('views')}) GROUP BY 1"
+QUERIES["processed_csv"] = _written_csv
+ORACLES["processed_csv"] = B.etl_sql("categories")
+QUERIES["appended_rows"] = lambda s, d: tables.append_all(_etl(s, d, "categories"), _etl(s, d, "items").select("item_code", F.col("item_name").alias("category_name")))
+ORACLES["appended_rows"] = f"SELECT category_code, category_name, parent_code, NULL::VARCHAR AS item_code FROM ({B.etl_sql('categories')}) UNION ALL SELECT NULL, item_name, NULL, item_code FROM ({B.etl_sql('items')})"
+
 # ---------------------------------------------------------------- scalar functions
 over("orders", "clean_discount", lambda d: d.groupBy("discount_pct").agg(N().alias("n")), "SELECT discount_pct, count(*) AS n FROM {t} GROUP BY 1", False)
 over("orders", "clean_age_group", lambda d: d.groupBy("age_group").agg(N().alias("n")), "SELECT age_group, count(*) AS n FROM {t} GROUP BY 1", False)
@@ -242,7 +292,7 @@ def _cooc(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     train, held = _split(s, d)
     other = train.select("user", F.col("item").alias("j"))
     co = train.join(other, "user").where("item <> j").groupBy("item", F.col("j").alias("other")).agg(N().cast("double").alias("b"))
-    return M.top_unseen(M.ease_scores(train, co), 10), held
+    return M.ease_top(train, co, 10), held
 
 
 model("cooc_topk", lambda s, d: _cooc(s, d)[0].select("user", "item", "score", "rank"), COOC + ' SELECT "user", item, score, rank FROM rk')
@@ -257,7 +307,7 @@ def _ease(s: SparkSession, d: str):
 
 def _ease_topk(s: SparkSession, d: str) -> DataFrame:
     _, train, _, b = _ease(s, d)
-    return M.top_unseen(M.ease_scores(train, b), 20)
+    return M.ease_top(train, b, 20)
 
 
 def _ease_eval(s: SparkSession, d: str) -> DataFrame:
@@ -303,5 +353,13 @@ model("ease_recommend", _ease_recommend)
 model("bpr_topk", _factor_topk("bpr"))
 model("bpr_eval", _bpr_eval)
 model("als_topk", _factor_topk("als"))
-model("weighted_batch", lambda s, d: I.weighted_sample(_split(s, d)[0], 256))
-model("negatives", _negatives)
+DRAWN = """CAST('0x' || substr(md5(concat_ws(':', "user", item, '42'{})), 1, 8) AS BIGINT)"""
+model("weighted_batch", lambda s, d: I.weighted_sample(_split(s, d)[0], 256), f'SELECT "user", item, w FROM train ORDER BY ln(({DRAWN.format("")} + 0.5) / 4294967296.0) / w DESC, "user", item LIMIT 256')
+model(
+    "negatives",
+    _negatives,
+    f""", its AS (SELECT item AS other, row_number() OVER (ORDER BY item) - 1 AS idx FROM (SELECT DISTINCT item FROM ev)),
+tries AS (SELECT "user", item, k, {DRAWN.format(", '1', k")} % (SELECT count(*) FROM its) AS idx FROM train, generate_series(1, 25) AS g(k)),
+free AS (SELECT r."user", r.item, r.k, i.other FROM tries r JOIN its i USING (idx) WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."user" = r."user" AND t.item = i.other))
+SELECT "user", arg_min(other, k) AS item FROM free GROUP BY "user", free.item""",
+)

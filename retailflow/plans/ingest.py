@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from retailflow.functions import clean as C
 from retailflow.operators import relational as R
 from retailflow.sources import schema, tables
+from retailflow.storage import written
 
 
 def _nulls(df: DataFrame) -> DataFrame:
@@ -20,6 +21,11 @@ def _nulls(df: DataFrame) -> DataFrame:
     return df.select(*[C.known(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
+def _table(df: DataFrame, kind: str) -> DataFrame:
+    """The columns of a kind of table, and pos where the export has it."""
+    return df.select(*schema.COLUMNS[kind], *(["pos"] if "pos" in df.columns else []))
+
+
 def _person(df: DataFrame) -> DataFrame:
     """Columns about the customer, from the raw ones."""
     born = C.to_date("birth_date")
@@ -40,12 +46,12 @@ def _person(df: DataFrame) -> DataFrame:
 
 def items(raw: DataFrame) -> DataFrame:
     df = R.not_blank(raw, "item_code").withColumn("item_code", C.bare_id("item_code")).withColumn("site_category", C.category("site_category"))
-    return _nulls(df).select(*schema.COLUMNS["items"]).orderBy("item_code")
+    return _table(_nulls(df), "items").orderBy("item_code")
 
 
 def categories(raw: DataFrame) -> DataFrame:
     df = raw.withColumns({c: C.category(c) for c in ("category_code", "parent_code")})
-    return _nulls(df).select(*schema.COLUMNS["categories"]).orderBy("category_code")
+    return _table(_nulls(df), "categories").orderBy("category_code")
 
 
 def _item_facts(items: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def orders(raw: DataFrame, items: DataFrame) -> DataFrame:
     df = df.withColumns({c: C.whole(c) for c in ("qty", "base_price", "line_amount")})
     df = df.withColumn("base_amount", F.col("base_price") * F.col("qty"))
     df = _person(df.withColumn("discount_pct", C.discount_pct("base_amount", "line_amount")))
-    return R.sorted_by_date(_nulls(R.lookup(df, _item_facts(items), "item_code")).select(*schema.COLUMNS["orders"]))
+    return R.sorted_by_date(_table(_nulls(R.lookup(df, _item_facts(items), "item_code")), "orders"))
 
 
 def views(raw: DataFrame, items: DataFrame, categories: DataFrame) -> DataFrame:
@@ -71,31 +77,31 @@ def views(raw: DataFrame, items: DataFrame, categories: DataFrame) -> DataFrame:
     df = _person(df.withColumn("item_code", F.coalesce("category_code", C.item_code("code_ru", "code_kz"))).drop("category_code"))
     names = categories.select(F.col("category_code").alias("_code"), "category_name")
     df = R.lookup(R.lookup(df, _item_facts(items), "item_code"), names, F.col("item_code") == F.col("_code"))
-    return R.sorted_by_date(_nulls(df).select(*schema.COLUMNS["views"]))
+    return R.sorted_by_date(_table(_nulls(df), "views"))
 
 
 def favorites(raw: DataFrame, items: DataFrame) -> DataFrame:
     """Added favourites; rows that set a whole list go, rows without an operation stay."""
     df = R.not_equal(R.drop_all_null(raw, ["code_ru", "code_kz"]), "operation", schema.SET_OPERATION)
     df = _person(df.withColumn("item_code", C.item_code("code_ru", "code_kz")))
-    return R.sorted_by_date(_nulls(R.lookup(df, _item_facts(items), "item_code")).select(*schema.COLUMNS["favorites"]))
+    return R.sorted_by_date(_table(_nulls(R.lookup(df, _item_facts(items), "item_code")), "favorites"))
 
 
-def load(spark, path: str, kind: str, folder: str, mode: str = "replace", encoding: str | None = None, key: list[str] | None = None) -> DataFrame:
+def load(spark, path: str, kind: str, folder: str, mode: str = "replace", encoding: str | None = None, key: list[str] | None = None, multiline: bool = True) -> DataFrame:
     """Read one raw export, process it and write its tables into the folder.
 
     Events are written in full and as the selection, in either mode; items and categories
-    are always replaced. Orders and favourites need items first, views categories too.
+    are always replaced. Orders and favourites need items first, views categories too. The
+    rows are computed once, and both tables are written from them.
     """
-    raw = tables.read_raw(spark, path, kind, encoding)
+    raw = tables.read_raw(spark, path, kind, encoding, multiline)
     if kind in ("items", "categories"):
-        out = items(raw) if kind == "items" else categories(raw)
-        tables.write_table(out, tables.table_path(folder, kind))
-        return out
+        tables.write_table(items(raw) if kind == "items" else categories(raw), tables.table_path(folder, kind))
+        return tables.read_table(spark, folder, kind, False)
     needs = ["items", "categories"] if kind == "views" else ["items"]
     tables.require_tables(spark, folder, needs)
     known = [tables.read_table(spark, folder, n, selection=False) for n in needs]
-    out = {"orders": orders, "views": views, "favorites": favorites}[kind](raw, *known)
+    out = written({"orders": orders, "views": views, "favorites": favorites}[kind](raw, *known), kind)
     tables.write_table(out, tables.table_path(folder, kind), mode, key)
     tables.write_table(R.selection(out), tables.table_path(folder, kind, True), mode, key)
     return out

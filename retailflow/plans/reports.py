@@ -1,7 +1,8 @@
 """The composite reports as (section, key, value) rows, and their dispatcher.
 
-One function each; the selection is the same report on fewer rows. The typed input is
-kept for the duration of the report, and scalar figures share one aggregation.
+One function each; the selection is the same report on fewer rows. The columns that a
+report reads are written once, however they were joined, and its figures are small
+aggregations of that table; scalar figures share one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from retailflow.functions import clean as C
 from retailflow.operators import kpi as K
 from retailflow.operators import relational as R
+from retailflow.storage import written
 
 ROW = ["section", "key", "value"]
 
@@ -26,11 +28,17 @@ def _rows(df: DataFrame, section: str, key: Column | None = None, value: str | N
     return df.select(F.explode(cells).alias("c")).select(F.lit(section).alias("section"), "c.key", "c.value")
 
 
+def _kept(df: DataFrame, columns: str) -> DataFrame:
+    names = columns.split()
+    return written(df.select(*names, *(["pos"] if "pos" in df.columns else [])), "report")
+
+
 def _people(df: DataFrame, measure: Column) -> list[DataFrame]:
     return [_rows(K.sex_share(df, measure), "sex", F.col("sex"), "pct"), _rows(K.age_stats(df), "age"), _rows(K.age_group_mode(df), "age_group"), _rows(K.period(df), "period")]
 
 
 def orders_report(df: DataFrame) -> DataFrame:
+    df = _kept(df, "event_date order_id store item_code site_name qty line_amount discount_pct currency customer_id sex age age_group")
     qty = F.sum("qty")
     facts = K.totals(df, qty=F.sum("qty"), orders=F.countDistinct("order_id"), clients=F.countDistinct("customer_id"), items=F.countDistinct("item_code"))
     stores = R.top(df, ["store"], qty.cast("long"), 5, "qty")
@@ -48,6 +56,7 @@ def orders_report(df: DataFrame) -> DataFrame:
 
 
 def views_report(df: DataFrame) -> DataFrame:
+    df = _kept(df, "event_date item_code site_name category_name item_type customer_id sex age age_group")
     n = F.count(F.lit(1))
     kind = lambda k: F.countDistinct(F.when(F.col("item_type") == k, F.col("item_code")))
     facts = K.totals(df, views=n, clients=F.countDistinct("customer_id"), items=kind(C.IS_ITEM), categories=kind(C.IS_CATEGORY))
@@ -65,6 +74,7 @@ def views_report(df: DataFrame) -> DataFrame:
 
 
 def favorites_report(df: DataFrame) -> DataFrame:
+    df = _kept(df, "event_date item_code site_name customer_id sex age age_group")
     n = F.count(F.lit(1))
     facts = K.totals(df, favorites=n, clients=F.countDistinct("customer_id"), items=F.countDistinct("item_code"))
     parts = [

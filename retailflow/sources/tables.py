@@ -28,9 +28,20 @@ def require_columns(df: DataFrame, names, what: str = "table") -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, path: str, sample: int = 1 << 20) -> str:
-    """UTF-8 if the first bytes of a file decode as such, else windows-1251."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("b")).first()
-    raw = bytes(head["b"]) if head else b""
+    """UTF-8 if the first bytes of a file decode as such, else windows-1251; of a folder the
+    first file is looked at. No more than the sample is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        files = sorted(f.getPath().toString() for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        if not files:
+            return "utf-8"
+        at = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = fs.open(at)
+    try:
+        raw = bytes(stream.readNBytes(sample))
+    finally:
+        stream.close()
     try:
         raw.decode("utf-8")
     except UnicodeDecodeError as e:
@@ -39,23 +50,29 @@ def detect_encoding(spark: SparkSession, path: str, sample: int = 1 << 20) -> st
     return "utf-8"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = "|", encoding: str = "utf-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = "|", encoding: str = "utf-8", multiline: bool = True, position: str | None = None) -> DataFrame:
     """All columns as strings; quoted separators, doubled quotes and line feeds are read.
 
+    With multiline=False no cell may hold a line feed, and a large file is read by many
+    tasks. `position` names a column to be added that orders rows as they stand in the files.
     Charsets other than UTF-8 need spark.sql.legacy.javaCharsets. A byte order mark goes.
     """
-    df = spark.read.options(sep=sep, encoding=encoding, header=True, quote='"', escape='"', multiLine=True, inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    df = spark.read.options(sep=sep, encoding=encoding, header=True, quote='"', escape='"', multiLine=multiline, inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    names = [c.lstrip("﻿").strip() for c in df.columns]
+    if position:
+        place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        return df.select("*", place.alias(position)).toDF(*names, position)
+    return df.toDF(*names)
 
 
-def read_raw(spark: SparkSession, path: str, kind: str, encoding: str | None = None) -> DataFrame:
-    """A raw export by kind, pruned to its contract and renamed."""
+def read_raw(spark: SparkSession, path: str, kind: str, encoding: str | None = None, multiline: bool = True) -> DataFrame:
+    """A raw export by kind, pruned to its contract and renamed; pos orders rows as in the files."""
     if kind not in schema.RAW:
         raise ValueError(f"unknown kind of dataset: {kind}")
     sep, names = schema.RAW[kind]
-    df = read_csv(spark, path, sep, encoding or detect_encoding(spark, path))
+    df = read_csv(spark, path, sep, encoding or detect_encoding(spark, path), multiline, "pos")
     require_columns(df, names, f"raw {kind}")
-    return df.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+    return df.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()], "pos")
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +84,7 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Processed rows under their file headers."""
     names = {v: k for k, v in schema.HEADERS.items()}
-    df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns]).write.mode(mode).options(sep="|", header=True, quote='"', escape='"', encoding="UTF-8").csv(path)
+    df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns if c != "pos"]).write.mode(mode).options(sep="|", header=True, quote='"', escape='"', encoding="UTF-8").csv(path)
 
 
 def table_path(folder: str, kind: str, selection: bool = False) -> str:
@@ -123,8 +140,9 @@ def append_all(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def item_names(items: DataFrame) -> DataFrame:
-    """(item_code, site_name): of several rows of a code the last one with a name wins."""
+    """(item_code, site_name): of several rows of a code the last one with a name wins, by
+    pos where the table has it."""
     if not {"item_code", "site_name"} <= set(items.columns):
         return items.sparkSession.createDataFrame([], "item_code string, site_name string")
-    named = items.where("item_code IS NOT NULL AND site_name IS NOT NULL").withColumn("_at", F.monotonically_increasing_id())
+    named = items.where("item_code IS NOT NULL AND site_name IS NOT NULL").withColumn("_at", F.col("pos") if "pos" in items.columns else F.monotonically_increasing_id())
     return named.groupBy("item_code").agg(F.max_by("site_name", "_at").alias("site_name"))

@@ -48,13 +48,13 @@ def loaded(spark, tmp_path):
 
 def test_items_and_categories(spark, loaded):
     items = tables.read_table(spark, loaded, "items", False)
-    assert items.columns == schema.COLUMNS["items"]
+    assert items.columns == [*schema.COLUMNS["items"], "pos"]
     assert items.count() == 4  # the blank code is gone, the repeated one stays
     assert items.where("site_name LIKE '%|%'").count() == 1
     assert items.where("item_code = '100003'").first()["site_name"] is None
     assert tables.read_table(spark, loaded, "categories").first()["category_code"] == "25"
     names = {r.item_code: r.site_name for r in tables.item_names(items).collect()}
-    assert set(names) == {"100001", "100002"}
+    assert names == {"100001": "Пальто", "100002": "Носки"}  # of two rows the file's last
 
 
 def test_orders(spark, loaded, tmp_path):
@@ -63,7 +63,7 @@ def test_orders(spark, loaded, tmp_path):
     rows = {}
     for r in out.collect():
         rows.setdefault(r.order_id, []).append(r)
-    assert out.columns == schema.COLUMNS["orders"]
+    assert out.columns == [*schema.COLUMNS["orders"], "pos"]
     assert set(rows) == {"1", "2", "3"} and len(rows["3"]) == 2
     a = rows["1"][0]
     assert (a.qty, a.base_amount, a.discount_pct, a.currency, a.age, a.sex, a.store) == (1, 200, 2, "RUB", 18, "Мужской", "ИНТЕРНЕТ-МАГАЗИН")
@@ -109,7 +109,9 @@ def test_contracts(spark, tmp_path):
 def test_charsets_and_files(spark, tmp_path):
     path = write(tmp_path / "i.csv", "items", ITEMS, encoding="cp1251")
     assert tables.detect_encoding(spark, path) == "windows-1251"
-    assert tables.read_raw(spark, path, "items").first()["item_name"] == "Пальто"
+    raw = tables.read_raw(spark, path, "items")
+    assert [r.item_name for r in raw.orderBy("pos").collect()] == [r.get("item_name") for r in ITEMS]
+    assert tables.read_raw(spark, path, "items", multiline=False).count() == len(ITEMS)
     df = spark.createDataFrame([("1", 'a "b" | c\nd'), ("2", None)], "item_code string, item_name string")
     tables.write_csv(df, str(tmp_path / "out"))
     back = {r.item_code: r.item_name for r in tables.read_processed(spark, str(tmp_path / "out")).collect()}
