@@ -91,6 +91,11 @@ def profile(events: DataFrame, user) -> DataFrame:
     return events.where(F.col("user") == F.lit(user)).groupBy("item").agg(F.sum("w").alias("w"))
 
 
+def known_items(profile: DataFrame, items: DataFrame) -> DataFrame:
+    """What of a profile is about items of a model, (item, idx)."""
+    return profile.join(items.select("item"), "item", "left_semi")
+
+
 def gram(train: DataFrame, heavy: int = 1000) -> DataFrame:
     """(i, j, g): item co-occurrence, the weights' products summed over users.
 

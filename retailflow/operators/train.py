@@ -57,7 +57,7 @@ def recommend(spark: SparkSession, folder: str, artifacts: str, user: str, k: in
     """The k best items for a customer by a trained model; no rows for one without history."""
     cfg, frames = M.load(spark, artifacts, "items", "users", "train", "ease" if model == "ease" else "factors")
     names = tables.item_names(tables.read_table(spark, folder, "items", selection=False)) if tables.exists(spark, tables.table_path(folder, "items")) else spark.createDataFrame([], "item_code string, site_name string")
-    own = I.profile(load_events(spark, folder, cfg), user).join(F.broadcast(frames["items"].select("item")), "item")
+    own = I.known_items(I.profile(load_events(spark, folder, cfg), user), frames["items"])
     if model == "ease":
         return M.recommend(own, frames["ease"], names, k)
     users = frames["users"].where(F.col("user") == user)

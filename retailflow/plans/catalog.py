@@ -141,11 +141,16 @@ add(
     lambda s, d: _customers(s, d).select("c_custkey", C.full_name("c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")), F.when(F.col("c_custkey") % 2 == 0, F.lit("C"))).alias("full_name")),
     "SELECT c_custkey, trim(c_mktsegment || ' ' || CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE '' END || ' ' || CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE '' END) AS full_name FROM customer",
 )
-TOKENS = lambda: F.element_at(F.array(*[F.lit(x) for x in ("-", "NULL", " x ", "nan", "42")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+CELLS = (*C.NULL_TOKENS, " x ", "42", "Nan")
 add(
     "clean_null_tokens",
-    lambda s, d: _customers(s, d).select("c_custkey", C.known(TOKENS()).alias("cell")),
-    "SELECT c_custkey, nullif(nullif(nullif(['-', 'NULL', ' x ', 'nan', '42'][c_custkey % 5 + 1], '-'), 'NULL'), 'nan') AS cell FROM customer",
+    lambda s, d: _customers(s, d).select("c_custkey", C.known(F.element_at(F.array(*map(F.lit, CELLS)), (F.col("c_custkey") % len(CELLS) + 1).cast("int"))).alias("cell")),
+    f"SELECT c_custkey, CASE WHEN c_custkey % {len(CELLS)} >= {len(C.NULL_TOKENS)} THEN [' x ', '42', 'Nan'][c_custkey % {len(CELLS)} - {len(C.NULL_TOKENS) - 1}] END AS cell FROM customer",
+)
+add(
+    "clean_missing_times",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", C.timestamp_or_epoch(F.when(F.col("o_orderkey") % 9 > 1, F.col("o_orderdate").cast("string")).when(F.col("o_orderkey") % 9 == 1, "bad")).alias("ts")),
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 1 THEN o_orderdate ELSE TIMESTAMP '1970-01-01' END AS ts FROM orders",
 )
 add(
     "clean_category_path",
@@ -282,6 +287,30 @@ model("id_maps_items", lambda s, d: I.ids(_events(s, d), "item"), "SELECT item,
 model("user_positives", lambda s, d: I.positives(_split(s, d)[0]).select("user", F.array_join("items", ",").alias("items")), """SELECT "user", string_agg(item, ',' ORDER BY item) AS items FROM train GROUP BY 1""")
 model("user_profile", lambda s, d: I.profile(_events(s, d), 7), 'SELECT item, sum(w) AS w FROM ev WHERE "user" = 7 GROUP BY 1')
 model("gram", lambda s, d: I.gram(_split(s, d)[0]), 'SELECT a.item AS i, b.item AS j, sum(a.w * b.w) AS g FROM train a JOIN train b ON a."user" = b."user" GROUP BY 1, 2')
+
+
+def _coded(s: SparkSession, d: str) -> DataFrame:
+    events = _events(s, d)
+    users, items = (I.ids(events, c).withColumnRenamed("idx", f"{c}_idx") for c in ("user", "item"))
+    return R.lookup(R.lookup(I.split(events)[0], users, "user", "inner"), items, "item", "inner").select("user_idx", "item_idx", "w")
+
+
+def _saved(s: SparkSession, d: str) -> DataFrame:
+    folder = new_folder(s, "artifacts")
+    M.save(folder, CFG, train=_split(s, d)[0])
+    return M.load(s, folder, "train")[1]["train"]
+
+
+def _known(s: SparkSession, d: str) -> DataFrame:
+    known = I.ids(_events(s, d).where("item % 3 <> 0"), "item")
+    names = tables.item_names(B.items(s, d)).withColumnRenamed("item_code", "item")
+    return R.lookup(I.known_items(I.profile(_events(s, d), 7), known), names, "item")
+
+
+CODES = ", {0}s AS (SELECT {0} AS {1}, CAST(row_number() OVER (ORDER BY {0}) - 1 AS INTEGER) AS {1}_idx FROM (SELECT DISTINCT {0} FROM ev))"
+model("coded_pairs", _coded, CODES.format('"user"', "u").replace('"user"s', "us") + CODES.format("item", "i").replace("items AS", "its AS") + ' SELECT u_idx AS user_idx, i_idx AS item_idx, w FROM train JOIN us ON "user" = u JOIN its ON item = i')
+model("saved_pairs", _saved, "SELECT * FROM train")
+model("known_profile", _known, 'SELECT item, sum(w) AS w, any_value(site_name) AS site_name FROM ev LEFT JOIN items_l ON item = item_code WHERE "user" = 7 AND item % 3 <> 0 GROUP BY 1')
 COOC = """, co AS (SELECT a.item AS i, b.item AS j, count(*) AS c FROM train a JOIN train b ON a."user" = b."user" AND a.item <> b.item GROUP BY 1, 2),
 sc AS (SELECT t."user", co.j AS item, sum(t.w * co.c) AS score FROM train t JOIN co ON t.item = co.i GROUP BY 1, 2),
 un AS (SELECT s.* FROM sc s ANTI JOIN train t ON s."user" = t."user" AND s.item = t.item),
