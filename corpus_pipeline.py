@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from retailflow.llm import dart_minhash, decontaminate, mixing, quality_conv, token_store
 from retailflow.llm.common import new_folder
@@ -20,9 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Trained as operator 1 is, on labelled rows of the input that aren't held out.
     """
     net = quality_conv.fit(docs, table(spark, sf_dir, "labels"), is_held_out)
-    scored = quality_conv.score(docs, net, keep=tuple(docs.columns), out=("_score", "_predicted"))
+    names = tuple("_" * (1 + max(map(len, docs.columns))) + n for n in ("score", "predicted"))  # clash with none
+    scored = quality_conv.score(docs, net, keep=tuple(docs.columns), out=names)
     # the kept columns hold the text itself, so nothing is joined
-    return scored.where("_predicted = 1").select(*docs.columns)
+    return scored.where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

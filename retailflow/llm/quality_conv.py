@@ -1,14 +1,16 @@
 """Operator 1: a byte-level convolutional network for document quality, in numpy.
 
-A document's bytes are cut into overlapping chunks that cover all of it. In a chunk,
-learned filters of WIDTH bytes slide along; their rectified responses are averaged. A
-second set of inputs is the chunk's self-match: how often a byte equals the one some lag
-before, for each lag, largest first, which shows repeated words whatever the words are.
-Learned units read these inputs in every chunk, and the largest and the mean value of each
-unit over the chunks are combined into one probability. So one bad chunk is enough to be
-seen, wherever in the document it is.
-
-The network is trained here, by Adam on a bounded sample of labelled rows, in one task.
+What a place shows is its byte, and whether the GRAM bytes from there on stood within the
+LOOK bytes before as well: 512 symbols. Learned filters of WIDTH places slide along a
+document from its first byte on; their rectified responses are summed over steps of STEP
+places. A second layer of learned filters looks at chunks of CHUNK steps, one beginning at
+every step, so that chunks overlap and cover the whole document. Each of these filters keeps
+its largest response over all chunks, and the largest ones are combined into one
+probability: so one bad chunk is enough to be seen, wherever in the document it is.
+
+A score depends on the bytes of the document alone: places are counted from its own start,
+and what stands beyond its end is zero. The network is trained here, by Adam on a bounded
+sample of labelled rows, in one task.
 """
 
 from __future__ import annotations
@@ -19,92 +21,69 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, prepare
+from .common import PIECE_BYTES, prepare, text_buffers
 
-#: Shape of the network: bytes a filter sees, bytes between places, filters, lags, units.
-WIDTH, STRIDE, FILTERS, UNITS = 6, 3, 12, 16
-LAGS = tuple(range(1, 41))
-TOP_LAGS = 4
-#: Bytes of a chunk, and of the step to the next.
-CHUNK, HOP = 512, 384
+#: Shape of the network: bytes that a filter sees and between its places, places of a step,
+#: steps of a chunk, filters of either layer.
+WIDTH, STRIDE, STEP, CHUNK = 6, 3, 6, 8
+FILTERS, UNITS = 12, 24
+#: Bytes that are looked for among those before, and how far back.
+GRAM, LOOK = 4, 48
+STEP_BYTES = STRIDE * STEP
 #: Labelled rows that the network is trained on at most (about 10 MB of text).
 TRAIN_ROWS = 3000
-EPOCHS, RATE, SEED = 10, 0.02, 11
+EPOCHS, LEAST_STEPS, RATE, SEED = 12, 400, 0.02, 11
 THRESHOLD = 0.3
-#: Bytes that are convolved at once.
-SLICE = 1 << 18
+#: Decimals of a score; below them the order of sums would show.
+DECIMALS = 9
 
 
-def chunks_of(size: int) -> np.ndarray:
-    """Where the chunks of a text of so many bytes begin; the last one reaches its end."""
-    return np.arange(0, max(1, size - (CHUNK - HOP)), HOP)
+class Cut:
+    """Some texts, or stretches of texts, laid out for the network.
 
+    Each has `steps` steps from byte `begin` of data on, and the LOOK bytes before as far as
+    its text (from `start` on) has them; places beyond its text hold zeros.
+    """
 
-class Cut:
-    """Some texts cut into chunks: begin and end in data, and the text of each chunk."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        sizes = np.diff(at)
-        number = np.maximum(1, -(-(sizes - (CHUNK - HOP)) // HOP))
-        self.doc = np.repeat(np.arange(len(sizes)), number)
-        first = np.cumsum(number) - number
-        k = np.arange(len(self.doc)) - np.repeat(first, number)
-        self.begin = at[:-1][self.doc] + k * HOP
-        self.end = np.minimum(self.begin + CHUNK, at[1:][self.doc])
-        self.first = first
-        self.data = data
-
-
-def _means(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Means of values[begin:end] along the first axis; 0 where that is empty."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
-    n = np.maximum(end - begin, 1).reshape(-1, *[1] * (values.ndim - 1))
-    return (total[end] - total[np.minimum(begin, end)]) / n
-
-
-def self_match(cut: Cut) -> np.ndarray:
-    """For each chunk its TOP_LAGS largest rates of bytes that equal the one a lag before."""
-    out = np.zeros((len(cut.doc), len(LAGS)), np.float32)
-    total = np.zeros(len(cut.data) + 1, np.int32)
-    for j, lag in enumerate(LAGS):
-        same = np.zeros(len(cut.data), bool)
-        same[lag:] = cut.data[lag:] == cut.data[:-lag] if lag < len(cut.data) else False
-        np.cumsum(same, out=total[1:], dtype=np.int32)
-        low = np.minimum(cut.begin + lag, cut.end)
-        out[:, j] = (total[cut.end] - total[low]) / np.maximum(cut.end - low, 1)
-        out[cut.end - low < 32, j] = 0  # too short to tell
-    return -np.sort(-out[:, 0:], axis=1)[:, :TOP_LAGS]
-
-
-def places(cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes at which filters are laid, and the range of these for each chunk."""
-    n = max(0, len(cut.data) - WIDTH + 1)
-    at = np.arange(0, n, STRIDE)
-    low = -(-cut.begin // STRIDE)
-    high = np.maximum(low, np.minimum((cut.end - WIDTH) // STRIDE + 1, len(at)))
-    return at, np.minimum(low, len(at)), np.minimum(high, len(at))
-
-
-def convolve(data: np.ndarray, at: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Responses of the filters at some places; table has a weight for each place, byte and
-    filter, so a convolution over one-hot bytes is a sum of looked-up rows."""
-    r = np.broadcast_to(bias, (len(at), FILTERS)).astype(np.float32)
-    for k in range(WIDTH):
-        r += table[k][data[at + k]]
-    return r
+    def __init__(self, data: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: np.ndarray | None = None):
+        size = end - begin
+        whole = np.maximum(1, -(-size // STEP_BYTES))
+        self.steps = np.maximum(CHUNK, whole if steps is None else steps)
+        # own places in a copy, as many as its steps reach
+        room = self.steps * STEP_BYTES + WIDTH - STRIDE + GRAM - 1
+        at = np.cumsum(room + LOOK) - room
+        copy = np.zeros(int((room + LOOK).sum()), np.uint8)
+        before = np.minimum(begin - start, LOOK)
+        n = before + np.minimum(size, room)
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n + before, n)
+        copy[k + np.repeat(at, n)] = data[k + np.repeat(begin, n)]
+        gram = copy[: len(copy) - GRAM + 1].astype(np.uint32)
+        for k in range(1, GRAM):
+            gram |= copy[k : len(copy) - GRAM + 1 + k].astype(np.uint32) << np.uint32(8 * k)
+        again = np.zeros(len(gram), bool)
+        for lag in range(2, LOOK + 1):
+            again[lag:] |= gram[lag:] == gram[:-lag]
+        self.symbol = copy[: len(gram)] + again * np.uint16(256)
+        self.first = np.cumsum(self.steps) - self.steps
+        total = int(self.steps.sum())
+        step = np.arange(total) - np.repeat(self.first, self.steps)
+        base = np.repeat(at, self.steps) + step * STEP_BYTES
+        self.place = (base[:, None] + np.arange(STEP) * STRIDE).ravel()
+        # the steps at which chunks begin, and each text's first one of these
+        own = self.steps - CHUNK + 1
+        self.chunk_first = np.cumsum(own) - own
+        self.chunk = np.repeat(self.first, own) + np.arange(int(own.sum())) - np.repeat(self.chunk_first, own)
 
 
 class Network:
     def __init__(self, seed: int = SEED):
         g = np.random.default_rng(seed)
-        inputs = FILTERS + TOP_LAGS
         self.p = {
-            "table": g.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32),
+            "table": g.normal(0, 0.15, (WIDTH, 512, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "units": g.normal(0, 0.4, (inputs, UNITS)).astype(np.float32),
+            "chunks": g.normal(0, 0.08, (CHUNK, FILTERS, UNITS)).astype(np.float32),
             "shift": np.zeros(UNITS, np.float32),
-            "out": g.normal(0, 0.3, 2 * UNITS).astype(np.float32),
+            "out": g.normal(0, 0.3, UNITS).astype(np.float32),
             "last": np.zeros(1, np.float32),
         }
 
@@ -120,75 +99,105 @@ class Network:
             net.p = {k: z[k] for k in z.files}
         return net
 
-    def _chunk_inputs(self, cut: Cut) -> np.ndarray:
-        at, low, high = places(cut)
-        total = np.zeros((len(at) + 1, FILTERS))
-        for i in range(0, len(at), SLICE // STRIDE):
-            r = np.maximum(convolve(cut.data, at[i : i + SLICE // STRIDE], self.p["table"], self.p["bias"]), 0)
-            np.cumsum(r, axis=0, dtype=np.float64, out=total[i + 1 : i + 1 + len(r)])
-            total[i + 1 : i + 1 + len(r)] += total[i]
-        mean = (total[high] - total[low]) / np.maximum(high - low, 1)[:, None]
-        return np.concatenate([mean.astype(np.float32), self_match(cut)], axis=1)
-
-    def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The probability of label 1 for each text of data, cut at `at`."""
-        cut = Cut(data, at)
-        h = np.tanh(self._chunk_inputs(cut) @ self.p["units"] + self.p["shift"])
-        number = np.diff(np.append(cut.first, len(cut.doc)))
-        pooled = np.concatenate([np.maximum.reduceat(h, cut.first), np.add.reduceat(h, cut.first) / number[:, None]], axis=1)
-        return 1 / (1 + np.exp(-(pooled @ self.p["out"] + self.p["last"][0]).astype(np.float64)))
+    def responses(self, cut: Cut) -> np.ndarray:
+        """First filters at every place; the table has a weight for each place, symbol and
+        filter, so a convolution over one-hot symbols is a sum of looked-up rows."""
+        r = np.broadcast_to(self.p["bias"], (len(cut.place), FILTERS)).astype(np.float32)
+        for k in range(WIDTH):
+            r += self.p["table"][k][cut.symbol[cut.place + k]]
+        return r
+
+    def second(self, steps: np.ndarray, cut: Cut) -> np.ndarray:
+        """Second filters on every chunk."""
+        out = np.zeros((len(cut.chunk), UNITS)) + self.p["shift"]
+        for k in range(CHUNK):
+            out += (steps @ self.p["chunks"][k].astype(np.float64))[cut.chunk + k]
+        return np.tanh(out)
+
+    def largest(self, cut: Cut) -> np.ndarray:
+        """Each text's largest response of each second filter."""
+        first = np.maximum(self.responses(cut), 0)
+        steps = first.reshape(-1, STEP, FILTERS).astype(np.float64).sum(1)
+        return np.maximum.reduceat(self.second(steps, cut), cut.chunk_first)
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray, piece: int = PIECE_BYTES) -> np.ndarray:
+        """The probability of label 1 for each text data[offsets[i] : offsets[i + 1]].
+
+        Long texts go in stretches that share CHUNK - 1 steps: the largest over stretches is
+        the largest over the whole.
+        """
+        most = max(1, piece // STEP_BYTES)
+        size = np.diff(offsets)
+        chunks = np.maximum(1, -(-size // STEP_BYTES) - CHUNK + 1)
+        parts = -(-chunks // most)
+        text = np.repeat(np.arange(len(size)), parts)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        steps = np.minimum(most, chunks[text] - k * most) + CHUNK - 1
+        start, end = offsets[:-1][text], offsets[1:][text]
+        begin = start + k * most * STEP_BYTES
+        pooled = np.full((len(size), UNITS), -np.inf)
+        load = np.cumsum(steps)
+        i = 0
+        while i < len(text):
+            j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + most, "right")))
+            np.maximum.at(pooled, text[i:j], self.largest(Cut(data, start[i:j], begin[i:j], end[i:j], steps[i:j])))
+            i = j
+        z = (pooled * self.p["out"].astype(np.float64)).sum(1) + float(self.p["last"][0])
+        return np.round(1 / (1 + np.exp(-z)), DECIMALS)
 
     def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 64, seed: int = SEED) -> None:
-        """Adam on the log loss, both labels weighing the same."""
+        """Adam on the log loss, both labels weighing the same; a small sample is gone over
+        until there are LEAST_STEPS."""
         g = np.random.default_rng(seed)
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(texts) // batch)))
         weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
-        fixed = {}
         for epoch in range(epochs):
             order = g.permutation(len(texts))
             for i in range(0, len(order), batch):
                 own = order[i : i + batch]
-                data = np.frombuffer(b"".join(texts[j] for j in own), np.uint8)
-                cut = Cut(data, np.cumsum([0, *(len(texts[j]) for j in own)]))
-                at, low, high = places(cut)
-                raw = convolve(data, at, self.p["table"], self.p["bias"])
+                at = np.cumsum([0, *(len(texts[j]) for j in own)])
+                cut = Cut(np.frombuffer(b"".join(texts[j] for j in own), np.uint8), at[:-1], at[:-1], at[1:])
+                raw = self.responses(cut)
                 on = raw > 0
-                mean = _means(raw * on, low, high)
-                if any(j not in fixed for j in own):
-                    match = self_match(cut)
-                    for k, j in enumerate(own):
-                        fixed[j] = match[cut.doc == k]
-                else:
-                    match = np.concatenate([fixed[j] for j in own])
-                x = np.concatenate([mean, match], axis=1).astype(np.float32)
-                h = np.tanh(x @ self.p["units"] + self.p["shift"])
-                number = np.diff(np.append(cut.first, len(cut.doc)))
-                top = np.maximum.reduceat(h, cut.first)
-                pooled = np.concatenate([top, np.add.reduceat(h, cut.first) / number[:, None]], axis=1)
+                steps = (raw * on).reshape(-1, STEP, FILTERS).astype(np.float64).sum(1)
+                h = self.second(steps, cut)
+                pooled = np.maximum.reduceat(h, cut.chunk_first)
                 y = 1 / (1 + np.exp(-(pooled @ self.p["out"] + self.p["last"][0])))
-                d = ((y - labels[own]) * weight[own] / len(own)).astype(np.float32)
-                grad = {"out": pooled.T @ d + 1e-4 * self.p["out"], "last": np.array([d.sum()], np.float32)}
-                dp = d[:, None] * self.p["out"][None, :]
-                is_top = h == top[cut.doc]
-                is_top = is_top / np.add.reduceat(is_top, cut.first)[cut.doc]
-                dh = (dp[cut.doc, :UNITS] * is_top + dp[cut.doc, UNITS:] / number[cut.doc][:, None]) * (1 - h * h)
-                grad["units"], grad["shift"] = x.T @ dh + 1e-4 * self.p["units"], dh.sum(0)
-                dm = (dh @ self.p["units"].T)[:, :FILTERS] / np.maximum(high - low, 1)[:, None]
-                spread = np.zeros((len(at) + 1, FILTERS))
-                np.add.at(spread, low, dm)
-                np.add.at(spread, high, -dm)
-                dr = (np.cumsum(spread, axis=0)[:-1] * on).astype(np.float32)
+                d = (y - labels[own]) * weight[own] / len(own)
+                grad = {"out": pooled.T @ d + 1e-4 * self.p["out"], "last": np.array([d.sum()])}
+                number = np.diff(np.append(cut.chunk_first, len(cut.chunk)))
+                text = np.repeat(np.arange(len(own)), number)
+                # the gradient goes to one largest chunk of each text and filter
+                key = np.where(h == pooled[text], np.arange(len(h))[:, None], len(h))
+                best = np.minimum.reduceat(key, cut.chunk_first).ravel()
+                unit = np.tile(np.arange(UNITS), len(own))
+                dz = (d[:, None] * self.p["out"] * (1 - pooled * pooled)).ravel()
+                grad["shift"] = np.bincount(unit, dz, UNITS)
+                dh = np.zeros((len(h), UNITS))
+                dh[best, unit] = dz
+                rows = np.unique(best)
+                dh = dh[rows]
+                grad["chunks"] = np.empty((CHUNK, FILTERS, UNITS))
+                ds = np.zeros_like(steps)
+                for k in range(CHUNK):
+                    where = cut.chunk[rows] + k
+                    grad["chunks"][k] = steps[where].T @ dh + 1e-4 * self.p["chunks"][k]
+                    ds[where] += dh @ self.p["chunks"][k].T
+                hot = np.flatnonzero(ds.any(1))
+                place = (hot[:, None] * STEP + np.arange(STEP)).ravel()
+                dr = np.repeat(ds[hot], STEP, axis=0) * on[place]
                 grad["bias"] = dr.sum(0)
                 grad["table"] = np.empty_like(self.p["table"])
                 for k in range(WIDTH):
-                    b = data[at + k]
+                    b = cut.symbol[cut.place[place] + k]
                     for f in range(FILTERS):
-                        grad["table"][k, :, f] = np.bincount(b, dr[:, f], 256)
+                        grad["table"][k, :, f] = np.bincount(b, dr[:, f], 512)
                 step += 1
                 for k in self.p:
                     m[k] += 0.1 * (grad[k] - m[k])
                     v[k] += 0.001 * (grad[k] ** 2 - v[k])
-                    self.p[k] -= (rate / (1 + epoch / 4) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (rate / (1 + 3 * epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
 def _train_task(batches):
@@ -210,20 +219,23 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAIN_ROWS, do
     either label where there are so many.
 
     The rows are those with the least hash of their id, so the sample is the same for the
-    same table. Null labels, and rows with neither 0 nor 1, aren't used. Without rows of
-    both labels the network is untrained and scores say nothing.
+    same table. Null labels, and rows with neither 0 nor 1, aren't used; of several labels
+    of an id the least is, and of several texts the one with the least hash. Without rows
+    of both labels the network is untrained and scores say nothing.
     """
     prepare(docs.sparkSession)
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND _id IS NOT NULL").dropDuplicates(["_id"])
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND _id IS NOT NULL").groupBy("_id").agg(F.min("label").alias("label"))
     known = known.where(~held_out(F.col("_id"))).withColumn("_o", F.xxhash64("_id", F.lit(SEED)))
     picked = None
     for value in (0, 1):
         some = known.where(F.col("label") == value).orderBy("_o", "_id").limit(rows // 2)
         picked = some if picked is None else picked.unionByName(some)
     # at most `rows` ids, so both sides of what follows are bounded
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
-    out = texts.select("_o", "_id", "text", "label").orderBy("_o", "_id").limit(rows).select("text", "label").coalesce(1).mapInArrow(_train_task, "net binary")
-    return Network.load(bytes(out.first()[0]))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id")
+    texts = texts.groupBy("_o", "_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    out = texts.orderBy("_o", "_id").limit(rows).select("text", "label").coalesce(1).mapInArrow(_train_task, "net binary")
+    made = out.first()  # none where there are no rows at all
+    return Network.load(bytes(made[0])) if made else Network()
 
 
 def score(
@@ -231,9 +243,10 @@ def score(
 ) -> DataFrame:
     """The kept columns, score (of label 1, from 0 to 1) and predicted of every row.
 
-    A score depends on the whole text and nothing else of the row. Empty and null texts
-    have the score of a text of no bytes. Every row gives one row; other columns are left
-    out. Outputs can be named otherwise by `out`; a kept name that clashes raises ValueError.
+    A score depends on the whole text and nothing else: equal texts score the same wherever
+    they stand. Empty and null texts have the score of a text of no bytes. Every row gives
+    one row, null and repeated ids too; other columns are left out. Outputs can be named
+    otherwise by `out`; a kept name that clashes raises ValueError. An empty table gives none.
     """
     import pyarrow as pa
 
@@ -250,7 +263,7 @@ def score(
         own = Network.load(shared.value)
         for batch in batches:
             if batch.num_rows:
-                s = np.concatenate([own.scores(p.data, p.at) for p in pieces(batch.column(name))])
+                s = own.scores(*text_buffers(batch.column(name)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(s)], names=[*(f.name for f in fields), out[0]])
 
     schema = rows.select(*keep).schema.add(out[0], "double")
