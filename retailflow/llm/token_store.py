@@ -5,10 +5,10 @@ passages give equal chunks wherever they stand. The store has three tables of Pa
 
 chunks     digest, n, width, payload: every distinct chunk once; little-endian ids of
            2 bytes where all are below 65536, else of 4
-recipes    one row a document in ascending doc_id order: its chunks' digests and lengths,
-           its own root (a hash of the digests) and the place of its first id
-manifest   a hash of the documents' roots for each range of documents, and of these hashes
-           the root of all
+recipes    one row a document in ascending doc_id order: its chunks' digests and where each
+           ends, its own root (a hash of the digests) and the place of its first id
+manifest   a Merkle tree's upper levels: a hash for each range of documents, of the hashes of
+           its blocks of FAN documents' roots; and of the ranges' hashes the root of all
 
 Reading back checks every chunk against its digest and every root against the manifest.
 The ids' crc32 is combined from those of the chunks as read, so no payload moves again.
@@ -20,6 +20,7 @@ encoded once, and no chunk's ids are shuffled to find out which chunks repeat.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from pathlib import Path
 
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_ids, drop_folder, new_folder, pieces, prepare, task_count, written
-from .units import Units, id_cache
+from .common import by_ids, drop_folder, new_folder, prepare, raw_pieces, task_count, written
+from .units import Units, id_cache, unit_places
 
 #: A chunk ends where the rolling hash of its last WINDOW ids has no bit of CUT: 512 ids
 #: on average. MOST ids end it in any case.
 WINDOW, CUT, MOST = 16, 511, 4096
+#: Hashes that are hashed together at most, up to FAN ** 3 documents a range.
+FAN = 4096
 _Q = 0xD6E8FEB86659FD93
 
 
@@ -69,14 +72,16 @@ def digest(ids: np.ndarray) -> bytes:
 def _encoded(batch, json_text: str, end_id: int):
     """For each piece of the batch: all ids with end ids, and where each document ends."""
     cache = id_cache(json_text)
-    for piece in pieces(batch.column("_text")):
-        units = Units(piece.data, piece.at)
-        ids, lengths = cache.ids_of(units)
-        total = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=total[1:])
-        each = np.zeros(len(units.counts) + 1, np.int64)
-        np.cumsum(units.counts, out=each[1:])
-        ends = total[each[1:]]
+    for _, own in itertools.groupby(raw_pieces(batch.column("_text"), unit_places), lambda p: p[2]):
+        parts, ends = [], np.zeros(1, np.int64)
+        for data, offsets, _ in own:  # several, if they are of one long text
+            units = Units(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+            ids, lengths = cache.ids_of(units)
+            total = np.zeros(len(lengths) + 1, np.int64)
+            np.cumsum(lengths, out=total[1:])
+            ends = ends[-1] + total[np.cumsum(units.counts)]
+            parts.append(ids)
+        ids = parts[0] if len(parts) == 1 else np.concatenate(parts)
         yield np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
@@ -95,12 +100,12 @@ def _documents_of(shared, end_id: int):
                 wide = np.maximum.reduceat(ids, begin) > 0xFFFF
                 digests = [hashlib.blake2b(raw[4 * b : 4 * e], digest_size=16).digest() for b, e in zip(begin.tolist(), at.tolist(), strict=True)]
                 payload = [raw[4 * b : 4 * e] if w else small[2 * b : 2 * e] for b, e, w in zip(begin.tolist(), at.tolist(), wide.tolist(), strict=True)]
-                starts = np.append(0, own[:-1])
+                starts, first = np.append(0, own[:-1]), np.append(0, ends[:-1])
                 roots = [hashlib.blake2b(b"".join(digests[i:j]), digest_size=16).digest() for i, j in zip(starts.tolist(), own.tolist(), strict=True)]
                 offsets = pa.array(np.append(0, own), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(digests, pa.binary()), pa.array(at - begin, pa.int32()), pa.array(np.where(wide, 4, 2), pa.int32()), pa.array(payload, pa.binary()))]
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(digests, pa.binary()), pa.array(at - begin, pa.int32()), pa.array(at - np.repeat(first, own - starts), pa.int64()), pa.array(np.where(wide, 4, 2), pa.int32()), pa.array(payload, pa.binary()))]
                 n = pa.array(np.diff(np.append(0, ends)), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(ends)), n, *lists, pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "digests", "lengths", "widths", "payloads", "root"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(ends)), n, *lists, pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "digests", "lengths", "ends", "widths", "payloads", "root"])
                 row += len(ends)
 
     return run
@@ -120,7 +125,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     n = task_count(spark)
 
-    kinds = {"doc_id": T.LongType(), "n_tokens": T.LongType(), "digests": T.ArrayType(T.BinaryType()), "lengths": T.ArrayType(T.IntegerType()), "widths": T.ArrayType(T.IntegerType()), "payloads": T.ArrayType(T.BinaryType()), "root": T.BinaryType()}
+    kinds = {"doc_id": T.LongType(), "n_tokens": T.LongType(), "digests": T.ArrayType(T.BinaryType()), "lengths": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.LongType()), "widths": T.ArrayType(T.IntegerType()), "payloads": T.ArrayType(T.BinaryType()), "root": T.BinaryType()}
     schema = T.StructType([T.StructField(k, t) for k, t in kinds.items()])
     made = rows.mapInArrow(_documents_of(shared, end_id), schema).withColumn("row", F.monotonically_increasing_id())
     made.write.option("compression", "zstd").parquet(f"{folder}/encoded")
@@ -136,7 +141,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     # ranges of documents, then sums over the ranges, then sums within each
-    ranged = made.select("doc_id", "n_tokens", "digests", "lengths", "root")
+    ranged = made.select("doc_id", "n_tokens", "digests", "ends", "root")
     ranged = ranged.repartitionByRange(n, F.asc_nulls_first("doc_id")).withColumn("range", F.spark_partition_id())
     ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
     ranged = spark.read.parquet(f"{folder}/ranged")
@@ -144,8 +149,9 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     before = sums.select("range", (F.sum("own").over(Window.orderBy("range")) - F.col("own")).alias("before"))
     order = Window.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "root", "n_tokens")
     placed = ranged.join(F.broadcast(before), "range")  # a row for each of n ranges
-    placed = placed.withColumn("start", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")).withColumn("place", F.row_number().over(order))
-    placed = placed.select("doc_id", "start", "n_tokens", "digests", "lengths", "root", "range", "place")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # equal documents have places of their own
+    placed = placed.withColumn("start", F.col("before") + F.sum("n_tokens").over(so_far) - F.col("n_tokens")).withColumn("place", F.row_number().over(order))
+    placed = placed.select("doc_id", "start", "n_tokens", "digests", "ends", "root", "range", "place")
     placed = placed.repartitionByRange(n, "range").sortWithinPartitions("range", "place")
     placed.write.option("compression", "zstd").parquet(f"{folder}/recipes")
 
@@ -156,11 +162,21 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     return folder
 
 
+def _hashed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """A hash of the roots of each group in order, of FAN at most."""
+    roots = F.transform(F.array_sort(F.collect_list(F.struct(order, "root"))), lambda x: x["root"])
+    return rows.groupBy(*keys).agg(F.sha2(F.array_join(roots, ""), 256).alias("root"))
+
+
 def _range_roots(recipes: DataFrame) -> DataFrame:
-    """A hash of the documents' roots for each range, and of those the root of all (range -1)."""
-    each = recipes.groupBy("range").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("root").alias("root")))), lambda x: x["root"]), ""), 256).alias("root"))
-    top = each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "root"))), lambda x: x["root"]), ""), 256).alias("root"))
-    return each.select(F.col("range").cast("int"), "root").unionByName(top.select(F.lit(-1).alias("range"), "root"))
+    """A hash for each range, over hashes of blocks of blocks of its documents' roots; and of
+    those the root of all (range -1)."""
+    level = recipes.select("range", (F.col("place") - 1).alias("block"), F.hex("root").alias("root"))
+    for _ in range(2):
+        level = _hashed(level.withColumn("next", F.floor(F.col("block") / FAN).cast("long")), ["range", "next"], "block").withColumnRenamed("next", "block")
+    each = _hashed(level, ["range"], "block")
+    top = _hashed(each.withColumn("all", F.lit(-1)), ["all"], "range")  # a row for each of n ranges
+    return each.select(F.col("range").cast("int"), "root").unionByName(top.select(F.col("all").alias("range"), "root"))
 
 
 def _shifts(bits: int = 45) -> np.ndarray:
@@ -236,9 +252,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     if kept != {r["range"]: r["root"] for r in _range_roots(recipes).collect()}:
         raise ValueError("the recipes don't fit the manifest")
     chunks = spark.read.parquet(f"{folder}/chunks").mapInArrow(_read_chunks, "digest binary, n int, crc long")
-    parts = recipes.select("range", "place", "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "lengths")).alias("k", "c"), "lengths")
-    follow = F.col("n_tokens") - F.aggregate(F.slice("lengths", 1, F.col("k") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    parts = parts.select("range", "place", "doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), (follow * 4).alias("follow"))
+    parts = recipes.select("range", "place", "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "ends", F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.size("ends") - 1)).alias("begins"))).alias("k", "c"))
+    parts = parts.select("range", "place", "doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), (F.col("c.ends") - F.col("c.begins")).cast("int").alias("length"), ((F.col("n_tokens") - F.col("c.ends")) * 4).alias("follow"))
     parts = parts.join(chunks.hint("shuffle_merge"), "digest", "left")
     parts = parts.select("range", "place", "doc_id", "start", "n_tokens", "length", "n", F.coalesce("crc", F.lit(-1)).alias("crc"), "follow")
     parts = parts.mapInArrow(_shifted, "range int, place int, doc_id long, start long, n_tokens long, length int, n int, crc long")

@@ -81,7 +81,7 @@ class Units:
     """Units of some texts: begin and end in data, hash h, and the number in each text.
 
     Every unit begins at a text's start, at a white-space byte with something else behind
-    it, or where punctuation follows a letter. Byte-level tokenizers that split texts into
+    it in the same text, or where punctuation follows a letter. Byte-level tokenizers that split texts into
     words, punctuation and white space before their merges always have a boundary there,
     so the ids of a text are those of its units in order.
     """
@@ -92,6 +92,8 @@ class Units:
         starts = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
             starts[: len(data) - 1] = _IS_SPACE[data[:-1]] & ~_UNSURE[data[1:]]
+            # behind the last byte of a text stands nothing, whatever text is next in data
+            starts[np.maximum(at[1:-1], 1) - 1] = False
             letter = _LETTER[data[:-1]]
             letter[1:] |= _LATIN[data[1:-1]] & (data[:-2] == 0xC3)
             starts[1 : len(data)] |= letter & _POINT[data[1:]]
@@ -109,6 +111,11 @@ class Units:
         return self.data[self.begin[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
+def unit_places(data: np.ndarray) -> np.ndarray:
+    """Places at which a long text may be cut: some of those at which units begin."""
+    return np.flatnonzero(_IS_SPACE[data[1:-1]] & ~_UNSURE[data[2:]]) + 1
+
+
 class IdCache:
     """A worker's ids of the units that it has met, by hash, in one growing array."""
 
