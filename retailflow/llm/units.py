@@ -3,7 +3,6 @@ of what the tokenizer makes of each unit."""
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 import numpy as np
@@ -26,6 +25,10 @@ _LATIN = np.zeros(256, bool)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
 
+#: First of three bytes of Unicode's wider spaces.
+_SPACE_LEAD = np.zeros(256, bool)
+_SPACE_LEAD[[0xE1, 0xE2, 0xE3]] = True
+
 #: Units that a worker remembers at most (about 150 bytes each); then those met but once go.
 CACHE_UNITS = 300_000
 
@@ -34,41 +37,49 @@ _tokenizers: dict[str, object] = {}
 
 def tokenizer(json_text: str):
     """The library's tokenizer, once for each worker; parallelism is Spark's."""
-    key = hashlib.md5(json_text.encode()).hexdigest()
-    if key not in _tokenizers:
+    if json_text not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(json_text)
         t.no_truncation()
         t.no_padding()
-        _tokenizers[key] = t
-    return key, _tokenizers[key]
+        _tokenizers[json_text] = t
+    return _tokenizers[json_text]
 
 
 def encode_units(json_text: str, units: list[str]) -> list[list[int]]:
     """The ids of each unit by itself."""
-    _, t = tokenizer(json_text)
-    return [e.ids for e in t.encode_batch_fast(units, add_special_tokens=False)]
+    return [e.ids for e in tokenizer(json_text).encode_batch_fast(units, add_special_tokens=False)]
 
 
-def encode_lines(json_text: str, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the units, and their number for each, from one text with a unit a line.
+def encode_lines(json_text: str, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the units data[begin:end], and their number for each, from one text with a
+    unit a line.
 
     A line feed between units is an id of its own there, which is much faster than a call
-    a unit; units that hold line feeds themselves, or end in white space, go by themselves.
+    a unit; units that hold line feeds themselves, or may end in white space, go by themselves.
     """
-    _, t = tokenizer(json_text)
+    t = tokenizer(json_text)
     feed = t.encode("\n", add_special_tokens=False).ids
-    plain = np.fromiter((not ("\n" in u or u[-1:].isspace()) for u in units), bool, len(units))
-    together = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
-    ids = np.asarray(t.encode_batch_fast(["\n".join(together)], add_special_tokens=False)[0].ids, np.uint32)
-    ends = np.append(np.flatnonzero(ids == feed[0]), len(ids))
-    if len(feed) != 1 or len(ends) != len(together):
+    feeds = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data == 10, out=feeds[1:])
+    last, size = data[end - 1], end - begin
+    wide = ((size > 1) & (data[np.maximum(end - 2, 0)] == 0xC2)) | ((size > 2) & _SPACE_LEAD[data[np.maximum(end - 3, 0)]])
+    plain = (feeds[end] == feeds[begin]) & (last > 32) & ~((last >= 0x80) & wide)
+    n = size[plain] + 1
+    total = np.cumsum(n)
+    text = np.full(int(total[-1]) if len(n) else 0, 10, np.uint8)
+    k = np.arange(len(text)) - np.repeat(total - n, n)
+    inner = k < np.repeat(n - 1, n)
+    text[inner] = data[(k + np.repeat(begin[plain], n))[inner]]
+    ids = np.asarray(t.encode_batch_fast([text[:-1].tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids if len(n) else [], np.uint32)
+    ends = np.append(np.flatnonzero(ids == feed[0]), len(ids)) if len(n) else np.zeros(0, np.int64)
+    if len(feed) != 1 or len(ends) != len(n):
         plain[:], ids, ends = False, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    lengths = np.zeros(len(units), np.int64)
+    lengths = np.zeros(len(begin), np.int64)
     lengths[plain] = np.diff(np.append(-1, ends)) - 1 if plain.any() else 0
-    rest = encode_units(json_text, [u for u, p in zip(units, plain.tolist(), strict=True) if not p])
+    rest = encode_units(json_text, [data[b:e].tobytes().decode("utf-8", "replace") for b, e in zip(begin[~plain].tolist(), end[~plain].tolist(), strict=True)])
     lengths[~plain] = [len(x) for x in rest]
     out = np.zeros(int(lengths.sum()), np.uint32)
     own = np.repeat(plain, lengths)
@@ -107,9 +118,6 @@ class Units:
         self.h = mix(h, 0x5851F42D)
         self.counts = np.diff(np.searchsorted(self.begin, at))
 
-    def text(self, i: int) -> str:
-        return self.data[self.begin[i] : self.end[i]].tobytes().decode("utf-8", "replace")
-
 
 def unit_places(data: np.ndarray) -> np.ndarray:
     """Places at which a long text may be cut: some of those at which units begin."""
@@ -117,36 +125,41 @@ def unit_places(data: np.ndarray) -> np.ndarray:
 
 
 class IdCache:
-    """A worker's ids of the units that it has met, by hash, in one growing array."""
+    """A worker's ids of the units that it has met, by hash: keys in order, each with a slot,
+    and the slots' ids in one growing array."""
 
     def __init__(self, json_text: str):
         self.json_text = json_text
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int32)
         self.met = np.zeros(1 << 16, np.int32)
         self.pool, self.used = np.zeros(1 << 18, np.uint16), 0
 
+    def _ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some slots one after the other, and their number for each."""
+        length = self.length[slots].astype(np.int64)
+        ends = np.cumsum(length)
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[slots] - (ends - length), length)
+        return self.pool[where], length
+
     def _shrink(self) -> None:
         """Keep the units that were met in more than one piece, if these are few enough."""
-        n = len(self.place)
-        keep = self.met[:n] > 1
+        keep = self.met[self.slots] > 1
         if keep.sum() > CACHE_UNITS // 2:
             self.reset()
             return
-        keys = np.fromiter(self.place.keys(), np.uint64, n)[keep].tolist()
-        length = self.length[:n][keep].astype(np.int64)
-        ends = np.cumsum(length)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[:n][keep] - (ends - length), length)
-        pool = self.pool[where]
+        keys, slots = self.keys[keep], self.slots[keep]
+        ids, length = self._ids(slots)
         self.reset()
-        self._add(keys, pool, length)
+        self._add(keys, ids, length)
 
-    def _add(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.place)
+    def _add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Units by hash, in ascending order of it."""
+        n = len(self.keys)
         while n + len(keys) > len(self.first):
             self.first, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.met))
         if len(ids) and int(ids.max()) > np.iinfo(self.pool.dtype).max:
@@ -158,34 +171,34 @@ class IdCache:
         self.first[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.met[n : n + len(keys)] = 0
         self.used += len(ids)
-        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, np.arange(n, n + len(keys)))
 
     def ids_of(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and their number for each unit."""
         distinct, example, inverse = np.unique(units.h, return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > CACHE_UNITS:
+        if len(self.keys) + len(distinct) > CACHE_UNITS:
             self._shrink()
-        keys = distinct.tolist()
-        got = np.fromiter((self.place.get(k, -1) for k in keys), np.int64, len(keys))
+        got = np.full(len(distinct), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            got = np.where(self.keys[at] == distinct, self.slots[at], -1)
         missing = np.flatnonzero(got < 0)
         if len(missing):
-            got[missing] = np.arange(len(self.place), len(self.place) + len(missing))
-            ids, lengths = encode_lines(self.json_text, [units.text(i) for i in example[missing].tolist()])
-            self._add([keys[i] for i in missing.tolist()], ids, lengths)
+            got[missing] = np.arange(len(self.keys), len(self.keys) + len(missing))
+            which = example[missing]
+            ids, lengths = encode_lines(self.json_text, units.data, units.begin[which], units.end[which])
+            self._add(distinct[missing], ids, lengths)
         self.met[got] += 1
-        slot = got[inverse]
-        length = self.length[slot].astype(np.int64)
-        ends = np.cumsum(length)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[slot] - (ends - length), length)
-        return self.pool[where].astype(np.uint32), length
+        ids, length = self._ids(got[inverse])
+        return ids.astype(np.uint32), length
 
 
 _caches: dict[str, IdCache] = {}
 
 
 def id_cache(json_text: str) -> IdCache:
-    key, _ = tokenizer(json_text)
-    if key not in _caches:
+    if json_text not in _caches:
         _caches.clear()
-        _caches[key] = IdCache(json_text)
-    return _caches[key]
+        _caches[json_text] = IdCache(json_text)
+    return _caches[json_text]
