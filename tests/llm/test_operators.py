@@ -225,8 +225,8 @@ def test_repeats(spark):
         w[rng.randrange(len(w))] = "changed"
         rows.append(" ".join(w))
     rows.append(rows[0] + " " + rows[0])
-    for shard in (150, 900_000):
-        got = {r.doc_id: r for r in substring_dedup.remove_repeats(table(spark, rows), shard_words=shard).collect()}
+    for sizes in ((2_000_000, 1_000_000, 256), (150, 60, 7)):
+        got = {r.doc_id: r for r in substring_dedup.remove_repeats(table(spark, rows), "doc_id", "text", *sizes).collect()}
         assert [(got[i * 3].n_words, got[i * 3].n_removed, got[i * 3].kept) for i in range(len(rows))] == repeats_by_force(rows)
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
