@@ -5,7 +5,8 @@ replaced, or missing, in the other. A line's variants are what is left when one
 deleted: if a word is replaced, both lines have the same variant at the same place; if one
 is missing, a variant of the longer line is the shorter line itself. So variants are
 hashed with their place for the first case and without it for the second, and equal keys
-are joined. Each key only gives its earliest line, which is all that a later one needs; so
+are joined. A variant's hash is made of running hashes of the line's words, so that all
+variants of a line take one pass over it. Each key only gives its earliest line, which is all that a later one needs; so
 a key that a third of all lines share is a sum, not a list of pairs.
 
 Lines within one edit also share one half, whichever half has the edit. Halves are joined
@@ -17,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, SPACES, by_ids, written
+from .common import SPACE_PATTERN, SPACES, by_ids, let, written
 
 #: Lines of fewer words go only if they are equal to an earlier one.
 LEAST_WORDS = 8
+#: Words whose hashes are run together at a time.
+GROUP = 512
 _NO_ID, _PLACE = -(1 << 34), 1 << 28
 
 
@@ -48,14 +51,57 @@ def _halves(line: Column, n: Column) -> list[Column]:
 
 
 def one_edit(a: Column, b: Column) -> Column:
-    """Whether the words of two lines are at an edit distance of 1 or less."""
+    """Whether the words of two lines are at an edit distance of 1 or less, in one pass."""
     x, y = F.split(a, " "), F.split(b, " ")
-    same = lambda u, v: F.size(F.filter(F.zip_with(u, v, lambda p, q: p.eqNullSafe(q)), lambda e: ~e))
-    shorter, longer = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
-    n = F.size(shorter)
-    places = F.sequence(F.lit(0), n)
-    missing = F.exists(places, lambda i: F.concat(F.slice(longer, 1, i), F.slice(longer, i + 2, F.greatest(n - i, F.lit(0)))) == shorter)
-    return F.when(F.size(x) == F.size(y), same(x, y) <= 1).when(F.size(longer) == n + 1, missing).otherwise(False)
+    swap = F.size(x) <= F.size(y)
+    both = F.struct(F.when(swap, x).otherwise(y).alias("s"), F.when(swap, y).otherwise(x).alias("l"))
+
+    def judged(p):
+        n, more = F.size(p["s"]), F.size(p["l"]) - F.size(p["s"])
+        # the first place at which the lines differ, n + 1 if the longer one goes on there
+        same = F.zip_with(p["s"], F.slice(p["l"], 1, n), lambda u, v: u == v)
+        first = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)), (n + 1).cast("long")).cast("int")
+        rest = lambda c, k: F.slice(c, k, F.greatest(F.size(c) - k + 1, F.lit(0)))
+        return F.when(more == 0, let(first, lambda k: (k > n) | (rest(p["s"], F.least(k, n) + 1) == rest(p["l"], F.least(k, n) + 1)))).when(more == 1, let(first, lambda k: rest(p["s"], k) == rest(p["l"], k + 1))).otherwise(False)
+
+    return let(both, judged)
+
+
+def _running(values: Column) -> Column:
+    """Exclusive-or of the first 0, 1, ... all values of an array: GROUP at a time, so that
+    no long list grows by one."""
+    zero = F.lit(0).cast("long")
+    none = lambda x: F.struct(x.alias("x"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, v: F.struct(acc["x"].bitwiseXOR(v).alias("x"), F.concat(acc["out"], F.array(acc["x"].bitwiseXOR(v))).alias("out"))
+
+    def grow(all_):
+        def one(acc, g):
+            return let(F.aggregate(F.slice(all_, g * GROUP + 1, F.lit(GROUP)), none(acc["x"]), step), lambda o: F.struct(o["x"].alias("x"), F.concat(acc["out"], o["out"]).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / GROUP).cast("int")), none(zero), one)["out"]
+
+    return F.concat(F.array(zero), let(values, grow))
+
+
+def whole_key(line: Column) -> Column:
+    """A hash of a line's words: the exclusive-or of hashes of each with its place."""
+    zero = F.lit(0).cast("long")
+    return let(F.transform(F.split(line, " "), lambda w, j: F.xxhash64(w, j)), lambda h: F.aggregate(h, zero, lambda a, x: a.bitwiseXOR(x)))
+
+
+def variant_keys(line: Column, n: Column) -> Column:
+    """(i, swap, child) for each word i of a line, from 1: keys of the line with a gap there,
+    and of the line without the word, which is whole_key() of what is left."""
+
+    def of(h):
+        own, moved = h["own"], h["moved"]  # running hashes of words at their places, and at one place less
+        at = lambda c, k: F.get(c, k)
+        gap = lambda i: at(own, i - 1).bitwiseXOR(at(own, n)).bitwiseXOR(at(own, i))
+        left = lambda i: at(own, i - 1).bitwiseXOR(at(moved, n)).bitwiseXOR(at(moved, i))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(i, gap(i)).alias("swap"), left(i).alias("child")))
+
+    hashes = lambda d: _running(F.transform(F.split(line, " "), lambda w, j: F.xxhash64(w, j - d)))
+    return let(F.struct(hashes(F.lit(0)).alias("own"), hashes(F.lit(1)).alias("moved")), of)
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -97,14 +143,12 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str =
     # variants: for a shared first half words of the second go, and the other way round
     n = F.col("n")
     first = F.floor((n - 1) / 2)
-    spots = texts.where("swap0 OR swap1 OR child0 OR child1").select("o", "line", "n", "swap0", "swap1", "child0", "child1", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    spots = texts.where("swap0 OR swap1 OR child0 OR child1").select("o", "n", "swap0", "swap1", "child0", "child1", F.inline(variant_keys(F.col("line"), n)))
     late, early = F.col("i") > first, F.col("i") <= F.lit(1) + n - (n - 1 - first)
-    spots = spots.withColumn("swap", (F.col("swap0") & late) | (F.col("swap1") & early)).withColumn("child", (F.col("child0") & late) | (F.col("child1") & early)).where("swap OR child")
-    rest = F.concat_ws(" ", F.nullif(_head(F.col("line"), F.col("i") - 1), F.lit("")), F.nullif(_head(F.col("line"), F.col("i") - n), F.lit("")))
-    spots = spots.select("o", "i", "swap", "child", rest.alias("rest"))
-    kind = lambda on, key, role: F.when(on, F.struct(key.alias("key"), F.lit(role).alias("role")))
-    variants = spots.select("o", F.inline(F.filter(F.array(kind(F.col("swap"), F.xxhash64("i", "rest"), 2), kind(F.col("child"), F.xxhash64("rest"), 1)), lambda v: v.isNotNull())))
-    variants = variants.unionByName(texts.where("parent").select("o", F.xxhash64("line").alias("key"), F.lit(0).alias("role")))
+    on_swap, on_child = (F.col("swap0") & late) | (F.col("swap1") & early), (F.col("child0") & late) | (F.col("child1") & early)
+    kind = lambda on, key, role: F.when(on, F.struct(F.col(key).alias("key"), F.lit(role).alias("role")))
+    variants = spots.select("o", F.inline(F.filter(F.array(kind(on_swap, "swap", 2), kind(on_child, "child", 1)), lambda v: v.isNotNull())))
+    variants = variants.unionByName(texts.where("parent").select("o", whole_key(F.col("line")).alias("key"), F.lit(0).alias("role")))
     least = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("o"))).alias(f"m{r}") for r in (0, 1, 2)], F.count("*").alias("n")).where("n > 1")
     near = variants.join(written(least, "variants").hint("shuffle_merge"), "key")
     near = near.select("o", F.when(F.col("role") == 2, F.col("m2")).when(F.col("role") == 1, F.col("m0")).otherwise(F.col("m1")).alias("earlier")).where("earlier < o")
