@@ -60,8 +60,10 @@ def mix_sources(
     equal rows are interchangeable. Null sources are one source, the last; null texts and
     ids are allowed; an empty table gives none. Other columns are left out.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_text_hash"))
-    rows = rows.withColumn("_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
+    # rows without an id have keys by their texts
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("_text"), F.lit("")))))
+    rows = rows.withColumn("_key", F.md5(F.concat(name, F.lit(f":{seed}")))).drop("_text")
     rows = written(rows.withColumn("_range", F.substring("_key", 1, RANGE_DIGITS)), "sized")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -110,7 +112,7 @@ def oracle_sql(weights=WEIGHTS, share: float = SHARE, most: int = MOST_TIMES, se
     return f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}') AS k, coalesce(text, '') AS t
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) || ':{seed}') AS k, coalesce(text, '') AS t
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([{", ".join(map(str, weights))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1 AS INT)] AS DOUBLE) AS w,
