@@ -14,18 +14,26 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # The base patterns, with the least lengths of what they must match.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Tokens that the models judge: runs of at least RANDOM_LEAST characters of ALPHABET.
+#: Tokens that the models judge: runs of at least RANDOM_LEAST characters of ALPHABET, which
+#: is the shortest length that they are trained on; and their parts between "/" and "=",
+#: where a run as a whole isn't a secret.
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-="
-RANDOM_LEAST = 20
+RANDOM_LEAST = 16
 RANDOM = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RANDOM_LEAST},}}"
+PART = rf"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{{{RANDOM_LEAST},}}"
+HAS_PART = rf"[/=][A-Za-z0-9+_-]{{{RANDOM_LEAST}}}|[A-Za-z0-9+_-]{{{RANDOM_LEAST}}}[/=]"
+#: Matches whose spans are gathered at a time.
+GROUP = 512
 #: Least log-likelihood ratio for each bigram, and over the whole token, in nats.
-RATIO_EACH, RATIO_WHOLE = 0.35, 8.0
+RATIO_EACH, RATIO_WHOLE = 0.8, 8.0
 
 # Words that identifiers are made of in the ordinary samples.
 PARTS = (
@@ -88,24 +96,31 @@ def train_ratios(samples: list[tuple[str, int]], smooth: float = 0.5) -> list[fl
 
 
 def ratio(token: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a token over its bigrams."""
+    """The log-likelihood ratio of a token over its bigrams, in one pass over its characters."""
     size = len(ALPHABET)
     values = F.array(*[F.lit(round(x, 6)) for x in table])
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    step = lambda acc, i: acc + F.get(values, place(i) * size + place(i + 1))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), F.lit(0.0), step)
+    place = F.array(*[F.lit(ALPHABET.find(chr(c))) for c in range(128)])
+
+    def step(acc, c):
+        at = F.get(place, F.ascii(c))
+        more = F.when(acc["at"] >= 0, F.get(values, acc["at"] * size + at)).otherwise(F.lit(0.0))
+        return F.struct(at.alias("at"), (acc["sum"] + more).alias("sum"))
+
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.split(token, ""), start, step)["sum"]
 
 
 def _spans(text: Column, pattern: str, kind: int, ok) -> Column:
     """Structs (start, kind, end) of all matches for which ok(match, group 2 or match) holds.
 
     Java's split and match functions give what lies between the matches and the matches
-    themselves; their lengths in code points add up to places.
+    themselves; their lengths in code points add up to places. Spans are gathered for
+    GROUP matches at a time, so that no long list grows by one.
     """
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else whole
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    none = lambda at: F.struct(at.alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["b"])
@@ -113,7 +128,14 @@ def _spans(text: Column, pattern: str, kind: int, ok) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["w"].isNotNull() & ok(x["w"], x["v"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.arrays_zip(between.alias("b"), whole.alias("w"), value.alias("v")), zero, step)["out"]
+    def group(found):
+        def grow(acc, g):
+            own = F.aggregate(F.slice(found, g * GROUP + 1, F.lit(GROUP)), none(acc["at"]), step)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], o["out"]).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / GROUP).cast("int")), none(F.lit(0)), grow)["out"]
+
+    return let(F.arrays_zip(between.alias("b"), whole.alias("w"), value.alias("v")), group)
 
 
 def _joined(spans: Column) -> Column:
@@ -124,8 +146,8 @@ def _joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), table: list[float] | None = None) -> DataFrame:
     """The kept columns, text, and base and spans: arrays of (start, kind, end) of every row.
 
-    Places are code points, ends exclusive. spans has all base spans, and the tokens that
-    the models add where no base span overlaps. A null text counts as empty. Every row
+    Places are code points, ends exclusive. spans has all base spans, and the runs and parts
+    of runs that the models add where no base span overlaps. A null text counts as empty. Every row
     gives one row, whatever its id; columns that aren't kept are left out.
     """
     table = table or train_ratios(labelled_samples())
@@ -137,11 +159,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     access = F.when(t.rlike(r"AKIA[A-Z0-9]{16}"), _spans(t, ACCESS, 1, least("access"))).otherwise(none)
     # runs are whole in any case, so the least length can stand in the pattern itself
     hexes = F.when(t.rlike(r"[0-9a-f]{24}"), _spans(t, r"[0-9a-f]{24,}", 2, least("hex"))).otherwise(none)
-    digit = lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]")
-    judged = lambda w, v: digit(w) & (ratio(w, table) >= F.greatest(F.lit(RATIO_WHOLE), RATIO_EACH * F.length(w)))
-    more = F.when(t.rlike(r"[A-Za-z0-9+/_=-]{20}"), _spans(t, RANDOM, 3, judged)).otherwise(none)
-    rows = rows.withColumn("_base", F.concat(assign, access, hexes)).withColumn("_more", more)
-    apart = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    judged = lambda w, v: ratio(w, table) >= F.greatest(F.lit(RATIO_WHOLE), RATIO_EACH * F.length(w))
+    more = F.when(t.rlike(rf"[A-Za-z0-9+/_=-]{{{RANDOM_LEAST}}}"), _spans(t, RANDOM, 3, judged)).otherwise(none)
+    parts = F.when(t.rlike(HAS_PART), _spans(t, PART, 3, judged)).otherwise(none)
+    rows = rows.withColumn("_base", F.concat(assign, access, hexes)).withColumn("_more", more).withColumn("_parts", parts)
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    clear = lambda spans, of: F.filter(spans, lambda m: ~F.exists(of, lambda b: meets(m, b)))
+    apart = F.concat(clear("_more", "_base"), clear(clear("_parts", "_base"), "_more"))
     return rows.select(*keep, t.alias("text"), F.array_sort("_base").alias("base"), F.array_sort(F.concat("_base", apart)).alias("spans"))
 
 
