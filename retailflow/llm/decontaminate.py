@@ -3,8 +3,10 @@
 A fixed mask keeps some of a few consecutive words and ignores the others. The kept words
 of every place of every document are hashed and joined with those of the benchmark's
 items. Each hit fixes how document and item line up; along that line the words are
-compared, and the document is contaminated if nearly all of a stretch agrees. The two
-masks together hit every stretch of 15 words with at most 3 substitutions.
+compared, and the document is contaminated if nearly all of a stretch agrees. The first two
+masks together hit every stretch of 7 to 15 words with as many substitutions as are
+tolerated. Where the benchmark has items of 4 to 6 words, three more masks are used, which
+together hit those with every substitution that is tolerated in them.
 """
 
 from __future__ import annotations
@@ -12,15 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, written
+from .common import by_ids, small, written
 
-# Places that a mask keeps.
+# Places that a mask keeps; those for short items.
 MASKS = ((0, 1, 2, 4), (0, 1, 4, 5))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4))
+#: Words from which on the first masks are enough, and words that an item has at least.
+SHORT, LEAST_WORDS = 7, 4
 #: Words of a compared stretch, and the share of them that must agree.
 STRETCH, AGREE = 15, 0.8
-#: Seeds of the benchmark that are broadcast at most (about 40 bytes each); beyond, they
-#: are joined by shuffle.
-BROADCAST_SEEDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -28,14 +30,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(words: Column) -> Column:
+def _seeds(words: Column, masks) -> Column:
     """For each mask, hashes of the kept words at every place of words (short at the end)."""
     places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
 
     def of(k: int, mask: tuple[int, ...]) -> Column:
         return F.transform(places, lambda i: F.xxhash64(F.lit(k), *[F.get(words, i + m) for m in mask]))
 
-    return F.flatten(F.array(*[of(k, mask) for k, mask in enumerate(MASKS)]))
+    return F.flatten(F.array(*[of(k, mask) for k, mask in enumerate(masks)]))
 
 
 def _aligned(doc: Column, item: Column, shift: Column) -> Column:
@@ -49,34 +51,36 @@ def contaminated(
     """One row for each document and item that it contains: doc_id, text_hash, item_id, agreed.
 
     agreed is the largest number of agreeing words in a stretch of `stretch` words, or of
-    the whole item where that is shorter. Words are compared in lower case without
-    punctuation. Items of fewer than 4 words say too little and are never found; items of 4
-    or 5 are found if their seeds fit. Null texts hold nothing. Rows that share an id are
+    the whole item where that is shorter; it is enough at the share `agree`, rounded up.
+    Words are compared in lower case without punctuation. Items of fewer than 4 words say
+    too little: they are never found. Null texts hold nothing. Rows that share an id are
     told apart by text_hash. Either table may be empty.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("_item")).where(F.size("_item") >= 4)
-    items = written(items, "items")
+    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("_item")).where(F.size("_item") >= LEAST_WORDS)
+    items = written(items.distinct(), "items")
+    masks = MASKS + (SHORT_MASKS if items.where(F.size("_item") < SHORT).head(1) else ())
     n = F.size("_item")
-    seeds = items.select("item_id", n.alias("n"), F.posexplode(_seeds(F.col("_item"))).alias("p", "seed"))
+    seeds = items.select("item_id", "_item", n.alias("n"), F.posexplode(_seeds(F.col("_item"), masks)).alias("p", "seed"))
     # the last places of each mask hold fewer words than it keeps
-    span = F.get(F.array(*[F.lit(m[-1]) for m in MASKS]), (F.col("p") / F.col("n")).cast("int"))
-    seeds = seeds.where(F.col("p") % F.col("n") + span < F.col("n")).select("seed", "item_id", (F.col("p") % F.col("n")).alias("at"))
+    span = F.get(F.array(*[F.lit(m[-1]) for m in masks]), (F.col("p") / F.col("n")).cast("int"))
+    seeds = seeds.where(F.col("p") % F.col("n") + span < F.col("n")).select("seed", "item_id", F.xxhash64("_item").alias("_v"), (F.col("p") % F.col("n")).alias("at"))
     seeds = written(seeds.distinct(), "seeds")
     key = [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")]
     made = docs.where(F.col(text).isNotNull()).select(*key, tokens(F.col(text)).alias("_words"))
-    places = made.select("doc_id", "text_hash", F.size("_words").alias("n"), F.posexplode(_seeds(F.col("_words"))).alias("p", "seed"))
-    hits = places.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds, "seed")
-    hits = hits.select("doc_id", "text_hash", "item_id", (F.col("p") % F.col("n") - F.col("at")).cast("int").alias("shift")).distinct()
+    places = made.select("doc_id", "text_hash", F.size("_words").alias("n"), F.posexplode(_seeds(F.col("_words"), masks)).alias("p", "seed"))
+    hits = places.join(F.broadcast(seeds) if small(seeds) else seeds, "seed")
+    hits = hits.select("doc_id", "text_hash", "item_id", "_v", (F.col("p") % F.col("n") - F.col("at")).cast("int").alias("shift")).distinct()
     hits = written(hits, "hits")
     hit_docs = written(hits.select("text_hash").distinct(), "hit-docs")
     held = by_ids(docs.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text")), hit_docs, "text_hash").distinct()
-    held = held.select("doc_id", "text_hash", tokens(F.col("_text")).alias("_words"))
-    h = hits.withColumnRenamed("doc_id", "_d")
-    pairs = held.join(h, (held["text_hash"] == h["text_hash"]) & held["doc_id"].eqNullSafe(h["_d"])).drop(h["text_hash"]).drop("_d")
-    i = items.withColumnRenamed("item_id", "_i")
-    small = items.count() <= 100_000
-    # only the words beside the item are kept before the next join
-    pairs = pairs.join(F.broadcast(i) if small else i, F.col("item_id").eqNullSafe(F.col("_i")))
+    held = held.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), tokens(F.col("_text")).alias("_words"))
+    i = items.select(F.col("item_id").alias("_i"), F.xxhash64("_item").alias("_w"), "_item")
+    same_item = F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("_v") == F.col("_w"))
+    few = small(items)
+    # a document's words go into one shuffle only: few items are broadcast behind it, many
+    # come to their hits before it
+    pairs = (hits if few else hits.join(i, same_item)).join(held, (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    pairs = pairs.join(F.broadcast(i), same_item) if few else pairs
     pairs = pairs.select("doc_id", "text_hash", "item_id", _aligned(F.col("_words"), F.col("_item"), F.col("shift")).alias("_same"))
     width = F.least(F.size("_same"), F.lit(stretch))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_same") - width + 1), lambda k: F.aggregate(F.slice("_same", k, width), F.lit(0), lambda a, x: a + x)))
@@ -92,7 +96,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     each = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     each = written(each.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_hash", "_h"), "flags")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_t"))
-    joined = rows.join(F.broadcast(each) if each.count() <= 1_000_000 else each, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
+    joined = rows.join(F.broadcast(each) if small(each) else each, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
     ids = F.coalesce("item_ids", F.array().cast(each.schema["item_ids"].dataType))
     return joined.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
@@ -101,5 +105,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """The rows of docs that hold no item, with all their columns."""
     found = contaminated(docs, benchmark, doc_id=doc_id, text=text, **options)
     found = written(found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "found")
-    few = found.count() <= 1_000_000
-    return docs.join(F.broadcast(found) if few else found, docs[doc_id].eqNullSafe(found["_d"]) & (F.xxhash64(docs[text]) == found["_h"]), "left_anti")
+    return docs.join(F.broadcast(found) if small(found) else found, docs[doc_id].eqNullSafe(found["_d"]) & (F.xxhash64(docs[text]) == found["_h"]), "left_anti")
