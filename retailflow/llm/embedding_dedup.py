@@ -39,8 +39,9 @@ MISS, RECALL = 1e-3, 0.99
 #: measured with: so many drawn evenly, and so many of the most crowded.
 SAMPLE, EVEN, CROWDED = (4096, 65536), 1024, 512
 SEED = 5
-#: Vectors of a block when a component's pairs are compared.
-BLOCK = 128
+#: Vectors of a block when a component's pairs are compared, and of one in components of
+#: more than 32 such blocks: each vector is copied once for each block of its component.
+BLOCK, LARGE_BLOCK = 128, 1024
 #: Beyond what single precision leaves open.
 SLACK = 1e-5
 
@@ -304,10 +305,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, leaf: int = LEAF, rec
     inside = labelled.where("linked").select("node", "copies", "vector", "component", "dims")
     # blocks: members in no order, as many blocks as the component's size asks for
     size = written(inside.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    inside = inside.join(size.hint("shuffle_merge"), "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    inside = inside.join(size.hint("shuffle_merge"), "component").withColumn("blocks", F.ceil(F.col("n") / F.when(F.col("n") > 32 * block, max(block, LARGE_BLOCK)).otherwise(block)).cast("int"))
     inside = inside.withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int"))
     dealt = inside.select("component", "dims", "node", "copies", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "copies", "vector", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    # else the join's partitioning by component would serve, and put all its blocks in one task
+    dealt = dealt.repartition("component", "bi", "bj")
     counted = dealt.groupBy("component", "bi", "bj").applyInPandas(_block_counts(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     facts = labelled.join(written(ids, "ids").hint("shuffle_merge"), "component").join(counted.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
