@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, dart_minhash, decontaminate, embedding_dedup, line_dedup, mixing, quality_conv, secret_scan, substring_dedup, token_counts, token_store
+from . import bpe_codec, dart_minhash, decontaminate, embedding_dedup, line_dedup, mixing, quality_conv, secret_scan, substring_dedup, token_alignment, token_counts, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
     "op11_bpe_codec": op11_bpe_codec,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}

@@ -146,6 +146,10 @@ class IdCache:
         where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[slots] - (ends - length), length)
         return self.pool[where], length
 
+    def _encode(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units data[begin:end], and their number for each."""
+        return encode_lines(self.json_text, data, begin, end)
+
     def _shrink(self) -> None:
         """Keep the units that were met in more than one piece, if these are few enough."""
         keep = self.met[self.slots] > 1
@@ -187,7 +191,7 @@ class IdCache:
         if len(missing):
             got[missing] = np.arange(len(self.keys), len(self.keys) + len(missing))
             which = example[missing]
-            ids, lengths = encode_lines(self.json_text, units.data, units.begin[which], units.end[which])
+            ids, lengths = self._encode(units.data, units.begin[which], units.end[which])
             self._add(distinct[missing], ids, lengths)
         self.met[got] += 1
         ids, length = self._ids(got[inverse])
