@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, dart_minhash, decontaminate, embedding_dedup, line_dedup, mixing, quality_conv, secret_scan, substring_dedup, token_alignment, token_counts, token_store
+from . import bpe_codec, dart_minhash, decontaminate, embedding_dedup, hard_negatives, line_dedup, mixing, quality_conv, secret_scan, substring_dedup, token_alignment, token_counts, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 50; labels of those divisible by 7 are moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -93,7 +99,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
     "op11_bpe_codec": op11_bpe_codec,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle_sql(), "op12_hard_negatives": hard_negatives.oracle_sql()}
