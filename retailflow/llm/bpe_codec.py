@@ -32,10 +32,10 @@ from .units import unit_places
 #: Parts of a word that is a row of an array at most, and the widths that words are sorted in.
 WIDE = 64
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, WIDE)
-#: Words of one array at most, and words that a worker remembers; then it starts afresh.
-ROWS, CACHE_WORDS = 1 << 15, 400_000
+#: Places of one array at most, and words that a worker remembers; then it starts afresh.
+PLACES, CACHE_WORDS = 1 << 18, 150_000
 #: Ids of an Arrow batch that is sent back, about.
-BATCH_IDS = 1 << 19
+BATCH_IDS = 1 << 18
 
 #: Fixed value: how the byte-level files split a text if they name no pattern of their own.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,6 +60,31 @@ def unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2], edge[1::2], strict=True)) + "]")
 
 
+class Decoder:
+    """What each id of a file stands for. Texts of bytes are joined as they are, others by blanks."""
+
+    def __init__(self, file: dict):
+        kind = (file.get("decoder") or {}).get("type")
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"unknown decoder: {kind}")
+        self.bytes_out = kind == "ByteLevel"
+        value = {c: b for b, c in enumerate(byte_letters())}
+        tokens = {i: t for t, i in file["model"]["vocab"].items()}
+        if self.bytes_out:
+            tokens = {i: bytes(value[c] for c in t) for i, t in tokens.items()}
+        for t in file["added_tokens"]:
+            tokens[t["id"]] = t["content"].encode() if self.bytes_out else t["content"]
+        self.known = np.zeros(max(tokens) + 1, bool)
+        self.known[list(tokens)] = True
+        self.pieces = [tokens.get(i) for i in range(len(self.known))]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids; ids that the file has not are left out."""
+        ids = ids[(ids >= 0) & (ids < len(self.known))]
+        pieces = map(self.pieces.__getitem__, ids[self.known[ids]].tolist())
+        return b"".join(pieces).decode("utf-8", "replace") if self.bytes_out else " ".join(pieces)
+
+
 class Codec:
     """A tokenizer file of the kinds that this operator knows: byte-level pairs, with a
     pattern that splits texts, and with or without normalisation and a mark of word ends."""
@@ -75,12 +100,8 @@ class Codec:
             raise ValueError(f"not a plain byte-pair model: {unknown or model.get('type')}")
         self.nfc, self.lower = self._normalizer(file.get("normalizer"))
         self.pattern = regex.compile(self._pattern(file["pre_tokenizer"]))
-        kind = (file.get("decoder") or {}).get("type")
-        if kind not in (None, "ByteLevel"):
-            raise ValueError(f"unknown decoder: {kind}")
-        self.bytes_out = kind == "ByteLevel"
         vocab, self.letters = model["vocab"], byte_letters()
-        self.json_text, self.library, self.newer = json_text, None, unassigned()
+        self.json_text, self.library = json_text, None
         self.specials = {}
         for t in file["added_tokens"]:
             if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
@@ -95,18 +116,14 @@ class Codec:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made.astype(np.int32)
         self.plain = np.array([vocab[c] for c in self.letters], np.int32)
         self.last = np.array([vocab[c + self.suffix] for c in self.letters], np.int32)
-        # what each id is when decoded
-        self.value = value = {c: b for b, c in enumerate(self.letters)}
-        tokens = {i: t for t, i in vocab.items()}
-        size = max([*tokens, *self.specials.values()]) + 1
-        if self.bytes_out:
-            self.pieces = [bytes(value[c] for c in tokens.get(i, "")) for i in range(size)]
-        else:
-            self.pieces = [tokens.get(i, "") for i in range(size)]
-        for s, i in self.specials.items():
-            self.pieces[i] = s.encode() if self.bytes_out else s
-        self.known = np.zeros(size, bool)
-        self.known[[*tokens, *self.specials.values()]] = True
+        self.forget()
+
+    def __getstate__(self):
+        """Without what a worker remembers."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("slot", "pool", "used", "first", "length", "library")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, library=None)
         self.forget()
 
     @staticmethod
@@ -218,8 +235,8 @@ class Codec:
         for width in WIDTHS:
             some = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for k in range(0, len(some), ROWS):
-                part = some[k : k + ROWS]
+            for k in range(0, len(some), PLACES // width):
+                part = some[k : k + PLACES // width]
                 n = sizes[part]
                 inner = np.arange(width) < n[:, None]
                 data = np.zeros((len(part), width), np.uint8)
@@ -264,13 +281,13 @@ class Codec:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.json_text)
-        t = self.library
+        t, value = self.library, {c: b for b, c in enumerate(self.letters)}
         words = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text) if t.normalizer else text)
-        return [bytes(self.value[c] for c in w).decode() for w, _ in words]
+        return [bytes(value[c] for c in w).decode() for w, _ in words]
 
     def _plain_words(self, text: str) -> list[str]:
         if not text.isascii():
-            if _WIDE_LETTERS.search(text) and self.newer.search(text):
+            if _WIDE_LETTERS.search(text) and unassigned().search(text):
                 return self._newer_words(text)
             if self.nfc:
                 text = unicodedata.normalize("NFC", text)
@@ -311,23 +328,6 @@ class Codec:
         np.cumsum(counts, out=edge[1:])
         return ids, np.diff(ends[edge])
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of some ids; ids that the file has not are left out."""
-        ids = ids[(ids >= 0) & (ids < len(self.known))]
-        pieces = map(self.pieces.__getitem__, ids[self.known[ids]].tolist())
-        return b"".join(pieces).decode("utf-8", "replace") if self.bytes_out else " ".join(pieces)
-
-
-_codecs: dict[str, Codec] = {}
-
-
-def codec(json_text: str) -> Codec:
-    """The codec of a file, once for each worker."""
-    if json_text not in _codecs:
-        _codecs.clear()
-        _codecs[json_text] = Codec(json_text)
-    return _codecs[json_text]
-
 
 def _int_lists(values: np.ndarray, counts: np.ndarray):
     import pyarrow as pa
@@ -361,28 +361,34 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", keep: tuple
         raise ValueError(f"a kept column clashes with the output: {ids}")
     spark = docs.sparkSession
     prepare(spark)
-    json_text = Path(tokenizer_file).read_text(encoding="utf-8")
-    Codec(json_text)  # raises here, not in a task
-    shared = spark.sparkContext.broadcast(json_text)
+    shared = spark.sparkContext.broadcast(Codec(Path(tokenizer_file).read_text(encoding="utf-8")))
     rows = docs.select(*keep, F.col(text).alias("_" * (1 + max(map(len, [*keep, ""]))) + "text"))
     own, fields = rows.columns[-1], rows.schema.fields[:-1]
     schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        c = codec(shared.value)
+        codec = shared.value  # one for all tasks of a worker
         for batch in batches:
-            found, counts = [], np.zeros(batch.num_rows, np.int64)
+            found, counts, done, held = [], np.zeros(batch.num_rows, np.int64), 0, 0
+
+            def block(to):
+                arrays = [batch.column(f.name).slice(done, to - done) for f in fields]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*arrays, _int_lists(np.concatenate(found), counts[done:to])], names=schema.names)  # noqa: B023
+
             for data, at, first in raw_pieces(batch.column(own), unit_places):  # a long text in several
+                if held > BATCH_IDS and first > done:  # all texts before this piece's are whole, or it goes on with the last
+                    goes_on = counts[first] > 0
+                    if not goes_on:
+                        yield block(first)
+                        found, done, held = [], first, 0
                 raw = data[at[0] : at[-1]].tobytes()
                 edge = (at - at[0]).tolist()
-                got, n = c.encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(edge, edge[1:], strict=False)])
+                got, n = codec.encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(edge, edge[1:], strict=False)])
                 found.append(got)
+                held += len(got)
                 counts[first : first + len(n)] += n
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            ends = np.cumsum(counts)
-            for i, j in _slices(counts):
-                part = _int_lists(flat[ends[i] - counts[i] : ends[j - 1]], counts[i:j])
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(i, j - i) for f in fields), part], names=schema.names)
+            if done < batch.num_rows:
+                yield block(batch.num_rows)
 
     return rows.mapInArrow(run, schema)
 
@@ -400,19 +406,19 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", keep: tupl
         raise ValueError(f"a kept column clashes with the output: {out}")
     spark = encoded.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
+    shared = spark.sparkContext.broadcast(Decoder(json.loads(Path(tokenizer_file).read_text(encoding="utf-8"))))
     rows = encoded.select(*keep, F.filter(F.coalesce(ids, F.array()).cast("array<int>"), F.isnotnull).alias("_" * (1 + max(map(len, [*keep, ""]))) + "ids"))
     own, fields = rows.columns[-1], rows.schema.fields[:-1]
     schema = T.StructType([*fields, T.StructField(out, T.StringType())])
 
     def run(batches):
-        c = codec(shared.value)
+        decoder = shared.value
         for batch in batches:
             lists = batch.column(own)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             values = lists.values.to_numpy(zero_copy_only=False)
             for i, j in _slices(np.diff(offsets)):
-                part = pa.array([c.decode(values[a:b]) for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)], pa.string())
+                part = pa.array([decoder.decode(values[a:b]) for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(i, j - i) for f in fields), part], names=schema.names)
 
     return rows.mapInArrow(run, schema)
