@@ -6,12 +6,14 @@ same rows, and may be kept as a table of its own where readers should find it fi
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schema
+from . import charset, records, schema
 
 KINDS = tuple(schema.COLUMNS)
 
@@ -27,27 +29,12 @@ def require_columns(df: DataFrame, names, what: str = "table") -> DataFrame:
     return df
 
 
-def detect_encoding(spark: SparkSession, path: str, sample: int = 1 << 20) -> str:
-    """UTF-8 if the first bytes of a file decode as such, else windows-1251; of a folder the
-    first file is looked at. No more than the sample is read."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(at).isDirectory():
-        files = sorted(f.getPath().toString() for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
-        if not files:
-            return "utf-8"
-        at = spark._jvm.org.apache.hadoop.fs.Path(files[0])
-    stream = fs.open(at)
-    try:
-        raw = bytes(stream.readNBytes(sample))
-    finally:
-        stream.close()
-    try:
-        raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if e.start < len(raw) - 4:  # not just a character cut at the sample's end
-            return "windows-1251"
-    return "utf-8"
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """The charset of a file, or of a folder's files if it is one, by all of their bytes."""
+    found = set(charset.detect(spark, path).values())
+    if len(found) > 1:
+        raise ValueError(f"files of several charsets in {path}: {', '.join(sorted(found))}")
+    return found.pop() if found else "UTF-8"
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = "|", encoding: str = "utf-8", multiline: bool = True, position: str | None = None) -> DataFrame:
@@ -66,13 +53,33 @@ def read_csv(spark: SparkSession, path: str, sep: str = "|", encoding: str = "ut
 
 
 def read_raw(spark: SparkSession, path: str, kind: str, encoding: str | None = None, multiline: bool = True) -> DataFrame:
-    """A raw export by kind, pruned to its contract and renamed; pos orders rows as in the files."""
+    """A raw export by kind, pruned to its contract and renamed; pos orders rows as in the files.
+
+    Without an encoding each file's is detected by all of its bytes; bytes that a charset
+    hasn't raise when the rows are read. Large files are read by many tasks, and cells may
+    hold line feeds; with multiline=False no cell may, which spares a look at all quotes.
+    """
     if kind not in schema.RAW:
         raise ValueError(f"unknown kind of dataset: {kind}")
     sep, names = schema.RAW[kind]
-    df = read_csv(spark, path, sep, encoding or detect_encoding(spark, path), multiline, "pos")
-    require_columns(df, names, f"raw {kind}")
-    return df.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()], "pos")
+    if encoding:
+        groups = [(path, encoding)]
+    else:
+        found = charset.detect(spark, path)
+        kinds = sorted(set(found.values())) or ["UTF-8"]
+        groups = [(path if len(kinds) == 1 else [unquote(f) for f in sorted(found) if found[f] == k], k) for k in kinds]
+    out = None
+    for at, one in groups:
+        if multiline and one in charset.PYTHON_NAMES:
+            header = read_csv(spark, at, sep, one)
+            require_columns(header, names, f"raw {kind}")
+            df = records.read(spark, at, sep, one, header.columns)
+        else:
+            df = read_csv(spark, at, sep, one, multiline or one.startswith("UTF-16"), "pos")
+            require_columns(df, names, f"raw {kind}")
+        df = df.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()], "pos")
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
