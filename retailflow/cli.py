@@ -17,6 +17,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--artifacts", help="folder of the trained models")
     p.add_argument("--load", nargs=2, metavar=("KIND", "PATH"), help="load a raw export")
     p.add_argument("--mode", choices=("replace", "append"), default="replace")
+    p.add_argument("--lines", action="store_true", help="no cell of the export holds a line feed: read it once")
+    p.add_argument("--encoding", help="charset of the export, instead of the detected one")
     p.add_argument("--report", choices=tuple(reports.REPORTS))
     p.add_argument("--selection", action="store_true", help="report on the selection")
     p.add_argument("--status", action="store_true", help="which tables there are")
@@ -29,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         p.error("--artifacts is needed")
     spark = get_session()
     if a.load:
-        ingest.load(spark, a.load[1], a.load[0], a.tables, a.mode)
+        ingest.load(spark, a.load[1], a.load[0], a.tables, a.mode, a.encoding, multiline=not a.lines)
     if a.status:
         tables.status(spark, a.tables).show(truncate=False)
     if a.report:

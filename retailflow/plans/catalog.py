@@ -13,7 +13,7 @@ from retailflow.operators import relational as R
 from retailflow.plans import ingest, reports
 from retailflow.plans import testbed as B
 from retailflow.sources import schema, tables
-from retailflow.storage import new_folder
+from retailflow.storage import new_folder, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,52 @@ QUERIES["loaded_favorites_selection"] = lambda s, d: _loaded(s, d, "favorites",
 ORACLES["loaded_favorites_selection"] = B.etl_sql("favorites", True)
 QUERIES["loaded_views_twice"] = lambda s, d: _loaded(s, d, "views", False, ("replace", "append")).groupBy("item_type").agg(N().alias("n"))
 ORACLES["loaded_views_twice"] = f"SELECT item_type, 2 * count(*) AS n FROM ({B.etl_sql('views')}) GROUP BY 1"
+
+
+# Letters of the table's names and Russian ones in their place, so that charsets matter.
+_LATIN, _RUSSIAN = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстувщюыз"
+_CHARSETS = ("UTF-8", "windows-1251", "KOI8-R", "IBM866", "UTF-16LE")
+_CELLS = {"item_code": "item_code", "item_name": f"translate(item_name, '{_LATIN}', '{_RUSSIAN}')", "brand": "brand", "item_kind": "item_kind"}
+
+
+def _exported(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
+    path = new_folder(spark, "export")
+    sep, names = schema.RAW[kind]
+    df = df.select(*[(F.col(v) if v in df.columns else F.lit(None).cast("string")).alias(k) for k, v in names.items()])
+    key, old = "spark.sql.legacy.javaCharsets", spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    spark.conf.set(key, "true")  # for the writer: charsets beyond Unicode's own
+    try:
+        df.write.options(sep=sep, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options).csv(path)
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+    return path
+
+
+def _charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items in exports of several charsets, which reading has to detect."""
+    raw, out = B.raw(spark, sf_dir, "items").selectExpr(*[f"{e} AS {c}" for c, e in _CELLS.items()]), None
+    for name in _CHARSETS:
+        got = tables.read_raw(spark, _exported(spark, raw, "items", encoding=name), "items").select(F.lit(name).alias("charset"), *_CELLS)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in one file with quotes, separators and line feeds in cells, read by many tasks."""
+    raw = B.raw(spark, sf_dir, "orders").selectExpr("order_id", "qty", "store || chr(10) || '\"' || qty || '\"' || chr(10) || chr(10) || 'x;|y' AS store")
+    path = _exported(spark, raw.coalesce(1), "orders")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        return written(tables.read_raw(spark, path, "orders", "UTF-8").select("order_id", "qty", "store"), "quoted")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+QUERIES["loaded_charsets"] = _charsets
+ORACLES["loaded_charsets"] = f"WITH raw AS (SELECT {', '.join(f'CAST({e} AS VARCHAR) AS {c}' for c, e in B.RAW['items'][0].items())} FROM part) SELECT charset, {', '.join(f'{e} AS {c}' for c, e in _CELLS.items())} FROM raw, (SELECT unnest({list(_CHARSETS)}) AS charset)".replace("item_kind AS item_kind", "nullif(item_kind, '') AS item_kind")
+QUERIES["loaded_quoted_cells"] = _quoted
+ORACLES["loaded_quoted_cells"] = f"WITH raw AS (SELECT {', '.join(f'CAST({e} AS VARCHAR) AS {c}' for c, e in B.RAW['orders'][0].items())} FROM {B.RAW['orders'][1]}) SELECT order_id, qty, store || chr(10) || '\"' || qty || '\"' || chr(10) || chr(10) || 'x;|y' AS store FROM raw"
 QUERIES["processed_csv"] = _written_csv
 ORACLES["processed_csv"] = B.etl_sql("categories")
 QUERIES["appended_rows"] = lambda s, d: tables.append_all(_etl(s, d, "categories"), _etl(s, d, "items").select("item_code", F.col("item_name").alias("category_name")))

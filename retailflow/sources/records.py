@@ -9,6 +9,7 @@ their parts. Cells are parsed from records by Spark's own CSV expression.
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -140,11 +141,55 @@ def records(spark: SparkSession, path, sep: str, charset: str = "UTF-8") -> Data
     return whole.unionByName(joined)
 
 
-def read(spark: SparkSession, path, sep: str, charset: str, names: list[str]) -> DataFrame:
-    """The cells of all records but each file's first, as strings, and `pos`, which orders them as in the files."""
+def header(spark: SparkSession, path, sep: str, charset: str, most: int = 64) -> list[str]:
+    """Names of the columns, by the first record of a file of the path; it may have so many lines."""
+    first = lines_of(spark, path, charset).where("block = 0").select("file", F.col("value").cast("binary").alias("value")).limit(most).collect()
+    quotes, text = Quotes(sep), ""
+    for r in first:
+        if r.file != first[0].file:
+            break
+        text += r.value.decode(PYTHON_NAMES[charset])
+        if not quotes.leaves_open(text, False):
+            break
+        text += "\n"
+    names, out = next(csv.reader([text.removeprefix("\ufeff").removesuffix("\r")], delimiter=sep), []), []
+    for n in (n.strip() for n in names):  # of equal names the first one counts
+        out.append(n if n not in out else f"{n}.{len(out)}")
+    return out
+
+
+def _each_line(codec: str):
+    """Every line as a record, numbered within its range."""
+    import pyarrow as pa
+
+    def run(batches):
+        at, n = None, 0
+        for batch in batches:
+            rows, texts = [], []
+            for file, block, _, line in _lines([batch], codec):
+                at, n = (file, block), (n + 1 if at == (file, block) else 0)
+                rows.append(n)
+                texts.append(line)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(rows, pa.int64()), pa.array(texts, pa.string())], names=["file", "block", "row", "text"])
+
+    return run
+
+
+def read(spark: SparkSession, path, sep: str, charset: str, names: list[str], multiline: bool = True) -> DataFrame:
+    """The cells of all records but each file's first, as strings, and `pos`, which orders them as in the files.
+
+    With multiline=False no cell may hold a line feed: then every line is a record, and the
+    files are read once instead of twice.
+    """
     shape = ", ".join(f"c{i} string" for i in range(len(names)))
+    if multiline:
+        found = records(spark, path, sep, charset)
+    else:
+        ship_package(spark)
+        lines = lines_of(spark, path, charset).withColumn("value", F.col("value").cast("binary"))
+        found = lines.mapInArrow(_each_line(PYTHON_NAMES[charset]), _RECORDS)
     # the header is the first record of a file: it begins at its first byte
-    found = records(spark, path, sep, charset).where("NOT (block = 0 AND row = 0)").withColumn("text", F.regexp_replace("text", "\r$", "")).where("text <> ''")
+    found = found.where("NOT (block = 0 AND row = 0)").withColumn("text", F.regexp_replace("text", "\r$", "")).where("text <> ''")
     cells = F.from_csv("text", shape, {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": "true"})
     place = F.struct(F.element_at(F.split("file", "/"), -1).alias("file"), "block", "row")
     return found.select(cells.alias("c"), place.alias("pos")).select(*[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)], "pos")

@@ -57,26 +57,25 @@ def read_raw(spark: SparkSession, path: str, kind: str, encoding: str | None = N
 
     Without an encoding each file's is detected by all of its bytes; bytes that a charset
     hasn't raise when the rows are read. Large files are read by many tasks, and cells may
-    hold line feeds; with multiline=False no cell may, which spares a look at all quotes.
+    hold line feeds; with multiline=False no cell may, which spares a pass over the files.
     """
     if kind not in schema.RAW:
         raise ValueError(f"unknown kind of dataset: {kind}")
     sep, names = schema.RAW[kind]
     if encoding:
-        groups = [(path, encoding)]
+        groups = [(path, next((c for c in charset.PYTHON_NAMES if c.lower() == encoding.lower()), encoding))]
     else:
         found = charset.detect(spark, path)
         kinds = sorted(set(found.values())) or ["UTF-8"]
         groups = [(path if len(kinds) == 1 else [unquote(f) for f in sorted(found) if found[f] == k], k) for k in kinds]
     out = None
     for at, one in groups:
-        if multiline and one in charset.PYTHON_NAMES:
-            header = read_csv(spark, at, sep, one)
-            require_columns(header, names, f"raw {kind}")
-            df = records.read(spark, at, sep, one, header.columns)
-        else:
-            df = read_csv(spark, at, sep, one, multiline or one.startswith("UTF-16"), "pos")
-            require_columns(df, names, f"raw {kind}")
+        if one in charset.PYTHON_NAMES:
+            columns = records.header(spark, at, sep, one)
+            df = records.read(spark, at, sep, one, columns, multiline) if set(names) <= set(columns) else spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+        else:  # another charset, by Spark's own reader
+            df = read_csv(spark, at, sep, one, multiline, "pos")
+        require_columns(df, names, f"raw {kind}")
         df = df.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()], "pos")
         out = df if out is None else out.unionByName(df)
     return out
