@@ -69,12 +69,21 @@ def ids(events: DataFrame, key: str) -> DataFrame:
 
 def split(events: DataFrame, min_events: int = 2) -> tuple[DataFrame, DataFrame]:
     """(train, holdout): the last event of each user of enough events is held out, all
-    other events are summed by user and item."""
-    last = Window.partitionBy("user").orderBy(F.desc("ts"), F.desc("src"), F.desc("pos"))
-    marked = events.withColumn("_rn", F.row_number().over(last)).withColumn("_n", F.count("*").over(Window.partitionBy("user")))
-    out = (F.col("_rn") == 1) & (F.col("_n") >= min_events)
-    train = marked.where(~out).groupBy("user", "item").agg(F.sum("w").alias("w"))
-    return train, marked.where(out).select("user", "item")
+    other events are summed by user and item.
+
+    Events are added up by user and item where they are, with the last of each pair; of
+    these a user's last is found. Its weight then goes from its pair, and the pair itself if
+    it has no other event. So no user's events are ever sorted, or meet in one task. Of
+    events of the same time, table and place the one of the greatest item and weight is last.
+    """
+    last = F.max(F.struct("ts", "src", "pos", "w"))
+    pairs = events.groupBy("user", "item").agg(F.sum("w").alias("w"), F.count("*").alias("n"), last.alias("last"))
+    own = F.struct(*[F.col(f"last.{c}").alias(c) for c in ("ts", "src", "pos")], "item", F.col("last.w").alias("w"))
+    users = pairs.groupBy("user").agg(F.sum("n").alias("n"), F.max(own).alias("last")).where(F.col("n") >= min_events)
+    out = users.select("user", F.col("last.item").alias("item"), F.col("last.w").alias("_w"))
+    left = pairs.join(out, ["user", "item"], "left").withColumn("n", F.col("n") - F.col("_w").isNotNull().cast("int"))
+    train = left.where("n > 0").select("user", "item", (F.col("w") - F.coalesce("_w", F.lit(0.0))).alias("w"))
+    return train, out.select("user", "item")
 
 
 def positives(train: DataFrame) -> DataFrame:

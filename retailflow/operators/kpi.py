@@ -17,10 +17,34 @@ def totals(df: DataFrame, **measures: Column) -> DataFrame:
     return df.agg(*[m.alias(n) for n, m in measures.items()])
 
 
+#: Parts of an octave by which values are counted before the middle is looked at.
+PARTS = 256
+
+
+def mean_and_median(df: DataFrame, value: Column) -> DataFrame:
+    """One row with the exact mean and median of the values that aren't null; nulls if none are.
+
+    Equal values are counted where they are. The counts of ranges of values, a few thousand,
+    show which range holds the middle; only its different values are put in order.
+    """
+    v = value.cast("double")
+    each = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    each = each.withColumn("part", F.signum("v") * F.floor(F.log2(1.0 + F.abs("v")) * PARTS))
+    parts = each.groupBy("part").agg(F.sum("n").alias("k"), F.sum(F.col("v") * F.col("n")).alias("s"))
+    whole = Window.partitionBy()
+    parts = parts.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"), "k", F.sum("k").over(whole).alias("total"), (F.sum("s").over(whole) / F.sum("k").over(whole)).alias("mean"))
+    # places from 0: of an even number of values the two in the middle
+    low, high = F.expr("(total - 1) DIV 2"), F.expr("total DIV 2")
+    middle = F.broadcast(parts.where((F.col("before") <= high) & (F.col("before") + F.col("k") > low)))  # two rows at most
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    near = each.join(middle, "part").select("v", "mean", "total", upto.alias("upto"))
+    return near.agg(F.first("mean").alias("mean"), ((F.min(F.when(F.col("upto") > low, F.col("v"))) + F.min(F.when(F.col("upto") > high, F.col("v")))) / 2).alias("median"))
+
+
 def per_client(df: DataFrame, measure: Column, key: str = "customer_id") -> DataFrame:
     """Mean (1 decimal) and exact median over clients of a measure of each."""
     each = df.where(F.col(key).isNotNull()).groupBy(key).agg(measure.cast("double").alias("v"))
-    return each.agg(F.bround(F.avg("v"), 1).alias("mean"), F.median("v").alias("median"))
+    return mean_and_median(each, F.col("v")).select(F.bround("mean", 1).alias("mean"), "median")
 
 
 def sex_share(df: DataFrame, measure: Column) -> DataFrame:
@@ -32,8 +56,8 @@ def sex_share(df: DataFrame, measure: Column) -> DataFrame:
 
 def age_stats(df: DataFrame) -> DataFrame:
     """Mean (1 decimal) and median of ages from 18 to 80; 0 if there are none."""
-    a = R.between_ages(df)
-    return a.agg(F.coalesce(F.bround(F.avg("age"), 1), F.lit(0.0)).alias("mean_age"), F.coalesce(F.median("age"), F.lit(0.0)).alias("median_age"))
+    found = mean_and_median(R.between_ages(df), F.col("age"))
+    return found.select(F.coalesce(F.bround("mean", 1), F.lit(0.0)).alias("mean_age"), F.coalesce("median", F.lit(0.0)).alias("median_age"))
 
 
 def age_group_mode(df: DataFrame) -> DataFrame:
@@ -86,13 +110,18 @@ def finance_text(df: DataFrame) -> DataFrame:
     return finance(df).select("currency", C.grouped("sales").alias("sales"), C.grouped("ticket").alias("ticket"), F.concat(F.col("discount_pct").cast("string"), F.lit("%")).alias("discount"))
 
 
+def item_name(name: str, code: str) -> Column:
+    """A name, or where there is none a note with the code."""
+    return F.coalesce(name, F.concat(F.lit("name not found ("), F.col(code).cast("string"), F.lit(")")))
+
+
 def top_items(df: DataFrame, n: int = 5) -> DataFrame:
     """Items of the largest quantity with the first name that their code has: by pos where
     the table has it, else the least of its names."""
     best = R.top(df, ["item_code"], F.sum("qty").cast("long"), n, "qty")
     names = R.first_by(df.join(F.broadcast(best.select("item_code")), "item_code", "left_semi"), "item_code", "site_name", "pos" if "pos" in df.columns else "site_name")
     found = best.join(names, "item_code", "left")
-    return found.select("item_code", F.coalesce("site_name", F.concat(F.lit("name not found ("), F.col("item_code").cast("string"), F.lit(")"))).alias("site_name"), "qty").orderBy(F.desc("qty"), "item_code")
+    return found.select("item_code", item_name("site_name", "item_code").alias("site_name"), "qty").orderBy(F.desc("qty"), "item_code")
 
 
 def lines_text(top: DataFrame, name: str, code: str, n: str) -> DataFrame:

@@ -18,8 +18,9 @@ from retailflow.operators import relational as R
 from retailflow.session import ship_package
 from retailflow.storage import drop_folder, new_folder, written
 
-#: Rows and columns of a block of the item matrix, users and items of a block to be scored.
-BLOCK, USER_BLOCK, ITEM_BLOCK = 512, 512, 512
+#: Rows and columns of a block of the item matrix; users of a block to be scored by factors,
+#: items of one, and pairs of a block of users to be scored by the item matrix.
+BLOCK, USER_BLOCK, ITEM_BLOCK, TOP_PAIRS = 512, 512, 512, 1_000_000
 #: Pairs of a block of users on average when factors are trained, and items whose factors are
 #: broadcast at most (768 bytes each with 64 dimensions); for more, the steps of an epoch are
 #: joins, so many at most.
@@ -169,47 +170,144 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[good], order.ravel()[good]
 
 
-def _linear_top(k: int):
-    """A block of users' items (side 0: user, item, v) against a block of columns (side 1:
-    item, other, v): the k best others of each user that the user hasn't."""
+def _packed_pairs(key, rows):
+    """Users' rows within a block of items, in order of user, as one row."""
+    import pyarrow as pa
+
+    users, u = np.unique(rows["user"].to_numpy(), return_inverse=True)
+    names, i = np.unique(rows["item"].to_numpy(), return_inverse=True)
+    order = np.argsort(u, kind="stable")
+    return _packed(key, ("ub", "ib"), rows.schema, {"user": users, "item": names}, (u[order], i[order], rows["v"].to_numpy()[order]), pa.float64())
+
+
+def _packed_cells(key, rows):
+    """A block of the item matrix in order of item, as one row: dense where a quarter of it is filled."""
+    names, i = np.unique(rows["item"].to_numpy(), return_inverse=True)
+    others, j = np.unique(rows["other"].to_numpy(), return_inverse=True)
+    v, kind = rows["v"].to_numpy(), rows.schema.field("v").type
+    if 4 * len(v) >= len(names) * len(others):
+        m = np.zeros((len(names), len(others)), v.dtype)
+        m[i, j] = v
+        i, j, v = i[:0], j[:0], m.ravel()
+    else:
+        order = np.argsort(i, kind="stable")
+        i, j, v = i[order], j[order], v[order]
+    return _packed(key, ("ib", "jb"), rows.schema, {"item": names, "other": others}, (i, j, v), kind)
+
+
+def _packed(key, blocks, schema, lists: dict, arrays, kind):
+    import pyarrow as pa
+
+    out = {b: pa.array([k.as_py()], pa.int32()) for b, k in zip(blocks, key, strict=True)}
+    out |= {f"{c}s": pa.array([x.tolist()], pa.list_(schema.field(c).type)) for c, x in lists.items()}
+    a, b, v = arrays
+    return pa.table(out | {"a": pa.array([a.astype(np.int32).tobytes()], pa.binary()), "b": pa.array([b.astype(np.int32).tobytes()], pa.binary()), "v": pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())})
+
+
+class _Cells:
+    """A block of the item matrix: names in rows, columns placed among all of a column block."""
+
+    def __init__(self, names, others, a, b, v, columns):
+        self.names, self.place, self.width = names, np.searchsorted(columns, others), len(columns)
+        self.dense = not len(a)
+        if self.dense:
+            m = np.zeros((len(names), len(columns)), v.dtype)
+            m[:, self.place] = v.reshape(len(names), len(others))
+            self.m, said = m, m != 0
+            both, i, j = np.intersect1d(names, columns, return_indices=True)
+            said[i, j] = True  # an item says nothing for itself, and needs not: who has it isn't shown it
+            self.said = None if said.all() else said
+        else:
+            self.edge, self.b, self.v = np.searchsorted(a, np.arange(len(names) + 1)), self.place[b], v
+
+    def add(self, scores, known, user, row, w) -> None:
+        """Adds w times a row to each user's scores; users are in order."""
+        for k in range(0, len(user), 2048):
+            u, r, x = user[k : k + 2048], row[k : k + 2048], w[k : k + 2048]
+            if self.dense:
+                first = np.flatnonzero(np.diff(u, prepend=-1))
+                scores[u[first]] += np.add.reduceat(self.m[r] * x[:, None], first, axis=0)
+                known[u[first]] |= True if self.said is None else np.logical_or.reduceat(self.said[r], first, axis=0)
+                continue
+            n = self.edge[r + 1] - self.edge[r]
+            at = np.arange(int(n.sum())) + np.repeat(self.edge[r] - (np.cumsum(n) - n), n)
+            flat = np.repeat(u * self.width, n) + self.b[at]
+            np.add.at(scores.reshape(-1), flat, self.v[at] * np.repeat(x, n))
+            known.reshape(-1)[flat] = True
+
+
+def _linear_top(k: int, single: bool, chunk: int = 1024):
+    """A block of users' rows (side 0) against a block of columns (side 1), each in parts by
+    blocks of items: the k best others of each user that the user hasn't."""
     import pyarrow as pa
 
     def run(key, rows):
-        side = rows["side"].to_numpy()
-        mine, cells = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
-        users, u = np.unique(mine["user"].to_numpy(), return_inverse=True)
-        others, o = np.unique(cells["other"].to_numpy(), return_inverse=True)
-        n, have = len(cells), np.concatenate([cells["item"].to_numpy(), mine["item"].to_numpy()])
-        names, at = np.unique(have, return_inverse=True)
-        x, m = np.zeros((len(users), len(names))), np.zeros((len(names), len(others)))
-        x[u, at[n:]], m[at[:n], o] = mine["v"].to_numpy(), cells["v"].to_numpy()
-        has = np.zeros(x.shape, bool)
-        has[u, at[n:]] = True
-        scores = np.where(has.astype(np.float32) @ (m != 0).astype(np.float32) > 0, x @ m, -np.inf)
-        both, a, c = np.intersect1d(names, others, return_indices=True)
-        if len(both):
-            scores[:, c] = np.where(has[:, a], -np.inf, scores[:, c])
-        row, col = _best(scores, k)
-        return pa.table({"user": pa.array(users[row], rows.schema.field("user").type), "item": pa.array(others[col], rows.schema.field("other").type), "score": pa.array(scores[row, col])})
+        parts: dict = {0: {}, 1: {}}
+        value = lambda c, n: rows.column(c)[n]
+        listed = lambda c, n: value(c, n).values.to_numpy(zero_copy_only=False)
+        for n, (side, ib) in enumerate(zip(rows.column("side").to_pylist(), rows.column("ib").to_pylist(), strict=True)):
+            a, b = (np.frombuffer(value(c, n).as_py(), np.int32) for c in ("a", "b"))
+            v = np.frombuffer(value("v", n).as_py(), np.float32 if side and single else np.float64)
+            parts[side][ib] = (listed("items", n), listed("others" if side else "users", n), a, b, v)
+        out: dict = {"user": [], "item": [], "score": []}
+        if parts[0] and parts[1]:
+            columns = np.unique(np.concatenate([p[1] for p in parts[1].values()]))
+            users = np.unique(np.concatenate([p[1] for p in parts[0].values()]))
+            cells = {ib: _Cells(*p, columns) for ib, p in parts[1].items()}
+            mine = []
+            for ib, (names, some, a, b, v) in parts[0].items():
+                at = np.searchsorted(columns, names)
+                column = np.where(columns[np.minimum(at, len(columns) - 1)] == names, at, -1)[b]
+                row = np.full(len(b), -1)
+                if ib in cells:
+                    own = np.searchsorted(cells[ib].names, names)
+                    row = np.where(cells[ib].names[np.minimum(own, len(cells[ib].names) - 1)] == names, own, -1)[b]
+                mine.append((ib, np.searchsorted(users, some)[a], row, column, v))
+            for u0 in range(0, len(users), chunk):
+                n = min(chunk, len(users) - u0)
+                scores, known = np.zeros((n, len(columns))), np.zeros((n, len(columns)), bool)
+                for ib, u, row, _, w in mine:
+                    i, j = np.searchsorted(u, [u0, u0 + n])
+                    hit = np.flatnonzero(row[i:j] >= 0) + i
+                    if len(hit):
+                        cells[ib].add(scores, known, u[hit] - u0, row[hit], w[hit])
+                scores[~known] = -np.inf
+                for _, u, _, column, _ in mine:
+                    i, j = np.searchsorted(u, [u0, u0 + n])
+                    seen = np.flatnonzero(column[i:j] >= 0) + i
+                    scores[u[seen] - u0, column[seen]] = -np.inf
+                row, col = _best(scores, k)
+                out["user"] += users[u0 + row].tolist()
+                out["item"] += columns[col].tolist()
+                out["score"] += scores[row, col].tolist()
+        kinds = {"user": rows.schema.field("users").type.value_type, "item": rows.schema.field("others").type.value_type, "score": pa.float64()}
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     return run
 
 
-def ease_top(train: DataFrame, b: DataFrame, k: int = 20, users: int = USER_BLOCK, items: int = ITEM_BLOCK) -> DataFrame:
+def ease_top(train: DataFrame, b: DataFrame, k: int = 20, pairs: int = TOP_PAIRS, items: int = ITEM_BLOCK) -> DataFrame:
     """(user, item, score, rank): the k best of ease_scores() for each user, ties by item.
 
-    Users and columns are scored block against block, and only k scores of each user leave
-    a block; so no user's scores for all items are ever shuffled.
+    Users are dealt into blocks of about `pairs` pairs, items into blocks of about `items`.
+    The matrix and the users' rows are packed by blocks of items. A block of users meets a
+    block of columns in one group, part by part, and only k scores of each user leave it. A
+    column block is shuffled once for each block of users, so for thousands of users.
     """
     ship_package(train.sparkSession)
-    n_users, n_items = (max(1, -(-df.select(c).distinct().count() // size)) for df, c, size in ((train, "user", users), (b, "other", items)))
-    parts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    kinds = {f.name: f.dataType for f in [*train.schema, *b.schema]}
+    n_users = max(1, -(-train.count() // pairs))
+    n_items = max(1, -(-b.select(F.approx_count_distinct("other")).first()[0] // items))
+    kinds = {f.name: f.dataType.simpleString() for f in [*train.schema, *b.schema]}
+    single = kinds["b"] == "float"
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    mine = train.select(block("user", n_users).alias("ub"), parts(n_items).alias("ib"), F.lit(0).alias("side"), "user", "item", F.lit(None).cast(kinds["other"]).alias("other"), F.col("w").cast("double").alias("v"))
-    cells = b.select(parts(n_users).alias("ub"), block("other", n_items).alias("ib"), F.lit(1).alias("side"), F.lit(None).cast(kinds["user"]).alias("user"), "item", "other", F.col("b").cast("double").alias("v"))
-    kind = lambda c: kinds[c].simpleString()
-    best = mine.unionByName(cells).groupBy("ub", "ib").applyInArrow(_linear_top(k), f"user {kind('user')}, item {kind('item')}, score double")
+    mine = train.select(block("user", n_users).alias("ub"), block(F.col("item").cast(kinds["other"]), n_items).alias("ib"), "user", F.col("item").cast(kinds["other"]).alias("item"), F.col("w").cast("double").alias("v"))
+    mine = mine.groupBy("ub", "ib").applyInArrow(_packed_pairs, f"ub int, ib int, users array<{kinds['user']}>, items array<{kinds['other']}>, a binary, b binary, v binary")
+    cells = b.select(block(F.col("item").cast(kinds["other"]), n_items).alias("ib"), block("other", n_items).alias("jb"), F.col("item").cast(kinds["other"]).alias("item"), "other", F.col("b").cast("float" if single else "double").alias("v"))
+    cells = cells.groupBy("ib", "jb").applyInArrow(_packed_cells, f"ib int, jb int, items array<{kinds['other']}>, others array<{kinds['other']}>, a binary, b binary, v binary")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = mine.select("ub", every(n_items).alias("jb"), F.lit(0).alias("side"), "ib", "users", "items", F.lit(None).cast(f"array<{kinds['other']}>").alias("others"), "a", "b", "v")
+    right = cells.select(every(n_users).alias("ub"), "jb", F.lit(1).alias("side"), "ib", F.lit(None).cast(f"array<{kinds['user']}>").alias("users"), "items", "others", "a", "b", "v")
+    best = left.unionByName(right).groupBy("ub", "jb").applyInArrow(_linear_top(k, single), f"user {kinds['user']}, item {kinds['other']}, score double")
     return top_unseen(best, k)
 
 

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from retailflow.functions.clean import UNSELECTED_KINDS
 
-#: A lookup table is broadcast if it has so many rows at most; beyond, Spark shuffles.
-BROADCAST_ROWS = 500_000
-
 
 def lookup(df: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """A join with a lookup table, by broadcast only if it is counted to be small."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(small) if few else small, on, how)
+    """A join with a lookup table. Spark broadcasts it where its files, or the bytes that it
+    turns out to have as the join runs, are below the session's threshold; else both sides
+    are shuffled. No job of its own counts it."""
+    return df.join(small, on, how)
 
 
 def drop_all_null(df: DataFrame, keys: list[str]) -> DataFrame:

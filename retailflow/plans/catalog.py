@@ -365,9 +365,10 @@ rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY "user" ORDER BY score DESC
 
 def _cooc(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     train, held = _split(s, d)
-    other = train.select("user", F.col("item").alias("j"))
-    co = train.join(other, "user").where("item <> j").groupBy("item", F.col("j").alias("other")).agg(N().cast("double").alias("b"))
-    return M.ease_top(train, co, 10), held
+    train = written(train, "train")
+    # how many users have both items: the products of their numbers, each of which is 1
+    co = I.gram(train.select("user", "item", F.lit(1.0).alias("w"))).where("i <> j").select(F.col("i").alias("item"), F.col("j").alias("other"), F.col("g").alias("b"))
+    return M.ease_top(train, written(co, "together"), 10), held
 
 
 model("cooc_topk", lambda s, d: _cooc(s, d)[0].select("user", "item", "score", "rank"), COOC + ' SELECT "user", item, score, rank FROM rk')
@@ -377,6 +378,7 @@ model("cooc_eval", lambda s, d: I.metrics(*_cooc(s, d), 10).select(F.round("reca
 def _ease(s: SparkSession, d: str):
     events = _events(s, d)
     train, held = I.split(events)
+    train = written(train, "train")
     return events, train, held, M.ease(train, I.ids(events, "item"), CFG)
 
 

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retailflow.operators import interactions as I
 from retailflow.operators import kpi as K
@@ -33,6 +34,38 @@ def test_events_and_split(events):
     assert {r.item: r.w for r in I.profile(events, "u").collect()} == {"a": 50.0, "b": 3.0, "c": 1.0}
 
 
+def test_split_of_one_user_with_most_events(spark):
+    """Against brute force, with equal times, repeated rows and users of few events."""
+    g = np.random.default_rng(4)
+    rows = [(0 if g.random() < 0.9 else int(g.integers(1, 40)), int(g.integers(0, 30)), int(g.integers(0, 5)), float(g.integers(1, 9)), int(g.integers(0, 3)), int(g.integers(0, 50))) for _ in range(4000)]
+    rows += rows[:50] + [(99, 1, 1, 2.0, 0, 0), (98, 1, 1, 2.0, 0, 0), (98, 1, 1, 2.0, 0, 0)]
+    df = spark.createDataFrame(rows, "user int, item int, ts int, w double, src int, pos int")
+    held, train = {}, {}
+    for u in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == u), key=lambda r: (r[2], r[4], r[5], r[1], r[3]))
+        if len(own) >= 2:
+            held[u] = own.pop()[1]
+        for r in own:
+            train[u, r[1]] = train.get((u, r[1]), 0.0) + r[3]
+    a, b = I.split(df)
+    assert {(r.user, r.item): r.w for r in a.collect()} == train
+    assert {r.user: r.item for r in b.collect()} == held
+    assert "Window" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [5.0] * 9, [-2.0, -1.0, 0.0, 1e9], "random", "ties"])
+def test_mean_and_median(spark, values):
+    g = np.random.default_rng(6)
+    if isinstance(values, str):
+        values = (g.normal(size=3001) * 10.0 ** g.integers(-3, 6, 3001)).tolist() if values == "random" else g.integers(-3, 4, 2000).astype(float).tolist()
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    r = K.mean_and_median(df, df["x"]).first()
+    if not values:
+        assert (r.mean, r.median) == (None, None)
+    else:
+        assert r.median == np.median(values) and math.isclose(r.mean, np.mean(values), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("u", "a", 1), ("u", "b", 3), ("v", "c", 2)], "user string, item string, rank int")
     held = spark.createDataFrame([("u", "b"), ("v", "x"), ("w", "c")], "user string, item string")
@@ -104,8 +137,24 @@ def test_scoring_in_blocks(spark, pairs):
     b = M.ease(pairs, I.ids(pairs, "item"), I.Config(ease_l2=5.0))
     exact = pairs.withColumn("w", pairs["w"] * 8), b.selectExpr("item", "other", "round(b * 64) AS b")
     want = {(r.user, r.item, r.score, r.rank) for r in M.top_unseen(M.ease_scores(*exact), 3).collect()}
-    for users, items in ((512, 512), (7, 3)):
-        assert {tuple(r) for r in M.ease_top(*exact, 3, users, items).select("user", "item", "score", "rank").collect()} == want
+    for size, items in ((10**6, 512), (17, 3), (1, 1)):
+        assert {tuple(r) for r in M.ease_top(*exact, 3, size, items).select("user", "item", "score", "rank").collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_scoring_a_sparse_matrix(spark, kind):
+    """Few cells are filled, some sums are 0, and some items are known to one side only."""
+    g = np.random.default_rng(9)
+    pairs = [(f"u{u}", str(i), float(g.integers(1, 4))) for u in range(30) for i in g.choice(60, 5, replace=False)]
+    cells = []
+    for i, j in {(int(g.integers(0, 50)), int(g.integers(10, 70))) for _ in range(400)}:
+        if i != j:
+            cells.append((str(i), str(j), float(g.integers(-2, 3) or 1)))
+    train = spark.createDataFrame(pairs, "user string, item string, w double").withColumn("item", F.col("item").cast(kind))
+    b = spark.createDataFrame(cells, "item string, other string, b double").select(F.col("item").cast(kind).alias("item"), F.col("other").cast(kind).alias("other"), "b")
+    want = {tuple(r) for r in M.top_unseen(M.ease_scores(train, b), 4).select("user", "item", "score", "rank").collect()}
+    for size, items in ((10**6, 512), (20, 9)):
+        assert {tuple(r) for r in M.ease_top(train, b, 4, size, items).select("user", "item", "score", "rank").collect()} == want
 
 
 def test_gram_of_heavy_users(spark, pairs):
