@@ -35,9 +35,14 @@ def not_in(column: Column | str, values) -> Column:
     return ~F.coalesce(c.isin(*values), F.lit(False))
 
 
+def selected(column: str = "item_kind", kinds=UNSELECTED_KINDS) -> Column:
+    """Whether a row is in the selection: its kind isn't left out; a row without a kind is in it."""
+    return not_in(column, kinds)
+
+
 def selection(df: DataFrame, column: str = "item_kind", kinds=UNSELECTED_KINDS) -> DataFrame:
     """Rows whose kind of item isn't left out; rows without a kind stay."""
-    return df.where(not_in(column, kinds))
+    return df.where(selected(column, kinds))
 
 
 def not_blank(df: DataFrame, column: str) -> DataFrame:

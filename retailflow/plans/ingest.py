@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from retailflow.functions import clean as C
 from retailflow.operators import relational as R
 from retailflow.sources import schema, tables
-from retailflow.storage import written
 
 
 def _nulls(df: DataFrame) -> DataFrame:
@@ -90,18 +89,22 @@ def favorites(raw: DataFrame, items: DataFrame) -> DataFrame:
 def load(spark, path: str, kind: str, folder: str, mode: str = "replace", encoding: str | None = None, key: list[str] | None = None, multiline: bool = True) -> DataFrame:
     """Read one raw export, process it and write its tables into the folder.
 
-    Events are written in full and as the selection, in either mode; items and categories
-    are always replaced. Orders and favourites need items first, views categories too. The
-    rows are computed once, and both tables are written from them.
+    Events are written in full, with the selection as a partition, in either mode; items and
+    categories are always replaced. Orders and favourites need items first, views categories
+    too. The rows are computed once.
     """
     raw = tables.read_raw(spark, path, kind, encoding, multiline)
     if kind in ("items", "categories"):
-        tables.write_table(items(raw) if kind == "items" else categories(raw), tables.table_path(folder, kind))
+        tables.write_table(items(raw) if kind == "items" else categories(raw), folder, kind)
         return tables.read_table(spark, folder, kind, False)
     needs = ["items", "categories"] if kind == "views" else ["items"]
     tables.require_tables(spark, folder, needs)
     known = [tables.read_table(spark, folder, n, selection=False) for n in needs]
-    out = written({"orders": orders, "views": views, "favorites": favorites}[kind](raw, *known), kind)
-    tables.write_table(out, tables.table_path(folder, kind), mode, key)
-    tables.write_table(R.selection(out), tables.table_path(folder, kind, True), mode, key)
-    return out
+    out = {"orders": orders, "views": views, "favorites": favorites}[kind](raw, *known)
+    put(out, folder, kind, mode, key)
+    return R.sorted_by_date(tables.read_table(spark, folder, kind, False)) if mode == "replace" else out
+
+
+def put(events: DataFrame, folder: str, kind: str, mode: str, key: list[str] | None = None) -> None:
+    """Write processed events with their selection, both in one step."""
+    tables.write_table(events, folder, kind, mode, key, R.selected(), (F.asc_nulls_last("event_date"),))

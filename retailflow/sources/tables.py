@@ -1,18 +1,21 @@
 """Sources and sinks: raw and processed CSV, tables by kind, and what a folder holds.
 
-Tables are kept as Parquet in one folder for each kind; the selection is a filter on the
-same rows, and may be kept as a table of its own where readers should find it first.
+Tables are kept as Parquet in one folder for each kind, the selection as a partition of it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retailflow.storage import drop_folder
+
 from . import charset, records, schema
 
 KINDS = tuple(schema.COLUMNS)
@@ -93,8 +96,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns if c != "pos"]).write.mode(mode).options(sep="|", header=True, quote='"', escape='"', encoding="UTF-8").csv(path)
 
 
-def table_path(folder: str, kind: str, selection: bool = False) -> str:
-    return f"{folder.rstrip('/')}/{kind}{'_selection' if selection else ''}"
+def table_path(folder: str, kind: str) -> str:
+    return f"{folder.rstrip('/')}/{kind}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -102,40 +105,130 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "replace", key: list[str] | None = None) -> None:
+# ---------------------------------------------------------------- tables in versions
+#
+# A table is a folder of versions, "version=<id>", each written by one job and never changed,
+# and of numbered manifests in "_manifests". The last manifest names the versions that are
+# the table. A writer first writes a version and then, in one step, a manifest; until then
+# readers have the former table, however the writer ends. Whether a row is in the selection
+# is a partition of the same table, so that both always belong together.
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of a table's manifests, the last of which holds."""
+    return [int(n.removesuffix(".json")) for n in _files(spark, f"{path}/_manifests") if n.endswith(".json")]
+
+
+def manifest(spark: SparkSession, path: str, number: int | None = None) -> dict | None:
+    """A table's manifest, or None if there is no table."""
+    numbers = manifests(spark, path) if number is None else [number]
+    return json.loads(_read_text(spark, f"{path}/_manifests/{numbers[-1]:09d}.json")) | {"number": numbers[-1]} if numbers else None
+
+
+def publish(spark: SparkSession, path: str, content: dict, after: int) -> None:
+    """Make a manifest the last one. If another writer has done so since, this raises and changes nothing."""
+    target = f"{path}/_manifests/{after + 1:09d}.json"
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(at, False)
+    try:
+        stream.write(json.dumps(content).encode("utf-8"))
+    finally:
+        stream.close()
+    if exists(spark, target) or not fs.rename(at, jvm.org.apache.hadoop.fs.Path(target)):
+        fs.delete(at, False)
+        raise RuntimeError(f"another writer has changed {path}")
+
+
+def _merged(old: T.StructType, new: T.StructType) -> T.StructType:
+    known = {f.name: f.dataType for f in old}
+    if clash := [f.name for f in new if known.get(f.name, f.dataType) != f.dataType]:
+        raise ValueError(f"appended columns have other types: {', '.join(clash)}")
+    return T.StructType([*old, *(f for f in new if f.name not in known)])
+
+
+def write_table(df: DataFrame, folder: str, kind: str, mode: str = "replace", key: list[str] | None = None, selected: Column | None = None, order: tuple = ()) -> None:
     """Replace a table, or append to it as it is: no dedup, no sorting.
 
-    With a key, rows whose key is there already aren't appended again.
+    With a key, rows whose key is there already aren't appended again. `selected` says which
+    rows are in the selection; rows of a customer are found by a Bloom filter of each row
+    group. A failed writer leaves the table as it was. Versions that neither the last
+    manifest nor the one before names are removed.
     """
-    spark = df.sparkSession
-    if mode == "replace" or not exists(spark, path):
-        df.write.mode("overwrite").parquet(path)
-    elif mode == "append":
-        if key:
-            old = spark.read.parquet(path).select(*key)
-            df = df.join(old.select(*[F.col(k).alias(f"_{k}") for k in key]), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_anti").dropDuplicates(key)
-        df.write.mode("append").parquet(path)
-    else:
+    if mode not in ("replace", "append"):
         raise ValueError(f"unknown mode: {mode}")
+    spark, path = df.sparkSession, table_path(folder, kind)
+    now = manifest(spark, path)
+    if mode == "append" and now and key:
+        old = read_table(spark, folder, kind, False).select(*[F.col(k).alias(f"_{k}") for k in key])
+        df = df.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_anti").dropDuplicates(key)
+    version, schema_ = uuid.uuid4().hex[:16], df.schema
+    if selected is not None:
+        df = df.withColumn("selected", F.coalesce(selected, F.lit(False)))
+        df = df.sortWithinPartitions("selected", *order) if order else df
+    writer = df.write if selected is None else df.write.partitionBy("selected")
+    for c in {"customer_id"} & set(df.columns):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(f"{path}/version={version}")
+    old = now if mode == "append" and now else {"versions": [], "schema": T.StructType([]).jsonValue()}
+    if old["versions"] and old["selection"] != (selected is not None):
+        raise ValueError(f"{path} {'has' if old['selection'] else 'has no'} selection")
+    content = {"versions": [*old["versions"], version], "schema": _merged(T.StructType.fromJson(old["schema"]), schema_).jsonValue(), "selection": selected is not None}
+    publish(spark, path, content, now["number"] if now else 0)
+    if now:
+        _drop_old(spark, path, {*content["versions"], *now["versions"]}, now["number"])
+
+
+def _drop_old(spark: SparkSession, path: str, keep: set[str], since: int) -> None:
+    named = set()
+    for n in manifests(spark, path):
+        if n < since:
+            named |= set(manifest(spark, path, n)["versions"])
+            drop_folder(spark, f"{path}/_manifests/{n:09d}.json")
+    for v in named - keep:
+        drop_folder(spark, f"{path}/version={v}")
 
 
 def read_table(spark: SparkSession, folder: str, kind: str, selection: bool | None = None) -> DataFrame:
-    """A table of a folder; with selection=None the selection where there is one."""
-    paths = [table_path(folder, kind, s) for s in ((True, False) if selection is None else (selection,))]
-    for path in paths:
-        if exists(spark, path):
-            return spark.read.option("mergeSchema", True).parquet(path)
-    raise FileNotFoundError(f"no table {kind} in {folder}; load it first")
+    """A table of a folder; with selection=None the selection where there is one.
+
+    The selection is read by partition; no footer is read for the schema.
+    """
+    path = table_path(folder, kind)
+    now = manifest(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"no table {kind} in {folder}; load it first")
+    shape = T.StructType([*T.StructType.fromJson(now["schema"]), T.StructField("version", T.StringType()), *([T.StructField("selected", T.BooleanType())] if now["selection"] else [])])
+    df = spark.read.schema(shape).option("basePath", path).parquet(*[f"{path}/version={v}" for v in now["versions"]])
+    if now["selection"] and selection in (None, True):
+        df = df.where("selected")
+    return df.drop("version", "selected")
 
 
 def status(spark: SparkSession, folder: str) -> DataFrame:
     """(table, present) for each kind."""
-    rows = [(k, exists(spark, table_path(folder, k))) for k in KINDS]
+    rows = [(k, bool(manifests(spark, table_path(folder, k)))) for k in KINDS]
     return spark.createDataFrame(rows, T.StructType([T.StructField("table", T.StringType()), T.StructField("present", T.BooleanType())]))
 
 
 def require_tables(spark: SparkSession, folder: str, kinds) -> None:
-    missing = [k for k in kinds if not exists(spark, table_path(folder, k))]
+    missing = [k for k in kinds if not manifests(spark, table_path(folder, k))]
     if missing:
         raise AnalysisException(f"load these tables first: {', '.join(missing)}")
 

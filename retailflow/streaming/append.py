@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from retailflow.operators import relational as R
 from retailflow.plans import ingest
 from retailflow.sources import schema, tables
 
@@ -29,8 +28,7 @@ def stream_events(spark: SparkSession, inbox: str, kind: str, folder: str, check
             out = ingest.views(df, items, tables.read_table(spark, folder, "categories", selection=False))
         else:
             out = {"orders": ingest.orders, "favorites": ingest.favorites}[kind](df, items)
-        tables.write_table(out, tables.table_path(folder, kind), "append", key)
-        tables.write_table(R.selection(out), tables.table_path(folder, kind, True), "append", key)
+        ingest.put(out, folder, kind, "append", key)
 
     return raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -124,6 +124,47 @@ def test_status_and_append(spark, loaded):
     assert tables.append_all(a, b).collect() == [(1, "x", None), (2, None, 3.0)]
 
 
+def test_a_writer_that_fails_leaves_the_old_pair(spark, loaded, tmp_path, monkeypatch):
+    first = write(tmp_path / "o.csv", "orders", ORDERS)
+    ingest.load(spark, first, "orders", loaded)
+    before = [sorted(map(str, tables.read_table(spark, loaded, "orders", s).collect())) for s in (False, True)]
+    other = write(tmp_path / "p.csv", "orders", [{**ORDERS[0], "order_id": "9"}])
+
+    def fails(*_):
+        raise OSError("between the writes")
+
+    for mode in ("replace", "append"):
+        with monkeypatch.context() as m:
+            m.setattr(tables, "publish", fails)
+            with pytest.raises(OSError):
+                ingest.load(spark, other, "orders", loaded, mode)
+        assert [sorted(map(str, tables.read_table(spark, loaded, "orders", s).collect())) for s in (False, True)] == before
+    old = tables.read_table(spark, loaded, "orders", False)
+    ingest.load(spark, other, "orders", loaded)
+    assert {r.order_id for r in tables.read_table(spark, loaded, "orders", False).collect()} == {"9"}
+    assert tables.read_table(spark, loaded, "orders", True).count() == 0
+    assert sorted(map(str, old.collect())) == before[0]  # a reader that began before goes on
+    ingest.load(spark, first, "orders", loaded)
+    assert len(tables.manifests(spark, tables.table_path(loaded, "orders"))) == 2
+    now = tables.manifest(spark, tables.table_path(loaded, "orders"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        tables.publish(spark, tables.table_path(loaded, "orders"), {}, now["number"] - 1)
+
+
+def test_the_selection_is_a_partition(spark, loaded, tmp_path):
+    ingest.load(spark, write(tmp_path / "o.csv", "orders", ORDERS), "orders", loaded)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    chosen = tables.read_table(spark, loaded, "orders", True)
+    assert "PartitionFilters: [isnotnull(selected" in plan(chosen) and chosen.columns == [*schema.COLUMNS["orders"], "pos"]
+    assert "PartitionFilters: []" in plan(tables.read_table(spark, loaded, "orders", False))
+    extra = chosen.withColumn("more", chosen["qty"])
+    tables.write_table(extra, loaded, "orders", "append", selected=R.selected())
+    both = tables.read_table(spark, loaded, "orders", False)
+    assert both.columns[-1] == "more" and both.where("more IS NULL").count() == 4
+    with pytest.raises(ValueError, match="other types"):
+        tables.write_table(chosen.withColumn("qty", chosen["order_id"]), loaded, "orders", "append", selected=R.selected())
+
+
 def test_stream(spark, loaded, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
