@@ -22,9 +22,8 @@ from retailflow.storage import drop_folder, new_folder, written
 #: items of one, and pairs of a block of users to be scored by the item matrix.
 BLOCK, USER_BLOCK, ITEM_BLOCK, TOP_PAIRS = 512, 512, 512, 1_000_000
 #: Pairs of a block of users on average when factors are trained, and items whose factors are
-#: broadcast at most (768 bytes each with 64 dimensions); for more, the steps of an epoch are
-#: joins, so many at most.
-BLOCK_PAIRS, BPR_ITEMS, BPR_STEPS = 200_000, 50_000, 16
+#: broadcast at most (768 bytes each with 64 dimensions); more items go in blocks as well.
+BLOCK_PAIRS, BPR_ITEMS = 200_000, 50_000
 
 
 class TooLarge(ValueError):
@@ -367,9 +366,9 @@ def _ranks(u: np.ndarray, v: np.ndarray, users: np.ndarray, target: np.ndarray,
     for i in range(0, len(users), chunk):
         scores = u[users[i : i + chunk]] @ v.T
         for row in range(len(scores)):
-            scores[row, seen[i + row]] = -1e9
+            scores[row, seen[i + row]] = -np.inf
         own = scores[np.arange(len(scores)), target[i : i + chunk]]
-        out[i : i + chunk] = np.where(own > -1e8, (scores > own[:, None]).sum(1), len(v))
+        out[i : i + chunk] = np.where(np.isfinite(own), (scores > own[:, None]).sum(1), len(v))
     return out
 
 
@@ -432,12 +431,12 @@ def bpr_trained(train: DataFrame, holdout: DataFrame, users: DataFrame, items: D
     Users are dealt into blocks. In an epoch every block trains its own users with a copy of
     the items' factors; then the copies' means, weighted by draws, are the next epoch's. One
     block is the plain sequential loop. A user's pairs are distinct items, so a block is
-    bounded. Beyond BPR_ITEMS items see bpr_joined().
+    bounded. Beyond BPR_ITEMS items see bpr_strata().
     """
     spark = train.sparkSession
     n_items, n = items.count(), train.count()
     if n_items > BPR_ITEMS:
-        return bpr_joined(train, holdout, users, items, cfg), []
+        return bpr_strata(train, holdout, users, items, cfg)
     ship_package(spark)
     u, i = users.select("user", F.col("idx").alias("u")), items.select("item", F.col("idx").alias("i"))
     block = F.pmod(F.xxhash64("u"), F.lit(max(1, -(-n // block_pairs)))).cast("int").alias("block")
@@ -504,89 +503,73 @@ def _drawn_factors(cfg: I.Config):
     return run
 
 
-def _gradients(cfg: I.Config, size: int):
-    """Gradients of triples (u, p, n, x, y, z), summed for each factor of a batch of rows."""
+def _stratum(cfg: I.Config, epoch: int, round_: int, step: int):
+    """One epoch's steps for the pairs of a block of users and a block of items."""
     import pyarrow as pa
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y, z = (_rows(batch.column(c)) for c in "xyz")
-            s = (-1 / (1 + np.exp(((y - z) * x).sum(1))) / size)[:, None]
-            r = 2 * cfg.penalty / size
-            users, a = np.unique(batch.column("u").to_numpy(), return_inverse=True)
-            items, b = np.unique(np.concatenate([batch.column("p").to_numpy(), batch.column("n").to_numpy()]), return_inverse=True)
-            gu, gv = np.zeros((len(users), x.shape[1])), np.zeros((len(items), x.shape[1]))
-            np.add.at(gu, a, s * (y - z) + r * x)
-            np.add.at(gv, b, np.concatenate([s * x + r * y, -s * x + r * z]))
-            yield pa.RecordBatch.from_arrays([pa.array(["user"] * len(users) + ["item"] * len(items)), pa.array(np.concatenate([users, items])), _lists(np.concatenate([gu, gv]))], names=["side", "idx", "g"])
-
-    return run
-
-
-def _adam(cfg: I.Config, step: int):
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            f, m, q, g = (_rows(batch.column(c)) for c in ("factors", "m", "q", "g"))
-            g = g + cfg.decay * f
-            m, q = m + 0.1 * (g - m), q + 0.001 * (g * g - q)
-            f = f - cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
-            yield pa.RecordBatch.from_arrays([batch.column("side"), batch.column("idx"), _lists(f), _lists(m), _lists(q)], names=["side", "idx", "factors", "m", "q"])
+    def run(key, pairs, states):
+        dims, block = cfg.dims, key[0].as_py()
+        out = []
+        found = {}
+        for side in ("user", "item"):
+            rows = states.filter(pa.array(np.asarray(states["side"].to_pylist(), object) == side)).sort_by("idx")
+            x = _rows(rows["vec"].combine_chunks()).astype(np.float32) if len(rows) else np.zeros((0, 3 * dims), np.float32)
+            found[side] = rows["idx"].to_numpy(), x[:, :dims].copy(), (x[:, dims : 2 * dims].copy(), x[:, 2 * dims :].copy())
+        (users, u, su), (items, v, sv) = found["user"], found["item"]
+        if len(pairs):
+            order = np.lexsort((pairs["i"].to_numpy(), pairs["u"].to_numpy()))
+            a, p, w = (pairs[c].to_numpy()[order] for c in ("u", "i", "w"))
+            a, p = np.searchsorted(users, a), np.searchsorted(items, p)
+            seen = np.unique(a.astype(np.int64) * len(v) + p)
+            loss, steps, _ = _epoch(u, v, [su, sv], a, p, w / w.sum(), seen, cfg, np.random.default_rng([cfg.seed, epoch, round_, block]), step)
+            out.append(("loss", steps, float(len(a)), [loss]))
+        for side, ids, x, state in (("user", users, u, su), ("item", items, v, sv)):
+            out += [(side, int(i), 1.0, r) for i, r in zip(ids, np.concatenate([x, *state], 1), strict=True)]
+        kinds = {"side": pa.string(), "idx": pa.int32(), "n": pa.float64(), "vec": pa.list_(pa.float32())}
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
     return run
 
 
-def bpr_joined(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config()) -> DataFrame:
-    """bpr() with every step as joins of pairs and factors, gradients summed by key.
+def bpr_strata(train: DataFrame, holdout: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config(), blocks: int | None = None) -> tuple[DataFrame, list[tuple]]:
+    """bpr_trained() for any number of items, without a copy of all factors anywhere.
 
-    The loss, the optimizer, the epochs, the draws by weight without replacement, up to 25
-    draws of a negative and the choice of the best epoch are those of bpr_trained().
-    Batches are larger where an epoch would have more than BPR_STEPS of them, and their
-    sizes vary about the batch as rows are drawn on their own.
+    In each epoch users and items are dealt into as many blocks by hashes of their own. A
+    round trains every block of users with one block of items, no two with the same, so that
+    the rounds' steps are those of some sequential loop; after as many rounds as blocks all
+    pairs have been. A pair's negatives come from its item's block, which other items join
+    in every epoch. Batches are of cfg.batch pairs, so an epoch has about pairs / cfg.batch
+    steps, whatever its blocks. Factors and their moments are written once a round.
     """
-    ship_package(train.sparkSession)
+    spark = train.sparkSession
+    ship_package(spark)
+    u, i = users.select("user", F.col("idx").alias("u")), items.select("item", F.col("idx").alias("i"))
+    pairs = written(train.join(u, "user").join(i, "item").select("u", "i", F.col("w").cast("double").alias("w")), "pairs")
+    n = pairs.count()
+    blocks = blocks or max(1, -(-items.count() // BPR_ITEMS), int(np.ceil(np.sqrt(n / BLOCK_PAIRS))))
     schema = "side string, idx int, factors array<float>, m array<float>, q array<float>"
-    pairs = train.join(users.select("user", F.col("idx").alias("u")), "user").join(items.select("item", F.col("idx").alias("p")), "item")
-    pairs = written(pairs.select("u", "p", F.col("w").cast("double").alias("w")), "pairs")
-    n, n_items = pairs.count(), items.count()
-    steps = max(1, min(BPR_STEPS, -(-n // cfg.batch)))
-    size = max(1, min(n, max(cfg.batch, -(-n // steps))))
-
-    def draw(*salt):
-        return F.xxhash64("u", "p", *[F.lit(x) for x in (cfg.seed, *salt)])
-
-    def key(step):  # a lower key is drawn first, by weight
-        return -F.log((F.pmod(draw(step, -1), F.lit(1 << 40)) + 0.5) / float(1 << 40)) / F.col("w")
-
-    most = pairs.select(F.percentile_approx(key(0), size / n, 100_000)).first()[0] if size < n else None
     state = users.select(F.lit("user").alias("side"), "idx").unionByName(items.select(F.lit("item").alias("side"), "idx"))
-    state = written(state.mapInArrow(_drawn_factors(cfg), schema), "state")
-    best, step = None, 0
-    for _ in range(cfg.epochs):
-        for _ in range(steps):
-            step += 1
-            some = pairs if most is None else pairs.where(key(step) <= most)
-            tries = some.select("u", "p", F.posexplode(F.array(*[F.pmod(draw(step, k), F.lit(n_items)).cast("int") for k in range(26)])).alias("k", "n"))
-            free = tries.join(pairs.select("u", F.col("p").alias("n")), ["u", "n"], "left_anti").groupBy("u", "p").agg(F.min_by("n", "k").alias("n"))
-            last = F.pmod(draw(step, 25), F.lit(n_items)).cast("int")
-            triples = some.join(free, ["u", "p"], "left").select("u", "p", F.coalesce("n", last).alias("n"))
-            f = {c: state.where(F.col("side") == side).select(F.col("idx").alias(c), F.col("factors").alias(v)) for c, v, side in (("u", "x", "user"), ("p", "y", "item"), ("n", "z", "item"))}
-            triples = triples.join(f["u"], "u").join(f["p"], "p").join(f["n"], "n")
-            parts = triples.mapInArrow(_gradients(cfg, size), "side string, idx int, g array<float>")
-            sums = parts.groupBy("side", "idx").agg(*[F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(cfg.dims)])
-            sums = sums.select("side", "idx", F.array(*[F.col(f"g{k}").cast("float") for k in range(cfg.dims)]).alias("g"))
-            moved = state.join(sums, ["side", "idx"], "left").withColumn("g", F.coalesce("g", F.array_repeat(F.lit(0.0).cast("float"), cfg.dims)))
-            state = written(moved.mapInArrow(_adam(cfg, step), schema), "state")
-        factors = state.select("side", "idx", "factors")
-        recall = I.metrics(factor_top(factors, train, users, items, cfg.top_k), holdout, cfg.top_k).first().recall
-        if best is None or recall > best[0]:
-            best = (recall, factors)
-    return best[1] if best else state.select("side", "idx", "factors")
+    state = written(state.mapInArrow(_drawn_factors(cfg), schema).select("side", "idx", F.concat("factors", "m", "q").alias("vec")), "state")
+    factors = lambda df: df.select("side", "idx", F.slice("vec", 1, cfg.dims).alias("factors"))
+    best, history, step, total = None, [], 0, F.lit(blocks)
+    for epoch in range(1, cfg.epochs + 1):
+        of = lambda side, idx: F.pmod(F.xxhash64(F.lit(side), F.lit(cfg.seed + epoch), F.col(idx).cast("int")), total).cast("int")  # noqa: B023, E731
+        lost, size = 0.0, 0.0
+        for r in range(blocks):
+            # the block of users b meets the block of items b + r
+            ub, ib = of("user", "u"), F.pmod(of("item", "i") - r, total)
+            mine = pairs.withColumn("block", ub).where(ub == ib)
+            states = state.withColumn("block", F.when(F.col("side") == "user", of("user", "idx")).otherwise(F.pmod(of("item", "idx") - r, total)))
+            out = mine.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(_stratum(cfg, epoch, r, step), "side string, idx int, n double, vec array<float>")
+            out = written(out, "round")
+            found = out.where("side = 'loss'").agg(F.sum(F.col("n") * F.col("vec")[0]).alias("lost"), F.sum("n").alias("n"), F.max("idx").alias("step")).first()
+            lost, size, step = lost + (found.lost or 0.0), size + (found.n or 0.0), int(found.step or step)
+            state = out.where("side <> 'loss'").select("side", "idx", "vec")
+        one = I.metrics(factor_top(factors(state), train, users, items, cfg.top_k), holdout, cfg.top_k).first()
+        history.append((epoch, lost / max(1.0, size), one.recall, one.ndcg))
+        if best is None or one.recall > best[0] or not one.users:
+            best = (one.recall, state)
+    return factors(best[1] if best else state), history
 
 
 def als(train: DataFrame, users: DataFrame, items: DataFrame, cfg: I.Config = I.Config()) -> DataFrame:

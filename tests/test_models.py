@@ -214,6 +214,30 @@ def test_factor_model_beyond_broadcast_items(spark, pairs, monkeypatch):
     assert s[own].mean() > s[~own].mean() + 0.1
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_factor_model_by_strata(spark, pairs, blocks):
+    """One stratum is the plain loop; each epoch has its loss, recall and ndcg and all pairs' steps."""
+    users, items = I.ids(pairs, "user").cache(), I.ids(pairs, "item").cache()
+    held = spark.createDataFrame([(u, 4 * (u % 2) + k) for u in range(40) for k in range(4)], "user int, item int").join(pairs, ["user", "item"], "left_anti").dropDuplicates(["user"])
+    cfg = I.Config(dims=4, epochs=3, batch=16, rate=0.2, top_k=2)
+    factors, history = M.bpr_strata(pairs, held, users, items, cfg, blocks)
+    assert [h[0] for h in history] == [1, 2, 3] and history[-1][1] < history[0][1]
+    f = {(r.side, r.idx): r.factors for r in factors.collect()}
+    assert len(f) == users.count() + items.count() and all(np.isfinite(x).all() for x in f.values())
+    found = I.metrics(M.factor_top(factors, pairs, users, items, 2), held, 2).first()
+    assert math.isclose(found.recall, max(h[2] for h in history), abs_tol=1e-6)
+    if blocks == 1:
+        # by hand: the same draws, steps and batches
+        a = {r.user: r.idx for r in users.collect()}
+        b = {r.item: r.idx for r in items.collect()}
+        rows = sorted((a[r.user], b[r.item], r.w) for r in pairs.collect())
+        u, i, w = (np.array([r[k] for r in rows]) for k in range(3))
+        x = {s: np.stack([np.random.default_rng([cfg.seed, s == "item", k]).normal(0, 0.1, 4) for k in range(n)]).astype(np.float32) for s, n in (("user", len(a)), ("item", len(b)))}
+        state = [(0 * x[s], 0 * x[s]) for s in ("user", "item")]
+        loss, step, _ = M._epoch(x["user"], x["item"], state, u, i, w / w.sum(), np.unique(u * len(b) + i), cfg, np.random.default_rng([cfg.seed, 1, 0, 0]), 0)
+        assert step == -(-len(rows) // cfg.batch) and math.isclose(loss, history[0][1], rel_tol=1e-5)
+
+
 def test_samples(spark, pairs):
     assert I.weighted_sample(pairs, 10**6).count() == pairs.count()
     assert I.weighted_sample(pairs, 10).count() == 10
