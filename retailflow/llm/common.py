@@ -36,6 +36,30 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left
     return df.hint("shuffle_merge").join(ids, key, how)
 
 
+def numbered(rows: DataFrame, place: int) -> tuple[DataFrame, bool, int | None]:
+    """The rows with a number in `doc` (a long) where it is null, whether each is alone with
+    its number, which leaves room for `place` below it in a long, and the number for null.
+
+    A null's number is the one before the least id, so no row has it; if that doesn't exist,
+    ValueError.
+    """
+    doc = F.col("doc")
+    facts = rows.agg(F.count("*").alias("n"), F.count(doc).alias("known"), F.countDistinct(doc).alias("ids"), F.min(doc).alias("low"), F.max(doc).alias("high")).first()
+    nulls = facts.n - facts.known
+    none = ((facts.low or 0) - 1) if nulls else None
+    if nulls and none < -(1 << 63):
+        raise ValueError("beside a null id the least id of a long can't be told from it")
+    room = (1 << 63) // place
+    low = facts.low if none is None else none
+    plain = facts.ids == facts.known and nulls <= 1 and (low is None or low >= -room) and (facts.high is None or facts.high < room)
+    return rows if none is None else rows.withColumn("doc", F.coalesce(doc, F.lit(none))), plain, none
+
+
+def given_id(doc: str, none: int | None) -> Column:
+    """The id as it was given, null where numbered() put a number."""
+    return F.col(doc) if none is None else F.when(F.col(doc) != none, F.col(doc))
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, SPACES, by_ids, let, written
+from .common import SPACE_PATTERN, SPACES, by_ids, given_id, let, numbered, written
 
 #: Lines of fewer words go only if they are equal to an earlier one.
 LEAST_WORDS = 8
 #: Words whose hashes are run together at a time.
 GROUP = 512
-_NO_ID, _PLACE = -(1 << 34), 1 << 28
+_PLACE = 1 << 28
 
 
 def normal(line: Column) -> Column:
@@ -104,12 +104,11 @@ def variant_keys(line: Column, n: Column) -> Column:
     return let(F.struct(hashes(F.lit(0)).alias("own"), hashes(F.lit(1)).alias("moved")), of)
 
 
-def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc, th, _text), and (doc, th, lines) with the places of lines that
-    go, counted from 0, for documents that lose any."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    facts = rows.agg(F.count("*").alias("n"), F.countDistinct("doc").alias("ids"), F.min("doc").alias("low"), F.max("doc").alias("high")).first()
-    plain = facts.n == facts.ids and (facts.n == 0 or (facts.low >= _NO_ID and facts.high < 1 << 34))
+def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int | None, DataFrame]:
+    """The documents as (doc, th, _text), the number that stands for a null id, and (doc, th, lines) with the places of lines that
+    go, counted from 0, for documents that lose any; doc as numbered() has it."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows, plain, none = numbered(rows, _PLACE)
     rows = rows.withColumn("th", F.lit(0).cast("long") if plain else F.xxhash64("_text"))
     order = (F.col("doc") * _PLACE + F.col("at")) if plain else F.struct("doc", "th", "at")
 
@@ -158,7 +157,7 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str =
     known = written(distinct.select("h1", "h2", "o").join(written(near, "confirmed").hint("shuffle_merge"), "o", "left").select("h1", "h2", F.col("o").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "known")
     gone = lines.select("h1", "h2", "o", "doc", "th", "at").join(known.hint("shuffle_merge"), ["h1", "h2"]).where(F.col("near") | (F.col("o") != F.col("first")))
     # as many as the document has lines at most
-    return rows, gone.groupBy("doc", "th").agg(F.array_sort(F.collect_set("at")).alias("lines"))
+    return rows, none, gone.groupBy("doc", "th").agg(F.array_sort(F.collect_set("at")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,19 +165,22 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "
 
     A line goes if an earlier one, in a document of a smaller id or before it in the same,
     has the same words, or is within one edit where both have `least_words` or more. All
-    is judged on the documents as given. Lines without words stay. A null id is the
-    smallest; a null text is one empty line. Rows of the same id and text are one document;
+    is judged on the documents as given. Lines without words stay. Ids are whole numbers
+    of 64 bits, of which a null is the smallest; a null text is one empty line. Rows of the same id and text are one document;
     rows of one id with different texts are ordered by a hash of these. An empty table gives
     none.
     """
-    rows, gone = dropped_lines(docs, least_words, doc_id, text)
+    rows, none, gone = dropped_lines(docs, least_words, doc_id, text)
     gone = written(gone, "gone")
     ids = written(gone.select("doc").distinct(), "ids")
     lines = F.split("_text", "\n")
     out = lambda kept, dropped: ["doc", F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept")]
     some = by_ids(rows, ids, "doc").join(gone.hint("shuffle_merge"), ["doc", "th"], "left")
     lost = F.coalesce("lines", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n")
+    # what stands between the lost lines, slice by slice
+    edges = F.concat(F.array(F.lit(-1)), lost, F.array(F.size(lines)))
+    between = lambda l, e: F.flatten(F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda j: F.slice(l, F.get(e, j - 1) + 2, F.get(e, j) - F.get(e, j - 1) - 1)))  # noqa: E731, E741
+    kept = F.array_join(let(lines, lambda l: let(edges, lambda e: between(l, e))), "\n")  # noqa: E741
     some = some.select(*out(kept, F.size(lost)))
     rest = by_ids(rows, ids, "doc", "left_anti").select(*out(F.col("_text"), F.lit(0)))
-    return some.unionByName(rest).select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "n_lines", "n_dropped", "kept")
+    return some.unionByName(rest).select(given_id("doc", none).alias("doc_id"), "n_lines", "n_dropped", "kept")

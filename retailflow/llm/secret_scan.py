@@ -143,6 +143,32 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _clear(spans: Column, of: Column) -> Column:
+    """The spans that meet none of the others, by one pass over all in order.
+
+    A span stands at its end, one of the others at its start, and of equal places the spans
+    come first: so a span meets another if the furthest end before it is beyond its start.
+    The furthest ends are found for groups of places first, so that no long list grows.
+    """
+    at = lambda place, other, reach, s: F.struct(place.alias("at"), F.lit(other).alias("other"), reach.alias("reach"), s.alias("span"))
+    places = F.array_sort(F.concat(F.transform(spans, lambda s: at(s["end"], 0, s["start"], s)), F.transform(of, lambda s: at(s["start"], 1, s["end"], s))))
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+    def judged(acc, p):
+        clear = (p["other"] == 0) & (acc["top"] <= p["reach"])
+        top = F.when(p["other"] == 1, F.greatest(acc["top"], p["reach"])).otherwise(acc["top"])
+        return F.struct(top.alias("top"), F.when(clear, F.concat(acc["out"], F.array(p["span"]))).otherwise(acc["out"]).alias("out"))
+
+    def merged(all_):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / GROUP).cast("int")), lambda g: F.slice(all_, g * GROUP + 1, F.lit(GROUP)))
+        tops = lambda c: F.transform(c, lambda x: F.aggregate(x, F.lit(0), lambda a, p: F.when(p["other"] == 1, F.greatest(a, p["reach"])).otherwise(a)))
+        before = lambda t: F.aggregate(t, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.greatest(F.element_at(a, -1), x))))
+        each = lambda c, b: F.zip_with(c, F.slice(b, 1, F.size(c)), lambda x, top: F.aggregate(x, F.struct(top.alias("top"), empty.alias("out")), judged)["out"])
+        return let(chunks, lambda c: let(let(tops(c), before), lambda b: F.flatten(each(c, b))))
+
+    return F.when((F.size(spans) == 0) | (F.size(of) == 0), spans).otherwise(let(places, merged))
+
+
 def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), table: list[float] | None = None) -> DataFrame:
     """The kept columns, text, and base and spans: arrays of (start, kind, end) of every row.
 
@@ -163,9 +189,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     more = F.when(t.rlike(rf"[A-Za-z0-9+/_=-]{{{RANDOM_LEAST}}}"), _spans(t, RANDOM, 3, judged)).otherwise(none)
     parts = F.when(t.rlike(HAS_PART), _spans(t, PART, 3, judged)).otherwise(none)
     rows = rows.withColumn("_base", F.concat(assign, access, hexes)).withColumn("_more", more).withColumn("_parts", parts)
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    clear = lambda spans, of: F.filter(spans, lambda m: ~F.exists(of, lambda b: meets(m, b)))
-    apart = F.concat(clear("_more", "_base"), clear(clear("_parts", "_base"), "_more"))
+    apart = F.concat(_clear(F.col("_more"), F.col("_base")), _clear(_clear(F.col("_parts"), F.col("_base")), F.col("_more")))
     return rows.select(*keep, t.alias("text"), F.array_sort("_base").alias("base"), F.array_sort(F.concat("_base", apart)).alias("spans"))
 
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Piece, argmin_windows, by_ids, pieces, prepare, written
+from .common import Piece, argmin_windows, by_ids, given_id, numbered, pieces, prepare, written
 
 WINDOW, PHRASE = 20, 8
 STEP = WINDOW - PHRASE + 1
@@ -41,7 +41,7 @@ PIECE_WINDOWS = 256
 LETTERS = 512
 #: Places of found phrases that are compared at once.
 HITS = 100_000
-_SALT, _NO_ID, _PLACE = 0x7E57, -(1 << 34), 1 << 28
+_SALT, _PLACE = 0x7E57, 1 << 28
 
 
 def _picked(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,16 +299,16 @@ def remove_repeats(
     """doc_id, n_words, n_removed and kept, the words that stay joined by one space.
 
     Words are runs of anything but ASCII white space. Earlier means a smaller id, or an
-    earlier start in the same document; a null id is the smallest. Rows of the same id and
+    earlier start in the same document. Ids are whole numbers of 64 bits, of which a null is
+    the smallest. Rows of the same id and
     text are one document and get the same result; rows of one id with different texts are
     different documents, ordered by a hash of their texts. Texts under 20 words, empty and
     null ones lose nothing. An empty table gives none.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text).alias("_text"))
-    facts = rows.agg(F.count("*").alias("n"), F.countDistinct("doc").alias("ids"), F.min("doc").alias("low"), F.max("doc").alias("high")).first()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("_text"))
     # with one row for each id, and ids that leave room for a place, one long orders windows
-    plain = facts.n == facts.ids and (facts.n == 0 or (facts.low >= _NO_ID and facts.high < 1 << 34))
+    rows, plain, none = numbered(rows, _PLACE)
     rows = rows.withColumn("th", F.lit(0).cast("long") if plain else F.xxhash64("_text"))
 
     counts = rows.mapInArrow(_phrase_counts, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
@@ -346,4 +346,4 @@ def remove_repeats(
     done = (held if plain else by_ids(rows, some, "doc")).join(written(runs, "runs").hint("shuffle_merge"), ["doc", "th"], "left").select("doc", "_text", "runs")
     rest = by_ids(rows, some, "doc", "left_anti").select("doc", "_text", F.array().cast("array<int>").alias("runs"))
     done = done.unionByName(rest).mapInArrow(_left, "doc long, n_words long, n_removed long, kept string")
-    return done.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
+    return done.select(given_id("doc", none).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -345,3 +345,63 @@ def test_long_token(spark):
     token = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1 << 20))
     got = secret_scan.digest(secret_scan.scan_secrets(odd_table(spark, [(1, token)]))).first()
     assert got.spans == f"random:0:{1 << 20}"
+
+
+def test_ids_at_the_ends_of_a_long(spark):
+    """A null id is smaller than any, and no id stands for it; the least long leaves it no place."""
+    from retailflow.llm import line_dedup, substring_dedup
+
+    passage = " ".join(f"w{i}" for i in range(40))
+    ids = [None, -(1 << 34), -(1 << 62), (1 << 63) - 1, 5]
+    for some in (ids, ids[:2], [None, -(1 << 34), 5]):
+        docs = spark.createDataFrame([(i, passage) for i in some], "doc_id long, text string")
+        lines = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()}
+        words = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+        assert lines == {i: int(i is not None) for i in some}
+        assert words == {i: 40 * int(i is not None) for i in some}
+    docs = spark.createDataFrame([(None, "a"), (-(1 << 63), "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="null id"):
+        line_dedup.dedup_lines(docs)
+
+
+def test_one_document_of_very_many_lines_and_secrets(spark):
+    """200,000 lines, half of which go, and 50,000 tokens: no work that grows with their square."""
+    import time
+
+    from retailflow.llm import line_dedup, secret_scan
+
+    n = 100_000
+    lines = [f"line {i}" for i in range(n)] * 2
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    r = line_dedup.dedup_lines(docs).first()
+    assert (r.n_lines, r.n_dropped, r.kept) == (2 * n, n, "\n".join(lines[:n]))
+    assert time.time() - began < 120
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choices(letters, k=32)) if i % 2 else f"token={''.join(rng.choices('0123456789abcdef', k=32))}" for i in range(50_000)]
+    docs = spark.createDataFrame([(1, " ".join(tokens))], "doc_id long, text string")
+    began = time.time()
+    r = secret_scan.scan_secrets(docs).first()
+    assert len(r.base) == 50_000 and len(r.spans) > 70_000
+    assert time.time() - began < 180
+    taken = sorted((s.start, s.end) for s in r.spans if s.kind == 3)
+    base = sorted((s.start, s.end) for s in r.base)
+    assert not {b for b in base} & {t for t in taken}
+
+
+def test_clear_spans_by_force(spark):
+    from pyspark.sql import functions as F
+
+    from retailflow.llm import secret_scan
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        of = lambda kind, k: [(s, kind, s + rng.randint(1, 9)) for s in (rng.randint(0, 3000 if i == 0 else 90) for _ in range(k))]  # noqa: B023, E731
+        rows.append((i, of(3, 1500 if i == 0 else rng.randint(0, 12)), of(0, 900 if i == 0 else rng.randint(0, 6))))
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    df = spark.createDataFrame(rows, f"i int, spans {kind}, of {kind}")
+    got = {r.i: sorted(map(tuple, r.out)) for r in df.select("i", secret_scan._clear(F.col("spans"), F.col("of")).alias("out")).collect()}
+    for i, spans, of in rows:
+        assert got[i] == sorted(s for s in spans if not any(s[0] < b[2] and b[0] < s[2] for b in of))
