@@ -1,16 +1,17 @@
-"""Operator 2: near-duplicate vectors by passes of random splits, until a measured recall is met.
+"""Operator 2: near-duplicate vectors by sorted projection passes, until a measured recall is met.
 
-Each pass parts all vectors in halves, again and again, at the median of a projection on a
-random direction, until a part holds at most `leaf`; all pairs of a part are compared, and
-those whose cosine is high enough are links. A split is at its own members' median, so a
-dense cone is parted as evenly as the rest. The first splits have their medians from a
-sample, so that a part fits a task; the task makes the others from the part itself.
+A pass orders all vectors lexicographically by concatenated hashes, the signs of projections
+on random directions, and compares each with its neighbours in a bounded window; pairs whose
+cosine is high enough are links, united across passes. A hash is taken about the middle of
+the vectors that are equal in all hashes before it, so that a dense cone is ordered as finely
+as the rest. The first hashes, of which a sample gives the middles, deal the vectors out to
+tasks; a task makes the others, until equal ones fit a window, and compares within its own.
 
 Rows decide the first number of passes. Then the links' components are checked: for a sample
 of vectors, drawn evenly and from the most crowded places, every link is found by comparing
 with all vectors. While less than `recall` of a query's links are within its component on
-average, a round with twice the passes and larger parts follows. Up to `leaf` vectors all
-pairs are compared from the start.
+average, a round with twice the passes and a larger window follows; after MOST_ROUNDS of
+them without success RuntimeError is raised.
 
 Within each component all pairs are then compared, block by block: so a vector's number of
 links is exact within it however large the group is, and none is emitted as a pair.
@@ -31,13 +32,16 @@ from .common import connected_components, prepare, written
 log = logging.getLogger(__name__)
 
 LEAST = 0.9
-#: Vectors of a part whose pairs are all compared (in the first round and at most), and of a task's part.
-LEAF, MOST_LEAF, CELL = 2048, 16384, 8192
+#: Places of a window to one side (in the first round and at most), vectors of a task on
+#: average, hashes beyond a task's own at most, and rounds after which recall has to be met.
+WINDOW, MOST_WINDOW, CELL, HASHES, MOST_ROUNDS = 256, 4096, 8192, 64, 6
 #: Share of links that a first round may miss if vectors are spread evenly, and the share to be found as measured.
 MISS, RECALL = 1e-3, 0.99
 #: Vectors that the driver holds to place the first splits, and those of them that recall is
 #: measured with: so many drawn evenly, and so many of the most crowded.
 SAMPLE, EVEN, CROWDED = (4096, 65536), 1024, 512
+#: Numbers of the sample's vectors at most (32 MB).
+SAMPLE_NUMBERS = 1 << 22
 SEED = 5
 #: Vectors of a block when a component's pairs are compared, and of one in components of
 #: more than 32 such blocks: each vector is copied once for each block of its component.
@@ -46,16 +50,14 @@ BLOCK, LARGE_BLOCK = 128, 1024
 SLACK = 1e-5
 
 
-def first_passes(rows: int, leaf: int, least: float) -> int:
-    """Passes after which a pair at `least` has met but for a chance of MISS, if splits are those of evenly spread vectors."""
-    if rows <= leaf:
-        return 1
-    met = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** math.log2(rows / leaf)
+def first_passes(rows: int, window: int, least: float) -> int:
+    """Passes after which a pair at `least` has met but for a chance of MISS, if hashes are those of evenly spread vectors."""
+    met = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** max(1.0, math.log2(max(1, rows) / window))
     return max(2, math.ceil(math.log(MISS) / math.log1p(-met))) if met < 1 else 2
 
 
 def plant(x: np.ndarray, passes: int, levels: int, seed) -> tuple[np.ndarray, np.ndarray]:
-    """Directions (passes x levels x dims) and each node's median by the sample x (passes x nodes)."""
+    """Directions (passes x levels x dims) of the first hashes, and the middle of each node by the sample x (passes x nodes)."""
     directions = np.random.default_rng(seed).normal(size=(passes, levels, x.shape[1]))
     cuts = np.zeros((passes, (1 << levels) - 1))
     for p in range(passes):
@@ -72,7 +74,7 @@ def plant(x: np.ndarray, passes: int, levels: int, seed) -> tuple[np.ndarray, np
 
 
 def cells(x: np.ndarray, directions: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """n x passes: the cell of each vector in each pass."""
+    """n x passes: the first hashes of each vector in each pass, as one number."""
     out = np.zeros((len(x), len(directions)), np.int64)
     for p in range(len(directions)):
         for level in range(directions.shape[1]):
@@ -80,26 +82,33 @@ def cells(x: np.ndarray, directions: np.ndarray, cuts: np.ndarray) -> np.ndarray
     return out
 
 
-def parts(x: np.ndarray, leaf: int, seed):
-    """Places of x in parts of `leaf` at most, halved at the median of random projections."""
-    g, open_ = np.random.default_rng(seed), [np.arange(len(x))]
-    while open_:
-        at = open_.pop()
-        if len(at) <= leaf:
-            yield at
-            continue
-        order = np.argpartition(x[at] @ g.normal(size=x.shape[1]).astype(x.dtype), len(at) // 2)
-        open_ += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
-
-
-def forest(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among unit vectors in double precision."""
+def ordered(x: np.ndarray, window: int, seed) -> np.ndarray:
+    """Places of x in lexicographic order of concatenated hashes. A hash is the sign of a
+    random projection about its mean over the vectors that have been equal so far; those
+    that are few enough for a window are left as they are."""
+    g, code = np.random.default_rng(seed), np.zeros(len(x), np.int64)
+    for _ in range(HASHES):
+        size = np.bincount(code)
+        wide = size[code] > window
+        if not wide.any():
+            break
+        at = x @ g.normal(size=x.shape[1]).astype(x.dtype)
+        middle = np.bincount(code, at) / np.maximum(size, 1)
+        code = np.unique(2 * code + (wide & (at > middle[code])), return_inverse=True)[1]
+    return np.argsort(code, kind="stable")
+
+
+def forest(x: np.ndarray, least: float, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among unit vectors in double precision, of those at most
+    `window` places apart."""
+    window = len(x) if window is None else window
     short, label = x.astype(np.float32), np.arange(len(x))
     a, b, tile = [], [], max(64, min(512, (1 << 20) // max(1, len(x))))
     for i in range(0, len(x), tile):
-        s = short[i : i + tile] @ short[i:].T
+        s = short[i : i + tile] @ short[i : i + tile + window].T
         r, c = np.nonzero(s >= least - SLACK)
-        r, c = r[c > r], c[c > r]
+        near = (c > r) & (c <= r + window)
+        r, c = r[near], c[near]
         close = np.flatnonzero(s[r, c] < least + SLACK)
         for k in range(0, len(close), 1 << 16):
             some = close[k : k + (1 << 16)]
@@ -158,17 +167,14 @@ def _celled(shared, passes: int):
     return run
 
 
-def _cell_links(least: float, leaf: int, round_: int):
+def _cell_links(least: float, window: int, round_: int):
     import pyarrow as pa
 
     def run(key, rows):
         x, n = _matrix(rows.column("vector").combine_chunks()), rows.column("node").to_numpy()
-        a, b = [n[:0]], [n[:0]]
-        for at in parts(x.astype(np.float32), leaf, [SEED, round_, *(k.as_py() for k in key)]):
-            u, v = forest(x[at], least)
-            a.append(n[at[u]])
-            b.append(n[at[v]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        at = ordered(x.astype(np.float32), window, [SEED, round_, *(k.as_py() for k in key)])
+        u, v = forest(x[at], least, window)
+        return pa.table({"a": n[at[u]], "b": n[at[v]]})
 
     return run
 
@@ -225,41 +231,39 @@ def measured(labelled: DataFrame, sample: dict, least: float) -> list[tuple[str,
     return out
 
 
-def united(classes: DataFrame, least: float = LEAST, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
+def united(classes: DataFrame, least: float = LEAST, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
     """node, copies, least_id, vector, dims, component and linked of every class (node, vector, copies, least_id)."""
     spark = classes.sparkSession
     rows = {r.dims: r["count"] for r in classes.groupBy(F.size("vector").alias("dims")).count().collect()}
     most = max(rows.values(), default=0)
-    size = min(SAMPLE[1], max(SAMPLE[0], 16 * most // CELL))
+    size = min(SAMPLE[1], max(SAMPLE[0], 16 * most // CELL), max(16, SAMPLE_NUMBERS // max(rows, default=1)))
     drawn = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, size / max(1, sum(rows.values()))) * (1 << 30))
+    got = classes.where(drawn).select("node", "vector", F.size("vector").alias("dims")).toArrow()
     sample: dict = {}
-    if most > leaf:
-        for r in classes.where(drawn).select("node", "vector").collect():
-            sample.setdefault(len(r.vector), []).append((r.node, r.vector))
-    for d, some in sample.items():
-        x = np.array([v for _, v in some])
-        sample[d] = (np.array([n for n, _ in some]), x / np.sqrt((x * x).sum(1))[:, None])
-    passes, links, round_ = first_passes(most, leaf, least), None, 0
-    while True:
+    for d in rows:
+        some = got.filter(np.asarray(got.column("dims")) == d).combine_chunks()
+        if some.num_rows:
+            sample[d] = (some.column("node").to_numpy(), _matrix(some.column("vector").combine_chunks()))
+    passes, links = first_passes(most, window, least), None
+    for round_ in range(MOST_ROUNDS):
         splits = {}
         for d, (_, x) in sample.items():
-            levels = math.ceil(math.log2(max(1.0, rows[d] / max(CELL, leaf))))
+            levels = math.ceil(math.log2(max(1.0, rows[d] / CELL)))
             levels = min(levels, max(0, int(math.log2(len(x) / 4)))) if len(x) >= 4 else 0
             splits[d] = plant(x, passes, levels, [SEED, round_, d])
         celled = classes.select("node", "vector").mapInArrow(_celled(spark.sparkContext.broadcast(splits), passes), "node long, vector array<double>, dims int, cells array<long>")
         each = celled.select("dims", F.posexplode("cells").alias("pass", "cell"), "node", "vector")
-        more = written(each.groupBy("dims", "pass", "cell").applyInArrow(_cell_links(least, leaf, round_), "a long, b long"), "links")
+        more = written(each.groupBy("dims", "pass", "cell").applyInArrow(_cell_links(least, window, round_), "a long, b long"), "links")
         links = more if links is None else links.unionByName(more)
         found = written(connected_components(links, "a", "b"), "components")
         labelled = classes.join(found.hint("shuffle_merge"), "node", "left").select("node", "copies", "least_id", "vector", F.size("vector").alias("dims"), F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
         labelled = written(labelled, "labelled")
-        if most <= leaf:
-            return labelled
         shares = measured(labelled, sample, least)
-        log.info("%d vectors, round %d: %d passes, parts of %d: %s", sum(rows.values()), round_ + 1, passes, leaf, ", ".join(f"{kind}: {share:.4f} of the {n} links of {q} queries" for kind, q, n, share in shares))
+        log.info("%d vectors, round %d: %d passes, windows of %d: %s", sum(rows.values()), round_ + 1, passes, window, ", ".join(f"{kind}: {share:.4f} of the {n} links of {q} queries" for kind, q, n, share in shares))
         if all(share >= recall for *_, share in shares):
             return labelled
-        passes, leaf, round_ = 2 * passes, max(leaf, min(2 * leaf, MOST_LEAF)), round_ + 1
+        passes, window = 2 * passes, max(window, min(2 * window, MOST_WINDOW))
+    raise RuntimeError(f"after {MOST_ROUNDS} rounds the share of links found is {min(share for *_, share in shares):.4f}")
 
 
 def _block_counts(least: float):
@@ -280,7 +284,7 @@ def _block_counts(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, leaf: int = LEAF, recall: float = RECALL, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, window: int = WINDOW, recall: float = RECALL, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     n_links counts the other vectors at a cosine of at least `least`, component_id is the
@@ -300,7 +304,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, leaf: int = LEAF, rec
     marked = written(marked.withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda v: v / most + F.lit(0.0)))), "vectors")
     classes = marked.where("sound").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    labelled = united(classes, least, leaf, recall)
+    labelled = united(classes, least, window, recall)
 
     inside = labelled.where("linked").select("node", "copies", "vector", "component", "dims")
     # blocks: members in no order, as many blocks as the component's size asks for
