@@ -141,13 +141,14 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     # ranges of documents, then sums over the ranges, then sums within each
-    ranged = made.select("doc_id", "n_tokens", "digests", "ends", "root")
-    ranged = ranged.repartitionByRange(n, F.asc_nulls_first("doc_id")).withColumn("range", F.spark_partition_id())
+    # by root and row too, so that rows without an id, or of the same one, aren't one range
+    ranged = made.select("doc_id", "n_tokens", "digests", "ends", "root", "row")
+    ranged = ranged.repartitionByRange(n, F.asc_nulls_first("doc_id"), "root", "row").withColumn("range", F.spark_partition_id())
     ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
     ranged = spark.read.parquet(f"{folder}/ranged")
     sums = ranged.groupBy("range").agg(F.sum("n_tokens").alias("own"))
     before = sums.select("range", (F.sum("own").over(Window.orderBy("range")) - F.col("own")).alias("before"))
-    order = Window.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "root", "n_tokens")
+    order = Window.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "root", "row")
     placed = ranged.join(F.broadcast(before), "range")  # a row for each of n ranges
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # equal documents have places of their own
     placed = placed.withColumn("start", F.col("before") + F.sum("n_tokens").over(so_far) - F.col("n_tokens")).withColumn("place", F.row_number().over(order))
