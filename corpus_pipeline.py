@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow.llm import dart_minhash, decontaminate, mixing, quality_conv, token_store
-from retailflow.llm.common import new_folder
+from retailflow.llm.common import written
 from retailflow.llm.queries import is_held_out, table
 
 
@@ -65,13 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents, each written as Parquet and read again."""
+    """All stages on the documents, each written as Parquet and read again; drop_written() removes these tables."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = new_folder(spark, f"stage-{k}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = written(out, f"stage-{k}")
     return docs
