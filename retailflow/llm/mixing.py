@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, SPACES, written
+from .common import SPACE_PATTERN, SPACES, small, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_TIMES, SEED = 1.5, 2, 17
 #: Hexadecimal digits of the key that number its range: 4096 ranges a source.
 RANGE_DIGITS = 3
-#: Sources that are joined by broadcast at most (about 100 bytes each); beyond, by shuffle.
-BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,7 +67,7 @@ def mix_sources(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("_rounds", whole).withColumn("_budget", F.floor(F.col("target") - F.col("_rounds") * F.col("source_size") + 0.5).cast("long"))
     targets = written(targets, "targets")
-    few = targets.count() <= BROADCAST_SOURCES
+    few = small(targets)
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_own"))
     so_far = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), (F.sum("_own").over(so_far) - F.col("_own")).alias("_offset"))
@@ -95,9 +93,9 @@ def repeat(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     many = n.groupBy("_d", "_s", "_h").count().where("count > 1").head(1)
     same = lambda: docs[doc_id].eqNullSafe(F.col("_d")) & docs[source].eqNullSafe(F.col("_s")) & (F.xxhash64(docs[text]) == F.col("_h"))
     if not many:
-        if n.where("_copies <> 1").count() <= BROADCAST_SOURCES * 20:  # a million ids
-            other = F.broadcast(n.where("_copies <> 1"))
-            out = docs.join(other, same(), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+        other = n.where("_copies <> 1")
+        if small(other):
+            out = docs.join(F.broadcast(other), same(), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
         else:
             out = docs.join(n, same())
     else:
