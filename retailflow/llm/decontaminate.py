@@ -6,7 +6,8 @@ items. Each hit fixes how document and item line up; along that line the words a
 compared, and the document is contaminated if nearly all of a stretch agrees. The first two
 masks together hit every stretch of 7 to 15 words with as many substitutions as are
 tolerated. Where the benchmark has items of 4 to 6 words, three more masks are used, which
-together hit those with every substitution that is tolerated in them.
+together hit those with every substitution that is tolerated in them. Items of 1 to 3 words, in which
+none is tolerated, have masks of all their words, where the benchmark has such items.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import by_ids, small, written
 # Places that a mask keeps; those for short items.
 MASKS = ((0, 1, 2, 4), (0, 1, 4, 5))
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4))
-#: Words from which on the first masks are enough, and words that an item has at least.
-SHORT, LEAST_WORDS = 7, 4
+#: Words from which on the first masks are enough, and up to which an item has its own mask.
+SHORT, TINY = 7, 3
 #: Words of a compared stretch, and the share of them that must agree.
 STRETCH, AGREE = 15, 0.8
 
@@ -46,24 +47,28 @@ def _aligned(doc: Column, item: Column, shift: Column) -> Column:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agree: float = AGREE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agree: float = AGREE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 1
 ) -> DataFrame:
     """One row for each document and item that it contains: doc_id, text_hash, item_id, agreed.
 
     agreed is the largest number of agreeing words in a stretch of `stretch` words, or of
-    the whole item where that is shorter; it is enough at the share `agree`, rounded up.
-    Words are compared in lower case without punctuation. Items of fewer than 4 words say
-    too little: they are never found. Null texts hold nothing. Rows that share an id are
+    the whole item where that is shorter; it is enough at the share `agree`, rounded up, so
+    an item of up to 4 words has to stand whole. Items of fewer than `least_words` words are
+    left out; an item without words is never found.
+    Words are compared in lower case without punctuation. Null texts hold nothing. Rows that share an id are
     told apart by text_hash. Either table may be empty.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("_item")).where(F.size("_item") >= LEAST_WORDS)
+    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("_item")).where(F.size("_item") >= max(1, least_words))
     items = written(items.distinct(), "items")
-    masks = MASKS + (SHORT_MASKS if items.where(F.size("_item") < SHORT).head(1) else ())
+    sizes = {r.n for r in items.select(F.least(F.size("_item"), F.lit(SHORT)).alias("n")).distinct().collect()}
+    tiny = tuple(tuple(range(k)) for k in range(1, TINY + 1) if k in sizes)
+    masks = MASKS + (SHORT_MASKS if sizes & set(range(TINY + 1, SHORT)) else ()) + tiny
     n = F.size("_item")
     seeds = items.select("item_id", "_item", n.alias("n"), F.posexplode(_seeds(F.col("_item"), masks)).alias("p", "seed"))
     # the last places of each mask hold fewer words than it keeps
     span = F.get(F.array(*[F.lit(m[-1]) for m in masks]), (F.col("p") / F.col("n")).cast("int"))
-    seeds = seeds.where(F.col("p") % F.col("n") + span < F.col("n")).select("seed", "item_id", F.xxhash64("_item").alias("_v"), (F.col("p") % F.col("n")).alias("at"))
+    whole = F.get(F.array(*[F.lit(m in tiny) for m in masks]), (F.col("p") / F.col("n")).cast("int"))
+    seeds = seeds.where((F.col("p") % F.col("n") + span < F.col("n")) & (~whole | (F.col("n") == span + 1))).select("seed", "item_id", F.xxhash64("_item").alias("_v"), (F.col("p") % F.col("n")).alias("at"))
     seeds = written(seeds.distinct(), "seeds")
     key = [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")]
     made = docs.where(F.col(text).isNotNull()).select(*key, tokens(F.col(text)).alias("_words"))

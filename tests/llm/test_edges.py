@@ -229,7 +229,7 @@ def agreed_by_force(item, doc, stretch=15, agree=0.8):
 def test_decontaminate_by_force(spark):
     rng = random.Random(11)
     vocabulary = [f"w{k}" for k in range(400)]
-    items = [rng.choices(vocabulary, k=n) for n in (*range(4, 22), 40, 80)] + [["tiny", "item", "of"]]
+    items = [rng.choices(vocabulary, k=n) for n in (*range(1, 22), 40, 80)] + [["tiny", "item", "of"]]
     docs = []
     for item in items:
         for _ in range(6):
@@ -238,9 +238,11 @@ def test_decontaminate_by_force(spark):
             part = [w if rng.random() > 0.13 else "changed" for w in part]
             docs.append(rng.choices(vocabulary, k=rng.randint(0, 12)) + part + rng.choices(vocabulary, k=rng.randint(0, 12)))
     bench = spark.createDataFrame([(k, " ".join(w), "x") for k, w in enumerate(items)] + [(None, None, "x")], "item_id long, text string, doc_id string")
-    expect = [[k for k, item in enumerate(items) if len(item) >= 4 and agreed_by_force(item, d)] for d in docs]
+    expect = [[k for k, item in enumerate(items) if agreed_by_force(item, d)] for d in docs]
     got = {r.doc_id: r.item_ids for r in decontaminate.flag(odd_table(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]), bench).collect()}
     assert [got[i] for i in range(len(docs))] == expect and 20 < sum(map(len, expect))
+    got = {r.doc_id: r.item_ids for r in decontaminate.flag(odd_table(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]), bench, least_words=4).collect()}
+    assert [got[i] for i in range(len(docs))] == [[k for k in e if len(items[k]) >= 4] for e in expect]
     rows = [*odd_rows(), (None, " ".join(items[5])), (3, " ".join(items[5]))]
     table = odd_table(spark, rows)
     found = rows_of(decontaminate.flag(table, bench), "doc_id", "contaminated")
