@@ -55,11 +55,25 @@ over("favorites", "favorites_enriched", lambda d: d.select(*FAV_COLUMNS.split(",
 
 
 def _table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["customer", "lineitem", "nothing_here"]
-    return spark.createDataFrame([(n, tables.exists(spark, f"{sf_dir}/{n}.parquet")) for n in names], "table string, present boolean")
+    """What a folder holds into which the lookups of the exports were loaded."""
+    folder = new_folder(spark, "tables")
+    for kind in ("items", "categories"):
+        tables.write_table(_etl(spark, sf_dir, kind), folder, kind)
+    return tables.status(spark, folder)
+
+
+add("catalog_status", _table_status, "SELECT * FROM (VALUES ('orders', false), ('views', false), ('favorites', false), ('items', true), ('categories', true)) AS t(\"table\", present)")
+# codes with several names, of which the place in the table decides
+_MANY = "SELECT p_partkey % 50 AS item_code, CASE WHEN p_partkey % 7 <> 0 THEN p_name || ' ' || p_partkey END AS site_name, p_partkey AS pos FROM part"
+
+
+def _many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    return spark.sql(_MANY)
 
 
-add("catalog_status", _table_status, "SELECT * FROM (VALUES ('customer', true), ('lineitem', true), ('nothing_here', false)) AS t(\"table\", present)")
+add("item_names_by_place", lambda s, d: tables.item_names(_many_names(s, d)), f"SELECT item_code, arg_max(site_name, pos) AS site_name FROM ({_MANY}) WHERE site_name IS NOT NULL GROUP BY 1")
+add("first_names_by_place", lambda s, d: R.first_by(_many_names(s, d), "item_code", "site_name", "pos"), f"SELECT item_code, arg_min(site_name, pos) AS site_name FROM ({_MANY}) WHERE site_name IS NOT NULL GROUP BY 1")
 add("item_names", lambda s, d: tables.item_names(B.items(s, d)).select(F.col("item_code"), "site_name"), "SELECT item_code, site_name FROM items_l WHERE site_name IS NOT NULL")
 over("views", "drop_all_null_keys", lambda d: R.drop_all_null(d, ["category_name", "site_name"]).groupBy("item_type").agg(N().alias("n")), "SELECT item_type, count(*) AS n FROM {t} WHERE coalesce(category_name, site_name) IS NOT NULL GROUP BY 1", False)
 over("views", "drop_any_null_keys", lambda d: R.drop_any_null(d, ["site_name", "sex"]).groupBy("item_type").agg(N().alias("n")), "SELECT item_type, count(*) AS n FROM {t} WHERE site_name IS NOT NULL AND sex IS NOT NULL GROUP BY 1", False)
@@ -431,7 +445,7 @@ model("bpr_topk", _factor_topk("bpr"))
 model("bpr_eval", _bpr_eval)
 model("als_topk", _factor_topk("als"))
 DRAWN = """CAST('0x' || substr(md5(concat_ws(':', "user", item, '42'{})), 1, 8) AS BIGINT)"""
-model("weighted_batch", lambda s, d: I.weighted_sample(_split(s, d)[0], 256), f'SELECT "user", item, w FROM train ORDER BY ln(({DRAWN.format("")} + 0.5) / 4294967296.0) / w DESC, "user", item LIMIT 256')
+model("weighted_batch", lambda s, d: I.weighted_sample(_split(s, d)[0], CFG.batch), f'SELECT "user", item, w FROM train ORDER BY ln(({DRAWN.format("")} + 0.5) / 4294967296.0) / w DESC, "user", item LIMIT {CFG.batch}')
 model(
     "negatives",
     _negatives,

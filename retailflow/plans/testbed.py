@@ -138,6 +138,7 @@ purchases_l AS (SELECT CAST(ts AS DATE) AS event_date, k AS item_code, event_id
 
 # ---------------------------------------------------------------- raw exports
 
+SITE = next(iter(C.STORES))
 # Every raw column by the names used here, as one expression that means the same in both
 # dialects; some cells are missing, stand for nothing, or can't be read.
 _WHO_RAW = {
@@ -161,7 +162,7 @@ RAW = {
         {
             "order_id": "l_orderkey || CASE WHEN l_orderkey % 2 = 0 THEN '.0' ELSE '' END",
             "event_time": "CASE WHEN l_orderkey % 17 = 0 THEN 'unknown' WHEN l_orderkey % 19 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) || ' 10:00:00' END",
-            "store": "CASE WHEN l_orderkey % 5 = 0 THEN 'kanzler-style.ru' WHEN l_orderkey % 7 = 0 THEN '-' ELSE n_name END",
+            "store": f"CASE WHEN l_orderkey % 5 = 0 THEN '{SITE}' WHEN l_orderkey % 7 = 0 THEN '-' ELSE n_name END",
             "code_ru": _MONEY.format("IN") + "l_partkey || '.0' END",
             "code_kz": _MONEY.format("NOT IN") + "CAST(l_partkey AS VARCHAR(20)) END",
             "qty": "CASE WHEN l_linenumber % 6 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20)) || '.9' END",
@@ -254,7 +255,7 @@ _MADE = {
     "phone": _cell(f"coalesce({_bare('phone_1')}, {_bare('phone_2')})"),
     "fav_category": f"CASE WHEN coalesce({_PATH}) IS NOT NULL THEN concat_ws('_', {_PATH}) END",
     "order_id": _cell(_bare("order_id")),
-    "store": _cell("CASE store WHEN 'kanzler-style.ru' THEN 'ИНТЕРНЕТ-МАГАЗИН' ELSE store END"),
+    "store": _cell(f"CASE store WHEN '{SITE}' THEN '{C.STORES[SITE]}' ELSE store END"),
     "qty": _NUMBER.format("qty"),
     "base_price": _NUMBER.format("base_price"),
     "base_amount": f"{_NUMBER.format('base_price')} * {_NUMBER.format('qty')}",
