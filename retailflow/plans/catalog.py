@@ -254,7 +254,7 @@ over("favorites", "favorites_top_month", lambda d: K.top_month(d, N()), MONTH_SQ
 over("orders", "sparsity", K.sparsity, "SELECT round_even((1 - count(DISTINCT order_id) / CAST(count(DISTINCT customer_id) * count(DISTINCT item_code) AS DOUBLE)) * 100, 2) AS sparsity_pct FROM {t}")
 over("orders", "sparsity_pairs", K.sparsity_pairs, "SELECT round_even((1 - count(DISTINCT (customer_id, item_code)) / CAST(count(DISTINCT customer_id) * count(DISTINCT item_code) AS DOUBLE)) * 100, 2) AS sparsity_pct FROM {t}")
 FINANCE = """fin AS (SELECT currency, CAST(sum(line_amount) AS BIGINT) AS sales, CAST(round_even(avg(discount_pct), 0) AS BIGINT) AS discount_pct FROM {t} GROUP BY 1),
-tick AS (SELECT currency, CAST(trunc(avg(v)) AS BIGINT) AS ticket FROM (SELECT currency, order_id, sum(line_amount) AS v FROM {t} GROUP BY 1, 2) GROUP BY 1)"""
+tick AS (SELECT currency, CAST(trunc(avg(v)) AS BIGINT) AS ticket FROM (SELECT currency, order_id, sum(line_amount) AS v FROM {t} WHERE order_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"""
 over("orders", "finance_by_currency", K.finance, f"SELECT * FROM (WITH {FINANCE} SELECT fin.currency, sales, ticket, discount_pct FROM fin LEFT JOIN tick USING (currency))")
 over("orders", "finance_pivot", K.finance_pivot, f"SELECT * FROM (WITH {FINANCE} SELECT " + ", ".join(f"CAST(coalesce(max(CASE WHEN fin.currency = '{k}' THEN {c} END), 0) AS BIGINT) AS {c}_{k.lower()}" for k in ("RUB", "KZT") for c in ("sales", "ticket", "discount_pct")) + " FROM fin LEFT JOIN tick USING (currency))")
 over("orders", "finance_text", K.finance_text, f"SELECT * FROM (WITH {FINANCE} SELECT fin.currency, replace(format('{{:,}}', sales), ',', '.') AS sales, replace(format('{{:,}}', ticket), ',', '.') AS ticket, discount_pct || '%' AS discount FROM fin LEFT JOIN tick USING (currency))")
@@ -274,10 +274,10 @@ UNION ALL SELECT 'age_group', 'age_group', coalesce((SELECT age_group FROM {t} W
 UNION ALL SELECT 'period', 'date_from', CAST(min(event_date) AS VARCHAR) FROM {t}
 UNION ALL SELECT 'period', 'date_to', CAST(max(event_date) AS VARCHAR) FROM {t}
 UNION ALL SELECT 'period', 'period', strftime(min(event_date), '%d.%m.%Y') || ' — ' || strftime(max(event_date), '%d.%m.%Y') FROM {t}
-UNION ALL SELECT 'per_client', 'mean', CAST(round_even(avg(v), 1) AS VARCHAR) FROM (SELECT CAST({m} AS DOUBLE) AS v FROM {t} GROUP BY customer_id)
-UNION ALL SELECT 'per_client', 'median', CAST(CAST(median(v) AS DOUBLE) AS VARCHAR) FROM (SELECT CAST({m} AS DOUBLE) AS v FROM {t} GROUP BY customer_id)
+UNION ALL SELECT 'per_client', 'mean', CAST(round_even(avg(v), 1) AS VARCHAR) FROM (SELECT CAST({m} AS DOUBLE) AS v FROM {t} WHERE customer_id IS NOT NULL GROUP BY customer_id)
+UNION ALL SELECT 'per_client', 'median', CAST(CAST(median(v) AS DOUBLE) AS VARCHAR) FROM (SELECT CAST({m} AS DOUBLE) AS v FROM {t} WHERE customer_id IS NOT NULL GROUP BY customer_id)
 UNION ALL SELECT 'top_month', c.k, c.v FROM (SELECT unnest([{'k': 'year', 'v': CAST(y AS VARCHAR)}, {'k': 'month', 'v': CAST(mo AS VARCHAR)}, {'k': 'month_name', 'v': ['MONTHS'][mo]}, {'k': 'v', 'v': CAST(v AS VARCHAR)}]) AS c
-    FROM (SELECT year(event_date) AS y, month(event_date) AS mo, CAST({m} AS BIGINT) AS v FROM {t} GROUP BY 1, 2 ORDER BY v DESC, 1, 2 LIMIT 1))""".replace("MONTHS", "', '".join(C.MONTHS))
+    FROM (SELECT year(event_date) AS y, month(event_date) AS mo, CAST({m} AS BIGINT) AS v FROM {t} WHERE event_date IS NOT NULL GROUP BY 1, 2 ORDER BY v DESC, 1, 2 LIMIT 1))""".replace("MONTHS", "', '".join(C.MONTHS))
 TOP = "\nUNION ALL SELECT '{s}', {name} || ' (' || item_code || ') — ' || n, CAST(n AS VARCHAR) FROM (SELECT item_code, {name}, count(*) AS n FROM {t} WHERE {w} AND {name} IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 5)"
 
 
@@ -300,10 +300,7 @@ over(
     reports.favorites_report,
     _cells("totals", favorites="count(*)", clients="count(DISTINCT customer_id)", items="count(DISTINCT item_code)") + PEOPLE.replace("{m}", "count(*)") + TOP.replace("{s}", "top_items").replace("{name}", "site_name").replace("{w}", "true"),
 )
-over(
-    "orders",
-    "orders_report",
-    reports.orders_report,
+_ORDERS_REPORT = (
     "SELECT * FROM (WITH "
     + FINANCE
     + "\n"
@@ -311,11 +308,23 @@ over(
     + PEOPLE.replace("{m}", "sum(qty)")
     + "\nUNION ALL SELECT 'sparsity', 'sparsity_pct', CAST(round_even((1 - count(DISTINCT order_id) / CAST(count(DISTINCT customer_id) * count(DISTINCT item_code) AS DOUBLE)) * 100, 2) AS VARCHAR) FROM {t}"
     + "".join(f"\nUNION ALL SELECT 'finance', '{c}_{k.lower()}', CAST(coalesce(max(CASE WHEN currency = '{k}' THEN {c} END), 0) AS VARCHAR) FROM {'tick' if c == 'ticket' else 'fin'}" for k in ("RUB", "KZT") for c in ("sales", "ticket", "discount_pct"))
-    + "\nUNION ALL SELECT 'top_items', site_name || ' (' || item_code || ') — ' || qty, CAST(qty AS VARCHAR) FROM (SELECT item_code, min(site_name) AS site_name, CAST(sum(qty) AS BIGINT) AS qty FROM {t} GROUP BY 1 ORDER BY qty DESC, 1 LIMIT 5)"
-    + "\nUNION ALL SELECT 'top_stores', store, CAST(qty AS VARCHAR) FROM (SELECT store, CAST(sum(qty) AS BIGINT) AS qty FROM {t} GROUP BY 1 ORDER BY qty DESC, 1 LIMIT 5))",
+    + "\nUNION ALL SELECT 'top_items', site_name || ' (' || item_code || ') — ' || qty, CAST(qty AS VARCHAR) FROM (SELECT item_code, coalesce(min(site_name), 'name not found (' || item_code || ')') AS site_name, CAST(sum(qty) AS BIGINT) AS qty FROM {t} WHERE item_code IS NOT NULL GROUP BY 1 ORDER BY qty DESC, 1 LIMIT 5)"
+    + "\nUNION ALL SELECT 'top_stores', store, CAST(qty AS VARCHAR) FROM (SELECT store, CAST(sum(qty) AS BIGINT) AS qty FROM {t} WHERE store IS NOT NULL GROUP BY 1 ORDER BY qty DESC, 1 LIMIT 5))"
 )
+over("orders", "orders_report", reports.orders_report, _ORDERS_REPORT)
 
 # ---------------------------------------------------------------- interactions and models
+
+def _loaded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report by kind over the tables of a folder that exports were loaded into."""
+    folder = new_folder(spark, "tables")
+    for kind in ("items", "orders"):
+        tables.write_table(_etl(spark, sf_dir, kind), folder, kind, selected=None if kind == "items" else R.selected())
+    return reports.report(spark, folder, "orders", True)
+
+
+QUERIES["loaded_orders_report"] = _loaded_report
+ORACLES["loaded_orders_report"] = f"WITH loaded AS ({B.etl_sql('orders', True)}) SELECT * FROM ({_ORDERS_REPORT.replace('{t}', 'loaded')})"
 EVENTS_SQL = """ev AS (
  SELECT customer_id AS "user", item_code AS item, CAST(event_date AS TIMESTAMP) AS ts, 5.0::DOUBLE * greatest(1, least(10, qty)) AS w, 0 AS src, pos FROM purchases_l
  UNION ALL SELECT customer_id, item_code, CAST(event_date AS TIMESTAMP), 3.0::DOUBLE, 1, pos FROM favorites_l
@@ -389,6 +398,44 @@ model("cooc_topk", lambda s, d: _cooc(s, d)[0].select("user", "item", "score", "
 model("cooc_eval", lambda s, d: I.metrics(*_cooc(s, d), 10).select(F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"), "users"), COOC + ' SELECT round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS recall, round(avg(CASE WHEN rank IS NOT NULL THEN 1 / log2(rank + 1.0) ELSE 0 END), 6) AS ndcg, count(*) AS users FROM holdout h LEFT JOIN rk ON h."user" = rk."user" AND h.item = rk.item')
 
 
+def _cooc_recommend(s: SparkSession, d: str) -> DataFrame:
+    """The best items by co-occurrence for one customer, with their names."""
+    events = _events(s, d)
+    train = I.split(events)[0].select("user", "item", F.lit(1.0).alias("w"))
+    co = I.gram(train).where("i <> j").select(F.col("i").alias("item"), F.col("j").alias("other"), F.col("g").alias("b"))
+    return M.recommend(I.profile(events, 7), co, tables.item_names(B.items(s, d)), 10)
+
+
+model(
+    "cooc_recommend",
+    _cooc_recommend,
+    COOC
+    + """, pr AS (SELECT item, sum(w) AS w FROM ev WHERE "user" = 7 GROUP BY 1),
+s7 AS (SELECT co.j AS item, sum(pr.w * co.c) AS score FROM pr JOIN co ON pr.item = co.i GROUP BY 1),
+u7 AS (SELECT s7.* FROM s7 ANTI JOIN pr ON s7.item = pr.item)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, item) AS INTEGER) AS rank, item, coalesce(site_name, '') AS site_name, score FROM u7 LEFT JOIN items_l ON item = item_code QUALIFY rank <= 10""",
+)
+
+# Factors that both dialects can write: remainders of an id's number.
+_FACTORS = {"user": (7, 5, 3), "item": (5, 7, 11)}
+
+
+def _factor_scores(s: SparkSession, d: str) -> DataFrame:
+    events = _events(s, d)
+    ids = {side: I.ids(events, side) for side in _FACTORS}
+    factors = [ids[side].select(F.lit(side).alias("side"), "idx", F.array(*[(F.col("idx") % m - m // 2).cast("float") for m in of]).alias("factors")) for side, of in _FACTORS.items()]
+    return M.factor_top(factors[0].unionByName(factors[1]), I.split(events)[0], ids["user"], ids["item"], 5).select("user", "item", "score", "rank")
+
+
+model(
+    "factor_scores",
+    _factor_scores,
+    ", " + ", ".join(f'{side}_n AS (SELECT "{side}", row_number() OVER (ORDER BY "{side}") - 1 AS idx FROM (SELECT DISTINCT "{side}" FROM ev))' for side in _FACTORS)
+    + ", sc AS (SELECT \"user\", item, i.idx AS place, CAST(" + " + ".join(f"(u.idx % {a} - {a // 2}) * (i.idx % {b} - {b // 2})" for a, b in zip(*_FACTORS.values(), strict=True)) + " AS DOUBLE) AS score FROM user_n u, item_n i)"
+    + ' SELECT "user", item, score, CAST(row_number() OVER (PARTITION BY "user" ORDER BY score DESC, place) AS INTEGER) AS rank FROM (SELECT sc.* FROM sc ANTI JOIN train t ON sc."user" = t."user" AND sc.item = t.item) QUALIFY rank <= 5',
+)
+
+
 def _ease(s: SparkSession, d: str):
     events = _events(s, d)
     train, held = I.split(events)
