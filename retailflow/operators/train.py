@@ -56,7 +56,7 @@ def train(spark: SparkSession, folder: str, artifacts: str, cfg: I.Config = I.Co
 def recommend(spark: SparkSession, folder: str, artifacts: str, user: str, k: int = 20, model: str = "ease") -> DataFrame:
     """The k best items for a customer by a trained model; no rows for one without history."""
     cfg, frames = M.load(spark, artifacts, "items", "users", "train", "ease" if model == "ease" else "factors")
-    names = tables.item_names(tables.read_table(spark, folder, "items", selection=False)) if tables.manifests(spark, tables.table_path(folder, "items")) else spark.createDataFrame([], "item_code string, site_name string")
+    names = tables.item_names(tables.read_table(spark, folder, "items", selection=False)) if tables.present(spark, tables.table_path(folder, "items")) else spark.createDataFrame([], "item_code string, site_name string")
     own = I.known_items(I.profile(load_events(spark, folder, cfg), user), frames["items"])
     if model == "ease":
         return M.recommend(own, frames["ease"], names, k)

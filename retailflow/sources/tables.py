@@ -156,6 +156,15 @@ def publish(spark: SparkSession, path: str, content: dict, after: int) -> None:
         raise RuntimeError(f"another writer has changed {path}")
 
 
+def _plain(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is a table without versions: Parquet files as Spark writes them."""
+    return not manifests(spark, path) and any(n.endswith(".parquet") for n in _files(spark, path))
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    return bool(manifests(spark, path)) or _plain(spark, path)
+
+
 def _merged(old: T.StructType, new: T.StructType) -> T.StructType:
     known = {f.name: f.dataType for f in old}
     if clash := [f.name for f in new if known.get(f.name, f.dataType) != f.dataType]:
@@ -169,7 +178,8 @@ def write_table(df: DataFrame, folder: str, kind: str, mode: str = "replace", ke
     With a key, rows whose key is there already aren't appended again. `selected` says which
     rows are in the selection; rows of a customer are found by a Bloom filter of each row
     group. A failed writer leaves the table as it was. Versions that neither the last
-    manifest nor the one before names are removed.
+    manifest nor the one before names are removed. A table without versions that is appended
+    to becomes one with them.
     """
     if mode not in ("replace", "append"):
         raise ValueError(f"unknown mode: {mode}")
@@ -178,6 +188,8 @@ def write_table(df: DataFrame, folder: str, kind: str, mode: str = "replace", ke
     if mode == "append" and now and key:
         old = read_table(spark, folder, kind, False).select(*[F.col(k).alias(f"_{k}") for k in key])
         df = df.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_anti").dropDuplicates(key)
+    if mode == "append" and _plain(spark, path):
+        df = append_all(spark.read.parquet(path), df)
     version, schema_ = uuid.uuid4().hex[:16], df.schema
     if selected is not None:
         df = df.withColumn("selected", F.coalesce(selected, F.lit(False)))
@@ -212,6 +224,9 @@ def read_table(spark: SparkSession, folder: str, kind: str, selection: bool | No
     """
     path = table_path(folder, kind)
     now = manifest(spark, path)
+    if now is None and _plain(spark, path):
+        other = f"{path}_selection"
+        return spark.read.parquet(other if selection in (None, True) and _plain(spark, other) else path)
     if now is None:
         raise FileNotFoundError(f"no table {kind} in {folder}; load it first")
     shape = T.StructType([*T.StructType.fromJson(now["schema"]), T.StructField("version", T.StringType()), *([T.StructField("selected", T.BooleanType())] if now["selection"] else [])])
@@ -223,12 +238,12 @@ def read_table(spark: SparkSession, folder: str, kind: str, selection: bool | No
 
 def status(spark: SparkSession, folder: str) -> DataFrame:
     """(table, present) for each kind."""
-    rows = [(k, bool(manifests(spark, table_path(folder, k)))) for k in KINDS]
+    rows = [(k, present(spark, table_path(folder, k))) for k in KINDS]
     return spark.createDataFrame(rows, T.StructType([T.StructField("table", T.StringType()), T.StructField("present", T.BooleanType())]))
 
 
 def require_tables(spark: SparkSession, folder: str, kinds) -> None:
-    missing = [k for k in kinds if not manifests(spark, table_path(folder, k))]
+    missing = [k for k in kinds if not present(spark, table_path(folder, k))]
     if missing:
         raise AnalysisException(f"load these tables first: {', '.join(missing)}")
 
