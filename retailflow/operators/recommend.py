@@ -58,46 +58,71 @@ def _filled(n: int, size: int, l2: float):
     return run
 
 
-def _pivot_row(k: int, size: int):
-    """The pivot's inverse times a block of its row, or the inverse itself in its own place."""
+def _pivot_column(k: int, size: int):
+    """A block C of the pivot's column, as `c`, and C times the pivot's inverse, as `cells`; of
+    the pivot itself its inverse with the sign turned."""
 
     def run(key, rows):
+        import pyarrow as pa
+
         cells = dict(zip(rows["role"].to_pylist(), rows["cells"].to_pylist(), strict=True))
-        p = np.linalg.inv(_matrix(cells["p"], size))
-        return _block_table(key, p if key[1].as_py() == k else p @ _matrix(cells["a"], size))
+        p, i = np.linalg.inv(_matrix(cells["p"], size)), key[0].as_py()
+        c = None if i == k else _matrix(cells["a"], size)
+        d = -p if i == k else c @ p
+        return pa.table({"i": pa.array([i], pa.int32()), "c": pa.array([b"" if c is None else np.ascontiguousarray(c).tobytes()], pa.binary()), "cells": pa.array([np.ascontiguousarray(d).tobytes()], pa.binary())})
 
     return run
 
 
-def _swept(k: int, size: int):
+def _swept(size: int):
     def run(key, rows):
         cells = {r: _matrix(c, size) for r, c in zip(rows["role"].to_pylist(), rows["cells"].to_pylist(), strict=True)}
-        i, j = key[0].as_py(), key[1].as_py()
-        if i == k:
-            return _block_table(key, cells["r"])
-        product = cells["c"] @ cells["r"]
-        return _block_table(key, -product if j == k else cells["a"] - product)
+        return _block_table(key, cells["a"] - cells["d"] @ cells["c"].T)
+
+    return run
+
+
+def _turned(size: int):
+    """Blocks with their rows as columns, where `turn` says so."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            cells = [np.ascontiguousarray(_matrix(c, size).T).tobytes() if t else c for c, t in zip(batch.column("cells").to_pylist(), batch.column("turn").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("bi"), batch.column("bj"), pa.array(cells, pa.binary())], names=["bi", "bj", "cells"])
 
     return run
 
 
 def inverted(blocks: DataFrame, count: int, size: int) -> DataFrame:
-    """The inverse of a symmetric positive matrix in count x count blocks (bi, bj, cells), by
-    block elimination: a step for each diagonal block, which updates all blocks in tasks of
-    their own, with the pivot's row and column beside them."""
-    schema, every = "bi int, bj int, cells binary", F.sequence(F.lit(0), F.lit(count - 1))
+    """The inverse of a symmetric positive matrix in blocks (bi, bj, cells), with its sign
+    turned; only blocks with bi <= bj are read, and given.
+
+    The matrix is swept by one diagonal block after the other and stays symmetric, so half of
+    the blocks are enough. A step updates each block in a task of its own, with the two of
+    the pivot's column that belong to its row and its column beside it.
+    """
+    schema = "bi int, bj int, cells binary"
     spark = blocks.sparkSession
+    blocks = blocks.where("bi <= bj")
+    turned = lambda df: df.mapInArrow(_turned(size), schema)
     for k in range(count):
-        role = lambda df, r: df.select("bi", "bj", F.lit(r).alias("role"), "cells")
-        own, column = blocks.where(F.col("bi") == k), blocks.where(F.col("bj") == k)
-        pivot = own.where(F.col("bj") == k).select("bi", F.explode(every).alias("bj"), "cells")
-        row = role(own, "a").unionByName(role(pivot, "p")).groupBy("bi", "bj").applyInArrow(_pivot_row(k, size), schema)
-        row = written(row, "pivot-row")
-        spread = role(blocks, "a").unionByName(role(row.select(F.explode(every).alias("bi"), "bj", "cells"), "r"))
-        spread = spread.unionByName(role(column.select("bi", F.explode(every).alias("bj"), "cells"), "c"))
+        pivot = F.col("bi") == F.col("bj")
+        mine = blocks.where((F.col("bi") == k) | (F.col("bj") == k))
+        column = turned(mine.select("bi", "bj", "cells", ((F.col("bi") == k) & ~pivot).alias("turn")))
+        column = column.select((F.col("bi") + F.col("bj") - k).cast("int").alias("i"), F.lit("a").alias("role"), "cells")
+        own = mine.where(pivot).select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"), F.lit("p").alias("role"), "cells")
+        column = written(column.unionByName(own).groupBy("i").applyInArrow(_pivot_column(k, size), "i int, c binary, cells binary"), "pivot-column")
+        others = column.where(F.col("i") != k)
+        to = lambda low, high: F.explode(F.filter(F.sequence(low, high), lambda j: j != k))  # noqa: B023, E731
+        d = others.where(F.lit(count > 1)).select(F.col("i").alias("bi"), to(F.col("i"), F.lit(count - 1)).alias("bj"), F.lit("d").alias("role"), "cells")
+        c = others.select(to(F.lit(0), F.col("i")).alias("bi"), F.col("i").alias("bj"), F.lit("c").alias("role"), F.col("c").alias("cells"))
+        rest = blocks.where((F.col("bi") != k) & (F.col("bj") != k)).select("bi", "bj", F.lit("a").alias("role"), "cells")
+        swept = rest.unionByName(d.select("bi", F.col("bj").cast("int").alias("bj"), "role", "cells")).unionByName(c.select(F.col("bi").cast("int").alias("bi"), "bj", "role", "cells")).groupBy("bi", "bj").applyInArrow(_swept(size), schema)
+        new = turned(column.select(F.least("i", F.lit(k)).alias("bi"), F.greatest("i", F.lit(k)).alias("bj"), "cells", (F.col("i") > k).alias("turn")))
         path = new_folder(spark, "inverse")
-        spread.groupBy("bi", "bj").applyInArrow(_swept(k, size), schema).write.parquet(path)
-        for done in {f.rsplit("/", 1)[0] for f in (*row.inputFiles(), *(blocks.inputFiles() if k else ()))}:
+        swept.unionByName(new).write.parquet(path)
+        for done in {f.rsplit("/", 1)[0] for f in (*column.inputFiles(), *(blocks.inputFiles() if k else ()))}:
             drop_folder(spark, done)
         blocks = spark.read.schema(schema).parquet(path)
     return blocks
@@ -115,7 +140,7 @@ def _diagonals(size: int):
 
 
 def _triples(size: int, n: int):
-    """-P / diag(P) by columns, without the diagonal, as rows."""
+    """-P / diag(P) by columns, without the diagonal, as rows; both are given with their sign turned."""
     import pyarrow as pa
 
     def run(key, rows):
@@ -148,8 +173,10 @@ def ease(train: DataFrame, items: DataFrame, cfg: I.Config = I.Config(), size: i
     grid = spark.range(count * count).select(F.floor(F.col("id") / count).cast("int").alias("bi"), (F.col("id") % count).cast("int").alias("bj"))
     cells = cells.unionByName(grid, allowMissingColumns=True)
     blocks = written(cells.groupBy("bi", "bj").applyInArrow(_filled(n, size, cfg.ease_l2), "bi int, bj int, cells binary"), "gram")
-    p = inverted(blocks, count, size)
-    diagonals = p.where("bi = bj").select("bj", "cells").mapInArrow(_diagonals(size), "bj int, diagonal array<double>")
+    half = inverted(blocks, count, size)
+    diagonals = half.where("bi = bj").select("bj", "cells").mapInArrow(_diagonals(size), "bj int, diagonal array<double>")
+    other = half.where("bi < bj").select(F.col("bj").alias("bi"), F.col("bi").alias("bj"), "cells", F.lit(True).alias("turn"))
+    p = half.unionByName(other.mapInArrow(_turned(size), "bi int, bj int, cells binary"))
     b = p.join(diagonals, "bj").groupBy("bi", "bj").applyInArrow(_triples(size, n), "i int, j int, b float")
     left, right = items.select("item", F.col("idx").alias("i")), items.select(F.col("item").alias("other"), F.col("idx").alias("j"))
     return b.join(F.broadcast(left), "i").join(F.broadcast(right), "j").select("item", "other", "b")
