@@ -28,12 +28,16 @@ _PLACE = 1 << 28
 
 
 def normal(line: Column) -> Column:
-    """Words joined by one space."""
-    return F.regexp_replace(F.btrim(line, F.lit(SPACES)), SPACE_PATTERN, " ")
+    """Words joined by one space; only lines with other gaps need the pattern."""
+    bare = F.btrim(line, F.lit(SPACES))
+    other = F.contains(line, F.lit("  "))
+    for space in SPACES.replace(" ", ""):
+        other = other | F.contains(line, F.lit(space))
+    return F.when(other, F.regexp_replace(bare, SPACE_PATTERN, " ")).otherwise(bare)
 
 
 def _size(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _head(line: Column, n: Column) -> Column:
@@ -113,8 +117,9 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str =
     order = (F.col("doc") * _PLACE + F.col("at")) if plain else F.struct("doc", "th", "at")
 
     def lines_of(some: DataFrame) -> DataFrame:
-        each = some.select("doc", "th", F.posexplode(F.split("_text", "\n")).alias("at", "_line")).withColumn("line", normal(F.col("_line")))
-        return each.where("line <> ''").select(order.alias("o"), "doc", "th", "at", "line")
+        each = some.select("doc", "th", F.posexplode(F.split("_text", "\n")).alias("at", "_line"))
+        each = each.where(F.btrim(F.col("_line"), F.lit(SPACES)) != "").withColumn("line", normal(F.col("_line")))
+        return each.select(order.alias("o"), "doc", "th", "at", "line")
 
     lines = lines_of(rows).withColumn("n", _size(F.col("line")))
     keys = _halves(F.col("line"), F.col("n"))
