@@ -69,3 +69,11 @@ def test_cells_and_ids_keep_their_rules(spark):
     assert [r.c for r in got] == [None if c in C.NULL_TOKENS else c for c in cells]
     same = rows.select(C.bare_id("c").eqNullSafe(F.regexp_replace("c", r"\.0$", "")).alias("s")).collect()
     assert all(r.s for r in same)
+
+
+def test_models_read_written_inputs(spark, monkeypatch):
+    """Training reads its inputs many times; none is computed anew from the source tables."""
+    seen = []
+    monkeypatch.setattr(catalog.M, "als", lambda *a: seen.extend(a[:3]))
+    catalog._factors(spark, SF, "als")
+    assert len(seen) == 3 and all(SF not in f for df in seen for f in df.inputFiles())
