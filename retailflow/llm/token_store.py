@@ -33,7 +33,7 @@ from .common import by_ids, drop_folder, new_folder, prepare, raw_pieces, task_c
 from .units import Units, id_cache, unit_places
 
 #: A chunk ends where the rolling hash of its last WINDOW ids has no bit of CUT: 512 ids
-#: on average. MOST ids end it in any case.
+#: on average. MOST ids end it in any case. WINDOW is a power of two.
 WINDOW, CUT, MOST = 16, 511, 4096
 #: Hashes that are hashed together at most, up to FAN ** 3 documents a range.
 FAN = 4096
@@ -47,12 +47,10 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if n >= WINDOW:
         x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
-        power = np.full(WINDOW, _Q, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        rolled = np.zeros(n - WINDOW + 1, np.uint64)
-        for k in range(WINDOW):
-            rolled += x[k : n - WINDOW + 1 + k] * power[WINDOW - 1 - k]
+        rolled, width = x, 1
+        while width < WINDOW:  # two windows side by side are one of twice the width
+            rolled = rolled[:-width] * np.uint64(pow(_Q, width, 1 << 64)) + rolled[width:]
+            width *= 2
         rolled ^= rolled >> np.uint64(32)
         begin = np.concatenate([[0], ends[:-1]])
         inside = np.arange(n) - np.repeat(begin, ends - begin) >= WINDOW - 1
@@ -65,8 +63,9 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return at
 
 
-def digest(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+def digest(raw: bytes) -> bytes:
+    """Of a chunk's ids in 4 bytes each, or of digests."""
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def _encoded(batch, json_text: str, end_id: int):
@@ -98,10 +97,10 @@ def _documents_of(shared, end_id: int):
                 own = np.searchsorted(at, ends, "right")  # chunks up to each document's end
                 raw, small = ids.astype("<u4").tobytes(), ids.astype("<u2").tobytes()
                 wide = np.maximum.reduceat(ids, begin) > 0xFFFF
-                digests = [hashlib.blake2b(raw[4 * b : 4 * e], digest_size=16).digest() for b, e in zip(begin.tolist(), at.tolist(), strict=True)]
+                digests = [digest(raw[4 * b : 4 * e]) for b, e in zip(begin.tolist(), at.tolist(), strict=True)]
                 payload = [raw[4 * b : 4 * e] if w else small[2 * b : 2 * e] for b, e, w in zip(begin.tolist(), at.tolist(), wide.tolist(), strict=True)]
                 starts, first = np.append(0, own[:-1]), np.append(0, ends[:-1])
-                roots = [hashlib.blake2b(b"".join(digests[i:j]), digest_size=16).digest() for i, j in zip(starts.tolist(), own.tolist(), strict=True)]
+                roots = [digest(b"".join(digests[i:j])) for i, j in zip(starts.tolist(), own.tolist(), strict=True)]
                 offsets = pa.array(np.append(0, own), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(digests, pa.binary()), pa.array(at - begin, pa.int32()), pa.array(at - np.repeat(first, own - starts), pa.int64()), pa.array(np.where(wide, 4, 2), pa.int32()), pa.array(payload, pa.binary()))]
                 n = pa.array(np.diff(np.append(0, ends)), pa.int64())
@@ -225,10 +224,10 @@ def _read_chunks(batches):
             continue
         crcs = []
         for d, n, width, payload in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "width", "payload")), strict=True):
-            ids = np.frombuffer(payload, f"<u{width}").astype("<u4")
-            if len(ids) != n or digest(ids) != d:
+            raw = payload if width == 4 else np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()
+            if len(raw) != 4 * n or digest(raw) != d:
                 raise ValueError(f"chunk {d.hex()} isn't what was written")
-            crcs.append(zlib.crc32(ids.tobytes()))
+            crcs.append(zlib.crc32(raw))
         yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
 

@@ -2,18 +2,20 @@
 corpus operator; and properties that need tables of their own."""
 
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from retailflow.llm import dart_minhash, decontaminate, embedding_dedup, line_dedup, mixing, quality_conv, queries, secret_scan, substring_dedup, token_counts, token_store
+from retailflow.llm import dart_minhash, decontaminate, embedding_dedup, line_dedup, mixing, quality_conv, queries, secret_scan, substring_dedup, token_counts, token_store, units
 from retailflow.llm.common import PIECE_BYTES
 
 from test_operators import WORDS, one_edit, words
@@ -300,6 +302,57 @@ def test_token_store_on_random_texts(spark):
         assert [r.start for r in got] == np.cumsum([0, *(n for _, n, _ in expect)]).tolist()[:-1]
 
 
+def test_words_go_past_the_pattern(monkeypatch):
+    """Blanks with letters behind them have the library's ids without its pattern; so has all else."""
+    given = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    lettered = json.loads(given)
+    lettered["added_tokens"].append({"id": 50257, "content": " wor", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    rng = random.Random(29)
+    bits = ["a", "Zo", "word", "Ünï", "é", "Ã", "×", "÷", "ß", " ", " ", " ", "  ", "\n", "\t", ".", "'s", "12", "<|endoftext|>", "ā", "中", "\u00a0", "Ġ", "\U0001f600"]
+    texts = ["", " ", " é", "é", " ×", "a", *("".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(3000))]
+    lines = units.encode_lines
+    for spec, past in ((given, True), (json.dumps(lettered), False)):
+        slow = []
+        monkeypatch.setattr(units, "encode_lines", lambda j, data, begin, end, slow=slow: slow.extend(data[b:e].tobytes().decode() for b, e in zip(begin, end, strict=True)) or lines(j, data, begin, end))
+        cache, t = units.IdCache(spec), Tokenizer.from_str(spec)
+        for k in range(0, len(texts), 500):
+            some = texts[k : k + 500]
+            at = np.cumsum([0, *(len(x.encode()) for x in some)])
+            own = units.Units(np.frombuffer("".join(some).encode(), np.uint8), at)
+            ids, lengths = cache.ids_of(own)
+            ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(own.counts))]
+            if past:  # a unit may end within an added token of letters
+                assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in some]
+        words = [u for u in slow if re.fullmatch(" [A-Za-zÀ-ÖØ-öø-ÿ]+", u)]
+        assert bool(words) != past and slow
+
+
+def test_word_ids_that_are_more_than_the_cache_holds(monkeypatch):
+    monkeypatch.setattr(units, "CACHE_UNITS", 40)
+    given = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    t, rng = Tokenizer.from_str(given), random.Random(3)
+    monkeypatch.setattr(units, "_caches", {})
+    cache = units.id_cache(given)
+    for _ in range(60):
+        text = "".join(" " + "".join(rng.choices("abcdeé", k=rng.randint(1, 3))) for _ in range(30))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert cache.ids_of(units.Units(raw, np.array([0, len(raw)])))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_cut_points_of_every_window():
+    ids = np.random.default_rng(4).integers(0, 60000, 30000).astype(np.uint32)
+    x = [((int(i) + 1) * 0x9E3779B97F4A7C15) % 2**64 for i in ids]
+    x = [v ^ v >> 29 for v in x]
+    cuts = {4000, 4010, 30000}
+    for begin, end in ((0, 4000), (4000, 4010), (4010, 30000)):
+        for e in range(begin + token_store.WINDOW, end + 1):
+            h = 0
+            for v in x[e - token_store.WINDOW : e]:
+                h = (h * token_store._Q + v) % 2**64
+            cuts |= {e} if (h ^ h >> 32) & token_store.CUT == 0 else set()
+    assert token_store.cut_points(ids, np.array([4000, 4010, 30000])).tolist() == sorted(cuts)
+
+
 def ratio_by_force(token, table):
     at = [secret_scan.ALPHABET.index(c) for c in token]
     return sum(table[a * len(secret_scan.ALPHABET) + b] for a, b in zip(at, at[1:], strict=False))
