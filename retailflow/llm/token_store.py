@@ -127,7 +127,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     kinds = {"doc_id": T.LongType(), "n_tokens": T.LongType(), "digests": T.ArrayType(T.BinaryType()), "lengths": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.LongType()), "widths": T.ArrayType(T.IntegerType()), "payloads": T.ArrayType(T.BinaryType()), "root": T.BinaryType()}
     schema = T.StructType([T.StructField(k, t) for k, t in kinds.items()])
     made = rows.mapInArrow(_documents_of(shared, end_id), schema).withColumn("row", F.monotonically_increasing_id())
-    made.write.option("compression", "zstd").parquet(f"{folder}/encoded")
+    made.write.option("compression", "lz4_raw").parquet(f"{folder}/encoded")  # read once or twice and dropped
     made = spark.read.schema(schema.add("row", T.LongType())).parquet(f"{folder}/encoded")
 
     # of equal chunks the first is stored; only the others are looked up
