@@ -25,9 +25,9 @@ def stream_events(spark: SparkSession, inbox: str, kind: str, folder: str, check
         df = batch.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])
         items = tables.read_table(spark, folder, "items", selection=False)
         if kind == "views":
-            out = ingest.views(df, items, tables.read_table(spark, folder, "categories", selection=False))
+            out = ingest.views(df, items, tables.read_table(spark, folder, "categories", selection=False), ordered=False)
         else:
-            out = {"orders": ingest.orders, "favorites": ingest.favorites}[kind](df, items)
+            out = {"orders": ingest.orders, "favorites": ingest.favorites}[kind](df, items, ordered=False)
         ingest.put(out, folder, kind, "append", key)
 
     return raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

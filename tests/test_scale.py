@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from retailflow import storage
 from retailflow.functions import clean as C
 from retailflow.operators import relational as R
 from retailflow.plans import catalog, ingest, testbed
@@ -77,3 +78,28 @@ def test_models_read_written_inputs(spark, monkeypatch):
     monkeypatch.setattr(catalog.M, "als", lambda *a: seen.extend(a[:3]))
     catalog._factors(spark, SF, "als")
     assert len(seen) == 3 and all(SF not in f for df in seen for f in df.inputFiles())
+
+
+def below_exchange(df):
+    """What a plan has below its first exchange, and in it the rows that move."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+
+
+def test_cells_are_made_after_rows_are_dealt_out(spark, monkeypatch):
+    """A phone's digits stand in its cell's expression: rows that are joined and sorted hold no cells yet."""
+    moved, put = [], ingest.written
+    monkeypatch.setattr(ingest, "written", lambda df, name: (moved.append(df), put(df, name))[1])
+    for name in ("etl_orders", "etl_orders_selection"):
+        out = with_conf(spark, lambda: below_exchange(catalog.QUERIES[name](spark, SF)), adaptive_enabled="false")  # noqa: B023
+        assert "79990000000" not in out and "email" not in out
+    assert len(moved) == 2 and "email" not in moved[0].columns
+    assert "79990000000" not in with_conf(spark, lambda: moved[0]._jdf.queryExecution().executedPlan().toString(), adaptive_enabled="false")
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    df = storage.written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    assert not shuffled() - before and df.count() == 10 and spark.conf.get(key, None) == old
