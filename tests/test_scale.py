@@ -6,7 +6,7 @@ from retailflow import storage
 from retailflow.functions import clean as C
 from retailflow.operators import relational as R
 from retailflow.plans import catalog, ingest, testbed
-from retailflow.sources import tables
+from retailflow.sources import schema, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +103,10 @@ def test_shuffle_files_go_with_the_write(spark):
     old = spark.conf.get(key, None)
     df = storage.written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
     assert not shuffled() - before and df.count() == 10 and spark.conf.get(key, None) == old
+
+
+def test_a_report_loads_rows_without_dealing_them_by_date(spark, monkeypatch):
+    plans, put = [], tables.write_table
+    monkeypatch.setattr(tables, "write_table", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().toString()), put(df, *a, **k))[1])
+    assert catalog.QUERIES["loaded_orders_report"](spark, SF).count() > 30
+    assert len(plans) == 2 and "rangepartitioning(event_date" not in plans[1]
