@@ -105,6 +105,47 @@ def test_shuffle_files_go_with_the_write(spark):
     assert not shuffled() - before and df.count() == 10 and spark.conf.get(key, None) == old
 
 
+def test_exports_are_loaded_in_batches_that_become_one_table(spark, tmp_path, monkeypatch):
+    path, folder = str(tmp_path / "export"), str(tmp_path / "tables")
+    sep, names = schema.RAW["orders"]
+    raw = testbed.raw(spark, SF, "orders").select(*[F.col(v).alias(k) for k, v in names.items()])
+    raw.repartition(3).write.options(sep=sep, header=True, compression="gzip").csv(path)
+    tables.write_table(catalog._etl(spark, SF, "items"), folder, "items")
+    rows = lambda: sorted(map(str, tables.read_table(spark, folder, "orders", False).collect()))
+    ingest.load(spark, path, "orders", folder)
+    whole, at = rows(), tables.table_path(folder, "orders")
+    monkeypatch.setattr(tables, "BATCH_BYTES", 1)
+    assert [len(b) for b in tables.batches(spark, path)] == [1, 1, 1]
+    put, done = tables._write_version, []
+
+    def fails(*args):
+        done.append(args[1])
+        if len(done) == 2:
+            raise OSError("in the second batch")
+        put(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_write_version", fails)
+        try:
+            ingest.load(spark, path, "orders", folder)
+        except OSError:
+            pass
+    assert len(done) == 2 and not any(tables.exists(spark, d) for d in done) and rows() == whole
+    ingest.load(spark, path, "orders", folder)
+    assert len(tables.manifest(spark, at)["versions"]) == 3 and rows() == whole
+    assert ingest.load(spark, path, "orders", folder, "append").count() == len(whole)
+    assert tables.read_table(spark, folder, "orders", False).count() == 2 * len(whole)
+
+
+def test_exports_go_when_they_are_loaded(spark, monkeypatch):
+    made, put = [], catalog.new_folder
+    monkeypatch.setattr(catalog, "new_folder", lambda s, name: (made.append(put(s, name)), made[-1])[1])
+    since = storage.written_so_far(spark)
+    assert catalog.QUERIES["loaded_orders"](spark, SF).count()
+    assert [tables.exists(spark, f) for f in made] == [True, False, False, False]
+    assert storage.written_so_far(spark) == since
+
+
 def test_a_report_loads_rows_without_dealing_them_by_date(spark, monkeypatch):
     plans, put = [], tables.write_table
     monkeypatch.setattr(tables, "write_table", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().toString()), put(df, *a, **k))[1])
