@@ -6,15 +6,17 @@ A window is 20 consecutive words of one document. The work is done in three step
    same phrase, so only documents that hold a picked phrase which is picked elsewhere too
    can hold a recurring window. The others are done: a filter that loses nothing, so that
    all documents need not stream past all automata.
-2. Windows of those documents are counted by hash, with their earliest start. Recurring
-   windows that begin at consecutive words of one document make a passage, confirmed
-   with its words and its place, in pieces of bounded length: each window is in one piece.
-3. The documents are dealt into shards, and each piece goes to the shards that hold one of
-   its phrases. Pieces of a shard are dealt into parts of bounded size; a part compiles an
-   Aho-Corasick automaton of its pieces' phrases, every 13th place a pattern, so that each
-   window holds one. The shard's documents stream past each of its parts' automata; where a
-   phrase is found, the words around are compared, and every run of 20 or more equal words
-   that starts later than the passage is removed. A document's runs are united at the end.
+2. The documents are dealt into shards. Their windows whose phrase is picked elsewhere too
+   are sorted by hash and place: the first place of a recurring window, and the shards in which it recurs, are
+   neighbours. For each shard, recurring windows that begin at consecutive words of one
+   document make a passage, with its words and its place, in pieces of bounded length: each
+   window is in one piece of a shard. So a shard has no more of them than windows of its own,
+   whatever the number of shards.
+3. Pieces of a shard are dealt into parts of bounded size; a part compiles an Aho-Corasick
+   automaton of its pieces' phrases, every 13th place a pattern, so that each window holds
+   one. The shard's documents stream past each of its parts' automata; where a phrase is
+   found, the words around are compared, and every run of 20 or more equal words that starts
+   later than the passage is removed. A document's runs are united at the end.
 
 A task holds one automaton and one batch of documents, whatever a shard's size. All
 decisions are by the documents as given. Windows are told apart by 64-bit hashes in the
@@ -41,6 +43,8 @@ PIECE_WINDOWS = 256
 LETTERS = 512
 #: Places of found phrases that are compared at once.
 HITS = 100_000
+#: Windows whose places are counted, and starts that are put together, at once.
+COUNTED = 1 << 20
 _SALT, _PLACE = 0x7E57, 1 << 28
 
 
@@ -89,47 +93,120 @@ def _phrases_by_doc(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[new].astype(np.int64)), batch.column("doc").take(rows), batch.column("th").take(rows)], names=["phrase", "doc", "th"])
 
 
-def _windows(batches):
+def _counted(found, doc: np.ndarray, th: np.ndarray, shard: np.ndarray):
+    """Windows by hash, for each shard with their first place in these documents and the number
+    of places. So a window that every document has gives few rows."""
     import pyarrow as pa
 
+    h, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, row, place = h[order], row[order], place[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    many, keep, n = np.flatnonzero(same[1:] | same[:-1]), np.ones(len(h), bool), np.ones(len(h), np.int64)
+    if len(many):
+        r = row[many]
+        many = many[np.lexsort((place[many], th[r], doc[r], shard[r], h[many]))]
+        x, y = h[many], shard[row[many]]
+        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        keep[many[~new]] = False
+        n[many[new]] = np.diff(np.append(np.flatnonzero(new), len(many)))
+    h, row, place, n = h[keep], row[keep], place[keep], n[keep]
+    return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(doc[row]), pa.array(th[row]), pa.array(place.astype(np.int32)), pa.array(shard[row]), pa.array(n)], names=["window", "doc", "th", "place", "shard", "n"])
+
+
+def _windows(batches):
     for batch in batches:
+        own, repeated = [batch.column(c).to_numpy() for c in ("doc", "th", "shard")], batch.column("repeated")
+        found, size = [], 0
         for piece in pieces(batch.column("_text")):
             h, at = piece.windows(WINDOW, _SALT)
-            rows = pa.array(piece.doc[at] + piece.first)
-            place = at - piece.first_word[piece.doc[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), batch.column("doc").take(rows), batch.column("th").take(rows), pa.array(place.astype(np.int32))], names=["window", "doc", "th", "place"])
+            if not len(h):
+                continue
+            phrases, _, place = _picked(piece)
+            known = np.unique(repeated[piece.first : piece.first + piece.n].flatten().to_numpy().view(np.uint64))
+            again = np.isin(phrases[place], known)
+            h, at = h[again], at[again]
+            found.append((h, piece.doc[at] + piece.first, at - piece.first_word[piece.doc[at]]))
+            size += len(h)
+            if size >= COUNTED:
+                yield _counted(found, *own)
+                found, size = [], 0
+        if size:
+            yield _counted(found, *own)
+
+
+def _by_text(found):
+    """Starts by text: a row for each text, with a list of its starts."""
+    import pyarrow as pa
+
+    doc, th, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((th, doc))
+    doc, th, start = doc[order], th[order], start[order]
+    at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(start))
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), lists], names=["doc", "th", "starts"])
+
+
+def _recurring(batches):
+    """Of rows ordered by window and place: the first place of each window that has others, with
+    each shard that has one of these. A start is the shard and, below it, the place."""
+    first, out, size = None, [], 0  # first: the row of the window at hand
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in ("window", "doc", "th", "place", "shard", "n")]
+        if first is not None:
+            cols = [np.append(x, c) for x, c in zip(first, cols, strict=True)]
+        window, doc, th, place, shard, n = cols
+        new = np.append(True, window[1:] != window[:-1])
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+        others = np.flatnonzero(~new | (n > 1))
+        found = np.unique(begin[others] << 32 | shard[others])
+        i, k = found >> 32, found & 0xFFFFFFFF
+        out.append((doc[i], th[i], k << 32 | place[i]))
+        size += len(i)
+        if size >= COUNTED:
+            yield _by_text(out)
+            out, size = [], 0
+        at = begin[-1]
+        first = [window[at], doc[at], th[at], place[at], shard[at], 1]  # its other places in the shard are told
+    if size:
+        yield _by_text(out)
 
 
 def _passages(windows: int):
-    """Pieces of the passages that begin at `starts`, with their phrases."""
+    """Pieces of the passages that begin at `starts`, for each shard."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            doc, th, place, words, n, phrases = [], [], [], [], [], []
-            starts, docs, ths = (batch.column(c).to_pylist() for c in ("starts", "doc", "th"))
+            shard, doc, th, place, words, n = [], [], [], [], [], []
+            docs, ths, starts = (batch.column(c) for c in ("doc", "th", "starts"))
             for piece in pieces(batch.column("_text")):
-                hashes, begin, pick = _picked(piece)
                 for d in range(piece.n):
                     first, row = int(piece.first_word[d]), piece.first + d
-                    p = np.unique(np.asarray(starts[row], np.int64))
+                    p = np.unique(starts[row].values.to_numpy())
                     # a piece ends where windows aren't consecutive, or are too many
                     run_start = np.flatnonzero(np.append(True, np.diff(p) > 1))
                     k = np.arange(len(p)) - run_start[np.searchsorted(run_start, np.arange(len(p)), "right") - 1]
                     edges = np.append(np.flatnonzero(k % windows == 0), len(p))
-                    for x, y in zip(p[edges[:-1]].tolist(), p[edges[1:] - 1].tolist(), strict=True):
-                        i = np.searchsorted(begin, first + x)
+                    which, p = p >> 32, p & 0xFFFFFFFF
+                    for s, x, y in zip(which[edges[:-1]].tolist(), p[edges[:-1]].tolist(), p[edges[1:] - 1].tolist(), strict=True):
                         raw = piece.data[piece.begin[first + x] : piece.end[first + y + WINDOW - 1]].tobytes()
-                        doc.append(docs[row])
-                        th.append(ths[row])
+                        shard.append(s)
+                        doc.append(docs[row].as_py())
+                        th.append(ths[row].as_py())
                         place.append(x)
                         words.append(b" ".join(raw.split()))
                         n.append(y - x + WINDOW)
-                        phrases.append(np.unique(hashes[pick[i : i + y - x + 1]]).astype(np.int64))
-            if doc:
-                kinds = {"doc": pa.int64(), "th": pa.int64(), "place": pa.int32(), "words": pa.binary(), "n": pa.int32(), "phrases": pa.list_(pa.int64())}
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, th, place, words, n, phrases), kinds.values(), strict=True)], names=list(kinds))
+                    if len(words) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((shard, doc, th, place, words, n), kinds.values(), strict=True)], names=list(kinds))
+                        shard, doc, th, place, words, n = [], [], [], [], [], []
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((shard, doc, th, place, words, n), kinds.values(), strict=True)], names=list(kinds))
 
+    kinds = {"shard": pa.int32(), "doc": pa.int64(), "th": pa.int64(), "place": pa.int32(), "words": pa.binary(), "n": pa.int32()}
     return run
 
 
@@ -314,31 +391,22 @@ def remove_repeats(
     counts = rows.mapInArrow(_phrase_counts, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
     repeated = written(counts.where("n > 1").select("phrase"), "phrases")
     spots = rows.mapInArrow(_phrases_by_doc, "phrase long, doc long, th long").join(repeated.hint("shuffle_merge"), "phrase", "left_semi")
-    spots = written(spots, "spots")
-    some = written(spots.select("doc").distinct(), "some")
-    held = by_ids(rows, some, "doc")
+    lists = written(spots.groupBy("doc", "th").agg(F.collect_list("phrase").alias("repeated")), "lists")
+    some = written(lists.select("doc").distinct(), "some")
+    held = by_ids(rows, lists, ["doc", "th"], "inner")
     held = written(held if plain else held.dropDuplicates(["doc", "th"]), "held")
 
-    windows = held.mapInArrow(_windows, "window long, doc long, th long, place int")
-    if plain:
-        first = windows.select("window", (F.col("doc") * _PLACE + F.col("place")).alias("o")).groupBy("window").agg(F.min("o").alias("o"), F.count("*").alias("n")).where("n > 1")
-        first = first.select(F.shiftright("o", 28).alias("doc"), F.lit(0).cast("long").alias("th"), F.col("o").bitwiseAND(_PLACE - 1).cast("int").alias("place"))
-    else:
-        first = windows.groupBy("window").agg(F.min(F.struct("doc", "th", "place")).alias("o"), F.count("*").alias("n")).where("n > 1").select("o.*")
-    starts = first.groupBy("doc", "th").agg(F.collect_list("place").alias("starts"))
-    passages = held.join(starts.hint("shuffle_merge"), ["doc", "th"]).mapInArrow(_passages(piece_windows), "doc long, th long, place int, words binary, n int, phrases array<long>")
-    passages = written(passages.withColumn("piece", F.monotonically_increasing_id()), "passages")
-
     size = held.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shards = max(1, round(size / 6 / shard_words))
     shard = F.pmod(F.xxhash64("doc", "th"), F.lit(shards)).cast("int")
-    route = written(spots.select("phrase", shard.alias("shard")).distinct(), "route")
-    dealt = route.join(passages.select("piece", "n", F.explode("phrases").alias("phrase")).hint("shuffle_merge"), "phrase").select("shard", "piece", "n").distinct()
-    dealt = written(dealt, "dealt")
+    windows = held.withColumn("shard", shard).mapInArrow(_windows, "window long, doc long, th long, place int, shard int, n long")
+    windows = windows.repartition("window").sortWithinPartitions("window", "doc", "th", "place")
+    starts = windows.mapInArrow(_recurring, "doc long, th long, starts array<long>").groupBy("doc", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    passages = held.select("doc", "th", "_text").join(starts.hint("shuffle_merge"), ["doc", "th"]).mapInArrow(_passages(piece_windows), "shard int, doc long, th long, place int, words binary, n int")
+    passages = written(passages, "passages")
     # a row for each shard: Spark broadcasts it if it is small as written
-    parts = written(dealt.groupBy("shard").agg(F.ceil(F.sum("n") / part_words).cast("int").alias("parts")), "parts")
-    some_pieces = dealt.join(parts, "shard").select("shard", F.pmod(F.xxhash64("piece"), F.col("parts")).cast("int").alias("part"), "piece")
-    some_pieces = some_pieces.join(passages.select("piece", "doc", "th", "place", "words").hint("shuffle_merge"), "piece").select("shard", "part", F.lit(0).alias("kind"), "doc", "th", "place", "words")
+    parts = written(passages.groupBy("shard").agg(F.ceil(F.sum("n") / part_words).cast("int").alias("parts")), "parts")
+    some_pieces = passages.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc", "th", "place"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "doc", "th", "place", "words")
     streams = held.withColumn("shard", shard).join(parts, "shard")
     streams = streams.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "doc", "th", F.lit(0).alias("place"), F.col("_text").cast("binary").alias("words"))
     ordered = some_pieces.unionByName(streams).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")

@@ -231,6 +231,20 @@ def test_repeats(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_passages_go_where_their_windows_recur(spark, monkeypatch):
+    """Not to every shard that shares a phrase of them: that grew with the square of the table."""
+    seen, put = {}, substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name: seen.setdefault(name, put(df, name)))
+    rng = random.Random(12)
+    some = lambda n: [f"{w}{rng.randint(0, 999)}" for w in rng.choices(WORDS, k=n)]
+    common = [some(15) for _ in range(6)]  # each shorter than a window
+    twice = some(20) + common[0] + some(20)
+    rows = [" ".join(sum((some(20) + c for c in common), [])) for _ in range(60)] + [" ".join(some(30) + twice), " ".join(twice + some(30))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(table(spark, rows), "doc_id", "text", 200, 200, 256).collect()}
+    assert got == {i * 3: 55 if i == 61 else 0 for i in range(62)}
+    assert seen["some"].count() > 50 and seen["parts"].count() == seen["passages"].count() == 1
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     item = [f"{w}{rng.randint(0, 99)}" for w in rng.choices(WORDS, k=40)]
