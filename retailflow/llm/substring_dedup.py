@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Piece, argmin_windows, by_ids, given_id, numbered, pieces, prepare, written
+from .common import Piece, argmin_windows, by_ids, given_id, numbered, pieces, prepare, small, written
 
 WINDOW, PHRASE = 20, 8
 STEP = WINDOW - PHRASE + 1
@@ -43,7 +43,7 @@ PIECE_WINDOWS = 256
 LETTERS = 512
 #: Places of found phrases that are compared at once.
 HITS = 100_000
-#: Windows whose places are counted, and starts that are put together, at once.
+#: Windows whose places are counted at once.
 COUNTED = 1 << 20
 _SALT, _PLACE = 0x7E57, 1 << 28
 
@@ -136,22 +136,12 @@ def _windows(batches):
             yield _counted(found, *own)
 
 
-def _by_text(found):
-    """Starts by text: a row for each text, with a list of its starts."""
-    import pyarrow as pa
-
-    doc, th, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((th, doc))
-    doc, th, start = doc[order], th[order], start[order]
-    at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(start))
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), lists], names=["doc", "th", "starts"])
-
-
 def _recurring(batches):
     """Of rows ordered by window and place: the first place of each window that has others, with
-    each shard that has one of these. A start is the shard and, below it, the place."""
-    first, out, size = None, [], 0  # first: the row of the window at hand
+    the shards that have these. A start is the shard and, below it, the place."""
+    import pyarrow as pa
+
+    first = None  # the row of the window at hand
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -163,16 +153,13 @@ def _recurring(batches):
         begin = np.flatnonzero(new)[np.cumsum(new) - 1]
         others = np.flatnonzero(~new | (n > 1))
         found = np.unique(begin[others] << 32 | shard[others])
-        i, k = found >> 32, found & 0xFFFFFFFF
-        out.append((doc[i], th[i], k << 32 | place[i]))
-        size += len(i)
-        if size >= COUNTED:
-            yield _by_text(out)
-            out, size = [], 0
+        if len(found):
+            i, k = found >> 32, found & 0xFFFFFFFF
+            at = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(i)).astype(np.int32)), pa.array(k << 32 | place[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i[at]]), pa.array(th[i[at]]), lists], names=["doc", "th", "starts"])
         at = begin[-1]
         first = [window[at], doc[at], th[at], place[at], shard[at], 1]  # its other places in the shard are told
-    if size:
-        yield _by_text(out)
 
 
 def _passages(windows: int):
@@ -393,7 +380,8 @@ def remove_repeats(
     spots = rows.mapInArrow(_phrases_by_doc, "phrase long, doc long, th long").join(repeated.hint("shuffle_merge"), "phrase", "left_semi")
     lists = written(spots.groupBy("doc", "th").agg(F.collect_list("phrase").alias("repeated")), "lists")
     some = written(lists.select("doc").distinct(), "some")
-    held = by_ids(rows, lists, ["doc", "th"], "inner")
+    # where few ids spare it, not all texts are dealt out
+    held = (rows.join(F.broadcast(some), "doc", "left_semi") if small(some) else rows).hint("shuffle_merge").join(lists, ["doc", "th"])
     held = written(held if plain else held.dropDuplicates(["doc", "th"]), "held")
 
     size = held.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
